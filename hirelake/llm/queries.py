@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import packing, quality
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -20,5 +20,37 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_packing,)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality.judged(table(spark, sf_dir, "documents")).select(columns)
+
+
+OP9_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT r, doc_id, text,
+        list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+      FROM t),
+p AS (SELECT r, unnest(range(1, greatest(len(ws) - 1, 1))) AS i, ws FROM s WHERE len(ws) >= 3),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS c FROM p),
+d AS (SELECT r, count(DISTINCT i + k) AS n FROM g, (VALUES (0), (1), (2)) v(k) WHERE c >= 2 GROUP BY r),
+m AS (SELECT s.doc_id, len(ws)::BIGINT AS n_words,
+        length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(d.n, 0)::BIGINT AS n_repeat_words,
+        len(list_filter(ws, lambda w: lower(rtrim(w, '.,;:!?')) IN ({", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))}))) AS n_stop,
+        len(list_filter(ws, lambda w: regexp_matches(w, '\\p{{L}}'))) AS n_alpha,
+        len(ls) AS n_lines, len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*[-*•]'))) AS n_bullet,
+        len(list_filter(ls, lambda x: regexp_matches(x, '(\\.\\.\\.|…)\\s*$'))) AS n_ellipsis
+      FROM s LEFT JOIN d USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND word_chars / n_words BETWEEN 2 AND 14 AND n_symbols / n_words <= 0.3 AND n_stop / n_words >= 0.02
+  AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AND n_bullet / greatest(n_lines, 1) <= 0.95
+  AND n_ellipsis / greatest(n_lines, 1) <= 0.6 AND n_alpha / n_words >= 0.4 AS kept
+FROM b
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op9_quality)}
+ORACLE_SQL: dict[str, str] = {"op9_quality": OP9_SQL}
