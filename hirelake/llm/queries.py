@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality
+from . import langid, packing, quality
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -20,6 +20,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality.judged(table(spark, sf_dir, "documents")).select(columns)
@@ -52,5 +56,5 @@ FROM b
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_language, op9_quality)}
 ORACLE_SQL: dict[str, str] = {"op9_quality": OP9_SQL}
