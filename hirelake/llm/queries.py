@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, quality
+from . import langid, ngram_join, packing, quality
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,26 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [ws]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i:i + 3]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM b JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS s, doc_id AS t FROM documents UNION SELECT r.s, u.b FROM r JOIN u ON r.t = u.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT s AS doc_id, min(t) AS component_id FROM r GROUP BY s) m USING (doc_id)
+"""
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality.judged(table(spark, sf_dir, "documents")).select(columns)
@@ -56,5 +76,5 @@ FROM b
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_language, op9_quality)}
-ORACLE_SQL: dict[str, str] = {"op9_quality": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_language, op6_ngram_join, op9_quality)}
+ORACLE_SQL: dict[str, str] = {"op6_ngram_join": OP6_SQL, "op9_quality": OP9_SQL}
