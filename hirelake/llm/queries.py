@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, ngram_join, packing, quality
+from . import langid, ngram_join, packing, pii, quality
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"))
 
@@ -76,5 +80,5 @@ FROM b
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_language, op6_ngram_join, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_language, op5_pii, op6_ngram_join, op9_quality)}
 ORACLE_SQL: dict[str, str] = {"op6_ngram_join": OP6_SQL, "op9_quality": OP9_SQL}
