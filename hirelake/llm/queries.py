@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, ngram_join, packing, pii, quality
+from . import langid, ngram_join, packing, pii, quality, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -80,5 +80,20 @@ FROM b
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_language, op5_pii, op6_ngram_join, op9_quality)}
-ORACLE_SQL: dict[str, str] = {"op6_ngram_join": OP6_SQL, "op9_quality": OP9_SQL}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, _ = warc.archived(table(spark, sf_dir, "pages"))
+    return warc.read_back(index).drop("payload")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS d FROM pages),
+q AS (SELECT page_id, octet_length(b)::BIGINT AS n, d, max(page_id) OVER (PARTITION BY d, octet_length(b)) AS m FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> m THEN m END AS refers_to
+FROM q
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op4_language, op5_pii, op6_ngram_join, op9_quality, op10_warc)}
+ORACLE_SQL: dict[str, str] = {"op6_ngram_join": OP6_SQL, "op9_quality": OP9_SQL, "op10_warc": OP10_SQL}
