@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, ngram_join, packing, pii, quality, warc
+from . import html_main, langid, ngram_join, packing, pii, quality, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -48,6 +49,10 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT s AS doc_id, min(t) AS component_
 """
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality.judged(table(spark, sf_dir, "documents")).select(columns)
@@ -95,5 +100,5 @@ FROM q
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_language, op5_pii, op6_ngram_join, op9_quality, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_language, op5_pii, op6_ngram_join, op8_html, op9_quality, op10_warc)}
 ORACLE_SQL: dict[str, str] = {"op6_ngram_join": OP6_SQL, "op9_quality": OP9_SQL, "op10_warc": OP10_SQL}
