@@ -1,8 +1,74 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: language ID, near duplicates, personal data, mixing, packing.
+
+Each stage works on all rows that its predecessor kept, and all but the last return the columns
+of ``documents``.  No stage can be stated in SQL as a whole (trained prototypes, raking and
+best-fit packing), so the pipeline is tested against the operators' brute-force versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hirelake.llm import langid, mixing, ngram_join, packing, pii
+from hirelake.llm.common import saved, ship, table
+from hirelake.llm.queries import tokenizer_path
+
+#: Below this cosine with every prototype a text is in none of the languages.
+LEAST_SCORE = 0.02
+
+
+def _by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids, docs.doc_id.eqNullSafe(ids["__id"]), "left_semi")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter or without likeness to any language that was learnt."""
+    ship(spark)
+    found = langid.identify(docs).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return _by_id(docs, saved(found.select(F.col("doc_id").alias("__id")).distinct(), "pipeline-languages"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one of smallest doc_id stays, once."""
+    ship(spark)
+    linked = ngram_join.linked(docs, percent=80, words=5)
+    first = linked.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__id")).distinct()
+    kept = _by_id(docs, saved(first, "pipeline-first"))
+    return kept.dropDuplicates(["doc_id"])
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans are replaced by their kinds; n_chars follows the text."""
+    ship(spark)
+    columns = docs.columns
+    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return mixing.kept(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language_id", language),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn; each result is written and read again, the last one returned as is."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_main, langid, ngram_join, packing, pii, quality, warc
+from . import ann, html_main, langid, licences, mixing, ngram_join, packing, pii, quality, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,6 +21,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -53,6 +57,10 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT s AS doc_id, min(t) AS component_
 """
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents")).withColumn("families", F.array_join("families", ","))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -104,5 +112,5 @@ FROM q
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_ann, op4_language, op5_pii, op6_ngram_join, op8_html, op9_quality, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_ann, op4_language, op5_pii, op6_ngram_join, op7_licences, op8_html, op9_quality, op10_warc)}
 ORACLE_SQL: dict[str, str] = {"op6_ngram_join": OP6_SQL, "op9_quality": OP9_SQL, "op10_warc": OP10_SQL}
