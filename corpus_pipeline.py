@@ -18,24 +18,21 @@ from hirelake.llm.queries import tokenizer_path
 LEAST_SCORE = 0.02
 
 
-def _by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids["__id"]), "left_semi")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter or without likeness to any language that was learnt."""
     ship(spark)
-    found = langid.identify(docs).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return _by_id(docs, saved(found.select(F.col("doc_id").alias("__id")).distinct(), "pipeline-languages"))
+    learnt = langid.prototypes(docs.where(~langid.held_out()))
+    return langid.accepted(docs, learnt, LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of smallest doc_id stays, once."""
     ship(spark)
-    linked = ngram_join.linked(docs, percent=80, words=5)
-    first = linked.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__id")).distinct()
-    kept = _by_id(docs, saved(first, "pipeline-first"))
-    return kept.dropDuplicates(["doc_id"])
+    linked = saved(ngram_join.linked(docs, percent=80, words=5), "pipeline-linked")
+    gone = saved(linked.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = linked.groupBy("doc_id").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

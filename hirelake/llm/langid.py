@@ -140,30 +140,53 @@ def prototypes(labelled: DataFrame, lang_col: str = "lang", text_col: str = "tex
     return {r.lang: np.array([x.total for x in r.v], dtype=np.float64) for r in sorted(gathered, key=lambda r: r.lang)}
 
 
-def predict(documents: DataFrame, learnt: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", dimensions: int = DIMENSIONS, order: int = ORDER, seed: int = SEED) -> DataFrame:
-    """doc_id, lang_pred and score (the cosine, 0 at least) of every row."""
+def _scored(learnt: dict[str, np.ndarray], space_key: tuple):
+    """texts -> (labels, scores), for use inside a task."""
     names = list(learnt)
     unit = np.array([v / max(np.linalg.norm(v), 1e-9) for v in learnt.values()], dtype=np.float32).reshape(len(names), -1)
 
+    def score_texts(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        texts = [t or "" for t in texts]
+        lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        for part in _groups(texts, _BATCH_CHARS) if names else ():
+            space = _space(*space_key)
+            counts, letters = space.counts(texts[part])
+            used = np.flatnonzero(counts.any(axis=0))
+            vectors = counts[:, used] @ space.vectors[used]
+            cosine = vectors @ unit.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+            best = cosine.argmax(axis=1)
+            for i in np.flatnonzero(letters):
+                lang[part.start + i], score[part.start + i] = names[best[i]], min(1.0, max(0.0, float(cosine[i, best[i]])))
+        return lang, score
+
+    return score_texts
+
+
+def predict(documents: DataFrame, learnt: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", dimensions: int = DIMENSIONS, order: int = ORDER, seed: int = SEED) -> DataFrame:
+    """doc_id, lang_pred and score (the cosine, 0 at least) of every row."""
+    score_texts = _scored(learnt, (dimensions, order, seed))
+
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for part in _groups(texts, _BATCH_CHARS) if names else ():
-                space = _space(dimensions, order, seed)
-                counts, letters = space.counts(texts[part])
-                used = np.flatnonzero(counts.any(axis=0))
-                vectors = counts[:, used] @ space.vectors[used]
-                cosine = vectors @ unit.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-                best = cosine.argmax(axis=1)
-                for i in np.flatnonzero(letters):
-                    lang[part.start + i], score[part.start + i] = names[best[i]], min(1.0, max(0.0, float(cosine[i, best[i]])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            lang, score = score_texts(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     docs = only(documents, doc_id=id_col, text=text_col)
     return docs.mapInArrow(run, f"doc_id {docs.dtypes[0][1]}, lang_pred string, score double")
 
 
+def accepted(documents: DataFrame, learnt: dict[str, np.ndarray], least: float, text_col: str = "text", dimensions: int = DIMENSIONS, order: int = ORDER, seed: int = SEED) -> DataFrame:
+    """The rows, with all their columns, that have a language and a score of ``least`` or more."""
+    score_texts, place = _scored(learnt, (dimensions, order, seed)), documents.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            lang, score = score_texts(batch.column(place).to_pylist())
+            yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score)], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """Rows that teach nothing: crc32 of the id as text is 2 modulo 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -98,29 +98,46 @@ def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     return cells.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(low) * rate)).otherwise(1.0))
 
 
+def _margins(documents: DataFrame, text_col: str, topic_col: str | None) -> dict[str, F.Column]:
+    none = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(_NONE))
+    return {"__source": none("source"), "__lang": none("lang"), "__topic": none(topic_col) if topic_col else topic_of(F.col(f"`{text_col}`"))}
+
+
+def drawn(seed: str, id_col: str) -> F.Column:
+    """A number in [0, 1) for each id."""
+    key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
+    return F.conv(F.substring(F.sha1(key), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+
+
+def probabilities(documents: DataFrame, temperature: dict[str, float] | None = None, budget: float = BUDGET, text_col: str = "text", topic_col: str | None = None, tokens_col: str | None = None) -> DataFrame:
+    """The cell table: source, lang, topic (null as a marker), tokens, weight, probability."""
+    tokens = F.col(tokens_col).cast("long") if tokens_col else word_count(F.col(f"`{text_col}`"))
+    keyed = documents.select(*[c.alias(m[2:]) for m, c in _margins(documents, text_col, topic_col).items()], tokens.alias("tokens"))
+    cells = checkpointed(keyed.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
+    return saved(calibrated(raked(cells, targets(cells, temperature or TEMPERATURE)), budget), "mix-cells")
+
+
+def _with_probability(documents: DataFrame, cells: DataFrame, text_col: str, topic_col: str | None) -> DataFrame:
+    keys = _margins(documents, text_col, topic_col)
+    table = cells.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("probability").alias("__probability"))
+    return documents.withColumns(keys).join(table, list(keys))
+
+
 def mixed(documents: DataFrame, temperature: dict[str, float] | None = None, budget: float = BUDGET, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", topic_col: str | None = None, tokens_col: str | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens, probability, kept of every row."""
-    temperature = temperature or TEMPERATURE
-    none = lambda c: F.coalesce(F.col(c), F.lit(_NONE))
+    cells = probabilities(documents, temperature, budget, text_col, topic_col, tokens_col)
     rows = documents.select(
         F.col(f"`{id_col}`").alias("doc_id"),
-        none("source").alias("source"),
-        none("lang").alias("lang"),
-        (none(topic_col) if topic_col else topic_of(F.col(f"`{text_col}`"))).alias("topic"),
+        *[c.alias(m) for m, c in _margins(documents, text_col, topic_col).items()],
         (F.col(tokens_col).cast("long") if tokens_col else word_count(F.col(f"`{text_col}`"))).alias("tokens"),
     )
-    rows = saved(rows, "mix-rows")
-    cells = checkpointed(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
-    table = saved(calibrated(raked(cells, targets(cells, temperature)), budget).select(*MARGINS, "probability"), "mix-cells")
-    draw = F.conv(F.substring(F.sha1(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
-    joined = rows.join(table, list(MARGINS))
-    back = [F.when(F.col(m) != _NONE, F.col(m)).alias(m) for m in MARGINS]
-    return joined.select("doc_id", *back, "tokens", "probability", (draw < F.col("probability")).alias("kept"))
-
-
-def kept(documents: DataFrame, **options) -> DataFrame:
-    """The sampled rows with all their columns; repeated rows go or stay together."""
-    out = mixed(documents, **options).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    out = saved(out, "mix-kept")
-    id_col = options.get("id_col", "doc_id")
-    return documents.join(out, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")
+    table = cells.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], "probability")
+    back = [F.when(F.col(f"__{m}") != _NONE, F.col(f"__{m}")).alias(m) for m in MARGINS]
+    return rows.join(table, [f"__{m}" for m in MARGINS]).select("doc_id", *back, "tokens", "probability", (drawn(seed, "doc_id") < F.col("probability")).alias("kept"))
+
+
+def kept(documents: DataFrame, temperature: dict[str, float] | None = None, budget: float = BUDGET, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", topic_col: str | None = None, tokens_col: str | None = None) -> DataFrame:
+    """The sampled rows with all their columns; rows of one id go or stay together in a cell."""
+    cells = probabilities(documents, temperature, budget, text_col, topic_col, tokens_col)
+    joined = _with_probability(documents, cells, text_col, topic_col)
+    return joined.where(drawn(seed, id_col) < F.col("__probability")).select(*[f"`{c}`" for c in documents.columns])
