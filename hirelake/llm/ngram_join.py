@@ -12,8 +12,8 @@ Equal sets are one set here, known by a 64-bit fingerprint and their size.
 
 Rows of a signature come sorted through a task and are never gathered.  In the first round each
 is paired with the first look-up of its signature; exact verification and connected components
-follow.  In the second round only pairs whose components still differ are made, so no link that
-could join two components is lost, and a group of near copies costs its size, not its square.
+follow.  In the second round only pairs whose components still differ, and whose sizes and parity sketches
+leave room for a link, are made, so no link that could join two components is lost, and a group of near copies costs its size, not its square.
 
 Cases: null text: empty; an empty set links with nothing; repeated rows and copies get one class;
 an empty table gives an empty result; extra columns are ignored.
@@ -22,7 +22,6 @@ an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import functools
-import hashlib
 import math
 
 import numpy as np
@@ -38,7 +37,9 @@ BAND_BASE, BAND_RATIO, SMALL = 5, 1.5, 48
 #: Places of the fixed-size filters that are sent to the tasks: shingle counts, document ids.
 COUNT_PLACES, ID_PLACES = 1 << 20, 1 << 23
 #: A shingle counts as frequent from so many documents of one batch.
-FREQUENT, BATCH_ROWS = 8, 1000
+FREQUENT = 8
+#: 64-bit words of a set's parity sketch.
+SKETCH_WORDS = 16
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -50,51 +51,94 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_UPPER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
-_SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
-
-
-class WordHashes(dict):
-    """64-bit hash of each word; emptied when full."""
-
-    def __missing__(self, word: str) -> int:
-        got = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        if len(self) > 1_000_000:
-            self.clear()
-        if len(word) <= 40:
-            self[word] = got
-        return got
-
-
-_words = WordHashes()
-
-
-def word_hashes(text: str) -> np.ndarray:
-    words = [w for w in text.translate(_SPACES).split(" ") if w] if not text.isascii() or _odd(text) else text.split()
-    return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def _odd(text: str) -> bool:
-    return any(c in text for c in "\x1c\x1d\x1e\x1f")
-
-
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; fewer words make one shingle."""
-    if not text:
-        return np.zeros(0, dtype=np.uint64)
-    h = word_hashes(text.lower() if text.isascii() else text.translate(_UPPER))
-    if not len(h):
-        return h
-    n = max(1, len(h) - words + 1)
-    out = np.full(n, min(len(h), words), dtype=np.uint64)
-    for k in range(min(words, len(h))):
-        out = mixed(out * _MIX + h[k : k + n])
-    return np.unique(out)
-
-
-def fingerprint(s: np.ndarray) -> int:
-    """Of a set: a sum of mixed members, as a signed 64-bit integer with its lowest bit clear."""
-    return int(np.bitwise_and(mixed(s ^ _MIX).sum(dtype=np.uint64), np.uint64(2**64 - 2)).astype(np.int64)) if len(s) else 0
+#: Bytes of text that are hashed at once.
+CHUNK_BYTES = 1 << 20
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_RANDOM = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64)
+_BASE = 0x2545F4914F6CDD1D  # odd, so that powers have inverses modulo 2**64
+
+
+class _Powers:
+    """Powers of the base and their inverses, as many as the longest chunk needed."""
+
+    up = np.ones(1, dtype=np.uint64)
+    down = np.ones(1, dtype=np.uint64)
+
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = max(n, CHUNK_BYTES + (1 << 17))
+            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
+                factors = np.full(size, base, dtype=np.uint64)
+                factors[0] = 1
+                setattr(cls, name, np.multiply.accumulate(factors))
+        return cls.up, cls.down
+
+
+def _chunk_sets(data: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle sets of UTF-8 texts that end at ``ends``: sorted members, and each set's size."""
+    n, docs = len(data), len(ends)
+    first = np.append(0, ends[:-1])
+    inside = ~_SPACE[data]
+    cut = np.zeros(n + 1, dtype=bool)  # places where a text begins
+    cut[first], cut[n] = True, True
+    before = np.append(False, inside[:-1]) & ~cut[:n]
+    after = np.append(inside[1:], False) & ~cut[1:]
+    begin, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    up, down = _Powers.upto(n)
+    sums = np.append(np.uint64(0), np.cumsum(_RANDOM[_LOWER[data]] * up[:n]))
+    h = mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * _MIX)
+    word_end = np.searchsorted(begin, ends)
+    count = np.diff(np.append(0, word_end))
+    made = np.maximum(count - words + 1, 0)
+    owner = np.repeat(np.arange(docs), count)
+    whole = np.flatnonzero(np.arange(len(h)) + words <= word_end[owner])
+    out = np.full(len(whole), words, dtype=np.uint64)
+    for k in range(words):
+        out = mixed(out * _MIX + h[whole + k])
+    few = np.flatnonzero((count > 0) & (count < words))
+    if len(few):  # too short for a shingle: the whole sequence is one
+        extra = np.empty(len(few), dtype=np.uint64)
+        for i, d in enumerate(few):
+            x = np.array([count[d]], dtype=np.uint64)
+            for w in h[word_end[d] - count[d] : word_end[d]]:
+                x = mixed(x * _MIX + w)
+            extra[i] = x[0]
+        out = np.insert(out, np.cumsum(made)[few], extra)
+        made[few] = 1
+    stop = np.cumsum(made)
+    for a, b in zip(stop - made, stop):
+        out[a:b].sort()
+    new = np.append(True, out[1:] != out[:-1]) if len(out) else np.zeros(0, dtype=bool)
+    new[(stop - made)[made > 0]] = True
+    return out[new], np.add.reduceat(np.append(new, False).astype(np.int64), stop - made) * (made > 0) if docs else made
+
+
+def shingle_sets(texts: pa.Array, words: int):
+    """(slice, members, sizes) of the texts, chunk by chunk; null is empty."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    body = texts.buffers()[2]
+    data = np.frombuffer(body, dtype=np.uint8) if body is not None and body.size else np.zeros(0, dtype=np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, side="right")) - 1)
+        j = min(j, len(texts))
+        part = data[offsets[i] : offsets[j]]
+        yield slice(i, j), *_chunk_sets(part, offsets[i + 1 : j + 1] - offsets[i], words)
+        i = j
+
+
+def fingerprints(members: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each set: a sum of mixed members as a signed 64-bit integer, its lowest bit clear."""
+    out = np.zeros(len(sizes), dtype=np.uint64)
+    full = sizes > 0
+    if full.any():
+        out[full] = np.add.reduceat(mixed(members ^ _MIX), (np.cumsum(sizes) - sizes)[full])
+    return (out & np.uint64(2**64 - 2)).view(np.int64)
 
 
 def most_apart(a: int, b: int, percent: int) -> int:
@@ -115,38 +159,53 @@ def bands(percent: int) -> list[tuple[int, int, int, bool]]:
     return out
 
 
-def band_of(n: int, percent: int) -> int:
-    return next(k for k, b in enumerate(bands(percent)) if n <= b[1])
-
-
-def signatures(s: np.ndarray, rare: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signature hashes of a set, and which of them it looks up. rare: by shingle."""
-    n, out, looked = len(s), [], []
-    own, largest = band_of(n, percent), 100 * n // percent
-    for k in range(own, band_of(largest, percent) + 1):
-        low, high, m, small = bands(percent)[k]
-        need = most_apart(n, min(high, largest), percent) + 1
-        segment = (mixed(s + np.uint64(k)) % np.uint64(m)).astype(np.int64)
-        size = np.bincount(segment, minlength=m)
-        value = mixed(s ^ np.uint64(0xA5A5A5A5))
-        total = np.zeros(m, dtype=np.uint64)
-        np.add.at(total, segment, value)
-        base = mixed(np.arange(m, dtype=np.uint64) + np.uint64(k << 40) + _MIX)
-        has_rare = np.bincount(segment[rare], minlength=m) > 0
-        order = np.lexsort((-size, ~has_rare, size == 0))
-        take = order[: math.ceil(need / 2) if small else need]
-        probe = np.zeros(m, dtype=bool)
-        probe[take] = True
-        exact = mixed(total + base)
-        if k == own:
-            out.append(exact), looked.append(probe)
-        else:
-            out.append(exact[take]), looked.append(np.ones(len(take), dtype=bool))
-        if small:
-            near = mixed(total[segment] - value + base[segment])
-            keep = np.ones(n, dtype=bool) if k == own else probe[segment]
-            out.append(near[keep]), looked.append(probe[segment][keep])
-    return np.concatenate(out), np.concatenate(looked)
+def signatures(members: np.ndarray, sizes: np.ndarray, prints: np.ndarray, rare: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, member) rows of many sets: the member is a set's fingerprint, its lowest bit
+    set where it looks up. rare: by shingle."""
+    table = np.array(bands(percent), dtype=np.int64)
+    largest = 100 * sizes // percent
+    own, last = np.searchsorted(table[:, 1], sizes), np.searchsorted(table[:, 1], largest)
+    value = mixed(members ^ np.uint64(0xA5A5A5A5))
+    doc_of = np.repeat(np.arange(len(sizes)), sizes)
+    out_sig, out_member = [], []
+    for step in range(int((last - own)[sizes > 0].max(initial=-1)) + 1):
+        docs = np.flatnonzero((own + step <= last) & (sizes > 0))
+        k = own[docs] + step
+        m, small = table[k, 2], table[k, 3] > 0
+        need = (100 - percent) * (sizes[docs] + np.minimum(table[k, 1], largest[docs])) // (100 + percent) + 1
+        take = np.where(small, -(-need // 2), need)
+        place = np.full(len(sizes), -1)
+        place[docs] = np.arange(len(docs))
+        at = place[doc_of]
+        chosen = slice(None) if len(docs) == len(sizes) else np.flatnonzero(at >= 0)
+        at, s, v, r = at[chosen], members[chosen], value[chosen], rare[chosen]
+        first = np.cumsum(m) - m
+        where = first[at] + (mixed(s + k[at].astype(np.uint64)) % m[at].astype(np.uint64)).astype(np.int64)
+        bins = int(m.sum())
+        size = np.bincount(where, minlength=bins)
+        total = np.zeros(bins, dtype=np.uint64)
+        np.add.at(total, where, v)
+        has_rare = np.bincount(where[r], minlength=bins) > 0
+        bin_doc = np.repeat(np.arange(len(docs)), m)
+        segment = np.arange(bins) - first[bin_doc]
+        # Segments with a rare shingle first, large ones before small ones, empty ones last.
+        cost = (bin_doc << 34) | ((size == 0).astype(np.int64) << 33) | ((~has_rare).astype(np.int64) << 32) | ((1 << 31) - size)
+        order = np.argsort(cost, kind="stable")
+        probe = np.zeros(bins, dtype=bool)
+        probe[order] = segment < take[bin_doc]  # sorted by set, so places within it are the same
+        base = mixed(segment.astype(np.uint64) + (k[bin_doc].astype(np.uint64) << np.uint64(40)) + _MIX)
+        owner = prints[docs]
+        keep = slice(None) if step == 0 else probe
+        out_sig.append(mixed(total + base)[keep])
+        out_member.append((owner[bin_doc] | probe)[keep])
+        near = small[at] & (probe[where] if step else True)
+        if near.any():
+            w = where[near]
+            out_sig.append(mixed(total[w] - v[near] + base[w]))
+            out_member.append(owner[at[near]] | probe[w])
+    if not out_sig:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate(out_sig).view(np.int64), np.concatenate(out_member)
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -154,17 +213,14 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, sizes, prints, seen = batch.column(0).to_pylist(), [], [], []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), words)
-                sizes.append(len(s)), prints.append(fingerprint(s)), seen.append((s % np.uint64(COUNT_PLACES)).astype(np.int32))
-            places, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-            often = counts >= FREQUENT
-            k = int(often.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * len(ids) + [1] * k, pa.int32()), pa.array(ids + places[often].tolist(), pa.int64()), pa.array(sizes + counts[often].tolist(), pa.int64()), pa.array(prints + [0] * k, pa.int64())],
-                names=["kind", "id", "n", "fp"],
-            )
+            seen, sizes, prints = np.zeros(COUNT_PLACES, dtype=np.int64), [], []
+            for _, members, size in shingle_sets(batch.column(1), words):
+                seen += np.bincount((members % np.uint64(COUNT_PLACES)).astype(np.int64), minlength=COUNT_PLACES)
+                sizes.append(size), prints.append(fingerprints(members, size))
+            often = np.flatnonzero(seen >= FREQUENT)
+            n, none = batch.num_rows, np.zeros(len(often), dtype=np.int64)
+            ids = pa.concat_arrays([batch.column(0).cast(pa.int64()), pa.array(often, pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [n, len(often)]), pa.int32()), ids, pa.array(np.concatenate([*sizes, seen[often]])), pa.array(np.concatenate([*prints, none]))], names=["kind", "id", "n", "fp"])
 
     return docs.mapInArrow(run, "kind int, id long, n long, fp long")
 
@@ -185,24 +241,24 @@ def _bit(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def _signature_rows(docs: DataFrame, frequent: np.ndarray, percent: int, words: int) -> DataFrame:
-    """(signature, member): the member is a fingerprint, its lowest bit set where it looks up."""
+    """(sig, member) of every set; copies within a batch leave one row."""
 
     def run(batches):
         for batch in batches:
-            sigs, members = [], []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), words)
-                if not len(s):
-                    continue
-                rare = ~_bit(frequent, (s % np.uint64(COUNT_PLACES)).astype(np.int64))
-                sig, looked = signatures(s, rare, percent)
-                sigs.append(sig.view(np.int64)), members.append(fingerprint(s) | looked.astype(np.int64))
-            if sigs:
-                sig, member = np.concatenate(sigs), np.concatenate(members)
-                order = np.lexsort((member, sig))  # copies within a batch leave one row
-                sig, member = sig[order], member[order]
-                new = np.append(True, (sig[1:] != sig[:-1]) | (member[1:] != member[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(sig[new]), pa.array(member[new])], names=["sig", "member"])
+            sent = np.zeros(0, dtype=np.int64)
+            for _, members, sizes in shingle_sets(batch.column(1), words):
+                prints = fingerprints(members, sizes)
+                # Sets that this batch has sent before are skipped.
+                _, once = np.unique(prints, return_index=True)
+                fresh = np.zeros(len(sizes), dtype=bool)
+                fresh[once] = ~np.isin(prints[once], sent)
+                fresh &= sizes > 0
+                sent = np.union1d(sent, prints[fresh])
+                members, sizes, prints = members[np.repeat(fresh, sizes)], sizes[fresh], prints[fresh]
+                rare = ~_bit(frequent, (members % np.uint64(COUNT_PLACES)).astype(np.int64))
+                sig, member = signatures(members, sizes, prints, rare, percent)
+                for k in range(0, len(sig), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[k : k + (1 << 16)]), pa.array(member[k : k + (1 << 16)])], names=["sig", "member"])
 
     return docs.mapInArrow(run, "sig long, member long")
 
@@ -238,8 +294,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("fp").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     sized = F.size("sa") + F.size("sb")
-    small = F.least(F.size("sa"), F.size("sb")) * 100 >= percent * F.greatest(F.size("sa"), F.size("sb"))
-    return pairs.join(right, "b").join(left, "a").where(small).where(100 * both >= percent * (sized - both)).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (sized - both)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -264,8 +319,17 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def sketches(members: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Parity of the members at each of SKETCH_WORDS * 64 places; two sets differ in at least as
+    many members as their sketches differ in bits."""
+    out = np.zeros((len(sizes), SKETCH_WORDS), dtype=np.uint64)
+    place = mixed(members + np.uint64(3)) % np.uint64(64 * SKETCH_WORDS)
+    np.bitwise_xor.at(out, (np.repeat(np.arange(len(sizes)), sizes), (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+    return out.view(np.int64)
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(fp, s) for wanted(fp, doc_id): one document of each; a bitmap of ids prefilters them."""
+    """(fp, n, s, sketch) for wanted(fp, doc_id): one document of each; a bitmap of ids prefilters them."""
     bits = _place_bits(wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(ID_PLACES)).alias("place")).distinct(), ID_PLACES)
     keyed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(ID_PLACES)).alias("place"))
 
@@ -274,10 +338,15 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             hit = _bit(bits, batch.column(2).to_numpy())
             if hit.any():
                 part = batch.filter(pa.array(hit))
-                sets = [shingle_set(t.as_py(), words) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["fp", "doc_id", "s"])
+                for rows, members, sizes in shingle_sets(part.column(1), words):
+                    s = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(members.view(np.int64)))
+                    sketch = pa.ListArray.from_arrays(pa.array(SKETCH_WORDS * np.arange(len(sizes) + 1), pa.int32()), pa.array(sketches(members, sizes).ravel()))
+                    ids = part.column(0).slice(rows.start, rows.stop - rows.start)
+                    yield pa.RecordBatch.from_arrays([pa.array(fingerprints(members, sizes)), ids, pa.array(sizes), s, sketch], names=["fp", "doc_id", "n", "s", "sketch"])
 
-    return keyed.mapInArrow(run, "fp long, doc_id long, s array<long>").join(wanted, ["fp", "doc_id"], "left_semi").dropDuplicates(["fp"]).select("fp", "s")
+    found = keyed.mapInArrow(run, "fp long, doc_id long, n long, s array<long>, sketch array<long>")
+    one = found.join(wanted, ["fp", "doc_id"], "left_semi").withColumn("r", F.expr("row_number() over (partition by fp order by doc_id)"))
+    return one.where("r = 1").drop("r", "doc_id")
 
 
 def linked(documents: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,35 +362,36 @@ def linked(documents: DataFrame, percent: int = PERCENT, words: int = WORDS, id_
     ordered = _signature_rows(docs, frequent, percent, words).repartition(parts, "sig").sortWithinPartitions("sig", (F.col("member") % 2 == 0), "member")
     stars = saved(_stars(ordered), "signature-stars")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        fps = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        wanted = checkpointed(classes.select("fp", "doc_id").join(fps, "fp"))
-        return verified(pairs, _sets_of(docs, wanted, words), percent)
-
     pairs = checkpointed(stars.select("a", "b").distinct())
-    links = checkpointed(confirm(pairs))
+    fps = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = checkpointed(classes.select("fp", "doc_id").join(fps, "fp"))
+    sets = saved(_sets_of(docs, wanted, words), "signature-sets")
+    links = checkpointed(verified(pairs, sets, percent))
     roots = components(links)
-    rest = checkpointed(_apart(stars, roots, links))
+    rest = checkpointed(_apart(stars, roots, sets, percent))
     if not rest.isEmpty():
-        roots = components(links.union(confirm(rest)))
+        roots = components(links.union(verified(rest, sets, percent)))
     grouped = classes.join(roots, classes.fp == roots.node, "left").select("fp", "n_shingles", "doc_id", F.coalesce("root", "fp").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_class = grouped.join(smallest, "root").select("fp", "n_shingles", "component_id")
     return rows.join(by_class, ["fp", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _apart(stars: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of one signature whose components differ, a look-up among them, not yet tried.
+def _apart(stars: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one signature, a look-up among them, that may be linked and weren't tried.
 
-    Per signature a component's look-ups and other members are folded into rows of members;
-    signatures whose members are all in one component make no pair.
+    Their components differ, and their sizes and sketches leave room for a link; signatures
+    whose members are all in one component make no pair.
     """
     lead = stars.select("sig", F.col("a").alias("fp"), F.lit(True).alias("looks")).distinct()
     members = lead.union(stars.select("sig", F.col("b").alias("fp"), "looks"))
     named = members.join(roots, members.fp == roots.node, "left").select("sig", "fp", "looks", F.coalesce("root", "fp").alias("root"))
     mixed_sigs = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("sig")
-    some = named.join(mixed_sigs, "sig", "left_semi")
+    some = named.join(mixed_sigs, "sig", "left_semi").join(sets.select("fp", "n", "sketch"), "fp")
     x, y = some.where("looks").alias("x"), some.alias("y")
+    apart = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    near = (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n"))
+    near &= apart * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    both = x.join(y, (F.col("x.sig") == F.col("y.sig")) & near)
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = x.join(y, F.col("x.sig") == F.col("y.sig")).where("x.root <> y.root")
     return both.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
