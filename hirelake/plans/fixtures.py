@@ -83,9 +83,5 @@ def concepts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CONCEPTS, "concept_id string, dimension string")
 
 
-def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, "rule_id string, concept_id string, kind string, context_group string, scope string, pattern string")
-
-
 CONCEPTS_SQL = duck_values(CONCEPTS, "concept_id, dimension")
 RULES_SQL = duck_values(RULES, "rule_id, concept_id, kind, context_group, scope, pattern")
