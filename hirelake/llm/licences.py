@@ -75,7 +75,7 @@ TEMPLATES = {
     ),
 }
 FAMILIES = ("none", *TEMPLATES)
-PLACES, SAMPLE, COPIES, SEED = 1 << 16, 4000, 24, 7
+PLACES, SAMPLE, COPIES, SEED = 1 << 14, 4000, 24, 7
 CONFIRMED, CUE = 0.6, re.compile(r"licen[sc]|copyright|rights reserved|public domain|spdx|redistribut", re.I)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
