@@ -62,6 +62,7 @@ def raked(cells: DataFrame, wanted: dict[str, DataFrame], sweeps: int = SWEEPS,
     """cells (margins, tokens) with weight: raked until each margin is within the tolerance."""
     now = checkpointed(cells.withColumn("weight", F.col("tokens").cast("double")))
     goal = {m: checkpointed(df) for m, df in wanted.items()}
+    before = None
     for _ in range(sweeps):
         for m, df in goal.items():
             sums = now.groupBy(m).agg(F.sum("weight").alias("has")).join(df, m, "left")
@@ -73,8 +74,10 @@ def raked(cells: DataFrame, wanted: dict[str, DataFrame], sweeps: int = SWEEPS,
             both = now.groupBy(m).agg(F.sum("weight").alias("has")).join(df, m)
             errors.append(both.select((F.abs(F.col("has") - F.col("share")) / F.col("share")).alias("e")))
         worst = errors[0].union(errors[1]).union(errors[2]).agg(F.max("e")).first()[0] if len(errors) == 3 else max(e.agg(F.max("e")).first()[0] or 0 for e in errors)
-        if (worst or 0) <= tolerance:
+        # Margins that no weights can meet stop improving.
+        if (worst or 0) <= tolerance or before is not None and worst > 0.99 * before:
             break
+        before = worst
     return now
 
 
