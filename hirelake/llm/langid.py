@@ -42,7 +42,7 @@ class Space:
         for c in range(len(self.code)):
             self.code[c] = self._place(c)
         self.place = np.full(ALPHABET**order, -1, dtype=np.int32)
-        self.vectors = np.zeros((0, dimensions), dtype=np.float32)
+        self.vectors = np.zeros((0, dimensions), dtype=np.int8)
 
     @staticmethod
     def _place(c: int) -> int:
@@ -91,7 +91,16 @@ class Space:
             made *= self.rolled[k][rest % ALPHABET]
             rest //= ALPHABET
         self.place[grams] = len(self.vectors) + np.arange(len(grams))
-        self.vectors = np.concatenate([self.vectors, made.astype(np.float32)])
+        self.vectors = np.concatenate([self.vectors, made])
+
+    def bundled(self, counts: np.ndarray, kind: type) -> np.ndarray:
+        """counts times the vectors, which are widened some at a time."""
+        used = np.flatnonzero(counts.any(axis=0))
+        out = np.zeros((len(counts), self.vectors.shape[1]), dtype=kind)
+        for k in range(0, len(used), 2048):
+            part = used[k : k + 2048]
+            out += counts[:, part].astype(kind) @ self.vectors[part].astype(kind)
+        return out
 
 
 _spaces: dict[tuple, Space] = {}
@@ -129,7 +138,7 @@ def prototypes(labelled: DataFrame, lang_col: str = "lang", text_col: str = "tex
                 names, at = np.unique(langs[part], return_inverse=True)
                 total = np.zeros((len(names), counts.shape[1]))
                 np.add.at(total, at, counts)
-                for name, row in zip(names, np.rint(total @ space.vectors).astype(np.int64)):
+                for name, row in zip(names, np.rint(space.bundled(total, np.float64)).astype(np.int64)):
                     sums[name] = sums.get(name, 0) + row
         for name, row in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([str(name)] * len(row)), pa.array(np.arange(len(row))), pa.array(row)], names=["lang", "dim", "total"])
@@ -151,8 +160,7 @@ def _scored(learnt: dict[str, np.ndarray], space_key: tuple):
         for part in _groups(texts, _BATCH_CHARS) if names else ():
             space = _space(*space_key)
             counts, letters = space.counts(texts[part])
-            used = np.flatnonzero(counts.any(axis=0))
-            vectors = counts[:, used] @ space.vectors[used]
+            vectors = space.bundled(counts, np.float32)
             cosine = vectors @ unit.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
             best = cosine.argmax(axis=1)
             for i in np.flatnonzero(letters):

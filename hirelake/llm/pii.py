@@ -113,7 +113,7 @@ class ContextHashes(dict):
 
     def __missing__(self, word: str) -> int:
         got = _hash(_DIGIT.sub("0", word.lower()))
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         if len(word) <= 40:
             self[word] = got

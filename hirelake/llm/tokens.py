@@ -18,7 +18,7 @@ _TAIL = re.compile(r"([^\W\d_]+)([.,;:!?|]+)")
 class TokenBytes:
     """ids(text) as little-endian unsigned 32-bit bytes; both memories are emptied when full."""
 
-    def __init__(self, path: str, chunks: int = 400_000, words: int = 600_000):
+    def __init__(self, path: str, chunks: int = 300_000, words: int = 500_000):
         from tokenizers import Tokenizer
 
         self._encode = Tokenizer.from_file(path).encode
