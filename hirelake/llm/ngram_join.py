@@ -40,8 +40,8 @@ COUNT_PLACES, ID_PLACES = 1 << 20, 1 << 23
 FREQUENT = 8
 #: 64-bit words of a set's parity sketch.
 SKETCH_WORDS = 16
-#: A set's signatures are listed for its pairs up to so many (more: its pairs may repeat).
-LISTED = 64
+#: A set's signatures are listed for its pairs up to so many; beyond, in so many blocks.
+LISTED, BLOCKS = 64, 32
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -391,16 +391,20 @@ def _apart(stars: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) ->
     mixed_sigs = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("sig")
     some = checkpointed(named.join(mixed_sigs, "sig", "left_semi"))
     # A pair comes from the smallest signature that one looks up and the other has, so that it
-    # comes once; sets with more signatures than LISTED may make it again.
+    # comes once. Sets with more signatures than LISTED list only those of the same block as the
+    # row's own, so that their pairs come once a block.
     looked = F.collect_set(F.when(F.col("looks"), F.col("sig")))
     listed = some.groupBy("fp").agg(F.collect_set("sig").alias("has"), looked.alias("asks"), F.count("*").alias("k"))
     listed = listed.select("fp", *[F.when(F.col("k") <= LISTED, F.col(c)).alias(c) for c in ("has", "asks")])
-    some = some.join(sets.select("fp", "n", "sketch"), "fp").join(listed, "fp")
+    some = some.withColumn("block", F.pmod("sig", F.lit(BLOCKS)))
+    blocks = some.groupBy("fp", "block").agg(F.collect_set("sig").alias("block_has"), looked.alias("block_asks"))
+    some = some.join(sets.select("fp", "n", "sketch"), "fp").join(listed, "fp").join(blocks, ["fp", "block"])
     x, y = some.where("looks").alias("x"), some.alias("y")
     apart = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
     near = (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n"))
     near &= apart * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
-    first = F.array_min(F.array_intersect("x.asks", "y.has"))
-    both = x.join(y, (F.col("x.sig") == F.col("y.sig")) & near & F.coalesce(first == F.col("x.sig"), F.lit(True)))
+    short = F.col("x.asks").isNotNull() & F.col("y.has").isNotNull()
+    first = F.when(short, F.array_min(F.array_intersect("x.asks", "y.has"))).otherwise(F.array_min(F.array_intersect("x.block_asks", "y.block_has")))
+    both = x.join(y, (F.col("x.sig") == F.col("y.sig")) & near & (first == F.col("x.sig")))
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return both.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
