@@ -152,7 +152,7 @@ def prototypes(labelled: DataFrame, lang_col: str = "lang", text_col: str = "tex
 def _scored(learnt: dict[str, np.ndarray], space_key: tuple):
     """texts -> (labels, scores), for use inside a task."""
     names = list(learnt)
-    unit = np.array([v / max(np.linalg.norm(v), 1e-9) for v in learnt.values()], dtype=np.float32).reshape(len(names), -1)
+    unit = np.array([v / max(np.linalg.norm(v), 1e-9) for v in learnt.values()], dtype=np.float32).reshape(len(names), space_key[0])
 
     def score_texts(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         texts = [t or "" for t in texts]
