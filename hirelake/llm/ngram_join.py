@@ -12,7 +12,8 @@ Equal sets are one set here, known by a 64-bit fingerprint and their size.
 
 Rows of a signature come sorted through a task and are never gathered.  In the first round each
 is paired with the first look-up of its signature; exact verification and connected components
-follow.  In the second round only pairs whose components still differ, and whose sizes and parity sketches
+follow.  Signatures whose members are still in several components then pair them with other look-ups,
+LEAD_ROUNDS times.  In the last round only pairs whose components still differ, and whose sizes and parity sketches
 leave room for a link, are made, so no link that could join two components is lost, and a group of near copies costs its size, not its square.
 
 Cases: null text: empty; an empty set links with nothing; repeated rows and copies get one class;
@@ -42,6 +43,8 @@ FREQUENT = 8
 SKETCH_WORDS = 16
 #: A set's signatures are listed for its pairs up to so many; beyond, in so many blocks.
 LISTED, BLOCKS = 64, 32
+#: Times that undecided signatures pair their members with another look-up, before all pairs that are left.
+LEAD_ROUNDS = 2
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -370,26 +373,56 @@ def linked(documents: DataFrame, percent: int = PERCENT, words: int = WORDS, id_
     sets = saved(_sets_of(docs, wanted, words), "signature-sets")
     links = checkpointed(verified(pairs, sets, percent))
     roots = components(links)
+    for k in range(LEAD_ROUNDS):
+        more = checkpointed(verified(_led(stars, roots, sets, percent, k), sets, percent))
+        if more.isEmpty():
+            break
+        roots = joined(roots, more)
     rest = checkpointed(_apart(stars, roots, sets, percent))
     if not rest.isEmpty():
-        roots = components(links.union(verified(rest, sets, percent)))
+        roots = joined(roots, verified(rest, sets, percent))
     grouped = classes.join(roots, classes.fp == roots.node, "left").select("fp", "n_shingles", "doc_id", F.coalesce("root", "fp").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_class = grouped.join(smallest, "root").select("fp", "n_shingles", "component_id")
     return rows.join(by_class, ["fp", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, root) with more links (a, b)."""
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+
+
+def _undecided(stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sig, fp, looks, root) of the signatures whose members are in several components."""
+    lead = stars.select("sig", F.col("a").alias("fp"), F.lit(True).alias("looks")).distinct()
+    members = lead.union(stars.select("sig", F.col("b").alias("fp"), "looks"))
+    named = members.join(roots, members.fp == roots.node, "left").select("sig", "fp", "looks", F.coalesce("root", "fp").alias("root"))
+    several = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("sig")
+    return named.join(several, "sig", "left_semi")
+
+
+def _may_link(x: str, y: str, percent: int):
+    """Whether components differ and sizes and sketches leave room for a link."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    apart = F.aggregate(F.zip_with(f"{x}.sketch", f"{y}.sketch", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    return (F.col(f"{x}.root") != F.col(f"{y}.root")) & (F.least(n, m) * 100 >= percent * F.greatest(n, m)) & (apart * (100 + percent) <= (100 - percent) * (n + m))
+
+
+def _led(stars: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of each signature's members with one of its look-ups, another one each turn."""
+    some = checkpointed(_undecided(stars, roots).join(sets.select("fp", "n", "sketch"), "fp"))
+    lead = some.where("looks").groupBy("sig").agg(F.min_by(F.struct("fp", "root", "n", "sketch"), F.xxhash64("fp", "sig", F.lit(turn))).alias("x"))
+    both = some.alias("y").join(lead, "sig").where(_may_link("x", "y", percent))
+    return both.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
+
+
 def _apart(stars: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of one signature, a look-up among them, that may be linked and weren't tried.
 
     Their components differ, and their sizes and sketches leave room for a link; signatures
     whose members are all in one component make no pair.
     """
-    lead = stars.select("sig", F.col("a").alias("fp"), F.lit(True).alias("looks")).distinct()
-    members = lead.union(stars.select("sig", F.col("b").alias("fp"), "looks"))
-    named = members.join(roots, members.fp == roots.node, "left").select("sig", "fp", "looks", F.coalesce("root", "fp").alias("root"))
-    mixed_sigs = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("sig")
-    some = checkpointed(named.join(mixed_sigs, "sig", "left_semi"))
+    some = checkpointed(_undecided(stars, roots))
     # A pair comes from the smallest signature that one looks up and the other has, so that it
     # comes once. Sets with more signatures than LISTED list only those of the same block as the
     # row's own, so that their pairs come once a block.
@@ -400,9 +433,7 @@ def _apart(stars: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) ->
     blocks = some.groupBy("fp", "block").agg(F.collect_set("sig").alias("block_has"), looked.alias("block_asks"))
     some = some.join(sets.select("fp", "n", "sketch"), "fp").join(listed, "fp").join(blocks, ["fp", "block"])
     x, y = some.where("looks").alias("x"), some.alias("y")
-    apart = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
-    near = (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n"))
-    near &= apart * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    near = _may_link("x", "y", percent)
     short = F.col("x.asks").isNotNull() & F.col("y.has").isNotNull()
     first = F.when(short, F.array_min(F.array_intersect("x.asks", "y.has"))).otherwise(F.array_min(F.array_intersect("x.block_asks", "y.block_has")))
     both = x.join(y, (F.col("x.sig") == F.col("y.sig")) & near & (first == F.col("x.sig")))
