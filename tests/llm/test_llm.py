@@ -215,6 +215,20 @@ def test_pages(spark):
     assert html_main.extracted(d.where("1 = 0")).count() == 0
 
 
+def test_boilerplate_within_articles(spark):
+    page = lambda body: f"<html><body><article><h1>Daily note</h1>{body}</article></body></html>"
+    notice = "<p>Subscribe to <a>our letter</a> every week.</p>"
+    rows = [(k, f"http://a.example/{k}", page(f"<p>first {k}</p><p>Well, <b>then</b> {k % 3}</p>{notice}<div>All texts may be <i>passed</i> on.</div>")) for k in range(12)]
+    # Too few pages; an article that is the same on all pages, which differ outside it.
+    rows += [(20 + k, f"http://b.example/{k}", page(f"<p>first {k}</p>{notice}")) for k in range(6)]
+    rows += [(40 + k, f"http://c.example/{k}", page("<p>The only text.</p>") + f"<p>{k}</p>") for k in range(12)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_main.extracted(d).collect()}
+    assert all(got[k] == f"Daily note first {k} Well, then {k % 3}" for k in range(12))
+    assert all(got[20 + k] == f"Daily note first {k} Subscribe to our letter every week." for k in range(6))
+    assert all(got[40 + k] == "Daily note The only text." for k in range(12))
+
+
 def test_tree_matching_is_the_largest():
     a, b = "html(body(p() div() p()))", "html(body(div() p(b()) ul()))"
     assert html_main.aligned(a, b) == {0: 0, 1: 1, 3: 2, 4: 3}
