@@ -1,15 +1,19 @@
 """Licence scan: a trained paragraph classifier, confirmed against templates.
 
-Paragraphs are lines.  Word n-grams (one and two words) are hashed into sparse features; one
+Paragraphs are lines, and runs of lines that together hold a template better than any of them
+alone: a wrapped text's lines up to the next blank line.  Such runs are found by the templates'
+word pairs, within and across lines, and then read as one paragraph; each of their lines counts.
+Word n-grams (one and two words) are hashed into sparse features; one
 softmax regression tells the licence families and ``none`` apart.  It is trained by Spark ML on
 templates, cut and noised by rule, as positives and on a bounded sample of the corpus' own
 paragraphs that share no three words with a template as negatives.  A prediction below the
 probability that was calibrated on held-out noised templates is ``unknown`` if the
 paragraph speaks of licences, else ``none``.  A family is confirmed when the paragraph
-contains enough of its template's word pairs.
+contains enough of its template's word pairs.  A paragraph without a cue and without a covered
+template is ``none`` whatever is predicted, so the classifier reads only the others.
 
 Cases: null or empty text has no paragraph; repeated rows are scanned one by one; an empty table
-gives an empty result; very long lines are one paragraph each; extra columns are ignored.
+gives an empty result; very long lines are one paragraph each; indents and comment signs don't count; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,6 +81,10 @@ TEMPLATES = {
 FAMILIES = ("none", *TEMPLATES)
 PLACES, SAMPLE, COPIES, SEED = 1 << 14, 4000, 24, 7
 CONFIRMED, CUE = 0.6, re.compile(r"licen[sc]|copyright|rights reserved|public domain|spdx|redistribut", re.I)
+#: A run's words, as a multiple of its template's, and the least new pairs of its first and last line.
+SPREAD, GAIN = 2, 2
+#: Cues of two words, which a line end may part.
+CUE_PAIRS = frozenset({("rights", "reserved"), ("public", "domain")})
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -121,6 +129,11 @@ class Scanner:
     def __init__(self, weights: np.ndarray, bias: np.ndarray, least: float):
         self.weights, self.bias, self.least = weights, bias, least
         self.pairs = {f: [self._pairs(words_of(t)) for t in ts] for f, ts in TEMPLATES.items()}
+        self.templates = [(pairs, SPREAD * len(words_of(t))) for f, ts in TEMPLATES.items() for pairs, t in zip(self.pairs[f], ts)]
+        self.after: dict[str, dict[str, list[int]]] = {}
+        for k, (pairs, _) in enumerate(self.templates):
+            for a, b in pairs:
+                self.after.setdefault(a, {}).setdefault(b, []).append(k)
 
     @staticmethod
     def _pairs(words: list[str]) -> frozenset:
@@ -138,18 +151,129 @@ class Scanner:
         own = self._pairs(words)
         return max((len(own & t) / len(t) for t in self.pairs.get(family, ())), default=0.0)
 
+    def hits(self, words: list[str]) -> list[tuple[int, dict[str, list[int]]]]:
+        """Places of the words that begin a pair of some template, with the pairs' templates."""
+        after = self.after
+        return [(k, after[a][b]) for k, (a, b) in enumerate(zip(words, words[1:])) if a in after and b in after[a]]
+
+    def covered(self, words: list[str], hits: list) -> float:
+        """The largest coverage of any template."""
+        held: dict[int, set] = {}
+        for at, templates in hits:
+            for k in templates:
+                held.setdefault(k, set()).add((words[at], words[at + 1]))
+        return max((len(x) / len(self.templates[k][0]) for k, x in held.items()), default=0.0)
+
+    def runs(self, split: list[list[str]], hits: list[list]) -> list[tuple[int, int]]:
+        """(first, last) of apart runs of lines that cover a template better than any of their lines, best first."""
+        words, places, starts = [], {}, []
+        for own, held in zip(split, hits):
+            start = len(words)
+            if start and own:
+                held = [(-1, self.after.get(words[-1], {}).get(own[0], ())), *held]
+            for at, templates in held:
+                for k in templates:
+                    places.setdefault(k, []).append(start + at)
+            words += own
+            starts.append(start)
+        if not any(len(at) >= CONFIRMED * len(self.templates[k][0]) for k, at in places.items()):
+            return []
+        line = [k for k, own in enumerate(split) for _ in own]
+        found = []
+        for k, at in places.items():
+            pairs, spread = self.templates[k]
+            need = CONFIRMED * len(pairs)
+            if len(at) < need or line[at[0]] == line[at[-1] + 1]:
+                continue
+            for i, first in enumerate(at):
+                seen: set = set()
+                last = None
+                for j in range(i, len(at)):
+                    place = at[j]
+                    if place + 2 - first > spread:
+                        break
+                    pair = words[place], words[place + 1]
+                    if pair not in seen:
+                        seen.add(pair)
+                        last = j
+                if len(seen) >= need and line[first] != line[at[last] + 1]:
+                    run = self._trimmed(at[i : last + 1], words, line)
+                    got = {(words[p], words[p + 1]) for p in run}
+                    if len(got) >= need and line[run[0]] != line[run[-1] + 1]:
+                        found.append((-len(got) / len(pairs), -len(pairs), line[run[-1] + 1] - line[run[0]], line[run[0]], line[run[-1] + 1]))
+        if not found:
+            return []
+        alone = [self.covered(own, held) for own, held in zip(split, hits)]
+        taken: set[int] = set()
+        out = []
+        for coverage, _, _, a, b in sorted(set(found)):
+            if taken.isdisjoint(range(a, b + 1)) and -coverage > max(alone[a : b + 1]):
+                taken.update(range(a, b + 1))
+                out.append((a, b))
+        return out
+
+    @staticmethod
+    def _trimmed(run: list[int], words: list[str], line: list[int]) -> list[int]:
+        """The pairs' places without outer lines that add little and that no pair ties to their neighbour."""
+        while line[run[0]] != line[run[-1] + 1]:
+            cut = False
+            for outer in (line[run[0]], line[run[-1] + 1]):
+                part = [p for p in run if outer in (line[p], line[p + 1])]
+                rest = [p for p in run if outer not in (line[p], line[p + 1])]
+                tied = any(line[p] != line[p + 1] for p in part)
+                new = {(words[p], words[p + 1]) for p in part} - {(words[p], words[p + 1]) for p in rest}
+                if rest and not tied and len(new) < GAIN:
+                    run, cut = rest, True
+                    break
+            if not cut:
+                break
+        return run
+
     def scan(self, lines: list[str]) -> list[tuple[str, float, float]]:
         """(family, probability, coverage) of each line; none and unknown among the families."""
         split = [words_of(x) for x in lines]
+        return [self._decided(line, words, p) for line, words, p in zip(lines, split, self.probabilities(split))]
+
+    def _decided(self, line: str, words: list[str], p: np.ndarray) -> tuple[str, float, float]:
+        best = int(p.argmax())
+        family = FAMILIES[best]
+        if family == "none" or p[best] < self.least or self.coverage(family, words) < CONFIRMED:
+            # Uncertain, not confirmed, or a cue or a covered template that no family explains: the closest template decides.
+            close = max(TEMPLATES, key=lambda f: self.coverage(f, words))
+            family = close if self.coverage(close, words) >= CONFIRMED else "unknown" if CUE.search(line) else "none"
+        return family, float(p[best]), self.coverage(family, words)
+
+    def scan_text(self, text: str | None) -> list[tuple[int, str, float, float]]:
+        """(line, family, probability, coverage) of the licence lines, counted without blank ones."""
+        block: list[str] = []
+        wanted: list[tuple[int, int, str]] = []
+        start = 0
+        for raw in [*(text or "").split("\n"), ""]:
+            if raw.strip():
+                block.append(raw)
+            elif block:
+                wanted += [(start + a, start + b, x) for a, b, x in self._paragraphs(block)]
+                start += len(block)
+                block = []
         out = []
-        for line, words, p in zip(lines, split, self.probabilities(split)):
-            best = int(p.argmax())
-            family = FAMILIES[best]
-            if family == "none" and CUE.search(line) or family != "none" and (p[best] < self.least or self.coverage(family, words) < CONFIRMED):
-                # Uncertain, not confirmed, or a cue that no family explains: the closest template decides.
-                close = max(TEMPLATES, key=lambda f: self.coverage(f, words))
-                family = close if self.coverage(close, words) >= CONFIRMED else "unknown" if CUE.search(line) else "none"
-            out.append((family, float(p[best]), self.coverage(family, words)))
+        for (a, b, _), got in zip(wanted, self.scan([x for _, _, x in wanted]) if wanted else ()):
+            if got[0] != "none":
+                out += [(k, *got) for k in range(a, b + 1)]
+        return sorted(out)
+
+    def _paragraphs(self, lines: list[str]) -> list[tuple[int, int, str]]:
+        """(first line, last line, text) of what may speak of licences in a run of lines."""
+        split = [words_of(x) for x in lines]
+        hits = [self.hits(w) for w in split]
+        runs = self.runs(split, hits) if len(lines) > 1 else []
+        inner = {k for a, b in runs for k in range(a, b + 1)}
+        out = [(a, b, " ".join(lines[a : b + 1])) for a, b in runs]
+        out += [(k, k, x) for k, x in enumerate(lines) if k not in inner and (CUE.search(x) or self.covered(split[k], hits[k]) >= CONFIRMED)]
+        singles = {a for a, b, _ in out if a == b}
+        for k in range(len(lines) - 1):
+            if not {k, k + 1} & (inner | singles) and split[k] and split[k + 1] and (split[k][-1], split[k + 1][0]) in CUE_PAIRS:
+                out.append((k, k + 1, f"{lines[k]} {lines[k + 1]}"))
+                inner |= {k, k + 1}
         return out
 
 
@@ -158,10 +282,6 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def lines_of(text: str | None) -> list[str]:
-    return [x for x in (text or "").split("\n") if x.strip()]
-
-
 def train(spark: SparkSession, documents: DataFrame, text_col: str = "text", sample: int = SAMPLE, seed: int = SEED) -> Scanner:
     """Fit on noised templates and at most ``sample`` paragraphs: those of smallest hash."""
     from pyspark.ml.classification import LogisticRegression
@@ -200,10 +320,7 @@ def paragraphs(documents: DataFrame, scanner: Scanner, id_col: str = "doc_id", t
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                lines = lines_of(text.as_py())
-                for k, (family, p, coverage) in enumerate(own.scan(lines)) if lines else ():
-                    if family != "none":
-                        rows.append((doc, k, family, p, coverage))
+                rows += [(doc, *x) for x in own.scan_text(text.as_py())]
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["doc_id", "line", "family", "probability", "coverage"])
 
@@ -220,10 +337,9 @@ def scanned(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             families, lines, confirmed = [], [], []
             for text in batch.column(1):
-                split = lines_of(text.as_py())
-                got = [x for x in own.scan(split) if x[0] != "none"] if split else []
-                sure = [x for x in got if x[2] >= CONFIRMED]
-                families.append(sorted({x[0] for x in sure} | {"unknown" for x in got if x[2] < CONFIRMED}))
+                got = own.scan_text(text.as_py())
+                sure = [x for x in got if x[3] >= CONFIRMED]
+                families.append(sorted({x[1] for x in sure} | {"unknown" for x in got if x[3] < CONFIRMED}))
                 lines.append(len(got)), confirmed.append(len(sure))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(families, pa.list_(pa.string())), pa.array(lines, pa.int64()), pa.array(confirmed, pa.int64())], names=["doc_id", "families", "n_licence_lines", "n_confirmed"])
 

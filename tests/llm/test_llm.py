@@ -288,6 +288,33 @@ def test_licences(spark):
     assert got[1] == ["mit"] and got[2] == ["apache-2.0"] and got[3] == [] and got[4] == ["unknown"] and got[5] == []
 
 
+def test_wrapped_licences(spark):
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:"
+    gpl = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3"
+    prose = "w1 w2 w3 w4\nw5 w6 to any of the w7"
+    texts = {
+        1: f"{prose}\n{grant}\n{prose}",
+        2: f"{prose}\n\n{bsd}\n\n{prose}",
+        3: f"{gpl}\n{prose}",
+        4: "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.",
+        5: "w1 w2 All rights\nreserved.",
+        6: "Permission is hereby granted, free of charge, to any person\n\nobtaining a copy of this software and associated documentation files",
+        7: f"Released under the MIT License.\n{bsd}\nLicensed under the Apache License, Version 2.0.",
+        8: prose,
+        9: "Given to the public\ndomain by w1",
+    }
+    filler = [(100 + i, " ".join(f"w{(i * 7 + k) % 400}" for k in range(20))) for i in range(60)]
+    d = spark.createDataFrame([*texts.items(), *filler], "doc_id long, text string")
+    common.ship(spark)
+    got = {r.doc_id: (r.families, r.n_licence_lines, r.n_confirmed) for r in licences.scanned(d).collect() if r.doc_id < 100}
+    assert got[1] == (["mit"], 3, 3) and got[2] == (["bsd"], 3, 3) and got[3] == (["gpl"], 3, 3)
+    assert got[4] == (["cc-by-nc"], 2, 2) and got[5] == (["proprietary"], 2, 2) and got[6] == ([], 0, 0)
+    assert got[7] == (["apache-2.0", "bsd", "mit"], 5, 5) and got[8] == ([], 0, 0) and got[9] == (["unknown"], 2, 0)
+    lines = [(r.line, r.family) for r in licences.paragraphs(d.where("doc_id = 1"), licences.train(spark, d)).collect()]
+    assert sorted(lines) == [(2, "mit"), (3, "mit"), (4, "mit")]
+
+
 def test_pipeline(spark):
     """Each stage against what its operator says of the stage's own input."""
     d = common.table(spark, SF, "documents")
