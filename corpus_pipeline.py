@@ -7,7 +7,7 @@ best-fit packing), so the pipeline is tested against the operators' brute-force
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.llm import langid, mixing, ngram_join, packing, pii
@@ -26,13 +26,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of smallest doc_id stays, once."""
+    """Of each group of linked documents the one of smallest doc_id stays, once; a null id comes last.
+
+    Rows are known by a hash of id and text, as ids may be null or repeated.  Texts without a
+    shingle link with nothing and all stay.
+    """
     ship(spark)
-    linked = saved(ngram_join.linked(docs, percent=80, words=5), "pipeline-linked")
-    gone = saved(linked.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = linked.groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    key = F.xxhash64("doc_id", "text", F.length("text"))
+    keyed = docs.select(key.alias("row_key"), "text")
+    linked = ngram_join.linked(keyed, percent=80, words=5, id_col="row_key").withColumnRenamed("doc_id", "row_key")
+    linked = saved(linked, "pipeline-linked")
+    # Only rows in groups are told apart; a group is known by its smallest key.
+    groups = linked.where("n_shingles > 0").groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    grouped = linked.where("n_shingles > 0").join(groups, "component_id", "left_semi").select("row_key", "component_id").distinct()
+    return _firsts(docs, key, linked, saved(grouped, "pipeline-grouped"))
+
+
+def _firsts(docs: DataFrame, key: Column, linked: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows without those of a group's other keys, and once where a key is repeated."""
+    named = docs.select(key.alias("row_key"), "doc_id").join(grouped, "row_key")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")).select("first.row_key")
+    gone = saved(grouped.select("row_key").join(first, "row_key", "left_anti"), "pipeline-gone")
+    kept = docs.withColumn("row_key", key).join(gone, "row_key", "left_anti")
+    repeated = saved(linked.where("n_shingles > 0").groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key"), "pipeline-repeated")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, "row_key", "left_semi").dropDuplicates(["row_key"])
+        kept = kept.join(repeated, "row_key", "left_anti").unionByName(once)
+    return kept.select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -350,7 +350,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(fingerprints(members, sizes)), ids, pa.array(sizes), s, sketch], names=["fp", "doc_id", "n", "s", "sketch"])
 
     found = keyed.mapInArrow(run, "fp long, doc_id long, n long, s array<long>, sketch array<long>")
-    one = found.join(wanted, ["fp", "doc_id"], "left_semi").withColumn("r", F.expr("row_number() over (partition by fp order by doc_id)"))
+    same = (found.fp == wanted.fp) & found.doc_id.eqNullSafe(wanted.doc_id)  # a class may have no other id than null
+    one = found.join(wanted, same, "left_semi").withColumn("r", F.expr("row_number() over (partition by fp order by doc_id)"))
     return one.where("r = 1").drop("r", "doc_id")
 
 

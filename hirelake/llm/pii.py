@@ -247,12 +247,12 @@ def redacted(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spans = saved(spans, "pii-spans")
     text = F.col(f"`{text_col}`")
 
-    # From the end of the text backwards; where spans overlap, the later start gives way.
+    # From the start of the text; where spans overlap, the first and longest names them all.
     def clean(spans):
-        by_start = F.sort_array(F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"))))
+        by_start = F.sort_array(F.transform(spans, lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("before"), m["kind"].alias("kind"), m["end"].alias("end"))))
         name = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
         start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-        step = lambda acc, m: F.when(m["start"] < acc["at"], acc).otherwise(F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, m["start"] - acc["at"]), F.get(name, m["kind"])).alias("out"), m["end"].alias("at")))
+        step = lambda acc, m: F.when(m["start"] < acc["at"], F.struct(acc["out"].alias("out"), F.greatest(acc["at"], m["end"]).alias("at"))).otherwise(F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, m["start"] - acc["at"]), F.get(name, m["kind"])).alias("out"), m["end"].alias("at")))
         return F.aggregate(by_start, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
     on = F.col(f"`{id_col}`").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__h"))

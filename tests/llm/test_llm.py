@@ -315,6 +315,37 @@ def test_wrapped_licences(spark):
     assert sorted(lines) == [(2, "mit"), (3, "mit"), (4, "mit")]
 
 
+def test_near_duplicates_of_rows(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(60))
+    rows = [
+        (None, text(1)), (None, text(2)), (None, text(3) + " end"), (3, text(3)),  # null ids; a copy with an id comes first
+        (5, text(5)), (5, text(6)), (5, text(7) + " end"), (4, text(7)),  # one id, several texts; one of them a copy
+        (8, text(8)), (8, text(8)),  # repeated rows
+        (None, text(9)), (None, text(9)), (None, text(9) + " end"),  # only null ids in a group
+        (11, ""), (11, ""), (None, None), (None, None),
+    ]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, d, SF)
+    assert out.columns == d.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    ninth = [x for x in got if (x[1] or "").startswith("t9")]
+    assert len(ninth) == 1 and ninth[0] in rows
+    want = [rows[k] for k in (0, 1, 3, 4, 5, 7, 8, 13, 14, 15, 16)]
+    assert sorted(map(str, (x for x in got if x not in ninth))) == sorted(map(str, want))
+
+
+def test_links_through_rows_without_id(spark):
+    part = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    d = spark.createDataFrame([(1, part(0, 94)), (None, part(0, 100)), (2, part(6, 106))], "doc_id long, text string")
+    assert {r.component_id for r in ngram_join.linked(d).collect()} == {1}
+
+
+def test_overlapping_spans_leave_nothing(spark):
+    d = spark.createDataFrame([(1, "write to 1.2.3.4@mail.example.com today"), (None, "or 10.20.30.40@a.example.org")], "doc_id long, text string")
+    common.ship(spark)
+    assert sorted(r.text for r in pii.redacted(d).collect()) == ["or <EMAIL>", "write to <EMAIL> today"]
+
+
 def test_pipeline(spark):
     """Each stage against what its operator says of the stage's own input."""
     d = common.table(spark, SF, "documents")
