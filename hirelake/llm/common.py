@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +20,16 @@ WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a default only where it is unset."""
+    """The folder that driver and executors share; a local master alone may leave it unset."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "/tmp/checkpoints"
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder or "/tmp/checkpoints")
-    return folder or "/tmp/checkpoints"
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -61,6 +69,30 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make):
+    """What a worker process remembers between tasks, for one operator at a time.
+
+    Python workers outlive their tasks and serve every operator in turn; asking for another key
+    gives the former one's memory back first.
+    """
+    if key not in _held:
+        _held.clear()
+        give_back()
+        _held[key] = make()
+    return _held[key]
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def let(value, body):
     """``body(value)`` with ``value`` computed once, as a lambda variable of one expression."""
     return F.transform(F.array(value), body)[0]

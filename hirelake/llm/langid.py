@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import held, only
 
 DIMENSIONS, ORDER, SEED, UNKNOWN = 1024, 3, 20240501, "und"
 #: Letters beyond a-z share these places by code point; place 0 is the blank.
 ALPHABET, OWN = 128, 26
-_BATCH_CHARS = 1 << 21
+_BATCH_CHARS = 1 << 19
+#: n-gram vectors that a worker keeps; 16 MB of them.
+_KEPT = 1 << 14
 
 
 class Space:
@@ -103,14 +105,11 @@ class Space:
         return out
 
 
-_spaces: dict[tuple, Space] = {}
-
-
 def _space(*key) -> Space:
-    got = _spaces.get(key)
-    if got is None or len(got.vectors) > 40_000:  # bounds the memory on texts in many scripts
-        got = _spaces[key] = Space(*key)
-    return got
+    got = held(("langid", key), lambda: [Space(*key)])
+    if len(got[0].vectors) > _KEPT:  # bounds the memory on texts in many scripts
+        got[0] = Space(*key)
+    return got[0]
 
 
 def _groups(texts: list[str], chars: int):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, only, saved, shuffle_partitions
+from .common import checkpointed, held, only, saved, shuffle_partitions
 
 PERCENT, WORDS = 85, 4
 #: Band k holds sizes of up to BAND_BASE * BAND_RATIO**k; bands of small sets use deletions.
@@ -57,7 +57,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text that are hashed at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -67,20 +67,22 @@ _BASE = 0x2545F4914F6CDD1D  # odd, so that powers have inverses modulo 2**64
 
 
 class _Powers:
-    """Powers of the base and their inverses, as many as the longest chunk needed."""
+    """Powers of the base and their inverses; more of them than usual are made but not kept."""
 
-    up = np.ones(1, dtype=np.uint64)
-    down = np.ones(1, dtype=np.uint64)
+    def __init__(self):
+        self.up, self.down = self._made(CHUNK_BYTES + (1 << 17))
 
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, CHUNK_BYTES + (1 << 17))
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-                factors = np.full(size, base, dtype=np.uint64)
-                factors[0] = 1
-                setattr(cls, name, np.multiply.accumulate(factors))
-        return cls.up, cls.down
+    @staticmethod
+    def _made(size: int) -> list[np.ndarray]:
+        out = []
+        for base in (_BASE, pow(_BASE, -1, 2**64)):
+            factors = np.full(size, base, dtype=np.uint64)
+            factors[0] = 1
+            out.append(np.multiply.accumulate(factors))
+        return out
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        return (self.up, self.down) if len(self.up) >= n else self._made(n)
 
 
 def _chunk_sets(data: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +95,7 @@ def _chunk_sets(data: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndar
     before = np.append(False, inside[:-1]) & ~cut[:n]
     after = np.append(inside[1:], False) & ~cut[1:]
     begin, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    up, down = _Powers.upto(n)
+    up, down = held(("ngram",), _Powers).upto(n)
     sums = np.append(np.uint64(0), np.cumsum(_RANDOM[_LOWER[data]] * up[:n]))
     h = mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * _MIX)
     word_end = np.searchsorted(begin, ends)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, only, saved
+from .common import checkpointed, held, only, saved
 from .ngram_join import _bit, _place_bits, mixed
 
 KINDS = ("email", "ip", "card", "phone")
@@ -113,26 +113,32 @@ class ContextHashes(dict):
 
     def __missing__(self, word: str) -> int:
         got = _hash(_DIGIT.sub("0", word.lower()))
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         if len(word) <= 40:
             self[word] = got
         return got
 
 
-_context = ContextHashes()
+def _contexts() -> ContextHashes:
+    return held(("pii",), ContextHashes)
 
 
 def _two(second_last: np.ndarray, last: np.ndarray) -> np.ndarray:
     return mixed(second_last.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + last.astype(np.int64).view(np.uint64)).view(np.int64)
 
 
-def _before(text: str, start: int) -> tuple[int, int] | None:
+def _before(text: str, start: int, context: ContextHashes) -> tuple[int, int] | None:
     """Hashes of the last word, and the last two words, before a span; null at a text's start."""
-    words = text[max(0, start - 160) : start].split()[-2:]
+    first = start
+    words: list[str] = []
+    while first and len(words) < 3:  # two whole words have a third, or the text's start, before them
+        first = max(0, first - max(160, start - first))
+        words = text[first:start].split()
+    words = words[-2:]
     if not words:
         return None
-    h = [_context[w] for w in words]
+    h = [context[w] for w in words]
     return h[-1], int(_two(np.array(h[:1]), np.array(h[1:]))[0]) if len(h) == 2 else h[-1]
 
 
@@ -142,7 +148,7 @@ _MENTION = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.in
 def mentions(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash and the base spans and candidates of each text."""
 
-    def found(text: str) -> list[dict]:
+    def found(text: str, contexts: ContextHashes) -> list[dict]:
         base = base_spans(text)
         out = [(s, True) for s in base]
         for c in candidate_spans(text):
@@ -150,13 +156,14 @@ def mentions(documents: DataFrame) -> DataFrame:
                 out.append((c, False))
         rows = []
         for (kind, start, end), known in out:
-            context = _before(text, start) or (0, 0)
+            context = _before(text, start, contexts) or (0, 0)
             rows.append({"kind": kind, "start": start, "end": end, "known": known, "value": _hash(text[start:end].lower()), "c1": context[0], "c2": context[1]})
         return rows
 
     def run(batches):
+        contexts = _contexts()
         for batch in batches:
-            rows = [found(text.as_py() or "") for text in batch.column(1)]
+            rows = [found(text.as_py() or "", contexts) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(_MENTION))], names=["doc_id", "text_hash", "mentions"])
 
     schema = "doc_id long, text_hash long, mentions array<struct<kind:int,start:int,end:int,known:boolean,value:long,c1:long,c2:long>>"
@@ -167,13 +174,14 @@ def context_totals(documents: DataFrame, places: np.ndarray) -> DataFrame:
     """(context, total): how often each context in the bitmap stands before a word."""
 
     def run(batches):
+        context = _contexts()
         for batch in batches:
             got = []
             for text in batch.column(1):
                 words = (text.as_py() or "").split()
                 if len(words) < 2:
                     continue
-                h = np.fromiter(map(_context.__getitem__, words[:-1]), dtype=np.int64, count=len(words) - 1)
+                h = np.fromiter(map(context.__getitem__, words[:-1]), dtype=np.int64, count=len(words) - 1)
                 got.append(h[_bit(places, (h.view(np.uint64) % np.uint64(CONTEXT_PLACES)).astype(np.int64))])
                 two = _two(h[:-1], h[1:])
                 got.append(two[_bit(places, (two.view(np.uint64) % np.uint64(CONTEXT_PLACES)).astype(np.int64))])

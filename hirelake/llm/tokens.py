@@ -10,21 +10,39 @@ import re
 
 import numpy as np
 
+from .common import held
+
 #: Characters that Python's ``split`` takes for white space and the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _TAIL = re.compile(r"([^\W\d_]+)([.,;:!?|]+)")
 
 
+#: What an entry of a dictionary takes besides its letters and ids: two objects' heads and its place.
+_ENTRY = 200
+
+
+class Memory(dict):
+    """Ids by text, of ``most`` bytes by estimate; emptied when full."""
+
+    def __init__(self, most: int):
+        self.room = self.most = most
+
+    def keep(self, text: str, ids: bytes) -> None:
+        self.room -= _ENTRY + len(text) + len(ids)
+        if self.room < 0:
+            self.clear()
+            self.room = self.most
+        self[text] = ids
+
+
 class TokenBytes:
-    """ids(text) as little-endian unsigned 32-bit bytes; both memories are emptied when full."""
+    """ids(text) as little-endian unsigned 32-bit bytes; memories of chunks and of their words."""
 
-    def __init__(self, path: str, chunks: int = 300_000, words: int = 500_000):
+    def __init__(self, path: str, chunks: int = 40 << 20, words: int = 40 << 20):
         from tokenizers import Tokenizer
 
         self._encode = Tokenizer.from_file(path).encode
-        self._chunks: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
-        self._most = chunks, words
+        self._chunks, self._words = Memory(chunks), Memory(words)
 
     def _direct(self, text: str) -> bytes:
         return np.array(self._encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -34,10 +52,8 @@ class TokenBytes:
         got = self._words.get(word)
         if got is None:
             got = self._direct(word)
-            if len(self._words) >= self._most[1]:
-                self._words.clear()
             if len(word) <= 40:
-                self._words[word] = got
+                self._words.keep(word, got)
         return got
 
     def _chunk(self, chunk: str) -> bytes:
@@ -51,10 +67,8 @@ class TokenBytes:
                 got = self._direct(chunk)
         else:
             got = self._direct(chunk)
-        if len(self._chunks) >= self._most[0]:
-            self._chunks.clear()
         if len(chunk) <= 64:
-            self._chunks[chunk] = got
+            self._chunks.keep(chunk, got)
         return got
 
     def __call__(self, text: str | None) -> bytes:
@@ -66,11 +80,6 @@ class TokenBytes:
         return b"".join([get(x) or new(x) for x in text.split()])
 
 
-_made: dict[str, TokenBytes] = {}
-
-
 def token_bytes(path: str) -> TokenBytes:
     """The process's own instance for a tokenizer file."""
-    if path not in _made:
-        _made[path] = TokenBytes(path)
-    return _made[path]
+    return held(("tokens", path), lambda: TokenBytes(path))
