@@ -46,10 +46,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of an Arrow batch; its buffers stand outside the heap, once in the JVM and once in Python.
+ARROW_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once a session."""
+    """Send this package to the executors' Python, once a session, and bound Arrow batches by bytes."""
     context = spark.sparkContext
     if not getattr(context, "_hirelake_sent", False):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
         root = Path(__file__).resolve().parents[1]
         archive = os.path.join(tempfile.mkdtemp(), "hirelake.zip")
         with zipfile.ZipFile(archive, "w") as z:

@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, held, only, saved, shuffle_partitions
+from .common import checkpointed, only, saved, shuffle_partitions
+from .words import chunks, mixed, word_hashes
 
 PERCENT, WORDS = 85, 4
 #: Band k holds sizes of up to BAND_BASE * BAND_RATIO**k; bands of small sets use deletions.
@@ -47,57 +48,17 @@ LISTED, BLOCKS = 64, 32
 LEAD_ROUNDS = 2
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit mix."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-#: Bytes of text that are hashed at once.
-CHUNK_BYTES = 1 << 19
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_RANDOM = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64)
-_BASE = 0x2545F4914F6CDD1D  # odd, so that powers have inverses modulo 2**64
-
-
-class _Powers:
-    """Powers of the base and their inverses; more of them than usual are made but not kept."""
-
-    def __init__(self):
-        self.up, self.down = self._made(CHUNK_BYTES + (1 << 17))
-
-    @staticmethod
-    def _made(size: int) -> list[np.ndarray]:
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 2**64)):
-            factors = np.full(size, base, dtype=np.uint64)
-            factors[0] = 1
-            out.append(np.multiply.accumulate(factors))
-        return out
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        return (self.up, self.down) if len(self.up) >= n else self._made(n)
 
 
 def _chunk_sets(data: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle sets of UTF-8 texts that end at ``ends``: sorted members, and each set's size."""
     n, docs = len(data), len(ends)
     first = np.append(0, ends[:-1])
-    inside = ~_SPACE[data]
     cut = np.zeros(n + 1, dtype=bool)  # places where a text begins
     cut[first], cut[n] = True, True
-    before = np.append(False, inside[:-1]) & ~cut[:n]
-    after = np.append(inside[1:], False) & ~cut[1:]
-    begin, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    up, down = held(("ngram",), _Powers).upto(n)
-    sums = np.append(np.uint64(0), np.cumsum(_RANDOM[_LOWER[data]] * up[:n]))
-    h = mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * _MIX)
+    begin, _, h = word_hashes(data, ~_SPACE[data], cut)
     word_end = np.searchsorted(begin, ends)
     count = np.diff(np.append(0, word_end))
     made = np.maximum(count - words + 1, 0)
@@ -126,17 +87,8 @@ def _chunk_sets(data: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndar
 
 def shingle_sets(texts: pa.Array, words: int):
     """(slice, members, sizes) of the texts, chunk by chunk; null is empty."""
-    texts = texts.fill_null("").cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    body = texts.buffers()[2]
-    data = np.frombuffer(body, dtype=np.uint8) if body is not None and body.size else np.zeros(0, dtype=np.uint8)
-    i = 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, side="right")) - 1)
-        j = min(j, len(texts))
-        part = data[offsets[i] : offsets[j]]
-        yield slice(i, j), *_chunk_sets(part, offsets[i + 1 : j + 1] - offsets[i], words)
-        i = j
+    for part, data, ends in chunks(texts):
+        yield part, *_chunk_sets(data, ends, words)
 
 
 def fingerprints(members: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, held, only, saved
-from .ngram_join import _bit, _place_bits, mixed
+from .ngram_join import _bit, _place_bits
+from .words import mixed
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct values that a context needs, least confidence of a pattern and of an instance, rounds.

@@ -38,7 +38,7 @@ class Memory(dict):
 class TokenBytes:
     """ids(text) as little-endian unsigned 32-bit bytes; memories of chunks and of their words."""
 
-    def __init__(self, path: str, chunks: int = 40 << 20, words: int = 40 << 20):
+    def __init__(self, path: str, chunks: int = 24 << 20, words: int = 24 << 20):
         from tokenizers import Tokenizer
 
         self._encode = Tokenizer.from_file(path).encode
