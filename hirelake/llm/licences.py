@@ -1,26 +1,31 @@
 """Licence scan: a trained paragraph classifier, confirmed against templates.
 
-Paragraphs are lines, and runs of lines that together hold a template better than any of them
-alone: a wrapped text's lines up to the next blank line.  Such runs are found by the templates'
-word pairs, within and across lines, and then read as one paragraph; each of their lines counts.
-Word n-grams (one and two words) are hashed into sparse features; one
-softmax regression tells the licence families and ``none`` apart.  It is trained by Spark ML on
-templates, cut and noised by rule, as positives and on a bounded sample of the corpus' own
-paragraphs that share no three words with a template as negatives.  A prediction below the
-probability that was calibrated on held-out noised templates is ``unknown`` if the
-paragraph speaks of licences, else ``none``.  A family is confirmed when the paragraph
-contains enough of its template's word pairs.  A paragraph without a cue and without a covered
-template is ``none`` whatever is predicted, so the classifier reads only the others.
+A line is cut into sentences; word n-grams (one and two words) that the training text holds are
+its sparse features.  One multinomial logistic regression, fitted by Spark ML, tells the licence
+families, other licences (``unknown``) and ``none`` apart.  Evidence is additive, so neighbouring
+sentences of one label, such as the lines of a wrapped text up to the next blank line, are one
+paragraph, which is judged as a whole.  Probabilities are calibrated by a temperature on held-out
+examples, and so are the two levels above which a paragraph speaks of licences at all and is one
+family's.  A family's paragraph must then be confirmed: it shares enough word pairs with one of
+the family's templates.  Between the two levels, and unconfirmed, it is ``unknown``.
+
+It is trained on templates, cut and noised by rule; on licence phrases with invented names
+(``unknown``); and, as ``none``, on a few sentences that use the words in another sense and a
+bounded sample of the corpus' own sentences: at most ``SAMPLE``, those of smallest hash, drawn from
+documents of small hash, without those that share three words in a row with a template.
+
+A sentence's scores are summed only if the sum of its n-grams' largest advantages over ``none`` leaves
+another label a chance; the bound is exact, so it changes no result.
 
 Cases: null or empty text has no paragraph; repeated rows are scanned one by one; an empty table
-gives an empty result; very long lines are one paragraph each; indents and comment signs don't count; extra columns are ignored.
+gives an empty result; very long lines are scanned whole; signs other than letters and digits part
+words; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import random
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -28,34 +33,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import only
+from .words import chunks, mixed, word_hashes
 
-#: Sentences by which the families are named or granted.
+#: Paragraphs by which the families are named or granted.
 TEMPLATES = {
     "mit": (
         "Released under the MIT License.",
         "Licensed under the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
     ),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Distributed under the BSD 3-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "mpl-2.0": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "Licensed under the Mozilla Public License 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
     "cc-by": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -64,283 +87,425 @@ TEMPLATES = {
     "cc-by-sa": (
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
     ),
     "cc-by-nc": (
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
     ),
     "cc0": (
         "Dedicated to the public domain under CC0 1.0.",
-        "To the extent possible under law, the author has waived all copyright and related rights to this work.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "SPDX-License-Identifier: CC0-1.0",
     ),
     "proprietary": (
         "All rights reserved.",
         "Copyright, all rights reserved. No part of this work may be reproduced without the written permission of the publisher.",
     ),
 }
-FAMILIES = ("none", *TEMPLATES)
-PLACES, SAMPLE, COPIES, SEED = 1 << 14, 4000, 24, 7
-CONFIRMED, CUE = 0.6, re.compile(r"licen[sc]|copyright|rights reserved|public domain|spdx|redistribut", re.I)
-#: A run's words, as a multiple of its template's, and the least new pairs of its first and last line.
-SPREAD, GAIN = 2, 2
-#: Cues of two words, which a line end may part.
-CUE_PAIRS = frozenset({("rights", "reserved"), ("public", "domain")})
-_WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-
-
-def words_of(line: str) -> list[str]:
-    return _WORD.findall(line.lower())
-
+#: Phrases of other licences, to be filled with invented names.
+OTHERS = (
+    "Released under the {} License.",
+    "Licensed under the {} license, version 3.",
+    "Licensed under the {} Public License.",
+    "Distributed under the terms of the {} licence.",
+    "This work is licensed under {}.",
+    "Subject to the {} licence of 1990.",
+    "Use of this work is governed by the {} licence agreement.",
+    "You may copy and share this work under the terms of the {} agreement.",
+    "Permission to copy this document is granted under the {} licence.",
+    "SPDX-License-Identifier: {}",
+)
+#: Ordinary sentences, some with the words in another sense.
+OTHER_SENSE = (
+    "He renewed his driving licence last week.",
+    "The licence fee for television rose again.",
+    "The shop lost its licence to sell spirits.",
+    "She licensed the design to a maker of chairs.",
+    "The museum holds the copyright in the painting.",
+    "The road runs through public domain land by the river.",
+    "All seats are reserved for members and the rights of way are marked.",
+    "A fishing permission was granted to the village in that year.",
+    "He went to any of the shops that were open in the town.",
+    "They have to be at the station in time for it, or without it.",
+    "This is one of the books that was given to her by the school.",
+    "It may be that some of them will not come without a letter.",
+    "In the morning the rain stopped and all of us went out into the garden.",
+    "You can see the sea from the top of the hill or from the road to this place.",
+    "Some of these are to be found in any part of the north, as well as in other parts.",
+    "She used to publish and sell copies of the letters of a person that she knew.",
+)
+NONE, UNKNOWN = "none", "unknown"
+LABELS = (NONE, UNKNOWN, *TEMPLATES)
+SAMPLE, COPIES, SEED = 4000, 12, 7
+#: A word n-gram of the sample is a feature from so many sentences.
+SEEN = 3
+#: Share of a template's word pairs in a paragraph, or of a paragraph's (at least so many) in a template.
+CONFIRMED, LEAST_PAIRS = 0.6, 4
+#: A sentence is another paragraph's if another licence explains it and this one explains it by less than so much of that.
+APART = 0.5
+#: What each further sentence of a paragraph must add at least.
+JOINED = 2.5
+#: Wrong predictions among held-out ones: of a family, and of a licence in ordinary text.
+WRONG_FAMILY, WRONG_LICENCE = 0.01, 0.001
+
+_INSIDE = np.zeros(256, dtype=bool)
+_INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Grams:
+    """Sentences and n-gram hashes of some texts.
+
+    Of each sentence: its text, line (blank ones not counted), block (lines without a blank one between),
+    first and last byte.  Of each n-gram: its sentence and hash; a pair belongs to its second word.
+    """
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray):
+        n = len(data)
+        newline = np.zeros(n + 1, dtype=bool)
+        newline[:n] = data == 10
+        after = np.append(np.append(data, 10)[1:], 10)[: n + 1]
+        stop = np.zeros(n + 1, dtype=bool)
+        stop[:n] = ((data == 46) | (data == 33) | (data == 63)) & ((after[:n] == 32) | (after[:n] == 10))
+        begin_text = np.zeros(n + 1, dtype=bool)
+        begin_text[np.append(0, ends[:-1])] = True
+        inside = _INSIDE[data]
+        odd = np.flatnonzero((data[:-1] == 0xE2) & (data[1:] == 0x80)) if n else np.zeros(0, dtype=np.int64)
+        for k in range(3):  # dashes, quotes and blanks of U+2000 to U+203F
+            inside[odd[odd + k < n] + k] = False
+        begin, end, h = word_hashes(data, inside, begin_text)
+        # Places where a sentence or a line ends, counted up to each word.
+        lines, stops = np.cumsum(newline), np.cumsum(stop)
+        text_of = np.searchsorted(ends, begin, side="right")
+        line_of = lines[begin] + text_of
+        key = np.column_stack([text_of, line_of, stops[begin] + lines[begin]])
+        new = np.append(True, (key[1:] != key[:-1]).any(axis=1)) if len(h) else np.zeros(0, dtype=bool)
+        sentence = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        self.text, raw_line = text_of[first], line_of[first]
+        new_line = np.append(True, raw_line[1:] != raw_line[:-1]) if len(first) else new
+        at_text = np.append(True, self.text[1:] != self.text[:-1]) if len(first) else new
+        self.block = np.cumsum(at_text | np.append(True, np.diff(raw_line) > 1)) if len(first) else new
+        count = np.cumsum(new_line)
+        self.line = count - count[at_text][np.cumsum(at_text) - 1] if len(first) else count
+        self.begin, self.end = begin[first], np.append(end[first[1:] - 1], end[-1:]) if len(first) else first
+        pair = np.flatnonzero(self.block[sentence[1:]] == self.block[sentence[:-1]]) + 1 if len(h) else np.zeros(0, dtype=np.int64)
+        self.hashes = np.concatenate([h, mixed(h[pair - 1] * _PAIR + h[pair])])
+        self.owner = np.concatenate([sentence, sentence[pair]])
+
+    def __len__(self) -> int:
+        return len(self.text)
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Grams:
+        """All texts at once, for training."""
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        return cls(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([len(r) for r in raw]))
+
+
+class Vocabulary:
+    """Places of known 64-bit hashes in an open table; unknown ones get the last place."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes)
+        size = 1 << max(4, int(4 * len(self.hashes) + 1).bit_length())
+        self.mask = np.uint64(size - 1)
+        self.keys, self.places = np.zeros(size, dtype=np.uint64), np.full(size, len(self.hashes), dtype=np.int32)
+        rest = np.arange(len(self.hashes))
+        self.steps = 0
+        slot = self.hashes & self.mask
+        while len(rest):
+            free = self.places[slot[rest]] == len(self.hashes)
+            taken, which = np.unique(slot[rest][free], return_index=True)
+            put = rest[free][which]
+            self.keys[taken], self.places[taken] = self.hashes[put], put
+            rest = np.setdiff1d(rest, put)
+            slot[rest] = (slot[rest] + np.uint64(1)) & self.mask
+            self.steps += 1
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes & self.mask
+        out = np.where(self.keys[slot] == hashes, self.places[slot], len(self.hashes))
+        for _ in range(self.steps):
+            # A used slot with another key: the hash may stand further on.
+            more = np.flatnonzero((out == len(self.hashes)) & (self.places[slot] < len(self.hashes)))
+            if not len(more):
+                break
+            slot[more] = (slot[more] + np.uint64(1)) & self.mask
+            at = slot[more]
+            out[more] = np.where(self.keys[at] == hashes[more], self.places[at], len(self.hashes))
+        return out
 
-class Places(dict):
-    """Feature place of an n-gram; emptied when full."""
 
-    def __missing__(self, gram: str) -> int:
-        got = int.from_bytes(hashlib.blake2b(gram.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % PLACES
-        if len(self) > 500_000:
-            self.clear()
-        self[gram] = got
-        return got
+def pairs_of(text: str) -> frozenset:
+    """Word pairs of a text; the word alone of a single one."""
+    words = "".join(c.lower() if c.isalnum() else " " for c in text).split()
+    return frozenset(zip(words, words[1:])) or frozenset(words)
 
 
-_places = Places()
+_TEMPLATE_PAIRS = {f: [pairs_of(t) for t in ts] for f, ts in TEMPLATES.items()}
 
 
-def features(words: list[str]) -> np.ndarray:
-    """Distinct places of the words and word pairs."""
-    grams = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
-    return np.unique(np.fromiter(map(_places.__getitem__, grams), dtype=np.int64, count=len(grams)))
+@functools.lru_cache(4096)
+def likeness(family: str, paragraph: str) -> float:
+    """The largest share of a template's word pairs in the paragraph, or of the paragraph's in a template."""
+    own = pairs_of(paragraph)
+    shares = [0.0]
+    for pairs in _TEMPLATE_PAIRS[family]:
+        both = len(own & pairs)
+        shares.append(max(both / len(pairs), both / len(own) if len(own) >= LEAST_PAIRS else 0.0))
+    return max(shares)
 
 
-def _noised(text: str, rng: random.Random, filler: list[str]) -> str:
-    """A cut or embedded template, with a word lost or put in now and then."""
-    words = text.split()
-    if len(words) > 8 and rng.random() < 0.4:
-        a = rng.randrange(0, len(words) // 3)
-        words = words[a : len(words) - rng.randrange(0, len(words) // 3)]
-    words = [w for w in words if rng.random() > 0.05] or words
-    pick = lambda n: [rng.choice(filler) for _ in range(n)] if filler else []
-    return " ".join(pick(rng.choice((0, 0, 0, 2, 5))) + words + pick(rng.choice((0, 0, 0, 2, 5))))
+def continues(family: str, before: str, longer: str) -> bool:
+    """Whether what is added to a paragraph goes on with one of the templates."""
+    added = pairs_of(longer) - pairs_of(before)
+    return any(2 * len(added & pairs) > len(added) for pairs in _TEMPLATE_PAIRS[family])
 
 
 class Scanner:
-    """weights (places x families), bias, and the least probability of a prediction."""
-
-    def __init__(self, weights: np.ndarray, bias: np.ndarray, least: float):
-        self.weights, self.bias, self.least = weights, bias, least
-        self.pairs = {f: [self._pairs(words_of(t)) for t in ts] for f, ts in TEMPLATES.items()}
-        self.templates = [(pairs, SPREAD * len(words_of(t))) for f, ts in TEMPLATES.items() for pairs, t in zip(self.pairs[f], ts)]
-        self.after: dict[str, dict[str, list[int]]] = {}
-        for k, (pairs, _) in enumerate(self.templates):
-            for a, b in pairs:
-                self.after.setdefault(a, {}).setdefault(b, []).append(k)
-
-    @staticmethod
-    def _pairs(words: list[str]) -> frozenset:
-        return frozenset(zip(words, words[1:])) or frozenset(words)
-
-    def probabilities(self, lines: list[list[str]]) -> np.ndarray:
-        places = [features(w) for w in lines]
-        ends = np.cumsum([len(p) for p in places])
-        if not len(ends) or not ends[-1]:
-            return np.tile(_softmax(self.bias[None]), (len(lines), 1))
-        sums = np.concatenate([np.zeros((1, len(FAMILIES))), np.cumsum(self.weights[np.concatenate(places)], axis=0)])
-        return _softmax(sums[ends] - sums[np.concatenate([[0], ends[:-1]])] + self.bias)
-
-    def coverage(self, family: str, words: list[str]) -> float:
-        own = self._pairs(words)
-        return max((len(own & t) / len(t) for t in self.pairs.get(family, ())), default=0.0)
-
-    def hits(self, words: list[str]) -> list[tuple[int, dict[str, list[int]]]]:
-        """Places of the words that begin a pair of some template, with the pairs' templates."""
-        after = self.after
-        return [(k, after[a][b]) for k, (a, b) in enumerate(zip(words, words[1:])) if a in after and b in after[a]]
-
-    def covered(self, words: list[str], hits: list) -> float:
-        """The largest coverage of any template."""
-        held: dict[int, set] = {}
-        for at, templates in hits:
-            for k in templates:
-                held.setdefault(k, set()).add((words[at], words[at + 1]))
-        return max((len(x) / len(self.templates[k][0]) for k, x in held.items()), default=0.0)
-
-    def runs(self, split: list[list[str]], hits: list[list]) -> list[tuple[int, int]]:
-        """(first, last) of apart runs of lines that cover a template better than any of their lines, best first."""
-        words, places, starts = [], {}, []
-        for own, held in zip(split, hits):
-            start = len(words)
-            if start and own:
-                held = [(-1, self.after.get(words[-1], {}).get(own[0], ())), *held]
-            for at, templates in held:
-                for k in templates:
-                    places.setdefault(k, []).append(start + at)
-            words += own
-            starts.append(start)
-        if not any(len(at) >= CONFIRMED * len(self.templates[k][0]) for k, at in places.items()):
+    """vocabulary, weights (n-grams x labels), bias, temperature, and the two calibrated levels."""
+
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float = 1.0, least_licence: float = 0.5, least_family: float = 0.5):
+        self.known = Vocabulary(hashes)
+        self.weights = np.vstack([weights, np.zeros((1, len(LABELS)))]).astype(np.float32)
+        self.bias, self.temperature, self.least_licence, self.least_family = bias, temperature, least_licence, least_family
+        self.most = (self.weights[:, 1:] - self.weights[:, :1]).max(axis=1).astype(np.float64)
+        self.room = float((bias[1:] - bias[0]).max())
+
+    def parts(self) -> tuple:
+        return self.known.hashes, self.weights[:-1], self.bias, self.temperature, self.least_licence, self.least_family
+
+    def evidence(self, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
+        """(sentences, their sums of weights) of all sentences that may speak for a licence."""
+        place = self.known(grams.hashes)
+        known = np.flatnonzero(place < len(self.known.hashes))
+        # Each n-gram of a sentence counts once.
+        each = np.unique(grams.owner[known] << 32 | place[known])
+        owner, place = each >> 32, each & 0xFFFFFFFF
+        bound = np.bincount(owner, weights=self.most[place], minlength=len(grams))
+        chosen = np.flatnonzero(bound > min(0.0, -self.room))
+        fine = np.zeros(len(grams), dtype=bool)
+        fine[chosen] = True
+        held = fine[owner]
+        owner, place = owner[held], place[held]
+        sums = np.zeros((len(chosen), len(LABELS)))
+        if len(owner):
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            sums[np.searchsorted(chosen, owner[starts])] = np.add.reduceat(self.weights[place], starts, axis=0)
+        return chosen, sums
+
+    def probabilities(self, sums: np.ndarray) -> np.ndarray:
+        x = (sums + self.bias) / self.temperature
+        e = np.exp(x - x.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    def stretches(self, sums: np.ndarray) -> list[tuple[int, int]]:
+        """(first, last) of the best stretches of neighbouring sentences, each one label's, apart from one another.
+
+        A label's stretch has the largest sum of advantages over ``none``; it doesn't reach over a sentence that
+        another licence explains much better.
+        """
+        best = None
+        gain = sums[:, 1:] - sums[:, :1]
+        top = gain.max(axis=1, keepdims=True)
+        gain = np.where((top > JOINED) & (gain > 0) & (gain < APART * top), -np.inf, gain)
+        for c in range(gain.shape[1]):
+            total, first = 0.0, 0
+            for k, g in enumerate(gain[:, c].tolist()):
+                if total <= 0:
+                    total, first = 0.0, k
+                total += g - JOINED * (k > first)
+                if total + self.bias[c + 1] - self.bias[0] > 0 and (best is None or total > best[0]):
+                    best = total, first, k
+        if best is None:
             return []
-        line = [k for k, own in enumerate(split) for _ in own]
-        found = []
-        for k, at in places.items():
-            pairs, spread = self.templates[k]
-            need = CONFIRMED * len(pairs)
-            if len(at) < need or line[at[0]] == line[at[-1] + 1]:
-                continue
-            for i, first in enumerate(at):
-                seen: set = set()
-                last = None
-                for j in range(i, len(at)):
-                    place = at[j]
-                    if place + 2 - first > spread:
-                        break
-                    pair = words[place], words[place + 1]
-                    if pair not in seen:
-                        seen.add(pair)
-                        last = j
-                if len(seen) >= need and line[first] != line[at[last] + 1]:
-                    run = self._trimmed(at[i : last + 1], words, line)
-                    got = {(words[p], words[p + 1]) for p in run}
-                    if len(got) >= need and line[run[0]] != line[run[-1] + 1]:
-                        found.append((-len(got) / len(pairs), -len(pairs), line[run[-1] + 1] - line[run[0]], line[run[0]], line[run[-1] + 1]))
-        if not found:
+        _, a, b = best
+        return [(x, y) for x, y in self.stretches(sums[:a])] + [(a, b)] + [(b + 1 + x, b + 1 + y) for x, y in self.stretches(sums[b + 1 :])]
+
+    def scan(self, data: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, str, float, float]]:
+        """(text, first line, last line, family, probability, likeness) of the licence paragraphs."""
+        grams = Grams(data, ends)
+        chosen, sums = self.evidence(grams)
+        if not len(chosen):
             return []
-        alone = [self.covered(own, held) for own, held in zip(split, hits)]
-        taken: set[int] = set()
         out = []
-        for coverage, _, _, a, b in sorted(set(found)):
-            if taken.isdisjoint(range(a, b + 1)) and -coverage > max(alone[a : b + 1]):
-                taken.update(range(a, b + 1))
-                out.append((a, b))
+        block = grams.block[chosen]
+        for run in np.split(np.arange(len(chosen)), np.flatnonzero((np.diff(chosen) > 1) | (np.diff(block) > 0)) + 1):
+            # No stretch exceeds the run's positive advantages.
+            if np.maximum(sums[run, 1:] - sums[run, :1], 0).max(axis=1).sum() + self.room <= 0:
+                continue
+            for x, y in self.stretches(sums[run]):
+                a, b = chosen[run[x]], chosen[run[y]]
+                p = self.probabilities(sums[run[x : y + 1]].sum(axis=0)[None])[0]
+                if 1 - p[0] >= self.least_licence:
+                    text = lambda i, j: data[grams.begin[i] : grams.end[j]].tobytes().decode("utf-8", "replace")
+                    family, alike = self.decided(p, text(a, b))
+                    while family != UNKNOWN and a < b and not continues(family, text(a + 1, b), text(a, b)) and likeness(family, text(a + 1, b)) >= alike:
+                        a += 1
+                    while family != UNKNOWN and a < b and not continues(family, text(a, b - 1), text(a, b)) and likeness(family, text(a, b - 1)) >= alike:
+                        b -= 1
+                    while family != UNKNOWN and b + 1 < len(grams) and grams.block[b + 1] == grams.block[b] and continues(family, text(a, b), text(a, b + 1)):
+                        b += 1
+                    out.append((int(grams.text[a]), int(grams.line[a]), int(grams.line[b]), family, float(p[LABELS.index(family)]), alike))
         return out
 
-    @staticmethod
-    def _trimmed(run: list[int], words: list[str], line: list[int]) -> list[int]:
-        """The pairs' places without outer lines that add little and that no pair ties to their neighbour."""
-        while line[run[0]] != line[run[-1] + 1]:
-            cut = False
-            for outer in (line[run[0]], line[run[-1] + 1]):
-                part = [p for p in run if outer in (line[p], line[p + 1])]
-                rest = [p for p in run if outer not in (line[p], line[p + 1])]
-                tied = any(line[p] != line[p + 1] for p in part)
-                new = {(words[p], words[p + 1]) for p in part} - {(words[p], words[p + 1]) for p in rest}
-                if rest and not tied and len(new) < GAIN:
-                    run, cut = rest, True
-                    break
-            if not cut:
-                break
-        return run
-
-    def scan(self, lines: list[str]) -> list[tuple[str, float, float]]:
-        """(family, probability, coverage) of each line; none and unknown among the families."""
-        split = [words_of(x) for x in lines]
-        return [self._decided(line, words, p) for line, words, p in zip(lines, split, self.probabilities(split))]
-
-    def _decided(self, line: str, words: list[str], p: np.ndarray) -> tuple[str, float, float]:
-        best = int(p.argmax())
-        family = FAMILIES[best]
-        if family == "none" or p[best] < self.least or self.coverage(family, words) < CONFIRMED:
-            # Uncertain, not confirmed, or a cue or a covered template that no family explains: the closest template decides.
-            close = max(TEMPLATES, key=lambda f: self.coverage(f, words))
-            family = close if self.coverage(close, words) >= CONFIRMED else "unknown" if CUE.search(line) else "none"
-        return family, float(p[best]), self.coverage(family, words)
-
-    def scan_text(self, text: str | None) -> list[tuple[int, str, float, float]]:
-        """(line, family, probability, coverage) of the licence lines, counted without blank ones."""
-        block: list[str] = []
-        wanted: list[tuple[int, int, str]] = []
-        start = 0
-        for raw in [*(text or "").split("\n"), ""]:
-            if raw.strip():
-                block.append(raw)
-            elif block:
-                wanted += [(start + a, start + b, x) for a, b, x in self._paragraphs(block)]
-                start += len(block)
-                block = []
-        out = []
-        for (a, b, _), got in zip(wanted, self.scan([x for _, _, x in wanted]) if wanted else ()):
-            if got[0] != "none":
-                out += [(k, *got) for k in range(a, b + 1)]
-        return sorted(out)
-
-    def _paragraphs(self, lines: list[str]) -> list[tuple[int, int, str]]:
-        """(first line, last line, text) of what may speak of licences in a run of lines."""
-        split = [words_of(x) for x in lines]
-        hits = [self.hits(w) for w in split]
-        runs = self.runs(split, hits) if len(lines) > 1 else []
-        inner = {k for a, b in runs for k in range(a, b + 1)}
-        out = [(a, b, " ".join(lines[a : b + 1])) for a, b in runs]
-        out += [(k, k, x) for k, x in enumerate(lines) if k not in inner and (CUE.search(x) or self.covered(split[k], hits[k]) >= CONFIRMED)]
-        singles = {a for a, b, _ in out if a == b}
-        for k in range(len(lines) - 1):
-            if not {k, k + 1} & (inner | singles) and split[k] and split[k + 1] and (split[k][-1], split[k + 1][0]) in CUE_PAIRS:
-                out.append((k, k + 1, f"{lines[k]} {lines[k + 1]}"))
-                inner |= {k, k + 1}
-        return out
+    def decided(self, p: np.ndarray, text: str) -> tuple[str, float]:
+        """The paragraph's family, with its likeness to a template; unknown unless sure and confirmed."""
+        best = 2 + int(p[2:].argmax())
+        if p[best] >= self.least_family * (1 - p[0]) and p[best] >= p[1]:
+            alike = likeness(LABELS[best], text)
+            if alike >= CONFIRMED:
+                return LABELS[best], alike
+        return UNKNOWN, 0.0
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+def _pieces(text: str, rng: random.Random) -> list[str]:
+    """A template's paragraph, its stretches as lines of a wrapped text hold them, and both noised."""
+    words = text.split()
+    out = [text] * 3
+    for _ in range(COPIES * (1 + len(words) // 16)):
+        if len(words) > 8:
+            n = rng.randrange(6, 15)
+            a = rng.randrange(0, max(1, len(words) - n + 1))
+            piece = words[a : a + n]
+        else:
+            piece = words
+        out.append(" ".join([w for w in piece if rng.random() > 0.04] or piece))
+    return out
+
+
+def examples(drawn: list[str], rng: random.Random) -> list[tuple[int, str]]:
+    """(label, text) of the training text; filler words and invented names come from the sample."""
+    filler = [w for x in drawn[:400] for w in x.split()[:10]] or ["word"]
+    invented = lambda: "".join(rng.choice("bcdfglmnprstvz") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5))).capitalize()
+    made = []
+    for family, texts in TEMPLATES.items():
+        for text in texts:
+            for piece in _pieces(text, rng):
+                n = rng.choice((0, 0, 0, 2, 4))
+                made.append((LABELS.index(family), " ".join([*[rng.choice(filler) for _ in range(n)], piece])))
+    for phrase in OTHERS:
+        made += [(1, phrase.format(" ".join(invented() for _ in range(rng.choice((1, 1, 2)))))) for _ in range(2 * COPIES)]
+    made += [(0, x) for x in OTHER_SENSE for _ in range(COPIES)]
+    return made + [(0, x) for x in drawn]
+
+
+def sampled(documents: DataFrame, sample: int, seed: int) -> list[str]:
+    """At most ``sample`` sentences of the corpus, without those that share three words in a row with a template.
+
+    Documents are drawn by a hash threshold, about ``sample`` of them, and give up to four sentences each, so what
+    reaches the driver doesn't grow with the corpus.
+    """
+    docs = documents.where(F.length("text") > 0)
+    n = docs.count()
+    share = min(1.0, sample / max(n, 1))
+    small = (F.xxhash64("text", F.lit(seed)).cast("double") / 2.0**64 + 0.5) <= share
+    cut = F.filter(F.split(F.regexp_replace("text", "([.!?]) ", "$1\n"), "\n"), lambda x: x.rlike("[A-Za-z0-9\\x{80}-\\x{10FFFF}]"))
+    some = F.slice(F.array_sort(F.transform(cut, lambda x: F.struct(F.xxhash64(x, F.lit(seed)).alias("h"), x.alias("x")))), 1, 4)
+    rows = docs.where(small).select(F.explode(some).alias("s")).select("s.*").collect()
+    three = lambda w: set(zip(w, w[1:], w[2:]))
+    words = lambda t: "".join(c.lower() if c.isalnum() else " " for c in t).split()
+    taken = set().union(*(three(words(t)) for ts in TEMPLATES.values() for t in ts))
+    return [r.x for r in sorted(set(rows)) if taken.isdisjoint(three(words(r.x)))][:sample]
+
+
+def _calibrated(scanner: Scanner, grams: Grams, text_label: np.ndarray) -> None:
+    """Temperature by likelihood, then the levels, on held-out examples (a text each)."""
+    sums = np.zeros((len(text_label), len(LABELS)))
+    each = np.unique(np.column_stack([grams.text[grams.owner], scanner.known(grams.hashes)]), axis=0)
+    np.add.at(sums, each[:, 0], scanner.weights[each[:, 1]])
+    at = np.arange(len(text_label))
+
+    def loss(t: float) -> float:
+        scanner.temperature = t
+        return float(-np.log(np.maximum(scanner.probabilities(sums)[at, text_label], 1e-12)).mean())
+
+    scanner.temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=lambda t: (loss(t), t))
+    p = scanner.probabilities(sums)
+    ordinary = np.sort(1 - p[text_label == 0, 0])[::-1]
+    allowed = int(WRONG_LICENCE * len(ordinary))
+    scanner.least_licence = float(np.clip(np.nextafter(ordinary[allowed], 2) if len(ordinary) > allowed else 0.5, 0.5, 0.99))
+    share = p[:, 2:].max(axis=1) / np.maximum(1 - p[:, 0], 1e-12)
+    spoken = (1 - p[:, 0] >= scanner.least_licence) & (p[:, 2:].max(axis=1) >= p[:, 1])
+    right = 2 + p[:, 2:].argmax(axis=1) == text_label
+    order = np.flatnonzero(spoken)[np.argsort(-share[spoken], kind="stable")]
+    wrong = np.cumsum(~right[order]) / np.arange(1, len(order) + 1)
+    fine = np.flatnonzero(wrong <= WRONG_FAMILY)
+    scanner.least_family = float(np.clip(share[order][fine[-1]], 0.5, 0.95)) if len(fine) else 0.95
 
 
 def train(spark: SparkSession, documents: DataFrame, text_col: str = "text", sample: int = SAMPLE, seed: int = SEED) -> Scanner:
-    """Fit on noised templates and at most ``sample`` paragraphs: those of smallest hash."""
+    """Fit on the examples, four fifths of them, and calibrate on the rest."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import SparseVector
 
-    lines = documents.select(F.explode(F.split(F.col(f"`{text_col}`"), "\n")).alias("line")).where(~F.col("line").rlike(f"(?i){CUE.pattern}") & (F.trim("line") != ""))
-    drawn = [r.line for r in lines.select(F.substring("line", 1, 600).alias("line"), F.xxhash64("line", F.lit(seed)).alias("h")).orderBy("h", "line").limit(sample).collect()]
-    rng = random.Random(seed)
-    filler = [w for x in drawn[:200] for w in x.split()[:10]]
-    made = [(FAMILIES.index(f), _noised(t, rng, filler)) for f, ts in TEMPLATES.items() for t in ts for _ in range(COPIES)]
-    made += [(FAMILIES.index(f), t) for f, ts in TEMPLATES.items() for t in ts for _ in range(4)]
-    made += [(0, x) for x in drawn]
-    held = [x for k, x in enumerate(made) if k % 5 == 4]
-    rows = [(float(y), SparseVector(PLACES, {int(p): 1.0 for p in features(words_of(x))})) for k, (y, x) in enumerate(made) if k % 5 != 4]
-    model = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=40).fit(spark.createDataFrame(rows, ["label", "features"]).repartition(4))
-    weights, bias = np.zeros((PLACES, len(FAMILIES))), np.full(len(FAMILIES), -20.0)
-    found = model.coefficientMatrix.toArray()
-    weights[:, : len(found)], bias[: len(found)] = found.T, model.interceptVector.toArray()
-    scanner = Scanner(weights.astype(np.float32), bias, 0.0)
-    # The least probability that leaves at most one in a hundred held-out predictions wrong.
-    p = scanner.probabilities([words_of(x) for _, x in held])
-    sure, right = p.max(axis=1), p.argmax(axis=1) == np.array([y for y, _ in held])
-    order = np.argsort(-sure)
-    wrong = np.cumsum(~right[order]) / np.arange(1, len(order) + 1)
-    fine = np.flatnonzero(wrong <= 0.01)
-    scanner.least = float(min(0.9, max(0.5, sure[order][fine[-1]]))) if len(fine) else 0.9
+    drawn = sampled(only(documents, text=text_col), sample, seed)
+    made = examples(drawn, random.Random(seed))
+    fit, held = [x for k, x in enumerate(made) if k % 5 != 4], [x for k, x in enumerate(made) if k % 5 == 4]
+    grams, label = Grams.of([x for _, x in fit]), np.array([y for y, _ in fit])
+    owner = grams.text[grams.owner]
+    each = np.unique(np.column_stack([grams.hashes, owner.astype(np.uint64)]), axis=0)
+    hashes, times = np.unique(each[:, 0], return_counts=True)
+    known = Vocabulary(hashes[times >= SEEN])
+    place = known(grams.hashes)
+    counts: list[dict[int, float]] = [{} for _ in fit]
+    for d, p in zip(owner.tolist(), place.tolist()):
+        if p < len(known.hashes):
+            counts[d][p] = 1.0
+    rows = [(float(y), SparseVector(len(known.hashes), c)) for y, c in zip(label.tolist(), counts)]
+    model = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=60, standardization=False).fit(spark.createDataFrame(rows, ["label", "features"]).repartition(4))
+    scanner = Scanner(known.hashes, model.coefficientMatrix.toArray().T, model.interceptVector.toArray())
+    _calibrated(scanner, Grams.of([x for _, x in held]), np.array([y for y, _ in held]))
     return scanner
 
 
+def _scans(batches, sent):
+    """(batch, (text, first line, last line, family, probability, likeness)...) of each batch."""
+    own = Scanner(*sent.value)
+    for batch in batches:
+        found = []
+        for part, data, ends in chunks(batch.column(1)):
+            found += [(part.start + x[0], *x[1:]) for x in own.scan(data, ends)]
+        yield batch, found
+
+
+def _sent(documents: DataFrame, scanner: Scanner):
+    return documents.sparkSession.sparkContext.broadcast(scanner.parts())  # some thousand n-grams, whatever the corpus' size
+
+
 def paragraphs(documents: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line, family, probability, coverage of every licence paragraph (not of ``none``)."""
-    sent = documents.sparkSession.sparkContext.broadcast((scanner.weights, scanner.bias, scanner.least))  # of fixed size
+    """doc_id, first_line, last_line, family, probability, likeness of every licence paragraph; blank lines don't count."""
+    sent = _sent(documents, scanner)
+    names = ["doc_id", "first_line", "last_line", "family", "probability", "likeness"]
+    kinds = (pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64())
 
     def run(batches):
-        own = Scanner(*sent.value)
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows += [(doc, *x) for x in own.scan_text(text.as_py())]
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["doc_id", "line", "family", "probability", "coverage"])
+        for batch, found in _scans(batches, sent):
+            columns = list(zip(*found)) if found else [[]] * 6
+            ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns[1:], kinds)]], names=names)
 
-    return only(documents, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, line int, family string, probability double, coverage double")
+    docs = only(documents, doc_id=id_col, text=text_col)
+    return docs.mapInArrow(run, f"doc_id {docs.dtypes[0][1]}, first_line int, last_line int, family string, probability double, likeness double")
 
 
-def scanned(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, families (of confirmed paragraphs, sorted), n_licence_lines, n_confirmed."""
-    scanner = train(documents.sparkSession, documents, text_col)
-    sent = documents.sparkSession.sparkContext.broadcast((scanner.weights, scanner.bias, scanner.least))
+def scanned(documents: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, families (of its paragraphs, sorted), n_licence_lines, n_confirmed (lines of confirmed paragraphs)."""
+    sent = _sent(documents, scanner or train(documents.sparkSession, documents, text_col))
 
     def run(batches):
-        own = Scanner(*sent.value)
-        for batch in batches:
-            families, lines, confirmed = [], [], []
-            for text in batch.column(1):
-                got = own.scan_text(text.as_py())
-                sure = [x for x in got if x[3] >= CONFIRMED]
-                families.append(sorted({x[1] for x in sure} | {"unknown" for x in got if x[3] < CONFIRMED}))
-                lines.append(len(got)), confirmed.append(len(sure))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(families, pa.list_(pa.string())), pa.array(lines, pa.int64()), pa.array(confirmed, pa.int64())], names=["doc_id", "families", "n_licence_lines", "n_confirmed"])
-
-    return only(documents, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, families array<string>, n_licence_lines long, n_confirmed long")
+        for batch, found in _scans(batches, sent):
+            families: list[set] = [set() for _ in range(batch.num_rows)]
+            lines: list[dict[int, bool]] = [{} for _ in range(batch.num_rows)]
+            for d, a, b, family, _, _ in found:
+                families[d].add(family)
+                for k in range(a, b + 1):
+                    lines[d][k] = lines[d].get(k, False) or family != UNKNOWN
+            columns = [batch.column(0), pa.array([sorted(f) for f in families], pa.list_(pa.string())), pa.array([len(x) for x in lines], pa.int64()), pa.array([sum(x.values()) for x in lines], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "families", "n_licence_lines", "n_confirmed"])
+
+    docs = only(documents, doc_id=id_col, text=text_col)
+    return docs.mapInArrow(run, f"doc_id {docs.dtypes[0][1]}, families array<string>, n_licence_lines long, n_confirmed long")
