@@ -229,6 +229,58 @@ def test_boilerplate_within_articles(spark):
     assert all(got[40 + k] == "Daily note The only text." for k in range(12))
 
 
+def test_slots_outrank_weak_names(spark):
+    """A varying block of a weak name is content where the host has pages enough, and so is not where it hasn't."""
+    page = lambda k: f"<article><p>Text {k}</p><div class='related-reading'>More {k}</div><p>Same on all</p><div class=comments>c{k}</div></article>"
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(12)] + [(50 + k, f"http://b.example/{k}", page(k)) for k in range(3)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    common.ship(spark)
+    got = {r.page_id: r.text for r in html_main.extracted(d).collect()}
+    assert all(got[k] == f"Text {k} More {k}" for k in range(12))
+    assert all(got[50 + k] == f"Text {k} Same on all" for k in range(3))
+    assert html_main.main_text(html_main.parse(page(3)), frozenset()) != got[3]
+
+
+@pytest.mark.parametrize("depth", [3, 199, 200, 201, 260, 5000])
+def test_depth_changes_nothing(depth):
+    html = "<div>" * depth + "<nav><ul><li><a>menu</a></li></ul></nav>one<p>two <b>th</b>ree<p>four</p><div class=ad><p>buy</div>five<script>x</script>" + "</div>" * depth + "<p>six</p>"
+    assert html_main.main_text(html_main.parse(html), frozenset()) == "one two three four five six"
+    html = "<div>" * depth + "out<article><p>in</p><aside><p>no</p></aside><article>more</article></article>" + "</div>" * depth
+    assert html_main.main_text(html_main.parse(html), frozenset()) == "in more"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tree_matching_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+
+    def tree(depth):
+        return [(str(rng.choice(list("abc"))), tree(depth - 1)) for _ in range(int(rng.integers(0, 4)) if depth else 0)]
+
+    def text(nodes):
+        return " ".join(f"{n}({text(c)})" for n, c in nodes)
+
+    def best(a, b):  # the largest matching of two forests, first trees matched or one of them left out
+        if not a or not b:
+            return 0
+        both = 1 + best(a[0][1], b[0][1]) + best(a[1:], b[1:]) if a[0][0] == b[0][0] else 0
+        return max(both, best(a[1:], b), best(a, b[1:]))
+
+    def parents(nodes, parent, out):
+        for _, children in nodes:
+            own = len(out)
+            out.append(parent)
+            parents(children, own, out)
+        return out
+
+    for _ in range(150):
+        x, y = tree(3), tree(3)
+        got = html_main.aligned(text(x), text(y))
+        assert len(got) == best(x, y) and len(set(got.values())) == len(got)
+        above, below = parents(x, -1, []), parents(y, -1, [])
+        assert all(got.get(above[p], -1) == below[q] for p, q in got.items())
+        assert all((p < q) == (got[p] < got[q]) for p in got for q in got if p != q)
+
+
 def test_tree_matching_is_the_largest():
     a, b = "html(body(p() div() p()))", "html(body(div() p(b()) ul()))"
     assert html_main.aligned(a, b) == {0: 0, 1: 1, 3: 2, 4: 3}
