@@ -1,6 +1,6 @@
 """Mixing to target weights by iterative proportional fitting.
 
-Documents are counted into cells of source, language and topic, with their tokens.  Cell weights
+Documents are counted into cells of source, language and topic, with their tokens (words, unless a column holds counts).  Cell weights
 start at the tokens and are raked: scaled so that each margin in turn has its target, until all
 margins hold.  A cell's keeping probability is its weight over its tokens, times one constant
 that is calibrated so that the expected tokens are the budget, and 1 at most.  A document is
@@ -12,7 +12,8 @@ Spark, and margins are joined back as Spark's size statistics allow.  Only a few
 Cases: null source, language or topic is a value of its own (shown as null); a null text has no
 tokens and keeps its cell's probability; cells without tokens keep probability 1; repeated
 rows share their id's draw; an empty table gives an empty result; a margin value without a
-target keeps its share of the rest; columns other than those named pass through ``kept``.
+target gets its share, by tokens, of what the named ones leave; a target of 0 drops its cells; margins that no weights
+can meet are raked until they stop getting nearer, the last one exactly; columns other than those named pass through ``kept``.
 """
 
 from __future__ import annotations
@@ -48,11 +49,27 @@ def word_count(text) -> F.Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
-def targets(cells: DataFrame, temperature: dict[str, float]) -> dict[str, DataFrame]:
-    """Per margin (value, share): natural token shares to the power of the temperature."""
+def targets(cells: DataFrame, temperature: dict[str, float], wanted: dict[str, dict] | None = None) -> dict[str, DataFrame]:
+    """Per margin (value, share) for every value with tokens.
+
+    ``wanted`` maps a margin to {value: share} (None for a null value); the values it doesn't name divide what is left
+    by their tokens.  Without that, the natural token shares are raised to the power of the temperature.
+    """
     out = {}
-    for m, power in temperature.items():
-        sums = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0").withColumn("t", F.pow("t", F.lit(power)))
+    for m in {**temperature, **(wanted or {})}:
+        sums = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0")
+        given = (wanted or {}).get(m)
+        if given is None:
+            sums = sums.withColumn("t", F.pow("t", F.lit(temperature[m])))
+        else:
+            if min(given.values(), default=0) < 0 or sum(given.values()) > 1 + 1e-9:
+                raise ValueError(f"shares of {m} must be positive and sum to 1 at most")
+            rows = [(_NONE if k is None else k, float(v)) for k, v in given.items()]
+            named = cells.sparkSession.createDataFrame(rows, "value string, given double")
+            sums = checkpointed(sums.join(named, sums[m] == named.value, "left").drop("value"))
+            held, free = sums.agg(F.coalesce(F.sum("given"), F.lit(0.0)), F.sum(F.when(F.col("given").isNull(), F.col("t")))).first()
+            share = F.col("t") * F.lit(max(0.0, 1 - held) / free) if free else F.lit(0.0)
+            sums = sums.select(m, F.coalesce("given", share).alias("t"))
         total = sums.agg(F.sum("t").alias("total"))
         out[m] = sums.join(F.broadcast(total)).select(m, (F.col("t") / F.col("total")).alias("share"))
     return out
@@ -69,11 +86,12 @@ def raked(cells: DataFrame, wanted: dict[str, DataFrame], sweeps: int = SWEEPS,
             factor = F.when(F.col("has") > 0, F.coalesce("share", F.lit(0.0)) * F.lit(1.0) / F.col("has")).otherwise(0.0)
             now = now.join(sums.select(m, factor.alias("factor")), m).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
         now = checkpointed(now)
-        errors = []
+        errors = None
         for m, df in goal.items():
-            both = now.groupBy(m).agg(F.sum("weight").alias("has")).join(df, m)
-            errors.append(both.select((F.abs(F.col("has") - F.col("share")) / F.col("share")).alias("e")))
-        worst = errors[0].union(errors[1]).union(errors[2]).agg(F.max("e")).first()[0] if len(errors) == 3 else max(e.agg(F.max("e")).first()[0] or 0 for e in errors)
+            both = now.groupBy(m).agg(F.sum("weight").alias("has")).join(df.where("share > 0"), m)
+            own = both.select((F.abs(F.col("has") - F.col("share")) / F.col("share")).alias("e"))
+            errors = own if errors is None else errors.union(own)
+        worst = errors.agg(F.max("e")).first()[0]
         # Margins that no weights can meet stop improving.
         if (worst or 0) <= tolerance or before is not None and worst > 0.99 * before:
             break
@@ -82,23 +100,30 @@ def raked(cells: DataFrame, wanted: dict[str, DataFrame], sweeps: int = SWEEPS,
 
 
 def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """cells with probability: min(1, c * weight / tokens), c such that the expected tokens are
-    ``budget`` times all tokens (found by bisection over sums of the cell table)."""
-    rate = F.col("weight") / F.greatest("tokens", F.lit(1))
-    top, total = cells.where("tokens > 0").agg(F.max(1 / rate), F.sum("tokens")).first()
+    """cells with probability: min(1, c * weight / tokens), c such that the expected tokens are ``budget`` times all tokens.
+
+    The sum is at most c times all weights and complete at the largest tokens / weight, which bounds c from both sides
+    however far the rates lie apart; geometric steps over sums of the cell table narrow it, and between the last two
+    values the sum is linear.  Where the cells of positive weight hold fewer tokens than asked for, all of them stay.
+    """
+    rate = F.col("weight") / F.col("tokens")
+    spoken = cells.where("tokens > 0 and weight > 0")
+    weights, held, high = spoken.agg(F.sum("weight"), F.sum("tokens"), F.max(1 / rate)).first()
+    total = cells.agg(F.sum("tokens")).first()[0]
     if not total:
         return cells.withColumn("probability", F.lit(1.0))
-    if top is None:
-        top = 1.0
-    low, high = 0.0, float(top)
-    step = 16  # so many values of c are tried by one pass over the cells
-    for _ in range(4):
-        tried = [low + (high - low) * k / step for k in range(1, step)]
-        sums = cells.agg(*[F.sum(F.least(F.lit(1.0), F.lit(c) * rate) * F.col("tokens")).alias(f"s{k}") for k, c in enumerate(tried)]).first()
-        below = [c for c, s in zip(tried, sums) if s <= budget * total]
-        above = [c for c, s in zip(tried, sums) if s > budget * total]
-        low, high = max([low, *below]), min([high, *above])
-    return cells.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(low) * rate)).otherwise(1.0))
+    c, goal = high or 0.0, budget * total
+    if high and held > goal:
+        low = min(goal / weights, high)
+        while high > low * (1 + 1e-6):
+            # So many values of c are tried by one pass over the cells.
+            tried = [low * (high / low) ** (k / 16) for k in range(1, 16)]
+            sums = spoken.agg(*[F.sum(F.least(F.lit(1.0), F.lit(x) * rate) * F.col("tokens")) for x in tried]).first()
+            low, high = max([low, *(x for x, s in zip(tried, sums) if s <= goal)]), min([high, *(x for x, s in zip(tried, sums) if s > goal)])
+        full, rest = spoken.agg(F.sum(F.when(F.lit(low) * rate >= 1, F.col("tokens")).otherwise(0)), F.sum(F.when(F.lit(low) * rate < 1, F.col("weight")).otherwise(0.0))).first()
+        c = min(max(low, (goal - full) / rest), high) if rest else low
+    kept = F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.lit(c) * rate)).otherwise(0.0)
+    return cells.withColumn("probability", F.when(F.col("tokens") > 0, kept).otherwise(1.0))
 
 
 def _margins(documents: DataFrame, text_col: str, topic_col: str | None) -> dict[str, F.Column]:
@@ -112,35 +137,31 @@ def drawn(seed: str, id_col: str) -> F.Column:
     return F.conv(F.substring(F.sha1(key), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def probabilities(documents: DataFrame, temperature: dict[str, float] | None = None, budget: float = BUDGET, text_col: str = "text", topic_col: str | None = None, tokens_col: str | None = None) -> DataFrame:
-    """The cell table: source, lang, topic (null as a marker), tokens, weight, probability."""
-    tokens = F.col(tokens_col).cast("long") if tokens_col else word_count(F.col(f"`{text_col}`"))
-    keyed = documents.select(*[c.alias(m[2:]) for m, c in _margins(documents, text_col, topic_col).items()], tokens.alias("tokens"))
-    cells = checkpointed(keyed.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
-    return saved(calibrated(raked(cells, targets(cells, temperature or TEMPERATURE)), budget), "mix-cells")
+def _keyed(documents: DataFrame, id_col: str, text_col: str, topic_col: str | None, tokens_col: str | None) -> DataFrame:
+    tokens = F.col(f"`{tokens_col}`").cast("long") if tokens_col else word_count(F.col(f"`{text_col}`"))
+    margins = _margins(documents, text_col, topic_col).items()
+    return documents.select(F.col(f"`{id_col}`").alias("doc_id"), *[c.alias(m[2:]) for m, c in margins], F.coalesce(tokens, F.lit(0)).alias("tokens"))
 
 
-def _with_probability(documents: DataFrame, cells: DataFrame, text_col: str, topic_col: str | None) -> DataFrame:
-    keys = _margins(documents, text_col, topic_col)
-    table = cells.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("probability").alias("__probability"))
-    return documents.withColumns(keys).join(table, list(keys))
+def probabilities(keyed: DataFrame, temperature: dict[str, float] | None = None, budget: float = BUDGET, wanted: dict[str, dict] | None = None) -> DataFrame:
+    """The cell table: source, lang, topic (null as a marker), tokens, weight, probability."""
+    cells = checkpointed(keyed.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
+    return saved(calibrated(raked(cells, targets(cells, temperature or TEMPERATURE, wanted)), budget), "mix-cells")
 
 
-def mixed(documents: DataFrame, temperature: dict[str, float] | None = None, budget: float = BUDGET, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", topic_col: str | None = None, tokens_col: str | None = None) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, probability, kept of every row."""
-    cells = probabilities(documents, temperature, budget, text_col, topic_col, tokens_col)
-    rows = documents.select(
-        F.col(f"`{id_col}`").alias("doc_id"),
-        *[c.alias(m) for m, c in _margins(documents, text_col, topic_col).items()],
-        (F.col(tokens_col).cast("long") if tokens_col else word_count(F.col(f"`{text_col}`"))).alias("tokens"),
-    )
-    table = cells.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], "probability")
-    back = [F.when(F.col(f"__{m}") != _NONE, F.col(f"__{m}")).alias(m) for m in MARGINS]
-    return rows.join(table, [f"__{m}" for m in MARGINS]).select("doc_id", *back, "tokens", "probability", (drawn(seed, "doc_id") < F.col("probability")).alias("kept"))
+def mixed(documents: DataFrame, temperature: dict[str, float] | None = None, budget: float = BUDGET, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", topic_col: str | None = None, tokens_col: str | None = None, wanted: dict[str, dict] | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, tokens, probability, kept of every row.  Texts are read once."""
+    rows = saved(_keyed(documents, id_col, text_col, topic_col, tokens_col), "mix-rows")
+    cells = probabilities(rows, temperature, budget, wanted)
+    table = cells.select(*MARGINS, "probability")
+    back = [F.when(F.col(m) != _NONE, F.col(m)).alias(m) for m in MARGINS]
+    return rows.join(table, list(MARGINS)).select("doc_id", *back, "tokens", "probability", (drawn(seed, "doc_id") < F.col("probability")).alias("kept"))
 
 
-def kept(documents: DataFrame, temperature: dict[str, float] | None = None, budget: float = BUDGET, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", topic_col: str | None = None, tokens_col: str | None = None) -> DataFrame:
+def kept(documents: DataFrame, temperature: dict[str, float] | None = None, budget: float = BUDGET, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", topic_col: str | None = None, tokens_col: str | None = None, wanted: dict[str, dict] | None = None) -> DataFrame:
     """The sampled rows with all their columns; rows of one id go or stay together in a cell."""
-    cells = probabilities(documents, temperature, budget, text_col, topic_col, tokens_col)
-    joined = _with_probability(documents, cells, text_col, topic_col)
+    cells = probabilities(_keyed(documents, id_col, text_col, topic_col, tokens_col), temperature, budget, wanted)
+    keys = _margins(documents, text_col, topic_col)
+    table = cells.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("probability").alias("__probability"))
+    joined = documents.withColumns(keys).join(table, list(keys))
     return joined.where(drawn(seed, id_col) < F.col("__probability")).select(*[f"`{c}`" for c in documents.columns])

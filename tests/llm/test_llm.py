@@ -313,7 +313,7 @@ def test_neighbours(spark):
 
 def test_mixing_reaches_its_targets(spark):
     d = common.table(spark, SF, "documents")
-    cells = mixing.probabilities(d)
+    cells = mixing.probabilities(mixing._keyed(d, "doc_id", "text", None, None))
     rows = cells.toPandas()
     for m, power in mixing.TEMPERATURE.items():
         natural = rows.groupby(m).tokens.sum() ** power
@@ -331,6 +331,46 @@ def test_mixing_reaches_its_targets(spark):
     assert sorted(r.doc_id for r in mixing.kept(d).collect()) == sorted(mixed[mixed.kept].doc_id)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_calibration_against_water_filling(spark, seed):
+    """Rates a factor of 10**9 apart, zero weights, and empty cells, against the exact solution on sorted rates."""
+    rng = np.random.default_rng(seed)
+    rows = [(f"s{k}", int(rng.integers(0, 4) and rng.integers(1, 10**6)), float(rng.choice([0.0, 10 ** rng.uniform(-9, 0)]))) for k in range(40)] + [("x", 1_000_000, 1.0), ("y", 1_000_000, 1e-9)]
+    cells = spark.createDataFrame(rows, "source string, tokens long, weight double")
+    got = mixing.calibrated(cells, 0.3).toPandas()
+    t, w = got.tokens.to_numpy(float), got.weight.to_numpy()
+    assert (got.probability[t == 0] == 1).all() and (got.probability[(t > 0) & (w == 0)] == 0).all()
+    goal, some = 0.3 * t.sum(), (t > 0) & (w > 0)
+    t, w, p = t[some], w[some], got.probability.to_numpy()[some]
+    want = np.ones(len(t))
+    if t.sum() > goal:
+        order = np.argsort(-(w / t))
+        for k in range(len(order) + 1):  # the first k are full
+            rest = order[k:]
+            c = (goal - t[order[:k]].sum()) / w[rest].sum() if len(rest) else np.inf
+            if c >= 0 and (c * w[rest] / t[rest] <= 1 + 1e-12).all():
+                want = np.minimum(1, c * w / t)
+                break
+        assert abs((p * t).sum() / goal - 1) < 1e-5
+    assert np.allclose(p, want, rtol=1e-4)
+
+
+def test_mixing_to_stated_targets(spark):
+    rows = [(k, "word " * (3000 if s == "big" else 1), lang, s) for k, (s, lang) in enumerate([("big", "en")] * 20 + [("small", "en")] * 20 + [("small", "de"), (None, "de"), ("gone", "en")])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    common.ship(spark)
+    got = mixing.mixed(d, wanted={"source": {"big": 0.5, "small": 0.25, "gone": 0.0}}, temperature={"source": 1.0}, budget=0.0005).toPandas()
+    cell = got.assign(e=got.probability * got.tokens).groupby("source", dropna=False).e.sum()
+    assert cell["gone"] == 0 and abs(cell["big"] / cell["small"] - 2) < 1e-3 and (got.probability[got.source.isna()] > 0).all()
+    flat = mixing.mixed(d, temperature={"source": 2.0, "lang": 2.0, "topic": 2.0}).toPandas()
+    assert flat.probability.max() > 0 and abs((flat.probability * flat.tokens).sum() / flat.tokens.sum() - mixing.BUDGET) < 0.01
+    with pytest.raises(ValueError):
+        mixing.mixed(d, wanted={"source": {"big": 0.9, "small": 0.9}})
+    # No weights can give source a all and language y half: a has no y.
+    odd = spark.createDataFrame([(1, "w w", "x", "a"), (2, "w w", "y", "b")], "doc_id long, text string, lang string, source string")
+    assert mixing.mixed(odd, wanted={"source": {"a": 1.0}, "lang": {"y": 0.5}}).count() == 2
+
+
 FILLER = [(100 + i, " ".join(f"w{(i * 7 + k) % 400}" for k in range(20))) for i in range(60)]
 
 
