@@ -3,10 +3,14 @@
 Equal vectors are one point of the index, known by its smallest id; a point remembers the
 smallest ids of its copies, as many as a result can hold.  Points are dealt into shards by hash;
 a task builds a shard's graph: each point has a level drawn from its id, each level is one flat
-array of neighbour places, and points are inserted in batches that grow with the graph.  A
+array of neighbour places, and points are inserted in batches that grow with the graph.  Links and
+walks go by the inner product itself, so that long vectors, which are near many, become hubs.  A
 shard's vectors and neighbour arrays are one row of binary columns.  Distinct query vectors
-go to every shard in blocks; one block walks the graph together, so that a step is a handful of
-array operations.  The shards' best are merged, copies expanded, the query's own row left out.
+stream past every shard, which its task opens once; some hundred walk the graph together, so that a step is a
+handful of array operations.  The shards' best are merged, copies expanded, the query's own row left out.
+
+Recall is 0.9 at least for one shard of 20,000 normally distributed vectors in 64 dimensions, of one length or of
+lengths that vary; shards hold about SHARD_ROWS.
 
 Scores are inner products in double precision of the original vectors.
 
@@ -25,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, only, saved
+from .common import checkpointed, only, saved, shuffle_partitions
 
 NEAREST, LINKS, BUILD_BEAM, SEARCH_BEAM = 20, 16, 64, 160
-SHARDS, SHARD_ROWS, BLOCK_ROWS = 8, 1 << 16, 1 << 13
+SHARDS, SHARD_ROWS = 8, 20_000
 _TOGETHER = 256
 
 
@@ -183,11 +187,7 @@ def _shard_index(points: DataFrame) -> DataFrame:
         levels = _levels(pdf["point"].to_numpy(), LINKS)
         order = np.lexsort((pdf["point"].to_numpy(), -levels))
         vectors = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)[order]
-        # Walks go by cosine, which is the inner product of vectors of one length; longer and
-        # shorter ones are told apart by one more dimension, as is usual for this measure.
-        norms = np.linalg.norm(vectors, axis=1)
-        extra = np.sqrt(np.maximum(norms.max() ** 2 - norms**2, 0))
-        graph = Graph.build(np.column_stack([vectors, extra]).astype(np.float32), levels[order])
+        graph = Graph.build(vectors.astype(np.float32), levels[order])
         import pandas as pd
 
         return pd.DataFrame({"shard": [key[0]], "ids": [pdf["point"].to_numpy()[order].astype("<i8").tobytes()], "vectors": [vectors.tobytes()], "dims": [vectors.shape[1]], "layers": [[x.tobytes() for x in graph.layers]]})
@@ -198,10 +198,8 @@ def _shard_index(points: DataFrame) -> DataFrame:
 def _opened(row: dict) -> tuple[Graph, np.ndarray, np.ndarray]:
     ids = np.frombuffer(row["ids"], dtype="<i8")
     vectors = np.frombuffer(row["vectors"]).reshape(len(ids), row["dims"])
-    norms = np.linalg.norm(vectors, axis=1)
-    extra = np.sqrt(np.maximum(norms.max() ** 2 - norms**2, 0))
     layers = [np.frombuffer(b, dtype=np.int32).reshape(-1, 2 * LINKS if k == 0 else LINKS) for k, b in enumerate(row["layers"])]
-    return Graph(np.column_stack([vectors, extra]).astype(np.float32), layers), ids, vectors
+    return Graph(vectors.astype(np.float32), layers), ids, vectors
 
 
 def nearest(vectors: DataFrame, queries: F.Column, k: int = NEAREST, beam: int = SEARCH_BEAM, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -221,32 +219,38 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = NEAREST, beam: int =
     asked = rows.where(queries).join(points.select("point", "embedding"), "embedding").select("vec_id", "point")
     asked = saved(asked, "ann-asked")
     wanted = points.join(asked.select("point").distinct(), "point", "left_semi")
-    blocks = max(1, math.ceil(wanted.count() / BLOCK_ROWS))
-    block = F.pmod(F.xxhash64("point", F.lit(1)), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    asks = wanted.select("point", "embedding", block.alias("block"), every)
-    held = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    both = index.unionByName(wanted.select("point", "embedding", every), allowMissingColumns=True)
 
-    def search(key, left, right):
-        import pandas as pd
+    def search(batches):
+        opened, shard_no, held = None, None, ([], [])
 
-        names = ["query", "point", "score"]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query": pd.Series(dtype="int64"), "point": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        graph, ids, vectors = _opened(left.iloc[0])
-        out = []
-        for first in range(0, len(right), _TOGETHER):
-            part = right.iloc[first : first + _TOGETHER]
-            q = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-            places, found = graph.search(np.column_stack([q, np.zeros(len(q))]).astype(np.float32), k + 5, beam)
+        def answers():
+            graph, ids, vectors = opened
+            who, q = np.array(held[0]), np.array(held[1])
+            held[0].clear(), held[1].clear()
+            places, found = graph.search(q.astype(np.float32), k + 5, beam)
             ok = np.isfinite(found)
             places = np.where(ok, places, 0)
             exact = (q[:, None, :] * vectors[places]).sum(axis=2)
-            who = np.repeat(part["point"].to_numpy(), places.shape[1])
-            out.append(pd.DataFrame(dict(zip(names, (who[ok.ravel()], ids[places].ravel()[ok.ravel()], exact.ravel()[ok.ravel()])))))
-        return pd.concat(out)
-
-    found = held.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInPandas(search, "query long, point long, score double")
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(who, places.shape[1])[ok.ravel()]), pa.array(ids[places].ravel()[ok.ravel()]), pa.array(exact.ravel()[ok.ravel()])], names=["query", "point", "score"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["layers"] is not None:
+                    if held[0]:
+                        yield answers()
+                    opened, shard_no = _opened(row), row["shard"]
+                elif row["shard"] == shard_no:  # a shard without points has no row
+                    held[0].append(row["point"]), held[1].append(row["embedding"])
+                    if len(held[0]) == _TOGETHER:
+                        yield answers()
+        if held[0]:
+            yield answers()
+
+    # A shard's row comes first, then the queries; a task has whole shards.
+    dealt = both.repartition(max(shards, shuffle_partitions(rows.sparkSession)), "shard").sortWithinPartitions("shard", F.col("layers").isNull())
+    found = dealt.mapInArrow(search, "query long, point long, score double")
     best = F.expr("row_number() over (partition by query order by score desc, point)")
     found = checkpointed(found.withColumn("r", best).where(F.col("r") <= k + 1).drop("r"))
     # A point stands for its copies: the k+1 smallest ids of each are all that a result can hold.

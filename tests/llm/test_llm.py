@@ -311,6 +311,21 @@ def test_neighbours(spark):
     assert [r.rank for r in sorted(few, key=lambda r: r.rank)] == [1, 2]
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.5])
+def test_recall_of_a_full_shard(spread):
+    """20,000 points in one graph, of one length and of lengths that vary, against all inner products."""
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(20_000, 64))
+    v *= np.exp(rng.normal(size=(20_000, 1)) * spread) / np.linalg.norm(v, axis=1, keepdims=True)
+    levels = ann._levels(np.arange(20_000), ann.LINKS)
+    v = v[np.argsort(-levels, kind="stable")]
+    graph = ann.Graph.build(v.astype(np.float32), -np.sort(-levels))
+    asked = rng.choice(20_000, 100, replace=False)
+    places, _ = graph.search(v[asked].astype(np.float32), ann.NEAREST)
+    best = np.argsort(-(v[asked] @ v.T), axis=1)[:, : ann.NEAREST]
+    assert np.mean([len(set(a) & set(b)) / ann.NEAREST for a, b in zip(places, best)]) >= 0.9
+
+
 def test_mixing_reaches_its_targets(spark):
     d = common.table(spark, SF, "documents")
     cells = mixing.probabilities(mixing._keyed(d, "doc_id", "text", None, None))
