@@ -36,7 +36,9 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_LIKE_NUMBER = re.compile(r"(?<![\w.+-])\(?[0-9][0-9 ().-]{5,}[0-9](?![\w])")
+_LIKE_NUMBER = re.compile(r"(?<![\w.+-])\+?\(?[0-9][0-9 ().-]{5,}[0-9](?![\w])")
+_LIKE_IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:\s?[\[(]?(?:\.|dot|DOT)[\])]?\s?[0-9]{1,3}){3}(?![\w])")
+_LIKE_HOST = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?![\w.-])")
 _LIKE_EMAIL = re.compile(r"(?<=[\s<(\[{])(?:at|AT)(?=[\s>)\]}])")
 _MAIL_LEFT = re.compile(r"([A-Za-z0-9._%+-]+)\s?[<(\[{]?\Z")
 _MAIL_RIGHT = re.compile(r"[>)\]}]?\s?[A-Za-z0-9-]+\s?[<(\[{]?(?:\.|\s(?:dot|DOT)\s|(?:dot|DOT))[>)\]}]?\s?[A-Za-z]{2,}")
@@ -86,7 +88,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidate_spans(text: str) -> list[tuple[int, int, int]]:
-    """Strings shaped like an entity that the base patterns don't ask for."""
+    """Strings shaped like an entity that the base patterns don't ask for: numbers without a plus or a right check
+    digit, addresses in words or without a top domain, dotted quads in words or out of range."""
     out = []
     for m in _LIKE_NUMBER.finditer(text):
         n = sum(c.isdigit() for c in m[0])
@@ -94,11 +97,19 @@ def candidate_spans(text: str) -> list[tuple[int, int, int]]:
             out.append((3, *m.span()))
         elif 13 <= n <= 19:
             out.append((2, *m.span()))
+    out += [(1, *m.span()) for m in _LIKE_IP.finditer(text)]
+    if "@" in text:
+        out += [(0, *m.span()) for m in _LIKE_HOST.finditer(text)]
     for m in _LIKE_EMAIL.finditer(text):
-        left = _MAIL_LEFT.search(text, max(0, m.start() - 80), m.start())
         right = _MAIL_RIGHT.match(text, m.end())
-        if left and right:
-            out.append((0, left.start(), right.end()))
+        if right:
+            first = max(0, m.start() - 80)
+            left = _MAIL_LEFT.search(text, first, m.start())
+            while left and left.start() == first > 0:  # a longer local part
+                first = max(0, first - 4096)
+                left = _MAIL_LEFT.search(text, first, m.start())
+            if left:
+                out.append((0, left.start(), right.end()))
     return out
 
 

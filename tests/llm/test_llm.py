@@ -177,6 +177,70 @@ def test_contexts_find_unseen_identifiers(spark):
     assert {r.doc_id: r.text for r in pii.redacted(d).collect()}[100] == "please call me on: <PHONE> now"
 
 
+def bootstrapped(texts):
+    """Spans of each text by plain dictionaries: base spans, and candidates that the rounds accept."""
+    plain = lambda w: re.sub("[0-9]", "0", w.lower())
+    totals, edges, mentions = {}, {}, []
+    for i, text in enumerate(texts):
+        words = [plain(w) for w in text.split()]
+        for k in range(len(words) - 1):
+            for c in [(words[k],)] + ([(words[k - 1], words[k])] if k else []):
+                totals[c] = totals.get(c, 0) + 1
+        base = pii.base_spans(text)
+        near = [c for c in pii.candidate_spans(text) if all(c[2] <= s[1] or s[2] <= c[1] for s in base)]
+        for span, known in [(s, True) for s in base] + [(c, False) for c in near]:
+            before = [plain(w) for w in text[: span[1]].split()]
+            value = (span[0], text[span[1] : span[2]].lower())
+            mentions.append((i, span, known, value))
+            for c in {tuple(before[-1:]), tuple(before[-2:])} - {()}:
+                own = edges.setdefault((c, span[0]), {}).setdefault(value, [False, 0])
+                own[0], own[1] = own[0] or known, own[1] + 1
+    edges = {p: v for p, v in edges.items() if len(v) >= pii.VALUES}
+    first = {v for values in edges.values() for v, (k, _) in values.items() if k}
+    known = set(first)
+    for _ in range(pii.ROUNDS):
+        doubt = {}
+        for (c, _), values in edges.items():
+            hits = [n for v, (_, n) in values.items() if v in known]
+            sure = sum(hits) / max(totals.get(c, 0), sum(n for _, n in values.values()))
+            if len(hits) >= pii.VALUES and sure >= pii.PATTERN_SURE:
+                for v in values:
+                    doubt[v] = doubt.get(v, 1.0) * (1 - min(sure, 0.99))
+        known |= {v for v, d in doubt.items() if 1 - d >= pii.INSTANCE_SURE}
+    out = [set() for _ in texts]
+    for i, span, sure, value in mentions:
+        if sure or value in known - first:
+            out[i].add(span)
+    return out, len(known - first)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_bootstrapping_against_dictionaries(spark, seed):
+    """Several contexts and kinds, chains that need a second round, and contexts that stay doubtful."""
+    rng = np.random.default_rng(seed)
+    word = lambda: str(rng.choice([f"w{i}" for i in range(40)]))
+    digits = lambda n: "".join(str(x) for x in rng.integers(0, 10, n))
+    made = {
+        "ring me on": (lambda: "+1 555 " + digits(7), lambda: digits(9)),
+        "mail goes to": (lambda: f"{word()}@{word()}.org", lambda: f"{word()} at {word()} dot org"),
+        "host answers from": (lambda: f"10.0.{rng.integers(0, 9)}.{rng.integers(0, 250)}", lambda: f"10[.]0[.]{rng.integers(0, 9)}[.]{rng.integers(300, 400)}"),
+        "as in": (lambda: "+44 20 " + digits(8), lambda: digits(8)),  # mostly stands before other words
+    }
+    texts = []
+    for context, (sure, near) in made.items():
+        texts += [f"{word()} {context} {sure()} {word()}" for _ in range(14)] + [f"{word()} {context} {near()} {word()}" for _ in range(5)]
+    shared = [digits(9) for _ in range(9)]
+    texts += [f"{word()} ring me on {x}" for x in shared] + [f"{word()} fax number {x} {word()}" for x in shared] + [f"{word()} fax number {digits(9)} {word()}" for _ in range(3)]
+    texts += [f"{word()} as in {word()} {word()}" for _ in range(60)] + ["", f"{digits(9)}", f"at {digits(8)} {'long' * 100} {digits(9)}"]
+    texts = [texts[k] for k in rng.permutation(len(texts))]
+    want, added = bootstrapped(texts)
+    assert added >= 10
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    common.ship(spark)
+    got = {r.doc_id: {(s.kind, s.start, s.end) for s in r.spans} for r in pii.find(d).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_quality_against_sql(spark):
     from checking import duck, same
 
