@@ -14,8 +14,9 @@ from hirelake.llm import langid, mixing, ngram_join, packing, pii
 from hirelake.llm.common import saved, ship, table
 from hirelake.llm.queries import tokenizer_path
 
-#: Below this cosine with every prototype a text is in none of the languages.
-LEAST_SCORE = 0.02
+#: Below this cosine with every prototype a text is in none of the languages: three deviations of unrelated vectors, whose
+#: cosines are about normal with a deviation of 1 / sqrt(dimensions).
+LEAST_SCORE = 3 / langid.DIMENSIONS**0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
