@@ -98,6 +98,39 @@ def test_language_held_out_accuracy(spark):
     assert r > 0.97
 
 
+def test_language_vectors_against_plain_binding():
+    """Bound letters, bundled n-grams and cosines by plain loops, for one text at a time."""
+    space = langid.Space(64, 3, 5)
+    letters = np.random.default_rng(5).integers(0, 2, (langid.ALPHABET, 64), dtype=np.int8) * 2 - 1
+    texts = ["Hello, World", "a", "", "12 !", "Größe  \n ßé", "abc abc abc"]
+    counts, n_letters = space.counts(texts)
+    got = space.bundled(counts, np.float64)
+    for text, vector, n in zip(texts, got, n_letters):
+        codes = [space._place(ord(c)) for c in f" {text} "]
+        codes = [c for k, c in enumerate(codes) if c or not k or codes[k - 1]]
+        want = np.zeros(64)
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            if b or a and c:
+                want += np.roll(letters[a], 2).astype(int) * np.roll(letters[b], 1) * letters[c]
+        assert n == sum(c > 0 for c in codes)
+        # Two texts share the blank between them: n-grams around it are counted with one of them.
+        alone = langid.Space(64, 3, 5)
+        one, _ = alone.counts([text])
+        assert np.allclose(alone.bundled(one, np.float64)[0], want) and (n == 0 or np.linalg.norm(vector - want) <= 8 * 2)
+
+
+def test_pipeline_rejects_what_is_no_language(spark):
+    d = common.table(spark, SF, "documents")
+    rng = np.random.default_rng(0)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 300)) for _ in range(20)]
+    foreign = ["Съешь ещё этих мягких французских булок, да выпей чаю", "これは日本語の文章です。とても長い文章。", "το γρήγορο καφέ αλεπού πηδά πάνω από το", "这是一个测试文本。", "12 34 !!", ""]
+    planted = spark.createDataFrame([(10**6 + k, t, None, "s", len(t)) for k, t in enumerate(noise + foreign)], d.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, d.unionByName(planted), SF).select("doc_id").collect()}
+    assert len([k for k in kept if k >= 10**6]) <= 1
+    clean = {r.doc_id for r in d.where("length(text) >= 40").select("doc_id").collect()}
+    assert len(clean - kept) <= 0.005 * len(clean)
+
+
 def jaccard_components(rows, words, percent):
     sets = {}
     for i, t in rows:
