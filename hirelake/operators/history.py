@@ -13,6 +13,8 @@ TRANSITIONS = {
     "closed": ("applied",),
     "hidden": ("normal",),
 }
+#: Seconds of one job's events that are folded at once.
+STRETCH = 3600
 VISIBLE_WHEN_GONE = ("saved", "applied", "closed")
 
 
@@ -42,25 +44,74 @@ def reconcile_history(history: DataFrame, jobs: DataFrame) -> DataFrame:
     return same.unionByName(rekeyed).unionByName(stay).unionByName(new)
 
 
-def fold_workflow(events: DataFrame, key: str = "job_id", at: str = "at", to: str = "to_state", order: str = "event_id") -> DataFrame:
-    """Per job the state after its ordered events; moves that aren't allowed are passed over.
+def workflow_maps(events: DataFrame, key: str = "job_id", at: str = "at", to: str = "to_state", order: str = "event_id", seconds: int = STRETCH) -> DataFrame:
+    """(key, stretch, maps, events): what the ordered events of a job's stretch of time do to each start state.
 
-    A job's events are bounded by its users' clicks; they are folded by one aggregate.
+    A map holds its start state (``was``), the state it leads to, how many moves it passes over, and whether the
+    times of application and closure are kept, set or cleared.  Maps compose, so a job of any number of events is a
+    fold of stretches, and a task holds the events of one stretch only.
     """
     steps = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(order).alias("ord"), F.col(to).alias("to"))))
-    start = F.struct(F.lit("normal").alias("state"), F.lit(None).cast("timestamp").alias("applied_at"), F.lit(None).cast("timestamp").alias("closed_at"), F.lit(0).alias("ignored"))
+    none = F.lit(None).cast("timestamp")
 
     def step(acc: Column, e: Column) -> Column:
         ok = allowed(acc["state"], e["to"])
         moved = ok & (acc["state"] != e["to"])
+        applies, resets, closes = moved & (e["to"] == "applied"), moved & e["to"].isin("normal", "saved"), moved & (e["to"] == "closed")
         return F.struct(
             F.when(ok, e["to"]).otherwise(acc["state"]).alias("state"),
-            F.when(moved & (e["to"] == "applied"), e["at"]).when(moved & e["to"].isin("normal", "saved"), F.lit(None).cast("timestamp")).otherwise(acc["applied_at"]).alias("applied_at"),
-            F.when(moved & (e["to"] == "closed"), e["at"]).when(moved, F.lit(None).cast("timestamp")).otherwise(acc["closed_at"]).alias("closed_at"),
+            (acc["applied_changes"] | applies | resets).alias("applied_changes"),
+            F.when(applies, e["at"]).when(resets, none).otherwise(acc["applied_at"]).alias("applied_at"),
+            (acc["closed_changes"] | moved).alias("closed_changes"),
+            F.when(closes, e["at"]).when(moved, none).otherwise(acc["closed_at"]).alias("closed_at"),
             (acc["ignored"] + F.when(ok, 0).otherwise(1)).alias("ignored"),
         )
 
-    return events.groupBy(key).agg(F.aggregate(steps, start, step).alias("s")).select(key, "s.*")
+    def folded(was: Column) -> Column:
+        start = F.struct(was.alias("state"), F.lit(False).alias("applied_changes"), none.alias("applied_at"), F.lit(False).alias("closed_changes"), none.alias("closed_at"), F.lit(0).alias("ignored"))
+        return F.aggregate("steps", start, step, lambda acc: F.struct(was.alias("was"), acc["state"].alias("state"), acc["applied_changes"].alias("applied_changes"), acc["applied_at"].alias("applied_at"), acc["closed_changes"].alias("closed_changes"), acc["closed_at"].alias("closed_at"), acc["ignored"].alias("ignored")))
+
+    stretch = F.floor(F.unix_timestamp(at) / seconds).alias("stretch")
+    dealt = events.groupBy(key, stretch).agg(steps.alias("steps"))
+    states = F.array(*[F.lit(s) for s in TRANSITIONS])
+    return dealt.select(key, "stretch", F.transform(states, folded).alias("maps"), F.size("steps").cast("long").alias("events"))
+
+
+def composed(stretches: Column, state: Column, applied_at: Column, closed_at: Column, ignored: Column, events: Column) -> Column:
+    """The job's struct after ``stretches`` (sorted structs of stretch, maps and events), from a given one."""
+    start = F.struct(state.alias("state"), applied_at.alias("applied_at"), closed_at.alias("closed_at"), ignored.cast("long").alias("ignored"), events.cast("long").alias("events"))
+
+    def step(acc: Column, x: Column) -> Column:
+        m = F.filter(x["maps"], lambda m: m["was"] == acc["state"])[0]
+        return F.transform(
+            F.array(m),
+            lambda m: F.struct(
+                m["state"].alias("state"),
+                F.when(m["applied_changes"], m["applied_at"]).otherwise(acc["applied_at"]).alias("applied_at"),
+                F.when(m["closed_changes"], m["closed_at"]).otherwise(acc["closed_at"]).alias("closed_at"),
+                (acc["ignored"] + m["ignored"]).alias("ignored"),
+                (acc["events"] + x["events"]).alias("events"),
+            ),
+        )[0]
+
+    return F.aggregate(stretches, start, step)
+
+
+def fold_workflow(events: DataFrame, key: str = "job_id", at: str = "at", to: str = "to_state", order: str = "event_id") -> DataFrame:
+    """Per job the state after its ordered events; moves that aren't allowed are passed over and counted."""
+    maps = workflow_maps(events, key, at, to, order)
+    per = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("stretch", "maps", "events"))).alias("x"))
+    none = F.lit(None).cast("timestamp")
+    return per.select(key, composed(F.col("x"), F.lit("normal"), none, none, F.lit(0), F.lit(0)).alias("s")).select(key, "s.state", "s.applied_at", "s.closed_at", F.col("s.ignored").cast("int").alias("ignored"), "s.events")
+
+
+def continued(states: DataFrame, events: DataFrame, key: str = "job_id") -> DataFrame:
+    """The table of states (key, state, applied_at, closed_at, ignored, events) after further events."""
+    per = workflow_maps(events, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("stretch", "maps", "events"))).alias("x"))
+    both = states.join(per, key, "full")
+    empty = F.expr("cast(array() as " + per.schema["x"].dataType.simpleString() + ")")
+    moved = composed(F.coalesce("x", empty), F.coalesce("state", F.lit("normal")), F.col("applied_at"), F.col("closed_at"), F.coalesce("ignored", F.lit(0)), F.coalesce("events", F.lit(0)))
+    return both.select(key, moved.alias("s")).select(key, "s.*")
 
 
 def migrate_history(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hirelake.functions.text import shingles
+from hirelake.operators.clusters import cluster_components, written
 
 
 def blank(c: Column) -> Column:
@@ -63,6 +64,18 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, fields: list[st
     return both.select(key, change.alias("change")).where("change is not null")
 
 
+def input_fingerprint(rows: DataFrame, column: str) -> Column:
+    """SHA-256 over every leaf of a struct column, nested ones in place, each with its length; null is ``-``."""
+
+    def leaves(name: str, kind) -> list[Column]:
+        if hasattr(kind, "fields"):
+            return [c for f in kind.fields for c in leaves(f"{name}.`{f.name}`", f.dataType)]
+        text = F.col(name).cast("string")
+        return [F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))]
+
+    return F.sha2(F.concat_ws(",", *leaves(column, rows.schema[column].dataType)), 256)
+
+
 def dedup_population(rows: DataFrame, key: str, text_hash: str, at: str, tie: str) -> DataFrame:
     """Every row with why it is dropped (older copy of its id, then of its text) or kept."""
     by_key = W.partitionBy(key).orderBy(F.desc(at), tie)
@@ -72,15 +85,15 @@ def dedup_population(rows: DataFrame, key: str, text_hash: str, at: str, tie: st
     return kept.unionByName(marked.where("copy > 1").withColumn("reason", F.lit("duplicate_id")).drop("copy"))
 
 
-def exclude_known(rows: DataFrame, exclusions: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows matching none of the excluded (kind, value); one anti join over all kinds.
+def exclude_known(rows: DataFrame, exclusions: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
+    """Each row with the reason why it is excluded, or null; one join over all kinds of (kind, value).
 
-    A row with several keys is dropped by any of them; the first kind in ``keys`` is its reason.
+    A row is excluded by any of its keys (columns); the first in ``keys`` that matches is its reason.
     """
     each = rows.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for i, k in enumerate(keys)])).alias("k"))
     hits = each.select("*", "k.i", "k.kind", "k.value").join(exclusions.select("kind", "value").distinct(), ["kind", "value"])
-    first = hits.groupBy("posting_no").agg(F.min_by("kind", "i").alias("reason"))
-    return rows.join(first, "posting_no", "left")
+    first = hits.groupBy(id_col).agg(F.min_by("kind", "i").alias("reason"))
+    return rows.join(first, id_col, "left")
 
 
 def merge_identity_variants(rows: DataFrame) -> DataFrame:
@@ -131,21 +144,54 @@ def detail_budget(candidates: DataFrame, details: int, revalidations: int, per:
     return ranked.withColumn("fetch", take)
 
 
+def ranked(rows: DataFrame, order: list) -> DataFrame:
+    """The rows with their ``place`` (from 1) in one order of all of them.
+
+    A range sort deals the order over all tasks; each row's place is its place in its part plus the parts before it,
+    of which only the counts are summed up.
+    """
+    part = rows.sort(*order).withColumn("__part", F.spark_partition_id())
+    sorted_rows = written(part.withColumn("__in", F.monotonically_increasing_id()), "ranked")
+    counts = sorted_rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__part", before.alias("__before"))  # one row a part
+    inside = F.col("__in") - F.col("__part").cast("long") * F.lit(1 << 33)  # ids count from 0 in each part
+    return sorted_rows.join(F.broadcast(starts), "__part").withColumn("place", F.col("__before") + inside + 1).drop("__part", "__in", "__before")
+
+
 def near_duplicates(docs: DataFrame, threshold: float, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b, similarity) of texts whose shingle sets have the Jaccard similarity, a < b.
+    """One row per document: its class (equal shingle sets, by the smallest id), the class's links to classes of
+    Jaccard similarity ``threshold`` or more, and the smallest id that links reach.
 
-    Equal sets are one class here, known by its smallest id.  Candidates share one of their rarest
-    shingles: sets ordered by corpus frequency meet in their first n - ceil(t n) + 1 members.
+    Documents without a word are a class, and a component, of their own.
+    """
+    hashes = F.array_sort(F.transform(shingles(F.col(text_col), size), lambda s: F.xxhash64(s)))
+    known = docs.select(F.col(id_col).alias("id"), hashes.alias("s"))
+    # A class is known by two hashes of its sorted set; the set itself is carried by one row of it.
+    keyed = known.select("id", F.size("s").alias("n"), F.xxhash64("s").alias("k1"), F.xxhash64("s", F.lit(1)).alias("k2"), "s")
+    classes = keyed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("class_id"), F.any_value("s").alias("s"))
+    classes = written(classes, "duplicate-classes")
+    pairs = written(similar_sets(classes.select(F.col("class_id").alias("id"), "n", "s"), threshold), "duplicate-pairs")
+    ends = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = ends.groupBy(F.col("a").alias("class_id")).agg(F.count("*").alias("links"))
+    found = cluster_components(pairs.select("a", "b")).withColumnRenamed("node", "class_id")
+    by_class = classes.select("k1", "k2", "n", "class_id").join(links, "class_id", "left").join(found, "class_id", "left")
+    out = keyed.select("id", "k1", "k2", "n").join(by_class, ["k1", "k2", "n"], "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("cluster", "class_id", "id").alias("component_id"))
+
+
+def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity), a < b, of different sets (id, n, s).
+
+    Candidates share one of their rarest members: sets ordered by corpus frequency meet in their first
+    n - ceil(t n) + 1 members, of which those that no other set has can't meet and only use up places.
     """
-    sets = docs.select(F.col(id_col).alias("id"), F.transform(shingles(F.col(text_col), size), lambda s: F.xxhash64(s)).alias("s")).where(F.size("s") > 0)
-    sets = sets.groupBy(F.array_sort("s").alias("s")).agg(F.min("id").alias("id"))
-    each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
-    frequency = each.groupBy("h").agg(F.count("*").alias("df"))
-    ranked = each.join(frequency, "h").where("df > 1").withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("df", "h")))
-    once = each.groupBy("id").agg(F.count("*").alias("total"))
-    # Shingles that no other set has come first in the order and can't meet; they use up places.
-    shared = ranked.join(ranked.groupBy("id").agg(F.count("*").alias("shared")).join(once, "id"), "id")
-    prefix = shared.where(F.col("place") + F.col("total") - F.col("shared") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "n", "h")
+    each = sets.select("id", "n", F.explode("s").alias("h"))
+    shared = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(shared, "h")
+    own = ranked.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("m"))
+    room = F.col("n") - F.ceil(F.col("n") * threshold) + 1 - (F.col("n") - F.size("m"))
+    prefix = own.where(room > 0).select("id", "n", F.explode(F.slice("m", F.lit(1), room.cast("int"))).alias("m")).select("id", "n", "m.h")
     x, y = prefix.alias("x"), prefix.alias("y")
     pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id"))).where(F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")

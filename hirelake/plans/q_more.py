@@ -19,14 +19,13 @@ from .registry import query
 P = f"WITH postings AS ({POSTINGS_SQL})"
 
 
-@query(P + " SELECT company_id, external_path, title, length(html) AS n FROM postings WHERE posting_no % 20 = 1")
+@query(P + " SELECT company_id, external_path, title, length(html) AS n FROM postings")
 def explode_cache_documents(spark, sf):
-    """Write postings as cache documents (one per company and bucket) and read them again."""
-    p = postings(spark, sf).where("posting_no % 20 = 1")
+    """Write postings as cache documents, each of one company and a range of numbers, and read them again."""
     job = F.struct(F.col("external_path").alias("externalPath"), "title", F.col("html").alias("descriptionHtml"), F.lit(None).cast("string").alias("descriptionCompressed"))
-    docs = p.groupBy(F.col("company_id").alias("companyId"), (F.col("posting_no") % 7).alias("b")).agg(F.collect_list(job).alias("jobs")).select(F.lit(1).alias("schemaVersion"), "companyId", "jobs")
+    docs = postings(spark, sf).groupBy(F.col("company_id").alias("companyId"), F.floor(F.col("posting_no") / 8000).alias("range")).agg(F.collect_list(job).alias("jobs"))
     path = S.scratch(spark, "cache-documents")
-    docs.repartition(5).write.option("maxRecordsPerFile", 1).json(path)
+    docs.select(F.lit(1).alias("schemaVersion"), "companyId", "jobs").write.option("maxRecordsPerFile", 1).json(path)
     return S.explode_cache_documents(spark, path).select("company_id", F.col("externalPath").alias("external_path"), "title", F.length("descriptionHtml").cast("long").alias("n"))
 
 
@@ -56,11 +55,14 @@ def publish(spark, sf):
     return S.publish(table(spark, sf, "customer"), S.scratch(spark, "published"), ["c_custkey", "c_name", "c_mktsegment"]).select("n_rows")
 
 
-@query()
+LEAF = "coalesce(length({0}) || ':' || {0}, '-')"
+
+
+@query(P + " SELECT posting_no, sha256(concat_ws(',', " + ", ".join(LEAF.format(c) for c in ("title", "html", "primary_location", "country", "requisition_id", "company_id")) + ")) AS fingerprint FROM postings")
 def input_fingerprint(spark, sf):
     """Digest of every input that a classification reads, nested facts included."""
-    facts = F.struct("title", "html", F.struct("primary_location", "country").alias("place"), F.array("requisition_id", "company_id").alias("ids"))
-    return postings(spark, sf).select("posting_no", F.sha2(F.to_json(facts), 256).alias("fingerprint"))
+    p = postings(spark, sf).select("posting_no", F.struct("title", "html", F.struct("primary_location", "country").alias("place"), F.struct("requisition_id", "company_id").alias("ids")).alias("input"))
+    return p.select("posting_no", I.input_fingerprint(p, "input").alias("fingerprint"))
 
 
 @query(BODY + " SELECT posting_no % 3 = 0 AS stale, count(*) AS inspected, count(*) FILTER (posting_no % 3 = 0) AS recomputed, count(*) FILTER (posting_no % 6 = 0) AS repaired FROM bodies GROUP BY 1")
@@ -83,23 +85,29 @@ def title_similarity_pairs(spark, sf):
     return C.title_similarity_pairs(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), 0.8)
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id AS a, user_id + 1 + event_id % 3 * 50 AS b FROM events WHERE event_id % 40 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_name) AS member_of FROM part")
+def title_members(spark, sf):
+    return C.title_members(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")))
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id AS a, -user_id - 1 AS b FROM events UNION SELECT -user_id - 1, -(user_id // 3 * 3) - 1 FROM events), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS t FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.t = u.a) SELECT node, min(t) AS cluster FROM r GROUP BY 1""")
 def cluster_components(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 40 = 0")
-    return C.cluster_components(e.select(F.col("user_id").alias("a"), (F.col("user_id") + 1 + F.col("event_id") % 3 * 50).alias("b")))
+    """Events of a user, and of three neighbouring users, are one cluster."""
+    e, user = table(spark, sf, "events"), -F.col("user_id") - 1
+    groups = e.select(user.alias("a"), (-F.floor(F.col("user_id") / 3) * 3 - 1).alias("b")).distinct()
+    return C.cluster_components(e.select(F.col("event_id").alias("a"), user.alias("b")).union(groups))
 
 
-QUEUE = "q AS (SELECT posting_no AS case_id, CASE WHEN posting_no % 2 = 0 THEN 'KEEP' ELSE 'REJECT' END AS machine FROM postings WHERE posting_no % 30 = 2), v AS (SELECT posting_no AS case_id, 1 AS revision, 'KEEP' AS decision FROM postings WHERE posting_no % 60 = 2 UNION ALL SELECT posting_no, 2, 'REJECT' FROM postings WHERE posting_no % 120 = 2)"
+QUEUE = "q AS (SELECT posting_no AS case_id, CASE WHEN is_available THEN 'KEEP' ELSE 'REJECT' END AS machine FROM postings), v AS (SELECT l_orderkey AS case_id, l_linenumber AS revision, CASE WHEN l_returnflag = 'R' THEN 'REJECT' ELSE 'KEEP' END AS decision FROM lineitem WHERE l_returnflag <> 'N')"
 
 
-@query(P + f", {QUEUE}, l AS (SELECT case_id, arg_max(decision, revision) AS decision FROM v GROUP BY 1) SELECT coalesce(decision, 'open') AS state, count(*) AS n, count(*) FILTER (decision <> machine) AS disagrees FROM q LEFT JOIN l USING (case_id) GROUP BY 1")
+@query(P + f", {QUEUE}, l AS (SELECT case_id, arg_max(decision, (revision, decision)) AS decision FROM v GROUP BY 1) SELECT coalesce(decision, 'open') AS state, count(*) AS n, count(*) FILTER (decision <> machine) AS disagrees FROM q LEFT JOIN l USING (case_id) GROUP BY 1")
 def review_status(spark, sf):
-    p = postings(spark, sf)
-    case = F.col("posting_no").alias("case_id")
-    queue = p.where("posting_no % 30 = 2").select(case, F.when(F.col("posting_no") % 2 == 0, "KEEP").otherwise("REJECT").alias("machine"))
-    rev = lambda k, n, d: p.where(f"posting_no % {k} = 2").select(case, F.lit(n).alias("revision"), F.lit(d).alias("decision"))
-    s = V.review_status(queue, rev(60, 1, "KEEP").union(rev(120, 2, "REJECT")))
+    """Every posting is a case; returned or accepted order lines are its revisions."""
+    queue = postings(spark, sf).select(F.col("posting_no").alias("case_id"), F.when(F.col("is_available"), "KEEP").otherwise("REJECT").alias("machine"))
+    lines = table(spark, sf, "lineitem").where("l_returnflag <> 'N'")
+    s = V.review_status(queue, lines.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("revision"), F.when(F.col("l_returnflag") == "R", "REJECT").otherwise("KEEP").alias("decision")))
     return s.groupBy("state").agg(F.count("*").alias("n"), F.count_if("disagrees").alias("disagrees"))
 
 
@@ -113,12 +121,22 @@ def fresh_observations(spark, sf):
     return V.fresh_observations(e.select("key", "ts", "event_id"), e.where("user_id % 5 = 0").select("key").distinct(), start_of(spark, sf))
 
 
-@query()
+REVIEW = BODY + f""", t AS (SELECT posting_no AS case_id, company_id AS employer, list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(body), '[^a-z]+', ' ', 'g'), ' '), lambda w: length(w) > 1))) AS tokens,
+  CASE WHEN posting_no % 3 = 0 THEN 2.0 ELSE 0 END + CASE WHEN posting_no % 4 = 0 THEN 3.0 ELSE 0 END + CASE WHEN posting_no % 7 = 0 THEN 3.0 ELSE 0 END + CASE WHEN posting_no % 2 = 0 THEN 1.0 ELSE 0 END AS score FROM bodies),
+s AS (SELECT * FROM t WHERE score >= 4), prior AS MATERIALIZED (SELECT DISTINCT tokens FROM t WHERE case_id IN (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 12)),
+f AS (SELECT case_id, employer, score::DOUBLE AS score FROM s WHERE NOT EXISTS (SELECT 1 FROM prior p WHERE len(list_intersect(s.tokens, p.tokens)) / (len(s.tokens) + len(p.tokens) - len(list_intersect(s.tokens, p.tokens))) >= 0.8)),
+k AS (SELECT *, row_number() OVER (PARTITION BY employer ORDER BY score DESC, case_id) AS turn FROM f)
+SELECT case_id, employer, score, (row_number() OVER (ORDER BY turn, score DESC, case_id))::INT AS place FROM k WHERE turn <= 6 ORDER BY turn, score DESC, case_id LIMIT 24"""
+
+
+@query(REVIEW)
 def select_review_cases(spark, sf):
+    """Cases with reasons, unlike the reviewed ones: the postings of the twelve largest orders."""
     n = F.col("posting_no")
     reasons = F.array_compact(F.array(F.when(n % 3 == 0, "new_employer"), F.when(n % 4 == 0, "rule_conflict"), F.when(n % 7 == 0, "title_only"), F.when(n % 2 == 0, "rare_tokens")))
     p = postings(spark, sf).select(n.alias("case_id"), F.col("company_id").alias("employer"), T.token_set(T.html_to_text(F.col("html"))).alias("tokens"), reasons.alias("reasons"))
-    return V.select_review_cases(p, p.where("case_id % 997 = 1").select("case_id", "tokens"))
+    top = table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(12).select(F.col("o_orderkey").alias("case_id"))
+    return V.select_review_cases(p, p.join(top, "case_id", "left_semi").select("case_id", "tokens"))
 
 
 @query("SELECT time_bucket(INTERVAL 10 SECOND, ts) AS window_start, event_type AS rule_id, count(*) AS matches FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 10 SECOND, ts) + INTERVAL 10 SECOND <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
@@ -134,24 +152,14 @@ def stream_discovery(spark, sf):
 @query(FOLD_SQL.replace("SELECT job_id, state, applied_at, closed_at, ignored FROM f", "SELECT job_id, state, n AS events, ignored::BIGINT AS ignored FROM f"))
 def stream_workflow(spark, sf):
     e = J.events_stream(spark, sf).select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), "event_id", F.expr(ACTION).alias("to_state"))
-    states = J.stream_workflow(e)
-    path = S.scratch(spark, "workflow")
-    J.run_batches(states, lambda df, k: df.write.mode("append").parquet(path), "workflow-state")
-    rows = spark.read.schema(states.schema).parquet(path)
-    return rows.groupBy("job_id").agg(F.max_by("state", "events").alias("state"), F.max("events").alias("events"), F.max("ignored").alias("ignored"))
+    return J.stream_workflow(e).select("job_id", "state", "events", "ignored")
 
 
-@query("SELECT event_type, count(*) AS n FROM (SELECT event_type, user_id FROM events GROUP BY 1, 2) GROUP BY 1")
+@query("WITH k AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, 'added' AS change, count(*) AS n FROM k GROUP BY 1")
 def stream_refresh(spark, sf):
     """Each batch is merged into the cache table; only changed keys are written."""
-    path = S.scratch(spark, "refresh")
-
-    def merge(batch, k):
-        batch.select("event_type", "user_id").distinct().write.mode("overwrite").parquet(f"{path}/{k}")
-
-    J.run_batches(J.events_stream(spark, sf), merge, "refresh-state")
-    rows = spark.read.option("recursiveFileLookup", True).schema("event_type string, user_id long").parquet(path).distinct()
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"))
+    rows = J.stream_refresh(J.events_stream(spark, sf), ["event_type", "user_id"], ["value", "props"], ["ts", "event_id"])
+    return rows.groupBy("event_type", "change").agg(F.count("*").alias("n"))
 
 
 @query()

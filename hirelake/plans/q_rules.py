@@ -33,7 +33,12 @@ def match_concepts(spark, sf):
     return matches(spark, sf)
 
 
-@query()
+NEGATED = BODY + """, z AS (SELECT posting_no, string_split_regex(body, '(?i)clearance|travel') AS b, regexp_extract_all(body, '(?i)clearance|travel') AS h FROM bodies),
+f AS (SELECT posting_no, list_filter(list_transform(range(1, len(h) + 1), lambda i: CASE WHEN NOT regexp_matches(rtrim(right(b[i], 60)), '""" + R.NEGATION.replace("'", "''") + """') THEN h[i] END), lambda x: x IS NOT NULL) AS hits FROM z)
+SELECT posting_no, hits[1] AS hit FROM f"""
+
+
+@query(NEGATED)
 def negated_match(spark, sf):
     """First mention of a clearance or travel that isn't negated closely before."""
     return bodies(spark, sf).select("posting_no", R.first_not_negated(F.col("body"), "(?i)clearance|travel").alias("hit"))

@@ -58,7 +58,7 @@ def workflow_events(spark, sf):
 
 @query(FOLD_SQL)
 def fold_workflow(spark, sf):
-    return H.fold_workflow(workflow_events(spark, sf))
+    return H.fold_workflow(workflow_events(spark, sf)).drop("events")
 
 
 @query(P + """, r AS (SELECT CASE WHEN posting_no % 2 = 0 THEN stable_id ELSE 'x' || posting_no END AS stable_id, company_id, posting_no % 3 = 0 AS saved, posting_no % 4 = 0 AS applied, posting_no % 5 = 0 AS dismissed, posting_no % 8 = 0 AS closed, CASE WHEN posting_no % 16 = 0 THEN start_date END AS applied_on FROM j)

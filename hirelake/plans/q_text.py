@@ -243,12 +243,9 @@ def detail_budget(spark, sf):
     return I.detail_budget(c, 200, 25).where("fetch").select("company_id", "external_path", "is_new")
 
 
-@query(P + " SELECT posting_no, (row_number() OVER (PARTITION BY company_id ORDER BY is_available DESC, start_date DESC NULLS LAST, title, posting_no))::INT AS place FROM postings")
+@query(P + " SELECT posting_no, row_number() OVER (ORDER BY is_available DESC, start_date DESC NULLS LAST, title, posting_no) AS place FROM postings")
 def rank_postings(spark, sf):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("company_id").orderBy(F.desc("is_available"), F.desc_nulls_last("start_date"), "title", "posting_no")
-    return postings(spark, sf).select("posting_no", F.row_number().over(w).alias("place"))
+    return I.ranked(postings(spark, sf).select("posting_no", "is_available", "start_date", "title"), [F.desc("is_available"), F.desc_nulls_last("start_date"), "title", "posting_no"]).select("posting_no", "place")
 
 
 @query("""WITH r AS (SELECT doc_id, source || '-' || (doc_id % 300) AS key, sha256(lower(text)) AS h, n_chars AS made FROM documents),
@@ -274,7 +271,7 @@ SELECT posting_no, CASE WHEN title IN (SELECT value FROM x WHERE kind = 'title')
 def exclude_known(spark, sf):
     p = postings(spark, sf)
     x = p.where("posting_no < 20 and posting_no % 9 = 5").select(F.lit("title").alias("kind"), F.col("title").alias("value")).union(p.where("posting_no % 50 = 7").select(F.lit("external_path"), "external_path"))
-    return I.exclude_known(p.select("posting_no", "title", "external_path"), x, ["title", "external_path"]).select("posting_no", "reason")
+    return I.exclude_known(p.select("posting_no", "title", "external_path"), x, ["title", "external_path"], "posting_no").select("posting_no", "reason")
 
 
 SHINGLES_SQL = """w AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM documents),
@@ -283,6 +280,8 @@ c AS (SELECT min(doc_id) AS id, s FROM s WHERE len(s) > 0 GROUP BY s), e AS (SEL
 p AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM e x JOIN e y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2)"""
 
 
-@query(f"WITH {SHINGLES_SQL} SELECT a, b, k / (len(x.s) + len(y.s) - k) AS similarity FROM p JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE k / (len(x.s) + len(y.s) - k) >= 0.8")
+@query(f"""WITH RECURSIVE {SHINGLES_SQL}, q AS (SELECT a, b FROM p JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE k / (len(x.s) + len(y.s) - k) >= 0.8),
+u AS (SELECT a, b FROM q UNION ALL SELECT b, a FROM q), r AS (SELECT id AS n, id AS t FROM c UNION SELECT r.n, u.b FROM r JOIN u ON r.t = u.a), m AS (SELECT n, min(t) AS t FROM r GROUP BY n), l AS (SELECT a, count(*) AS links FROM u GROUP BY 1)
+SELECT doc_id, coalesce(c.id, doc_id) AS class_id, coalesce(links, 0)::BIGINT AS links, coalesce(m.t, doc_id) AS component_id FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN l ON l.a = c.id LEFT JOIN m ON m.n = c.id""")
 def near_duplicates(spark, sf):
     return I.near_duplicates(table(spark, sf, "documents"), 0.8)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hirelake.operators.history import TRANSITIONS
+from hirelake.operators.history import continued
+from hirelake.operators.identity import snapshot_diff
 from hirelake.sources.cache import scratch
 
+WORKFLOW = "job_id long, state string, applied_at timestamp, closed_at timestamp, ignored long, events long"
+
 
 def events_stream(spark: SparkSession, sf_dir: str, late: str = "1 hour") -> DataFrame:
     """The events table as a file stream with a watermark."""
@@ -41,25 +43,55 @@ def stream_discovery(events: DataFrame, start) -> DataFrame:
 
 
 def stream_workflow(events: DataFrame) -> DataFrame:
-    """State per job, kept between batches; moves that aren't allowed are counted and ignored.
+    """State per job after the stream's events (job_id, at, event_id, to_state).
 
-    events: job_id, at, event_id, to_state. Each batch emits the state of the jobs it touched.
+    Each batch is folded into a new version of the state table below the shared folder, so a batch that runs again
+    leaves the same version; a hot job's events are folded in stretches by many tasks.
     """
+    spark, path = events.sparkSession, scratch(events.sparkSession, "workflow")
+
+    def version(k: int, session: SparkSession = spark) -> DataFrame:
+        return session.read.schema(WORKFLOW).parquet(f"{path}/{k}")
+
+    last = [-1]
+
+    def apply(batch: DataFrame, k: int) -> None:
+        own = batch.sparkSession
+        states = version(k - 1, own) if k else own.createDataFrame([], WORKFLOW)
+        continued(states, batch).write.mode("overwrite").parquet(f"{path}/{k}")
+        last[0] = k
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, n, ignored = state.get if state.exists else ("normal", 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])  # one job's new events
-        for to in rows["to_state"]:
-            if to == now or to in TRANSITIONS[now]:
-                now = to
-            else:
-                ignored += 1
-            n += 1
-        state.update((now, n, ignored))
-        yield pd.DataFrame({"job_id": [key[0]], "state": [now], "events": [n], "ignored": [ignored]})
-
-    schema = "job_id long, state string, events long, ignored long"
-    return events.groupBy("job_id").applyInPandasWithState(fold, schema, "state string, events long, ignored long", "update", GroupStateTimeout.NoTimeout)
+    run_batches(events, apply, "workflow-state", "append")
+    return version(last[0]) if last[0] >= 0 else spark.createDataFrame([], WORKFLOW)
+
+
+def stream_refresh(listings: DataFrame, key: list[str], fields: list[str], order: list[str]) -> DataFrame:
+    """Changes (key, batch, change) that each batch of listings makes to the cache: added or changed rows.
+
+    A batch's latest row of each key is compared with the cached one (``snapshot_diff``); the cache gets a new
+    version with the batch merged in.  Rows of other keys stay.
+    """
+    spark, path = listings.sparkSession, scratch(listings.sparkSession, "refresh")
+    cached = listings.select(*key, *fields, *order).schema
+    made = [0]
+
+    def apply(batch: DataFrame, k: int) -> None:
+        own = batch.sparkSession
+        old = own.read.schema(cached).parquet(f"{path}/cache/{k - 1}") if k else own.createDataFrame([], cached)
+        latest = F.max_by(F.struct(*fields, *order), F.struct(*order)).alias("row")
+        now = batch.groupBy(*key).agg(latest).select(*key, "row.*")
+        met = old.join(now.select(*key), key, "left_semi")
+        one = F.concat_ws("|", *key).alias("__key")
+        diff = snapshot_diff(met.select("*", one), now.select("*", one), "__key", fields)
+        diff.join(now.select(one, *key), "__key").select(*key, F.lit(k).alias("batch"), "change").write.mode("overwrite").parquet(f"{path}/changes/{k}")
+        rest = old.join(now.select(*key), key, "left_anti")
+        rest.unionByName(now).write.mode("overwrite").parquet(f"{path}/cache/{k}")
+        made[0] = k + 1
+
+    run_batches(listings, apply, "refresh-state", "append")
+    schema = listings.select(*key).withColumns({"batch": F.lit(0), "change": F.lit("")}).schema
+    rows = [spark.read.schema(schema).parquet(f"{path}/changes/{k}") for k in range(made[0])]
+    return reduce(DataFrame.unionByName, rows, spark.createDataFrame([], schema))
 
 
 def run_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None], name: str, mode: str = "update") -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from hirelake.functions import text as T
 from hirelake.operators import clusters, history, identity, metrics, rules, search
 from hirelake.sources import cache
+from hirelake.streaming import jobs
 
 
 def one(spark, column, **values):
@@ -62,7 +63,41 @@ def test_order_of_input_does_not_matter(spark):
 def test_near_duplicates_of_empty_and_equal_texts(spark):
     words = " ".join(f"w{i}" for i in range(40))
     d = spark.createDataFrame([(1, words), (2, words), (3, words + " end"), (4, None), (5, "")], "doc_id long, text string")
-    assert [(r.a, r.b) for r in identity.near_duplicates(d, 0.8).collect()] == [(1, 3)]
+    got = sorted((r.doc_id, r.class_id, r.links, r.component_id) for r in identity.near_duplicates(d, 0.8).collect())
+    assert got == [(1, 1, 1, 1), (2, 1, 1, 1), (3, 3, 1, 1), (4, 4, 0, 4), (5, 5, 0, 5)]
+
+
+def test_stretches_of_a_job_compose(spark):
+    """One stretch, many stretches, and batch after batch lead to the same states."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(k % 3, f"2024-01-01 {rng.randrange(24):02d}:{rng.randrange(60):02d}:00", k, rng.choice(list(history.TRANSITIONS))) for k in range(400)]
+    e = spark.createDataFrame(rows, "job_id long, at string, event_id long, to_state string").withColumn("at", F.col("at").cast("timestamp"))
+    want = {}
+    for job, at, _, to in sorted(rows, key=lambda r: (r[1], r[2])):
+        now, applied, closed, ignored = want.get(job, ("normal", None, None, 0))
+        if to == now:
+            pass
+        elif to in history.TRANSITIONS[now]:
+            applied = at if to == "applied" else None if to in ("normal", "saved") else applied
+            closed = at if to == "closed" else None
+            now = to
+        else:
+            ignored += 1
+        want[job] = now, applied, closed, ignored
+    plain = lambda df: {r.job_id: (r.state, r.applied_at and str(r.applied_at), r.closed_at and str(r.closed_at), r.ignored) for r in df.collect()}
+    assert plain(history.fold_workflow(e)) == want
+    states = spark.createDataFrame([], jobs.WORKFLOW)
+    for a, b in (("00", "07"), ("07", "12"), ("12", "24")):
+        states = history.continued(states, e.where(F.date_format("at", "HH").between(a, f"{int(b) - 1:02d}")))
+    assert plain(states) == want
+
+
+def test_rank_over_many_parts(spark):
+    d = spark.range(500).select("id", (F.col("id") * 7919 % 101).alias("v")).repartition(7)
+    got = {r.id: r.place for r in identity.ranked(d, ["v", F.desc("id")]).collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(range(500), key=lambda k: (k * 7919 % 101, -k)) and min(got.values()) == 1
 
 
 def test_components_of_a_long_chain(spark):
