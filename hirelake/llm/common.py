@@ -50,6 +50,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
 ARROW_BYTES = 8 << 20
 
 
+@contextlib.contextmanager
+def freeing(spark: SparkSession):
+    """Within it, a query's shuffle files go when the query ends, not when the driver forgets the table.
+
+    For steps whose results are written or checkpointed: nothing reads their shuffles again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once a session, and bound Arrow batches by bytes."""
     context = spark.sparkContext

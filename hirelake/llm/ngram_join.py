@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, only, saved, shuffle_partitions
+from .common import checkpointed, freeing, only, saved, shuffle_partitions
 from .words import chunks, mixed, word_hashes
 
 PERCENT, WORDS = 85, 4
@@ -311,8 +311,18 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 def linked(documents: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
-    spark = documents.sparkSession
     docs = only(documents, doc_id=id_col, text=text_col)
+    with freeing(documents.sparkSession):
+        rows, classes, roots = _linked(docs, percent, words)
+    grouped = classes.join(roots, classes.fp == roots.node, "left").select("fp", "n_shingles", "doc_id", F.coalesce("root", "fp").alias("root"))
+    smallest = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    by_class = grouped.join(smallest, "root").select("fp", "n_shingles", "component_id")
+    return rows.join(by_class, ["fp", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _linked(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, fp), classes (fp, n_shingles, doc_id) and the components (node, root) of classes."""
+    spark = docs.sparkSession
     first = saved(_sets(docs, words), "shingle-sets")
     rows = first.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "fp")
     frequent = _place_bits(first.where("kind = 1").select(F.col("id").alias("place")).distinct(), COUNT_PLACES)
@@ -336,10 +346,7 @@ def linked(documents: DataFrame, percent: int = PERCENT, words: int = WORDS, id_
     rest = checkpointed(_apart(stars, roots, sets, percent))
     if not rest.isEmpty():
         roots = joined(roots, verified(rest, sets, percent))
-    grouped = classes.join(roots, classes.fp == roots.node, "left").select("fp", "n_shingles", "doc_id", F.coalesce("root", "fp").alias("root"))
-    smallest = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_class = grouped.join(smallest, "root").select("fp", "n_shingles", "component_id")
-    return rows.join(by_class, ["fp", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows, classes, roots
 
 
 def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
