@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.llm import langid, mixing, ngram_join, packing, pii
-from hirelake.llm.common import saved, ship, table
+from hirelake.llm.common import freeing, saved, ship, table
 from hirelake.llm.queries import tokenizer_path
 
 #: Below this cosine with every prototype a text is in none of the languages: three deviations of unrelated vectors, whose
@@ -36,11 +36,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     key = F.xxhash64("doc_id", "text", F.length("text"))
     keyed = docs.select(key.alias("row_key"), "text")
     linked = ngram_join.linked(keyed, percent=80, words=5, id_col="row_key").withColumnRenamed("doc_id", "row_key")
-    linked = saved(linked, "pipeline-linked")
-    # Only rows in groups are told apart; a group is known by its smallest key.
-    groups = linked.where("n_shingles > 0").groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    grouped = linked.where("n_shingles > 0").join(groups, "component_id", "left_semi").select("row_key", "component_id").distinct()
-    return _firsts(docs, key, linked, saved(grouped, "pipeline-grouped"))
+    with freeing(spark):
+        linked = saved(linked, "pipeline-linked")
+        # Only rows in groups are told apart; a group is known by its smallest key.
+        groups = linked.where("n_shingles > 0").groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+        grouped = linked.where("n_shingles > 0").join(groups, "component_id", "left_semi").select("row_key", "component_id").distinct()
+        return _firsts(docs, key, linked, saved(grouped, "pipeline-grouped"))
 
 
 def _firsts(docs: DataFrame, key: Column, linked: DataFrame, grouped: DataFrame) -> DataFrame:
