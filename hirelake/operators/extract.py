@@ -1,4 +1,5 @@
-"""Facts from posting text: segments against pattern tables, reduced per posting by priority."""
+"""Observations from posting text: every amount of money, and every clause that speaks of a domain, with its scope,
+obligation, polarity, timing and alternatives; links between claims that contradict; checks of observations."""
 
 from __future__ import annotations
 
@@ -6,89 +7,109 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Pay patterns by priority (fixed order): two amounts, an optional k, and cues around them.
-PAY = (
-    ("summary", "(?i)pay range:\\s*\\$([0-9][0-9,]*(?:\\.[0-9]+)?)(k?)\\s*-\\s*\\$([0-9][0-9,]*(?:\\.[0-9]+)?)(k?)"),
-    ("standard", "(?i)salary:\\s*\\$([0-9][0-9,]*(?:\\.[0-9]+)?)(k?)\\s*(?:to|-)\\s*\\$([0-9][0-9,]*(?:\\.[0-9]+)?)(k?)"),
-)
-HOURLY, ANNUAL, ANNUAL_FROM = "(?i)per hour|hourly|/hr", "(?i)annual|per year|salary", 10_000
-#: Clearance levels, the strongest first.
-CLEARANCE = (("topSecretSCI", "(?i)top secret/sci|ts/sci"), ("topSecret", "(?i)top secret"), ("secret", "(?i)\\bsecret\\b"))
-NO_CLEARANCE, LOOK_BACK = "(?i)no clearance (?:is )?(?:needed|required)", 220
-#: Degrees with their ranks.
-DEGREES = (("doctorate", 5, "(?i)\\b(?:ph\\.?d|doctorate)"), ("master", 4, "(?i)\\bmaster'?s?\\b"), ("bachelor", 3, "(?i)\\bbachelor'?s?\\b"), ("associate", 2, "(?i)\\bassociate degree"), ("highSchool", 1, "(?i)high school|\\bged\\b"))
-#: Sponsorship and eligibility rules in order; the first that speaks decides.
-SPONSOR = (("none", "(?i)unable to sponsor|no (?:visa )?sponsorship|not sponsor"), ("available", "(?i)sponsorship is available|will sponsor"))
-ELIGIBLE = (("citizen", "(?i)citizenship is required|must be a u\\.?s\\.? citizen"), ("authorized", "(?i)authorized to work"))
-AWAY = (("deployment", "(?i)deployment"), ("relocation", "(?i)relocation"), ("rotation", "(?i)rotation(?:al)? (?:shift|schedule)"))
-DAYS, LEAST_AWAY_DAYS = {"day": 1, "week": 7, "month": 30}, 28
+_CURRENCY, _NUMBER = "(usd|cad|eur|gbp|\\$|€|£)", "([0-9][0-9,]*(?:\\.[0-9]+)?)(k?)"
+#: One amount, or a range of two: currency, digits, scale, and the same of the upper bound.
+MONEY = f"(?i){_CURRENCY}\\s?{_NUMBER}\\b(?:\\s*(?:-|to)\\s*{_CURRENCY}?\\s?{_NUMBER}\\b)?"
+#: Codes by sign; a dollar sign alone names no currency.
+CURRENCIES = {"usd": "USD", "cad": "CAD", "eur": "EUR", "gbp": "GBP", "€": "EUR", "£": "GBP"}
+HEADING = "(?i)^[a-z ]{3,30}$"
+UNITS = (("hour", "(?i)per hour|hourly|/hr"), ("month", "(?i)per month|a month|monthly"), ("year", "(?i)annual|per year|a year|salary|pay range"))
+BASIS = (("bonus", "(?i)\\bbonus\\b"), ("stipend", "(?i)\\bstipend\\b"), ("base", "(?i)\\bbase\\b|salary|pay"))
+PAY_CONTEXT = "(?i)\\b(?:pay|salary|compensation|bonus|stipend)\\b"
+
 OBLIGATION = (("not-required", "(?i)\\b(?:no|not)\\b[^.]*\\b(?:needed|required)\\b"), ("required", "(?i)\\b(?:required|must|requires)\\b"), ("preferred", "(?i)\\b(?:preferred|useful|plus)\\b"), ("optional", "(?i)\\b(?:optional|may)\\b"))
+NEGATED = "(?i)\\b(?:no|not|unable|without)\\b"
+TIMING = (("now-or-later", "(?i)now or in the future"), ("up-to-share", "(?i)up to [0-9]+%"), ("recurring", "(?i)\\b(?:days a week|per week|weekly)\\b"))
+#: What a claim of a domain says (domain, value, pattern), the first that holds.
+VALUES = (("sponsorship", "notAvailable", "(?i)unable to sponsor|without sponsorship|not available"), ("sponsorship", "available", "(?i)sponsorship is available|will sponsor"), ("arrangement", "remote", "(?i)work remotely|fully remote"), ("arrangement", "onsite", "(?i)on site|report to the office"))
+CLAUSE_END, BRANCH = "(?i)[;.]\\s+|[;.]$", "(?i) or "
 
 
-def first_of(text: Column, table, none=None) -> Column:
+def named(text: Column, table, none=None) -> Column:
     """Name of the first pattern that the text matches."""
     return F.coalesce(*[F.when(text.rlike(row[-1]), row[0]) for row in table], F.lit(none).cast("string"))
 
 
 def amount(digits: Column, k: Column) -> Column:
-    return F.replace(digits, F.lit(","), F.lit("")).cast("double") * F.when(F.lower(k) == "k", 1000).otherwise(1)
-
-
-def salary(body: Column) -> Column:
-    """struct(source, minimum, maximum, period) of the first pay pattern by priority, or null."""
-    out = []
-    for name, p in PAY:
-        g = lambda i, p=p: F.regexp_extract(body, p, i)
-        low, high = amount(g(1), g(2)), amount(g(3), g(4))
-        around = F.substring(body, F.greatest(F.regexp_instr(body, F.lit(p)), F.lit(1)), F.lit(90))
-        period = F.when(around.rlike(HOURLY), "hourly").when(around.rlike(ANNUAL) | (high >= ANNUAL_FROM), "annual").otherwise("unknown")
-        out.append(F.when(body.rlike(p), F.struct(F.lit(name).alias("source"), F.least(low, high).alias("minimum"), F.greatest(low, high).alias("maximum"), period.alias("period"))))
-    return F.coalesce(*out)
-
-
-def clearance(body: Column) -> Column:
-    """struct(level, requirement, polygraph): negated phrases go first, the strongest level wins."""
-    text = F.regexp_replace(body, NO_CLEARANCE, " ")
-    level = first_of(text, CLEARANCE, "none")
-    preferred = text.rlike("(?i)preferred:?[^.]{0,%d}(?:secret|clearance)" % LOOK_BACK)
-    need = F.when(level == "none", "none").when(preferred, "preferred").when(text.rlike("(?i)active [a-z ]*secret"), "activeRequired").when(text.rlike("(?i)clearance[^.]*required"), "mustPossess").otherwise("eligible")
-    return F.struct(level.alias("level"), need.alias("requirement"), text.rlike("(?i)polygraph").alias("polygraph"))
-
-
-def degrees(lines: DataFrame, key: str) -> DataFrame:
-    """lines: key, line_no, line. Per posting: minimum and preferred levels, years, requirement."""
-    section = F.last(F.when(F.col("line").rlike("(?i)^preferred"), "preferred").when(F.col("line").rlike("(?i)^require"), "required"), True).over(W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
-    rows = F.array_compact(F.array(*[F.when(F.col("line").rlike(p), F.struct(F.lit(n).alias("level"), F.lit(r).alias("rank"))) for n, r, p in DEGREES]))
-    years = F.expr("try_cast(regexp_extract(line, '([0-9]+) years', 1) as int)")
-    hits = lines.withColumns({"section": section, "years": years}).select(key, "line", "section", "years", F.inline(rows))
-    own = F.when(F.col("line").rlike("(?i)preferred"), "preferred").when(F.col("line").rlike("(?i)required"), "required").otherwise(F.coalesce("section", F.lit("stated")))
-    hits = hits.withColumn("requirement", own)
-    return hits.groupBy(key).agg(F.min_by("level", "rank").alias("minimum_level"), F.min_by("requirement", "rank").alias("requirement"), F.max("years").alias("years"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("requirement") == "preferred", F.col("level")))), ",").alias("preferred_levels"))
+    return F.replace(digits, F.lit(","), F.lit("")).try_cast("double") * F.when(F.lower(k) == "k", 1000).otherwise(1)
 
 
-def away_days(body: Column) -> Column:
-    """Longest stated stay in days near a word of presence."""
-    found = F.regexp_extract_all(body, F.lit("(?i)([0-9]+) (?:day|week|month)s? (?:deployment|assignment|rotation)"), F.lit(1))
-    unit = F.regexp_extract_all(body, F.lit("(?i)[0-9]+ (day|week|month)s? (?:deployment|assignment|rotation)"), F.lit(1))
-    factor = lambda u: F.when(F.lower(u) == "month", DAYS["month"]).when(F.lower(u) == "week", DAYS["week"]).otherwise(DAYS["day"])
-    return F.array_max(F.zip_with(found, unit, lambda n, u: n.cast("int") * factor(u)))
+def last_heading(key: str) -> Column:
+    """The heading at or above a line."""
+    return F.last(F.when(F.col("line").rlike(HEADING), F.col("line")), True).over(W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
 
 
 def money(lines: DataFrame, key: str) -> DataFrame:
-    """Every amount of each line with its place, unit and the last heading above it."""
-    heading = F.last(F.when(F.col("line").rlike("(?i)^[a-z ]{3,30}$"), F.col("line")), True).over(W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
-    found = F.regexp_extract_all("line", F.lit("\\$([0-9][0-9,]*(?:\\.[0-9]+)?)(k?)"), F.lit(1))
-    scale = F.regexp_extract_all("line", F.lit("\\$([0-9][0-9,]*(?:\\.[0-9]+)?)(k?)"), F.lit(2))
-    rows = lines.withColumn("heading", heading).select(key, "line_no", "line", "heading", F.posexplode(F.arrays_zip(found.alias("n"), scale.alias("k"))).alias("place", "m"))
-    unit = F.when(F.col("line").rlike(HOURLY), "hour").when(F.col("line").rlike(ANNUAL), "year").otherwise("unknown")
-    return rows.select(key, "line_no", "place", F.col("heading"), amount(F.col("m.n"), F.col("m.k")).alias("amount"), unit.alias("unit"))
+    """lines: key, line_no, line. Every amount or range: kind, bounds, currencies, unit, basis, qualifier, heading.
+
+    Bounds of two currencies keep no upper value; unit and basis come from the line, else from the heading above it.
+    """
+    g = [F.regexp_extract_all("line", F.lit(MONEY), F.lit(k)) for k in range(7)]
+    code = lambda c: F.coalesce(*[F.when(F.lower(c) == k, v) for k, v in CURRENCIES.items()], F.lit(None).cast("string"))
+    rows = lines.withColumn("heading", last_heading(key)).select(key, "line_no", "line", "heading", F.posexplode(F.arrays_zip(*[c.alias(f"g{k}") for k, c in enumerate(g)])).alias("place", "m"))
+    is_range = F.col("m.g5") != ""
+    rows = rows.withColumns({"is_range": is_range, "lower": amount(F.col("m.g2"), F.col("m.g3")), "upper": F.when(is_range, amount(F.col("m.g5"), F.col("m.g6"))), "currency": code(F.col("m.g1")), "second": F.when(F.col("m.g4") != "", code(F.col("m.g4"))).otherwise(code(F.col("m.g1")))})
+    mismatch = F.coalesce(F.col("is_range") & (F.col("currency") != F.col("second")), F.lit(False))
+    reversed_ = F.coalesce(F.col("lower") > F.col("upper"), F.lit(False))
+    explicit = F.col("line").rlike(PAY_CONTEXT) | F.coalesce(F.col("heading"), F.lit("")).rlike(PAY_CONTEXT)
+    qualifier = F.when(mismatch, "currency-mismatch-review").when(reversed_, "reversed-range-review").when(explicit, "explicit").otherwise("monetary-context-unresolved")
+    near = lambda table: F.coalesce(named(F.col("line"), table), named(F.coalesce(F.col("heading"), F.lit("")), table))
+    return rows.select(
+        key, "line_no", "place", F.when(F.col("is_range"), "range").otherwise("amount").alias("kind"), F.col("m.g0").alias("raw"), "lower", F.when(~mismatch, F.col("upper")).alias("upper"),
+        "currency", F.when(F.col("is_range"), F.col("second")).alias("upper_currency"), near(UNITS).alias("unit"), near(BASIS).alias("basis"), qualifier.alias("qualifier"), "heading",
+    )
 
 
 def clauses(lines: DataFrame, key: str, patterns: dict[str, str]) -> DataFrame:
-    """Clause branches of each line against the patterns: obligation and a stable observation id."""
-    each = lines.select(key, "line_no", F.posexplode(F.split("line", "(?i)[;.]\\s*")).alias("clause_no", "clause")).where(F.trim("clause") != "")
-    each = each.select(key, "line_no", "clause_no", F.posexplode(F.split("clause", "(?i) or ")).alias("branch_no", "branch"), "clause")
-    hits = F.array_compact(F.array(*[F.when(F.col("branch").rlike(p), F.lit(n)) for n, p in patterns.items()]))
-    out = each.select("*", F.explode(hits).alias("domain")).withColumn("obligation", first_of(F.col("clause"), OBLIGATION, "stated"))
-    oid = F.sha2(F.concat_ws("|", F.col(key).cast("string"), "line_no", "clause_no", "branch_no", "domain"), 256)
-    return out.withColumn("observation_id", F.substring(oid, 1, 16)).select(key, "observation_id", "line_no", "clause_no", "branch_no", "domain", "obligation")
+    """Every pattern's hits in the branches of each line's clauses.
+
+    A hit has a stable id, its span in the line, what its clause obliges to, polarity, timing, the heading above it, the
+    value that it claims, and the ids of hits in other branches of its clause, to which it is an alternative.
+    """
+    each = lines.withColumn("heading", last_heading(key)).select(key, "line_no", "line", "heading", F.posexplode(F.split("line", CLAUSE_END)).alias("clause_no", "clause")).where(F.trim("clause") != "")
+
+    def hits(branch: Column, no: Column) -> Column:
+        rows = []
+        for domain, pattern in patterns.items():
+            oid = F.substring(F.sha2(F.concat_ws("|", F.col(key).cast("string"), "line_no", "clause_no", no, F.lit(domain)), 256), 1, 16)
+            value = named(branch, [v[1:] for v in VALUES if v[0] == domain], "") if any(v[0] == domain for v in VALUES) else F.lit("")
+            hit = F.regexp_extract(branch, pattern, 0)
+            rows.append(F.when(branch.rlike(pattern), F.struct(oid.alias("observation_id"), no.alias("branch_no"), F.lit(domain).alias("domain"), hit.alias("hit"), value.alias("value"))))
+        return F.array_compact(F.array(*rows))
+
+    found = each.withColumn("all", F.flatten(F.transform(F.split("clause", BRANCH), hits))).where(F.size("all") > 0)
+    rows = found.select("*", F.explode("all").alias("o"))
+    others = F.array_sort(F.transform(F.filter("all", lambda x: x["branch_no"] != F.col("o.branch_no")), lambda x: x["observation_id"]))
+    return rows.select(
+        key, "o.observation_id", "line_no", "clause_no", "o.branch_no", "o.domain", "o.hit", F.instr(F.col("line"), F.col("o.hit")).alias("start"), "line", named(F.col("clause"), OBLIGATION, "stated").alias("obligation"),
+        F.when(F.col("clause").rlike(NEGATED), "negated").otherwise("affirmed").alias("polarity"), named(F.col("clause"), TIMING, "").alias("timing"), F.coalesce("heading", F.lit("")).alias("heading"), "o.value", others.alias("alternatives"),
+    )
+
+
+def contradictions(observations: DataFrame, declared: DataFrame, key: str) -> DataFrame:
+    """(key, kind, observation_id, other_id) of claims to be reviewed.
+
+    Opposite claims of sponsorship; required here and not required there in one domain; and body claims of an
+    arrangement other than the one that the provider declares (declared: key, arrangement).  A posting's claims are
+    few, so each side is one narrow row set, joined on the posting alone.
+    """
+    o = observations.select(key, "observation_id", "domain", "obligation", "value")
+    a = lambda where: o.where(where).select(key, "domain", "observation_id")
+    b = lambda where: o.where(where).select(key, "domain", F.col("observation_id").alias("other_id"))
+    none, some = "domain = 'sponsorship' and value = 'notAvailable'", "domain = 'sponsorship' and value = 'available'"
+    opposite = a(none).join(b(some), [key, "domain"]).select(key, F.lit("opposite-sponsorship").alias("kind"), "observation_id", "other_id")
+    duty = a("obligation = 'not-required'").join(b("obligation = 'required'"), [key, "domain"]).select(key, F.lit("obligation").alias("kind"), "observation_id", "other_id")
+    said = o.where("domain = 'arrangement' and value <> ''").join(declared.select(key, "arrangement"), key).where("value <> arrangement")
+    provider = said.select(key, F.lit("provider-arrangement").alias("kind"), "observation_id", F.concat(F.lit("provider:"), "arrangement").alias("other_id"))
+    return opposite.unionByName(duty).unionByName(provider)
+
+
+def integrity(observations: DataFrame) -> DataFrame:
+    """Per domain: observations, ids that occur again, spans that aren't the hit, and alternatives that don't exist."""
+    ids = observations.groupBy("observation_id").agg(F.count("*").alias("copies"))
+    named_ids = observations.select("domain", F.explode("alternatives").alias("other"))
+    dangling = named_ids.join(ids.select(F.col("observation_id").alias("other")), "other", "left_anti").groupBy("domain").agg(F.count("*").alias("dangling"))
+    span = (F.col("start") > 0) & (F.substring(F.col("line"), F.col("start"), F.length("hit")) == F.col("hit"))
+    own = observations.groupBy("domain").agg(F.count("*").alias("n"), F.count_if(~span).alias("bad_spans"))
+    again = observations.groupBy("domain", "observation_id").agg(F.count("*").alias("c")).groupBy("domain").agg(F.sum(F.col("c") - 1).alias("repeated"))
+    return own.join(again, "domain").join(dangling, "domain", "left").select("domain", "n", "repeated", "bad_spans", F.coalesce("dangling", F.lit(0)).alias("dangling"))

@@ -25,6 +25,14 @@ SELECT o_orderkey AS posting_no,
   || '</li><li>' || CASE o_orderkey % 7 WHEN 0 THEN 'Active Secret clearance required.' WHEN 1 THEN 'Preferred: Top Secret clearance.' WHEN 2 THEN 'A Top Secret/SCI clearance with polygraph is required.' WHEN 3 THEN 'No clearance is needed.' ELSE 'Background check required.' END
   || '</li><li>' || CASE o_orderkey % 6 WHEN 0 THEN 'Bachelor''s degree in a technical field and ' || CAST(1 + o_orderkey % 9 AS VARCHAR(20)) || ' years of experience required.' WHEN 1 THEN 'Master''s degree preferred.' WHEN 2 THEN 'High school diploma or GED required.' WHEN 3 THEN 'Associate degree or 4 years of experience.' ELSE 'Experience counts more than a degree.' END
   || '</li><li>' || CASE o_orderkey % 8 WHEN 0 THEN 'We are unable to sponsor visas now or in the future.' WHEN 1 THEN 'Visa sponsorship is available.' WHEN 2 THEN 'U.S. citizenship is required.' ELSE 'Knowledge of SQL and Linux is useful.' END
+  || '</li></ul><h3>More</h3><ul><li>' || CASE o_orderkey % 11 WHEN 0 THEN 'The salary for this role is $95,000 to $' || CAST(100 + o_orderkey % 40 AS VARCHAR(20)) || ',000 per year.' WHEN 1 THEN 'Pay: USD 88,000 - 99,000 annually.' WHEN 2 THEN 'Compensation range: $30.00 - $45.00.'
+    WHEN 3 THEN 'Minimum salary: $61,000. Maximum salary: $83,000.' WHEN 4 THEN 'Pay ranges</li><li>Level one: $40,000 - $50,000 per year</li><li>Level two: $52,000 - $' || CAST(60 + o_orderkey % 30 AS VARCHAR(20)) || ',000 per year' WHEN 5 THEN 'Pay ranges</li><li>Level one: $20 - $30 per hour</li><li>Level two: $45,000 - $50,000 per year'
+    WHEN 6 THEN 'Salary depends on the contract.' ELSE 'Good benefits.' END
+  || '</li><li>' || CASE o_orderkey % 13 WHEN 0 THEN 'You must report to the office three days a week.' WHEN 1 THEN 'In a previous role you worked on site every day.' WHEN 2 THEN 'Travel of 30-60% to customer sites is expected.' WHEN 3 THEN 'Office visits may be needed.' WHEN 4 THEN 'Office visits are optional.'
+    WHEN 5 THEN 'You must live within 50 miles of Denver.' WHEN 6 THEN 'A rotational schedule of 8 weeks on site in Alaska is required.' WHEN 7 THEN 'A deployment of twelve weeks to Germany may be possible.' WHEN 8 THEN 'Candidates must reside in Texas, unless approved.' WHEN 9 THEN 'Applicants must be located in the United States. Frequent travel is part of it.' ELSE 'Team lunch on Fridays.' END
+  || '</li><li>' || CASE o_orderkey % 17 WHEN 0 THEN 'Preferred qualifications</li><li>Applicants should be a U.S. citizen.' WHEN 1 THEN 'You must be authorized to work in the United States without sponsorship.' WHEN 2 THEN 'This role is subject to export control rules.' WHEN 3 THEN 'A U.S. citizen or permanent resident is asked for if the contract needs it.'
+    WHEN 4 THEN 'Sponsorship is not available, unless you hold another visa.' WHEN 5 THEN 'A bonus of USD 5,000 - CAD 9,000 is paid.' WHEN 6 THEN 'Stipend: EUR 900 - EUR 500 a month.' WHEN 7 THEN 'A clearance is required or a degree is required; travel is not required.' ELSE 'Equal opportunity.' END
+  || '</li><li>' || CASE o_orderkey % 19 WHEN 0 THEN 'Preferred qualifications</li><li>Master''s degree in Computer Science and 3 years of experience' WHEN 1 THEN 'Bachelor''s degree in Engineering or Mathematics and 5 years of experience, or a Master''s degree and 2 years of experience.' WHEN 2 THEN 'A doctorate is a plus.' WHEN 3 THEN 'Required qualifications</li><li>High school diploma' ELSE 'Curiosity.' END
   || '</li></ul><p>' || CASE WHEN o_orderkey % 10 = 0 THEN 'Requires a 6 month deployment overseas.' WHEN o_orderkey % 10 = 1 THEN 'Relocation to the site is required.' ELSE 'Apply &lt;today&gt;!' END || '</p></div>' AS html,
   CAST(o_orderdate AS DATE) AS start_date,
   o_orderdate AS cached_at,

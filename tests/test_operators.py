@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hirelake.functions import text as T
-from hirelake.operators import clusters, history, identity, metrics, rules, search
+from hirelake.operators import clusters, extract, history, identity, metrics, rules, search
 from hirelake.sources import cache
 from hirelake.streaming import jobs
 
@@ -126,3 +126,15 @@ def test_labelled_lines_reject_repeats(spark, tmp_path):
     p.write_text('{"id": 1, "label": "KEEP", "text": "a"}\n{"id": 1, "label": "KEEP", "text": "b"}\n')
     with pytest.raises(ValueError):
         cache.read_labelled_jsonl(spark, f"file://{p}", ["KEEP"])
+
+
+def test_integrity_reports_what_is_wrong(spark):
+    lines = spark.createDataFrame([(1, 0, "A clearance is required or a degree is required; no travel.")], "posting_no long, line_no int, line string")
+    o = extract.clauses(lines, "posting_no", {"clearance": "clearance", "degree": "degree", "travel": "travel"})
+    rows = {r.domain: r for r in o.collect()}
+    assert rows["clearance"].alternatives == [rows["degree"].observation_id] and rows["travel"].alternatives == [] and rows["travel"].polarity == "negated"
+    fine = {r.domain: (r.n, r.repeated, r.bad_spans, r.dangling) for r in extract.integrity(o).collect()}
+    assert set(fine.values()) == {(1, 0, 0, 0)}
+    bad = o.where("domain <> 'degree'").union(o.where("domain = 'travel'")).withColumn("start", F.when(F.col("domain") == "travel", 1).otherwise(F.col("start")))
+    got = {r.domain: (r.n, r.repeated, r.bad_spans, r.dangling) for r in extract.integrity(bad).collect()}
+    assert got == {"clearance": (1, 0, 0, 1), "travel": (2, 1, 2, 0)}
