@@ -12,7 +12,7 @@ LIMITS = {"Work Arrangement": (-2.0, 1.0), "Role Type / Career Direction": (-3.0
 OTHER_LIMITS, BASELINE, CONFLICT_MOST = (-2.0, 1.0), 5.0, 2.0
 DISTANCE_IMPACT = (1, 0, -1, -2, -3, -4)
 EDUCATION = {"noCredential": 0, "ged": 1, "highSchool": 1, "associate": 2, "bachelor": 3, "master": 4, "doctorate": 5}
-CLEARANCE = {"none": 0, "secret": 1, "topSecret": 2, "topSecretSCI": 3}
+CLEARANCE = {"none": 0, "publicTrust": 1, "secret": 2, "topSecret": 3, "topSecretSCI": 4}
 
 
 def mapped(key: Column, table: dict, default=None) -> Column:
@@ -22,13 +22,20 @@ def mapped(key: Column, table: dict, default=None) -> Column:
     return out.otherwise(F.lit(default))
 
 
-def job_fit(detected: DataFrame, signals: DataFrame, concepts: DataFrame, supersedes: DataFrame) -> DataFrame:
-    """(posting_no, user_id, score, hard_conflicts) for every pair with a detected preference.
+def job_fit(detected: DataFrame, signals: DataFrame, concepts: DataFrame, supersedes: DataFrame, readers: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """(posting_no, user_id, score, hard_conflicts) for every pair of ``readers`` with a detected preference.
 
+    readers: posting_no, user_id, the pairs to score. signals: user_id, concept_id, preference; without one a concept is
+    neutral. overrides: user_id, concept_id of groups that are hard conflicts whatever the signal says.
     Superseded contributions go when both are active; a dimension's sum is clamped; the score is
     rounded half up and clamped to 1..10; a hard conflict leaves 2 at most.
     """
-    pairs = detected.join(F.broadcast(concepts), "concept_id").join(signals, "concept_id").where("preference <> 'neutral'")
+    met = readers.join(detected, "posting_no").join(F.broadcast(concepts), "concept_id").join(signals, ["user_id", "concept_id"], "left")
+    preference = F.coalesce("preference", F.lit("neutral"))
+    if overrides is not None:
+        met = met.join(overrides.select("user_id", "concept_id", F.lit(True).alias("__over")), ["user_id", "concept_id"], "left")
+        preference = F.when(F.col("__over"), "hardConflict").otherwise(preference)
+    pairs = met.withColumn("preference", preference).where("preference <> 'neutral'")
     active = pairs.select("posting_no", "user_id", "concept_id", "dimension", "preference")
     beaten = active.join(F.broadcast(supersedes), "concept_id").select("posting_no", "user_id", F.col("superseded").alias("concept_id")).distinct()
     counted = active.join(beaten, ["posting_no", "user_id", "concept_id"], "left_anti").withColumn("weight", mapped(F.col("preference"), WEIGHTS, 0.0))
@@ -52,13 +59,30 @@ def best_by(df: DataFrame, key: str, *order) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("__r = 1").drop("__r")
 
 
-def education_kind(required: Column, requirement: Column, has: Column) -> Column:
-    """met, preferredGap, requiredGap or unknown from ranks of levels."""
-    need, own = mapped(required, EDUCATION), mapped(has, EDUCATION)
-    return F.when(need.isNull(), "unknown").when(own >= need, "met").when(requirement == "required", "requiredGap").otherwise("preferredGap")
+def education_kind(level: Column, requirement: Column, has: Column) -> Column:
+    """Kind of a parsed academic requirement for a profile; only ``requiredGap`` hides a posting."""
+    need, own = mapped(level, EDUCATION), mapped(has, EDUCATION)
+    return (
+        F.when(has.isNull() | (has == "notSpecified"), "profileNotConfigured").when(level.isNull(), "noneSpecified").when(need.isNull(), "uncertain").when(own >= need, "met")
+        .when(requirement == "preferred", "preferredOnly").when(requirement == "required", "requiredGap").otherwise("statedGap")
+    )
 
 
-def clearance_kind(required: Column, requirement: Column, has: Column) -> Column:
-    need, own = mapped(required, CLEARANCE), mapped(has, CLEARANCE, 0)
+def clearance_kind(level: Column, requirement: Column, has: Column) -> Column:
+    """Kind of a parsed clearance requirement for a profile; only ``strictGap`` hides a posting."""
+    need, own = mapped(level, CLEARANCE), mapped(has, CLEARANCE, 0)
     strict = requirement.isin("activeRequired", "mustPossess")
-    return F.when(need.isNull() | (need == 0), "none").when(own >= need, "met").when(strict, "strictGap").otherwise("obtainable")
+    return (
+        F.when(level.isNull() | level.isin("noneMentioned", "none"), "none").when(need.isNull(), "review").when(own >= need, "met")
+        .when(requirement == "preferred", "preferredOnly").when(strict, "strictGap").otherwise("obtainable")
+    )
+
+
+def authorization_kind(eligibility: Column, strength: Column, sponsorship: Column, citizen: Column, needs_sponsor: Column) -> Column:
+    """Kind of parsed work authorization for a profile; only ``mismatch`` hides a posting."""
+    barred = eligibility.isin("usCitizen", "usCitizenOrPermanentResident") & ~citizen
+    return (
+        F.when((eligibility == "noneSpecified") & (sponsorship == "noneSpecified"), "noneSpecified")
+        .when(barred & (strength == "strict") | needs_sponsor & (sponsorship == "notAvailable"), "mismatch")
+        .when(barred, "preferenceGap").when(needs_sponsor & (sponsorship == "available"), "match").when(needs_sponsor, "unclear").otherwise("compatible")
+    )

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from hirelake.operators.identity import ranked
+
 
 def ratio(a: Column, b: Column, zero: bool = False) -> Column:
     """a / b; without b it is null, or 0 by the other policy."""
@@ -66,11 +68,11 @@ def keep_metrics(scored: DataFrame, threshold: float, slices: list[str]) -> Data
 
 
 def choose_threshold(scored: DataFrame, recall: float, by: str = "fold") -> DataFrame:
-    """Per fold the score at place floor((1 - recall) * n + 1e-9) among the rows to keep."""
-    keep = scored.where("actual")
-    n = keep.groupBy(by).agg(F.count("*").alias("n")).withColumn("place", F.floor((1 - recall) * F.col("n") + 1e-9) + 1)
-    ranked = keep.withColumn("r", F.row_number().over(W.partitionBy(by).orderBy("score", "doc_id")))
-    return ranked.join(F.broadcast(n), by).where("r = place").select(by, F.col("score").alias("threshold"))
+    """Per fold the score at place floor((1 - recall) * n + 1e-9) among the rows to keep, over counts per score."""
+    at = scored.where("actual").groupBy(by, "score").agg(F.count("*").alias("n"))
+    total = at.groupBy(by).agg(F.sum("n").alias("all")).withColumn("place", F.floor((1 - recall) * F.col("all") + 1e-9) + 1)
+    run = at.withColumn("upto", F.sum("n").over(W.partitionBy(by).orderBy("score").rowsBetween(W.unboundedPreceding, 0)))
+    return run.join(F.broadcast(total), by).where(F.col("upto") >= F.col("place")).groupBy(by).agg(F.min("score").alias("threshold"))
 
 
 def threshold_sweep(scored: DataFrame, grid: list[float], by: list[str]) -> DataFrame:
@@ -103,10 +105,81 @@ def fold_frontier(scored: DataFrame, budget: int, folds: list[int]) -> DataFrame
     return joined.select(rejects.alias("rejects"), total.alias("false_rejects"), *[f"f{f}" for f in folds]).agg(F.max(F.struct("rejects", -F.col("false_rejects")))["rejects"].alias("rejects"))
 
 
-def calibration(scored: DataFrame) -> DataFrame:
-    """Ten bins with mean score and share of rows to keep."""
-    b = F.least(F.floor(F.col("score") * 10), F.lit(9))
-    return scored.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg(F.col("actual").cast("double")).alias("keep_share"))
+def calibration(scored: DataFrame, least: float = 1e-12) -> DataFrame:
+    """Ten bins with mean score and share of rows to keep, and a row of all (bin -1) with the expected calibration
+    error, the Brier score and the cross entropy (scores no nearer than ``least`` to 0 and 1)."""
+    y = F.col("actual").cast("double")
+    p = F.least(F.greatest("score", F.lit(least)), F.lit(1 - least))
+    loss = -(y * F.log(p) + (1 - y) * F.log(1 - p))
+    bins = scored.groupBy(F.least(F.floor(F.col("score") * 10), F.lit(9)).alias("bin")).agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.sum(y).alias("k"), F.sum((F.col("score") - y) ** 2).alias("b"), F.sum(loss).alias("c"))
+    none = F.lit(None).cast("double")
+    each = bins.select("bin", "n", (F.col("s") / F.col("n")).alias("mean_score"), (F.col("k") / F.col("n")).alias("keep_share"), none.alias("ece"), none.alias("brier"), none.alias("cross_entropy"))
+    total = F.sum("n")
+    whole = bins.agg(F.lit(-1).cast("long").alias("bin"), total.alias("n"), (F.sum("s") / total).alias("mean_score"), (F.sum("k") / total).alias("keep_share"), (F.sum(F.abs(F.col("s") - F.col("k"))) / total).alias("ece"), (F.sum("b") / total).alias("brier"), (F.sum("c") / total).alias("cross_entropy"))
+    return each.unionByName(whole)
+
+
+def changed_decisions(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """pairs: actual (to keep), base and candidate (rejected). Per cohort: changes, errors that go, come and stay, the
+    rate of flips, and whether the candidate is a safety regression (more new than recovered errors)."""
+    a, b, c = F.col("actual"), F.col("base"), F.col("candidate")
+    n = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(b != c).alias("changed"), F.count_if(a & b & ~c).alias("recovered"), F.count_if(a & ~b & c).alias("new_errors"), F.count_if(a & b & c).alias("persistent"))
+    return n.withColumns({"flip_rate": F.col("changed") / F.col("n"), "regression": F.col("new_errors") > F.col("recovered")})
+
+
+def curve_consistency(stored: DataFrame, recomputed: DataFrame, key: str, now, stale_days: int = 45, tolerance: float = 1e-12) -> DataFrame:
+    """stored: key, run_id, completed, average_precision; recomputed: key, average_precision.
+
+    Whether a stored figure differs from the recomputed one, how old it is, and the figure of the run before.
+    """
+    j = stored.join(recomputed.select(key, F.col("average_precision").alias("again")), key)
+    before = F.lag("average_precision").over(W.partitionBy(key).orderBy("completed", "run_id"))
+    differs = F.abs(F.col("average_precision") - F.col("again")) > tolerance
+    fresh = F.when(F.datediff(F.lit(now), "completed") > stale_days, "STALE").otherwise("CURRENT")
+    return j.select(key, "run_id", "average_precision", F.coalesce(differs, F.lit(True)).alias("differs"), fresh.alias("freshness"), before.alias("previous"))
+
+
+def release_gate(base: DataFrame, candidate: DataFrame, key: str, gain: float = 0.05, floor: float = 0.5, loss: float = 0.03, support: int = 10) -> DataFrame:
+    """base, candidate: key, tp, fp, fn, tn, precision, f1, average_precision.
+
+    accept: F1 gains enough, precision stays above the floor and loses little, average precision is kept; review:
+    too few positives or negatives; else reject.
+    """
+    old = base.select(key, *[F.col(c).alias(f"old_{c}") for c in ("precision", "f1", "average_precision")])
+    j = candidate.join(old, key)
+    few = (F.col("tp") + F.col("fn") < support) | (F.col("fp") + F.col("tn") < support)
+    good = (F.col("f1") - F.col("old_f1") >= gain) & (F.col("precision") >= floor) & (F.col("old_precision") - F.col("precision") <= loss) & (F.col("average_precision") >= F.col("old_average_precision"))
+    return j.select(key, F.when(few, "review").when(good, "accept").otherwise("reject").alias("verdict"))
+
+
+def triage_reference(decisions: DataFrame, hard: list[str], positive: list[str], irrelevant: list[str], id_col: str = "posting_no") -> DataFrame:
+    """decisions: id, concept_id, final (present, absent, unresolved). Per posting whether it is worth sending, whether it
+    is kept for doubt alone, and why, by precedence: hard conflict, irrelevant occupation without any evidence for it,
+    positive evidence, unresolved evidence, nothing conclusive."""
+    among = lambda ids, final: F.array_join(F.array_sort(F.collect_set(F.when(F.col("concept_id").isin(ids) & (F.col("final") == final), F.col("concept_id")))), ",")
+    g = decisions.groupBy(id_col).agg(among(hard, "present").alias("h"), among(positive, "present").alias("p"), among(positive, "unresolved").alias("u"), among(irrelevant, "present").alias("i"))
+    barred = (F.col("h") != "") | ((F.col("i") != "") & (F.col("p") == "") & (F.col("u") == ""))
+    basis = F.when(F.col("h") != "", F.concat(F.lit("hard conflict: "), "h")).when(barred, F.concat(F.lit("irrelevant: "), "i")).when(F.col("p") != "", F.concat(F.lit("evidence: "), "p")).when(F.col("u") != "", F.concat(F.lit("unresolved: "), "u")).otherwise("inconclusive")
+    return g.select(id_col, (~barred).alias("worth_sending"), (~barred & (F.col("p") == "")).alias("ambiguous"), basis.alias("basis"))
+
+
+def label_conflicts(rows: DataFrame, keys: dict[str, Column], label: str, part: str) -> DataFrame:
+    """(kind, key, n, labels, parts) of the values of each key that occur more than once with several labels or parts."""
+    each = rows.select(F.col(label).alias("label"), F.col(part).alias("part"), F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("string").alias("key")) for k, c in keys.items()])))
+    g = each.where("key is not null").groupBy("kind", "key").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"), F.count_distinct("part").alias("parts"))
+    return g.where("n > 1 and (labels > 1 or parts > 1)")
+
+
+def percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact interpolated percentiles of each group: values are ranked by a range sort, and only the places asked for are read."""
+    placed = ranked(rows.select(by, value).where(F.col(value).isNotNull()), [by, value])
+    groups = placed.groupBy(by).agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    asks = groups.select(by, "first", "n", F.inline(F.array(*[F.struct(F.lit(k).alias("name"), (F.lit(v) * (F.col("n") - 1)).alias("at")) for k, v in shares.items()])))
+    asks = asks.select(by, "name", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("k"), "first").withColumn("place", F.col("first") + F.col("k"))
+    met = placed.select("place", value).join(F.broadcast(asks), "place")
+    part = F.when(F.floor("at") == F.ceil("at"), 1.0).otherwise(1 - F.abs(F.col("at") - F.col("k")))
+    wide = met.groupBy(by, "name").agg(F.sum(F.col(value) * part).alias("x"))
+    return wide.groupBy(by).agg(*[F.max(F.when(F.col("name") == k, F.col("x"))).alias(k) for k in shares])
 
 
 def span_coverage(spans: DataFrame, windows: DataFrame, key: str) -> DataFrame:

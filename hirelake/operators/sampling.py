@@ -32,9 +32,12 @@ def quotas(rows: DataFrame, n: int, seed: str, stratum: str) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, n: int, seed: str, stratum: str, key: str) -> DataFrame:
-    q = F.broadcast(quotas(rows, n, seed, stratum).select(stratum, "quota"))
-    rank = F.row_number().over(W.partitionBy(stratum).orderBy(rank_key(seed, key), key))
-    return rows.join(q, stratum).withColumn("__r", rank).where("__r <= quota").drop("__r", "quota")
+    """Each stratum's quota of smallest digests. A rank within the largest quota is cut in every task before rows move."""
+    q = quotas(rows, n, seed, stratum).select(stratum, "quota")
+    most = q.agg(F.max("quota")).first()[0] or 0
+    rank = F.row_number().over(W.partitionBy(stratum).orderBy("__k", key))
+    first = rows.withColumn("__k", rank_key(seed, key)).withColumn("__r", rank).where(F.col("__r") <= most)
+    return first.join(F.broadcast(q), stratum).where("__r <= quota").drop("__r", "__k", "quota")
 
 
 def quota_sample(rows: DataFrame, families: list[tuple[str, Column, int]], seed: str, title: str, key: str) -> DataFrame:
@@ -52,11 +55,16 @@ def quota_sample(rows: DataFrame, families: list[tuple[str, Column, int]], seed:
 
 
 def round_robin(rows: DataFrame, group: str, bucket: str, n: int, cap: int, seed: str, key: str) -> DataFrame:
-    """Turns over the groups: each row's turn is its place in its bucket, capped per group."""
-    place = F.row_number().over(W.partitionBy(bucket).orderBy(rank_key(seed, key), key))
-    turned = rows.withColumn("turn", place)
+    """Turns over the buckets: each row's turn is its place in its bucket; at most ``cap`` of a group, ``n`` in all.
+
+    A bucket's rows beyond n can be wanted only where the cap passes over earlier ones, so the cap is applied to each
+    group's first rows of each bucket before turns are given.
+    """
+    ranked = rows.withColumn("__k", rank_key(seed, key))
+    near = ranked.withColumn("__g", F.row_number().over(W.partitionBy(group, bucket).orderBy("__k", key))).where(F.col("__g") <= cap).drop("__g")
+    turned = near.withColumn("turn", F.row_number().over(W.partitionBy(bucket).orderBy("__k", key)))
     within = F.row_number().over(W.partitionBy(group).orderBy("turn", bucket, key))
-    return turned.withColumn("__c", within).where(F.col("__c") <= cap).drop("__c").orderBy("turn", bucket, key).limit(n)
+    return turned.withColumn("__c", within).where(F.col("__c") <= cap).drop("__c", "__k").orderBy("turn", bucket, key).limit(n)
 
 
 def group_split(rows: DataFrame, group: str, cluster: str, parts: int, seed: str) -> DataFrame:
@@ -65,3 +73,14 @@ def group_split(rows: DataFrame, group: str, cluster: str, parts: int, seed: str
     marked = rows.withColumn("part", part.cast("int"))
     first = marked.groupBy(cluster).agg(F.min("part").alias("first_part"))
     return marked.join(first, cluster).withColumn("purged", F.col("part") > F.col("first_part")).drop("first_part")
+
+
+def holdout_guard(rows: DataFrame, known: DataFrame, seen: DataFrame, own_sources: list[str]) -> DataFrame:
+    """rows: doc_id, final, source, h, with the reason why an example may not be scored, or ``accepted``.
+
+    known: h of texts that were developed on; seen: doc_id of examples shown before; own_sources: sources that label
+    their own examples.  The first reason counts: unresolved, contaminated, exposed, self-labelled.
+    """
+    j = rows.join(known.withColumn("__known", F.lit(True)), "h", "left").join(seen.withColumn("__seen", F.lit(True)), "doc_id", "left")
+    reason = F.when(F.col("final") == "unresolved", "unresolved").when(F.col("__known"), "contaminated").when(F.col("__seen"), "exposed").when(F.col("source").isin(own_sources), "self-labelled").otherwise("accepted")
+    return j.withColumn("reason", reason).drop("__known", "__seen")

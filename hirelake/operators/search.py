@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 #: Age groups in days, fixed values; rows without a date are unknown.
 AGE_GROUPS = (("today", 0), ("yesterday", 1), ("2-7", 7), ("8-14", 14), ("15-30", 30))
-#: States by name and code, as labels give them (fixed values).
+#: States of the US by code, with the names that labels give them (fixed values).
 STATES = {
-    "TX": "Texas", "CO": "Colorado", "MA": "Massachusetts", "VA": "Virginia", "CA": "California", "NY": "New York", "WA": "Washington", "FL": "Florida", "AZ": "Arizona", "MD": "Maryland",
+    "AL": "Alabama", "AK": "Alaska", "AZ": "Arizona", "AR": "Arkansas", "CA": "California", "CO": "Colorado", "CT": "Connecticut", "DE": "Delaware", "DC": "District of Columbia",
+    "FL": "Florida", "GA": "Georgia", "HI": "Hawaii", "ID": "Idaho", "IL": "Illinois", "IN": "Indiana", "IA": "Iowa", "KS": "Kansas", "KY": "Kentucky", "LA": "Louisiana", "ME": "Maine",
+    "MD": "Maryland", "MA": "Massachusetts", "MI": "Michigan", "MN": "Minnesota", "MS": "Mississippi", "MO": "Missouri", "MT": "Montana", "NE": "Nebraska", "NV": "Nevada",
+    "NH": "New Hampshire", "NJ": "New Jersey", "NM": "New Mexico", "NY": "New York", "NC": "North Carolina", "ND": "North Dakota", "OH": "Ohio", "OK": "Oklahoma", "OR": "Oregon",
+    "PA": "Pennsylvania", "RI": "Rhode Island", "SC": "South Carolina", "SD": "South Dakota", "TN": "Tennessee", "TX": "Texas", "UT": "Utah", "VT": "Vermont", "VA": "Virginia",
+    "WA": "Washington", "WV": "West Virginia", "WI": "Wisconsin", "WY": "Wyoming",
 }
 
 
@@ -43,13 +48,45 @@ def facets(rows: DataFrame, keys: list[str], label: str, order: str) -> DataFram
     return rows.groupBy(*keys).agg(F.min_by(label, order).alias("label"), F.count("*").alias("n"))
 
 
-def us_state(label: Column) -> Column:
-    """State code of labels like US-TX-Austin, Denver, CO or Boston, Massachusetts; else null."""
-    dash = F.split(label, "-")
-    last = F.trim(F.element_at(F.split(label, ","), -1))
-    names = F.create_map(*[x for c, n in STATES.items() for x in (F.lit(n.lower()), F.lit(c))])
-    return (
-        F.when((F.size(dash) >= 3) & (dash[0] == "US") & dash[1].isin(*STATES), dash[1])
-        .when(F.upper(last).isin(*STATES), F.upper(last))
-        .otherwise(F.try_element_at(names, F.lower(last)))
-    )
+#: Shapes of US labels: (pattern, group of the state, group of the place, whether the state is a name).
+SHAPES = (
+    ("(?i)^us\\s*,\\s*([A-Z]{2})\\s*,\\s*(.+)$", 1, 2, False),
+    ("^(.+?)\\s*,\\s*([A-Z]{2})\\s*,\\s*(?:[Uu]nited [Ss]tates).*$", 2, 1, False),
+    ("(?i)^united states-([a-z ]+)-(.+)$", 1, 2, True),
+    ("(?i)^us-([a-z]{2})-(.+)$", 1, 2, False),
+    ("(?i)^us - ([a-z]{2}),\\s*(.+)$", 1, 2, False),
+    ("^(.+)\\s*,\\s*([A-Z]{2})$", 2, 1, False),
+    ("^([A-Z]{2}) - (.+)$", 1, 2, False),
+)
+
+
+def us_location(label: Column) -> Column:
+    """struct(state, place) of the first of the seven label shapes with a known state; else null."""
+    codes = F.create_map(*[x for c, n in STATES.items() for x in (F.lit(n.lower()), F.lit(c))])
+    found = []
+    for pattern, at, rest, by_name in SHAPES:
+        raw, place = F.regexp_extract(label, pattern, at), F.trim(F.regexp_extract(label, pattern, rest))
+        state = F.try_element_at(codes, F.lower(raw)) if by_name else F.when(F.upper(raw).isin(*STATES), F.upper(raw))
+        found.append(F.when(label.rlike(pattern) & state.isNotNull() & (place != ""), F.struct(state.alias("state"), place.alias("place"))))
+    return F.coalesce(*found)
+
+
+def state_groups(labels: DataFrame) -> DataFrame:
+    """labels: label, n. Per state (``Other`` for the rest, which comes last): its name, number of rows and places."""
+    where = us_location(F.col("label"))
+    names = F.create_map(*[x for c, n in STATES.items() for x in (F.lit(c), F.lit(n))])
+    rows = labels.withColumns({"where": where}).select(F.coalesce("where.state", F.lit("Other")).alias("state"), F.coalesce("where.place", "label").alias("place"), "n")
+    per = rows.groupBy("state").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("place")), ";").alias("places"))
+    return per.select("state", F.coalesce(F.try_element_at(names, F.col("state")), F.lit("Other locations")).alias("name"), "n", "places", (F.col("state") != "Other").alias("mapped"))
+
+
+def discoverable(include: list[str], exclude: list[str]) -> Column:
+    """Whether a row of facts passes its reader's filter.
+
+    Columns: text, period, maximum (pay), desired_pay, is_remote, primary_location, education_kind, clearance_kind,
+    authorization_kind, away_confidence.  Only annual pay below the wish hides; unknown pay passes.
+    """
+    pay = F.coalesce((F.col("period") != "annual") | F.col("maximum").isNull() | (F.col("maximum") >= F.col("desired_pay")), F.lit(True))
+    place = F.col("is_remote") | us_location(F.col("primary_location")).isNotNull()
+    strict = (F.col("education_kind") == "requiredGap") | (F.col("clearance_kind") == "strictGap") | (F.col("authorization_kind") == "mismatch") | (F.col("away_confidence") == "strong")
+    return keyword_match(F.col("text"), include, exclude) & pay & place & ~strict

@@ -14,8 +14,8 @@ SELECT o_orderkey AS posting_no,
   CASE o_orderkey % 9 WHEN 0 THEN 'Senior Software Engineer' WHEN 1 THEN 'Field Service Technician' WHEN 2 THEN 'Network Administrator'
     WHEN 3 THEN 'Registered Nurse' WHEN 4 THEN 'Electrical Engineer' WHEN 5 THEN 'Warehouse Associate' WHEN 6 THEN 'Data Analyst'
     WHEN 7 THEN 'Civil Engineer - Bridges' ELSE 'Remote Systems Administrator' END AS title,
-  CASE o_custkey % 6 WHEN 0 THEN 'US-TX-Austin' WHEN 1 THEN 'Denver, CO' WHEN 2 THEN 'Remote, US' WHEN 3 THEN 'Boston, Massachusetts'
-    WHEN 4 THEN 'US-VA-Reston' ELSE n_name END AS primary_location,
+  CASE o_custkey % 12 WHEN 0 THEN 'US-TX-Austin' WHEN 1 THEN 'Denver, CO' WHEN 2 THEN 'Remote, US' WHEN 3 THEN 'US, MA, Boston' WHEN 4 THEN 'US-VA-Reston' WHEN 5 THEN 'Dallas, TX, United States' WHEN 6 THEN 'United States-New York-Albany'
+    WHEN 7 THEN 'US - CO, Boulder' WHEN 8 THEN 'VA - Norfolk' WHEN 9 THEN 'Boston, Massachusetts' ELSE n_name END AS primary_location,
   n_name AS country,
   '<div><h2>About us</h2><p>We hire for ' || lower(c_mktsegment) || ' in ' || n_name || '.&nbsp;Join a team of ' || CAST(2 + o_orderkey % 40 AS VARCHAR(20)) || ' people.</p><ul><li>'
   || CASE o_orderkey % 5 WHEN 0 THEN 'Pay Range: $' || CAST(50 + o_orderkey % 70 AS VARCHAR(20)) || ',000 - $' || CAST(130 + o_orderkey % 50 AS VARCHAR(20)) || ',000 annually.'
@@ -87,6 +87,22 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 POSTINGS_SQL = POSTINGS.format(orders="orders", customer="customer", nation="nation")
 
 
+#: The profile of each posting's reader: the customer of its order.
+PROFILES = """
+SELECT o_orderkey AS posting_no, c_custkey AS user_id,
+  CASE c_custkey % 7 WHEN 0 THEN 'notSpecified' WHEN 1 THEN 'noCredential' WHEN 2 THEN 'highSchool' WHEN 3 THEN 'associate' WHEN 4 THEN 'bachelor' WHEN 5 THEN 'master' ELSE 'doctorate' END AS education,
+  CASE c_custkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'secret' WHEN 2 THEN 'topSecret' ELSE 'topSecretSCI' END AS clearance,
+  c_custkey % 3 <> 0 AS citizen, c_custkey % 5 = 0 AS needs_sponsor, 60000 + floor(c_acctbal) * 8 AS desired_pay,
+  CASE WHEN c_custkey % 9 = 0 THEN 'technical' WHEN c_custkey % 9 = 1 THEN 'arrangement' ELSE '' END AS conflict_group
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+"""
+PROFILES_SQL = PROFILES.format(orders="orders", customer="customer")
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(PROFILES, **{n: table(spark, sf_dir, n) for n in ("orders", "customer")})
+
+
 def concepts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CONCEPTS, "concept_id string, dimension string")
 

@@ -177,7 +177,7 @@ TOP = "d AS (SELECT * FROM sig QUALIFY row_number() OVER (PARTITION BY posting_n
 TR = lambda k, name: f"unnest(regexp_extract_all(s, '{X.TRAVEL}', {k})) AS {name}"
 
 
-@query(SEGMENTS + f""", x0 AS (SELECT posting_no, unnest(range(len(ss))) AS i, unnest(ss) AS s FROM sg), x AS (SELECT * FROM x0 WHERE {NOW}),
+REMOTE_SQL = SEGMENTS + f""", x0 AS (SELECT posting_no, unnest(range(len(ss))) AS i, unnest(ss) AS s FROM sg), x AS (SELECT * FROM x0 WHERE {NOW}),
 tv0 AS (SELECT posting_no, i, s, unnest(range(len(regexp_extract_all(s, '{X.TRAVEL}')))) AS j, {TR(1, 'a')}, {TR(2, 'b')} FROM x), tv AS (SELECT posting_no, i, s, j, a::INT AS a, coalesce(TRY_CAST(b AS INT), a::INT) AS b FROM tv0),
 sig AS ({" UNION ALL ".join(signal_sql(k, r) for k, r in enumerate(X.REMOTE))}
 UNION ALL SELECT posting_no, i, 50, j, s, {"CASE " + " ".join(f"WHEN b <= {m} THEN '{c}'" for m, c, _ in X.BANDS) + " END"}, {"CASE " + " ".join(f"WHEN b <= {m} THEN '{v}'" for m, _, v in X.BANDS) + " END"}, 'Travel of ' || CASE WHEN a = b THEN b || '%' ELSE a || '-' || b || '%' END FROM tv WHERE a <= 100 AND b <= 100 AND b >= a
@@ -186,7 +186,10 @@ re AS (SELECT posting_no, list(reason ORDER BY r) AS rs, string_agg(category, ',
 u AS (SELECT sg.posting_no, body, regexp_matches(title || ' ' || primary_location, '{X.REMOTE_NAMED}') OR regexp_matches(body, '{X.REMOTE_ROLE}') AS is_remote, re.* EXCLUDE (posting_no) FROM sg LEFT JOIN re USING (posting_no))
 SELECT posting_no, is_remote, CASE WHEN NOT is_remote THEN 'none' WHEN strong THEN 'strong' WHEN quest THEN 'questionable' ELSE 'none' END AS level,
   CASE WHEN is_remote AND rs IS NOT NULL THEN array_to_string(list_filter(rs, lambda z, i: list_position(rs, z) = i)[1:2], '; ') || '.' END AS summary, CASE WHEN is_remote THEN coalesce(categories, '') ELSE '' END AS categories,
-  CASE WHEN NOT is_remote THEN 'not-remote-designated' WHEN trim(body) = '' THEN 'description-unavailable' WHEN rs IS NOT NULL THEN 'parsed' ELSE 'no-concern-detected' END AS status FROM u""")
+  CASE WHEN NOT is_remote THEN 'not-remote-designated' WHEN trim(body) = '' THEN 'description-unavailable' WHEN rs IS NOT NULL THEN 'parsed' ELSE 'no-concern-detected' END AS status FROM u"""
+
+
+@query(REMOTE_SQL)
 def extract_remote_work(spark, sf):
     """Designation from metadata or body, and the signals of its sentences that put it in doubt."""
     metadata = F.concat_ws(" ", "title", "primary_location")
@@ -199,12 +202,15 @@ STAY = f"list_max(list_transform(range(1, len(n) + 1), lambda q: {_COUNT} * {_UN
 _PLACE = lambda x: "CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN '{n}'" for n, p in X.DESTINATIONS) + " END"
 
 
-@query(SEGMENTS + f""", x0 AS (SELECT posting_no, unnest(range(len(ss) + 1)) AS i, unnest(list_concat([title], ss)) AS s FROM sg), x1 AS (SELECT *, regexp_extract_all(s, '{X.DURATION}', 1) AS n, regexp_extract_all(s, '{X.DURATION}', 2) AS u FROM x0 WHERE {NOW}), x AS (SELECT *, {STAY} AS days FROM x1),
+AWAY_SQL = SEGMENTS + f""", x0 AS (SELECT posting_no, unnest(range(len(ss) + 1)) AS i, unnest(list_concat([title], ss)) AS s FROM sg), x1 AS (SELECT *, regexp_extract_all(s, '{X.DURATION}', 1) AS n, regexp_extract_all(s, '{X.DURATION}', 2) AS u FROM x0 WHERE {NOW}), x AS (SELECT *, {STAY} AS days FROM x1),
 sig AS (SELECT posting_no, i, -1 AS k, 0 AS j, s, '{X.EXTENDED.category}' AS category, '{X.EXTENDED.level}' AS level, '{X.EXTENDED.reason}' AS reason FROM x WHERE regexp_matches(s, '{X.PRESENCE}') AND regexp_matches(s, '{X.DEFINITE}') AND (NOT regexp_matches(s, '{X.CONDITIONAL}') OR regexp_matches(s, '{X.CURRENT}')) AND days >= {X.LEAST_DAYS}
 UNION ALL {" UNION ALL ".join(signal_sql(k, r) for k, r in enumerate(X.AWAY))}), {TOP.format(most=X.MOST_AWAY)},
 a AS (SELECT top.posting_no, string_agg(category, ',' ORDER BY r) AS categories, bool_or(level = 'strong') AS strong, min_by(top.s, r) AS first, max(days) FILTER (category = '{X.EXTENDED.category}') AS days FROM top JOIN x ON x.posting_no = top.posting_no AND x.i = top.i GROUP BY 1)
 SELECT sg.posting_no, CASE WHEN strong THEN 'strong' WHEN categories IS NOT NULL THEN 'questionable' ELSE 'none' END AS confidence, CASE WHEN categories IS NOT NULL THEN coalesce({_PLACE('first')}, {_PLACE('title')}, {_PLACE('primary_location')}, {_PLACE('body')}, '{X.NOWHERE}') END AS destination, days::INT AS days, coalesce(categories, '') AS categories,
-  CASE WHEN trim(body) = '' THEN 'description-unavailable' WHEN categories IS NOT NULL THEN 'parsed' ELSE 'no-requirement-detected' END AS status FROM sg LEFT JOIN a USING (posting_no)""")
+  CASE WHEN trim(body) = '' THEN 'description-unavailable' WHEN categories IS NOT NULL THEN 'parsed' ELSE 'no-requirement-detected' END AS status FROM sg LEFT JOIN a USING (posting_no)"""
+
+
+@query(AWAY_SQL)
 def extract_away_requirements(spark, sf):
     found = X.away_requirements(F.col("title"), F.col("primary_location"), F.col("body"), F.col("sentences"))
     return segmented(spark, sf).select("posting_no", found.alias("a")).select("posting_no", "a.*")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from hirelake.functions import text as T
 from hirelake.operators import metrics as M
 from hirelake.operators import sampling as S
 
 from . import fixtures as X
 from .fixtures import postings, table
-from .q_rules import MATCHES, matches
+from .q_rules import MATCHES, bodies, matches
+from .q_text import BODY
 from .registry import query
 
 SC = """WITH scored AS (SELECT doc_id, source, lang, (doc_id % 4)::INT AS fold, ((doc_id * 37) % 101) / 101.0::DOUBLE AS score, quality = 1 AS actual, n_chars FROM labels JOIN documents USING (doc_id))"""
@@ -50,6 +52,13 @@ def agreement_report(spark, sf):
     return reference(spark, sf).rollup("concept_id").agg(F.count("*").alias("n"), (F.count_if(~F.col("agreed")) / F.count("*")).alias("disagreement"))
 
 
+@query(REF + " SELECT doc_id, count(*) FILTER (NOT agreed) AS disagreements, count(*) FILTER (final = 'unresolved') AS unresolved FROM r GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 20")
+def agreement_worst(spark, sf):
+    """The 20 rows with most disagreements."""
+    per = reference(spark, sf).groupBy("doc_id").agg(F.count_if(~F.col("agreed")).alias("disagreements"), F.count_if(F.col("final") == "unresolved").alias("unresolved"))
+    return per.orderBy(F.desc("disagreements"), F.desc("unresolved"), "doc_id").limit(20)
+
+
 @query("SELECT doc_id, concept_id, (doc_id % 2 = 0) AS expected FROM documents JOIN (VALUES ('s0', 'a'), ('s0', 'b'), ('s1', 'c')) v(scope, concept_id) ON scope = 's' || (doc_id % 3)")
 def expand_label_scopes(spark, sf):
     """A fixture with a scope becomes one decision for each concept of the scope."""
@@ -67,8 +76,6 @@ conf AS (SELECT *, {r('tp', 'tp + fp')} AS precision, {r('tp', 'tp + fn')} AS re
 def pairs(spark, sf):
     from hirelake.operators import rules as R
 
-    from .q_rules import bodies
-
     dense = R.dense_predictions(bodies(spark, sf), X.concepts(spark), matches(spark, sf)).withColumnRenamed("matched", "predicted")
     actual = F.when(F.col("posting_no") % 31 != 0, (F.col("posting_no") * 7 + F.length("concept_id")) % 5 < 3)
     return dense.withColumn("actual", actual)
@@ -84,15 +91,21 @@ def macro_micro(spark, sf):
     return M.macro_micro(concept_confusion(spark, sf))
 
 
-@query(MATCHES + """, m AS (SELECT *, (posting_no * 7 + length(concept_id)) % 5 < 3 AS actual, count(*) OVER (PARTITION BY posting_no, concept_id) AS k FROM matches)
-SELECT rule_id, count(*) AS n, count(*) FILTER (actual) AS tp, count(*) FILTER (NOT actual) AS fp, count(*) FILTER (actual) / count(*) AS precision, count(*) FILTER (actual AND k = 1) AS unique_tp, min(posting_no) FILTER (NOT actual) AS first_fp FROM m GROUP BY rule_id""")
+@query(MATCHES + """, m AS (SELECT *, (posting_no * 7 + length(concept_id)) % 5 < 3 AS actual, count(*) OVER (PARTITION BY posting_no, concept_id) AS k FROM matches),
+x AS (SELECT rule_id, actual, string_agg(posting_no::VARCHAR, ',' ORDER BY posting_no) AS ids FROM (SELECT DISTINCT rule_id, actual, posting_no FROM m QUALIFY dense_rank() OVER (PARTITION BY rule_id, actual ORDER BY posting_no) <= 5) GROUP BY 1, 2),
+a AS (SELECT rule_id, count(*) AS n, count(*) FILTER (actual) AS tp, count(*) FILTER (NOT actual) AS fp, count(*) FILTER (actual) / count(*) AS precision, count(*) FILTER (actual AND k = 1) AS unique_tp, count(*) FILTER (actual AND k > 1) AS redundant_tp FROM m GROUP BY rule_id)
+SELECT a.*, t.ids AS tp_examples, f.ids AS fp_examples FROM a LEFT JOIN x t ON t.rule_id = a.rule_id AND t.actual LEFT JOIN x f ON f.rule_id = a.rule_id AND NOT f.actual""")
 def rule_evaluation(spark, sf):
-    """Per rule its matches, true and false positives, those no other rule finds, an example."""
+    """Per rule its matches, true and false positives, those no other rule finds, up to five examples of each."""
     actual = (F.col("posting_no") * 7 + F.length("concept_id")) % 5 < 3
     k = F.count("*").over(W.partitionBy("posting_no", "concept_id"))
     m = matches(spark, sf).withColumns({"actual": actual, "k": k})
-    a = F.col("actual")
-    return m.groupBy("rule_id").agg(F.count("*").alias("n"), F.count_if(a).alias("tp"), F.count_if(~a).alias("fp"), (F.count_if(a) / F.count("*")).alias("precision"), F.count_if(a & (F.col("k") == 1)).alias("unique_tp"), F.min(F.when(~a, F.col("posting_no"))).alias("first_fp"))
+    a, first = F.col("actual"), F.row_number().over(W.partitionBy("rule_id", "actual").orderBy("posting_no"))
+    few = m.select("rule_id", "actual", "posting_no").withColumn("r", first).where("r <= 5")
+    ids = lambda keep: F.array_join(F.array_sort(F.collect_list(F.when(keep, F.struct("posting_no", F.col("posting_no").cast("string").alias("t"))))).getField("t"), ",")
+    shown = few.groupBy("rule_id").agg(ids(a).alias("t"), ids(~a).alias("f")).select("rule_id", *[F.when(F.col(c) != "", F.col(c)).alias(n) for c, n in (("t", "tp_examples"), ("f", "fp_examples"))])
+    counts = m.groupBy("rule_id").agg(F.count("*").alias("n"), F.count_if(a).alias("tp"), F.count_if(~a).alias("fp"), (F.count_if(a) / F.count("*")).alias("precision"), F.count_if(a & (F.col("k") == 1)).alias("unique_tp"), F.count_if(a & (F.col("k") > 1)).alias("redundant_tp"))
+    return counts.join(shown, "rule_id")
 
 
 EV = MATCHES + f", rl AS ({X.RULES_SQL}), ev AS (SELECT posting_no, concept_id, 1 - pow(2, -sum(u)) AS score FROM (SELECT DISTINCT posting_no, m.concept_id, rule_id, CASE kind WHEN 'positive' THEN 1 ELSE 2 END AS u FROM matches m JOIN rl USING (rule_id)) GROUP BY 1, 2)"
@@ -124,19 +137,27 @@ def average_precision(spark, sf):
     return M.average_precision(M.pr_curve(scored(spark, sf), ["lang"]), ["lang"])
 
 
-@query(CONF + " SELECT concept_id, tp + fp + fn + tn AS resolved, abs(precision - CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END) > 1e-12 AS differs, CASE WHEN length(concept_id) * 2 > 45 THEN 'STALE' ELSE 'CURRENT' END AS freshness FROM conf")
+@query(CURVE + """, ap AS (SELECT lang, sum((recall - coalesce(prev, 0)) * precision) AS ap FROM (SELECT *, lag(recall) OVER (PARTITION BY lang ORDER BY score DESC) AS prev FROM curve) GROUP BY lang),
+st AS (SELECT lang, run_id, DATE '2024-01-01' + run_id * 30 AS completed, ap + CASE WHEN run_id = 2 THEN 0.001 ELSE 0 END AS average_precision, ap AS again FROM ap, (VALUES (1), (2), (3)) v(run_id))
+SELECT lang, run_id, average_precision, abs(average_precision - again) > 1e-12 AS differs, CASE WHEN DATE '2024-04-15' - completed > 45 THEN 'STALE' ELSE 'CURRENT' END AS freshness, lag(average_precision) OVER (PARTITION BY lang ORDER BY completed, run_id) AS previous FROM st""")
 def curve_consistency(spark, sf):
-    """Stored figures against recomputed ones; reports older than 45 days are stale."""
-    c = concept_confusion(spark, sf)
-    again = M.scored_counts(c.select("concept_id", "tp", "fp", "fn", "tn")).select("concept_id", F.col("precision").alias("p2"))
-    j = c.join(again, "concept_id")
-    return j.select("concept_id", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("resolved"), (F.abs(F.col("precision") - F.col("p2")) > 1e-12).alias("differs"), F.when(F.length("concept_id") * 2 > 45, "STALE").otherwise("CURRENT").alias("freshness"))
+    """Three stored runs per language, the second of them wrong, against recomputed figures."""
+    again = average_precision(spark, sf)
+    runs = again.select("lang", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("run_id"), "average_precision")
+    stored = runs.withColumns({"completed": F.expr("date_add(date'2024-01-01', run_id * 30)"), "average_precision": F.col("average_precision") + F.when(F.col("run_id") == 2, 0.001).otherwise(0.0)})
+    return M.curve_consistency(stored, again, "lang", "2024-04-15")
 
 
-@query(CONF + " SELECT concept_id, CASE WHEN actual IS NULL THEN 'unresolved' WHEN predicted THEN 'FP' ELSE 'FN' END AS kind, count(*) AS n, min(posting_no) AS first_posting FROM pairs WHERE actual IS NULL OR predicted <> actual GROUP BY ALL")
+@query(CONF + """, q AS (SELECT posting_no, concept_id, arg_min(evidence, rule_id) AS quote FROM matches GROUP BY 1, 2), e AS (SELECT p.posting_no, p.concept_id, CASE WHEN actual IS NULL THEN 'unresolved' WHEN predicted THEN 'FP' ELSE 'FN' END AS kind, body, greatest(instr(body, coalesce(quote, ' ')), 1) AS p0 FROM pairs p JOIN bodies b USING (posting_no) LEFT JOIN q ON q.posting_no = p.posting_no AND q.concept_id = p.concept_id WHERE actual IS NULL OR predicted <> actual),
+f AS (SELECT *, greatest(p0 - 26, 1) AS s0 FROM e) SELECT posting_no, concept_id, kind, CASE WHEN s0 > 1 THEN '…' ELSE '' END || trim(substring(body, s0, 80)) || CASE WHEN s0 + 80 <= length(body) THEN '…' ELSE '' END AS excerpt FROM f""")
 def error_list(spark, sf):
+    """Every wrong or unresolved pair with an excerpt around its evidence, or from the start without one."""
     e = pairs(spark, sf).where("actual is null or predicted <> actual")
-    return e.groupBy("concept_id", F.when(F.col("actual").isNull(), "unresolved").when(F.col("predicted"), "FP").otherwise("FN").alias("kind")).agg(F.count("*").alias("n"), F.min("posting_no").alias("first_posting"))
+    quote = matches(spark, sf).groupBy("posting_no", "concept_id").agg(F.min_by("evidence", "rule_id").alias("quote"))
+    j = e.join(quote, ["posting_no", "concept_id"], "left").join(bodies(spark, sf).select("posting_no", "body"), "posting_no")
+    at = F.greatest(F.instr(F.col("body"), F.coalesce("quote", F.lit(" "))), F.lit(1))
+    kind = F.when(F.col("actual").isNull(), "unresolved").when(F.col("predicted"), "FP").otherwise("FN")
+    return j.select("posting_no", "concept_id", kind.alias("kind"), T.excerpt(F.col("body"), at, 80).alias("excerpt"))
 
 
 @query(SC + f""", e AS (SELECT actual, score < 0.3 AS rej, unnest(['all', 'lang', 'fold']) AS slice, unnest(['', lang, fold::VARCHAR]) AS value FROM scored),
@@ -165,16 +186,17 @@ def fold_frontier(spark, sf):
     return M.fold_frontier(scored(spark, sf), 6, [0, 1, 2, 3])
 
 
-@query(SC + " SELECT least(floor(score * 10), 9)::BIGINT AS bin, count(*) AS n, avg(score) AS mean_score, avg(actual::INT) AS keep_share FROM scored GROUP BY 1")
+@query(SC + """, b AS (SELECT least(floor(score * 10), 9)::BIGINT AS bin, count(*) AS n, sum(score) AS s, sum(actual::INT) AS k, sum((score - actual::INT) ** 2) AS b, sum(-(actual::INT * ln(least(greatest(score, 1e-12), 1 - 1e-12)) + (1 - actual::INT) * ln(1 - least(greatest(score, 1e-12), 1 - 1e-12)))) AS c FROM scored GROUP BY 1)
+SELECT bin, n, s / n AS mean_score, k / n AS keep_share, NULL::DOUBLE AS ece, NULL::DOUBLE AS brier, NULL::DOUBLE AS cross_entropy FROM b UNION ALL SELECT -1, sum(n)::BIGINT, sum(s) / sum(n), sum(k) / sum(n), sum(abs(s - k)) / sum(n), sum(b) / sum(n), sum(c) / sum(n) FROM b""")
 def calibration(spark, sf):
     return M.calibration(scored(spark, sf))
 
 
-@query(SC + ", d AS (SELECT lang, actual, score < 0.3 AS b, score < 0.35 + fold / 50.0 AS c FROM scored) SELECT lang, count(*) FILTER (b <> c) AS changed, count(*) FILTER (actual AND b AND NOT c) AS recovered, count(*) FILTER (actual AND NOT b AND c) AS new_errors, count(*) FILTER (actual AND b AND c) AS persistent FROM d GROUP BY lang")
+@query(SC + """, d AS (SELECT lang, actual, score < 0.3 AS b, score < 0.35 + fold / 50.0 AS c FROM scored), n AS (SELECT lang, count(*) AS n, count(*) FILTER (b <> c) AS changed, count(*) FILTER (actual AND b AND NOT c) AS recovered, count(*) FILTER (actual AND NOT b AND c) AS new_errors, count(*) FILTER (actual AND b AND c) AS persistent FROM d GROUP BY lang)
+SELECT *, changed / n AS flip_rate, new_errors > recovered AS regression FROM n""")
 def decision_changes(spark, sf):
-    s = scored(spark, sf).select("lang", "actual", (F.col("score") < 0.3).alias("b"), (F.col("score") < 0.35 + F.col("fold") / 50.0).alias("c"))
-    a, b, c = F.col("actual"), F.col("b"), F.col("c")
-    return s.groupBy("lang").agg(F.count_if(b != c).alias("changed"), F.count_if(a & b & ~c).alias("recovered"), F.count_if(a & ~b & c).alias("new_errors"), F.count_if(a & b & c).alias("persistent"))
+    s = scored(spark, sf).select("lang", "actual", (F.col("score") < 0.3).alias("base"), (F.col("score") < 0.35 + F.col("fold") / 50.0).alias("candidate"))
+    return M.changed_decisions(s, ["lang"])
 
 
 @query(EV + " SELECT concept_id, count(*) FILTER (score > 0.5 AND NOT score > 0.6) AS lost, count(*) AS n FROM ev WHERE concept_id <> 'technical.software' GROUP BY 1")
@@ -184,13 +206,25 @@ def untouched_parity(spark, sf):
     return e.groupBy("concept_id").agg(F.count_if((F.col("score") > 0.5) & ~(F.col("score") > 0.6)).alias("lost"), F.count("*").alias("n"))
 
 
-@query(CONF + " SELECT concept_id, CASE WHEN tp + fn < 10 OR fp + tn < 10 THEN 'review' WHEN f1 - 0.4 >= 0.05 AND precision >= 0.5 AND 0.6 - precision <= 0.03 THEN 'accept' ELSE 'reject' END AS verdict FROM conf")
+GATE = SC + f""", v AS (SELECT lang, actual, score AS s0, ((doc_id * 53) % 97) / 97.0 * 0.5 + CASE WHEN actual THEN 0.4 ELSE 0.1 END AS s1 FROM scored), w AS (SELECT lang, 0 AS run, s0 AS s, actual FROM v UNION ALL SELECT lang, 1, s1, actual FROM v),
+cf AS (SELECT lang, run, count(*) FILTER (s >= 0.5 AND actual) AS tp, count(*) FILTER (s >= 0.5 AND NOT actual) AS fp, count(*) FILTER (s < 0.5 AND actual) AS fn, count(*) FILTER (s < 0.5 AND NOT actual) AS tn FROM w GROUP BY 1, 2),
+m AS (SELECT *, {r('tp', 'tp + fp')} AS precision, {r('2 * tp', '2 * tp + fp + fn')} AS f1 FROM cf),
+g AS (SELECT lang, run, s, count(*) FILTER (actual) AS pos, count(*) AS n FROM w GROUP BY 1, 2, 3), cu AS (SELECT lang, run, s, sum(pos) OVER o AS tp, sum(n) OVER o AS picked, sum(pos) OVER (PARTITION BY lang, run) AS allp FROM g WINDOW o AS (PARTITION BY lang, run ORDER BY s DESC)),
+ap AS (SELECT lang, run, sum((tp - coalesce(prev, 0)) / allp * tp / picked) AS ap FROM (SELECT *, lag(tp) OVER (PARTITION BY lang, run ORDER BY s DESC) AS prev FROM cu WHERE allp > 0) GROUP BY 1, 2), f AS (SELECT m.*, ap FROM m LEFT JOIN ap USING (lang, run))"""
+
+
+@query(GATE + """ SELECT c.lang, CASE WHEN c.tp + c.fn < 10 OR c.fp + c.tn < 10 THEN 'review' WHEN c.f1 - b.f1 >= 0.05 AND c.precision >= 0.5 AND b.precision - c.precision <= 0.03 AND c.ap >= b.ap THEN 'accept' ELSE 'reject' END AS verdict FROM f c JOIN f b ON b.lang = c.lang AND b.run = 0 WHERE c.run = 1""")
 def release_gate(spark, sf):
-    """F1 gain of .05 or more, a precision floor, little precision loss, enough support."""
-    c = concept_confusion(spark, sf)
-    few = (F.col("tp") + F.col("fn") < 10) | (F.col("fp") + F.col("tn") < 10)
-    good = (F.col("f1") - 0.4 >= 0.05) & (F.col("precision") >= 0.5) & (0.6 - F.col("precision") <= 0.03)
-    return c.select("concept_id", F.when(few, "review").when(good, "accept").otherwise("reject").alias("verdict"))
+    """A candidate's scores against the base's, both cut at one half."""
+    n = F.col("doc_id")
+    better = (n * 53) % 97 / F.lit(97.0) * 0.5 + F.when(F.col("actual"), 0.4).otherwise(0.1)
+
+    def figures(score):
+        s = scored(spark, sf).select("lang", "actual", score.alias("score"))
+        conf = M.confusion(s.withColumn("predicted", F.col("score") >= 0.5), ["lang"])
+        return conf.join(M.average_precision(M.pr_curve(s, ["lang"]), ["lang"]), "lang", "left")
+
+    return M.release_gate(figures(F.col("score")), figures(better), "lang")
 
 
 @query(SC + ", a AS (SELECT lang, count(*) AS pop, count(*) FILTER (doc_id % 3 = 0) AS smp, count(*) FILTER (doc_id % 3 = 0 AND actual AND score < 0.3) AS fr FROM scored GROUP BY 1) SELECT lang, pop, smp, pop / smp AS weight, fr * pop / smp AS false_rejects FROM a WHERE smp > 0")
@@ -201,12 +235,32 @@ def audit_estimates(spark, sf):
     return a.select("lang", "pop", "smp", (F.col("pop") / F.col("smp")).alias("weight"), (F.col("fr") * F.col("pop") / F.col("smp")).alias("false_rejects"))
 
 
-@query(CONF + ", p AS (SELECT posting_no, bool_or(actual AND concept_id LIKE 'technical%') AS technical, bool_or(predicted AND concept_id LIKE 'technical%') AS sent FROM pairs GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (sent) AS survivors, count(*) FILTER (sent AND technical) / count(*) FILTER (technical) AS recall, 1 - count(*) FILTER (sent) / count(*) AS reduction FROM p")
+HARD, POSITIVE, IRRELEVANT = ["environment.travel"], ["technical.software", "technical.network", "technical.electrical"], ["role.field-service"]
+_IN = lambda ids, final: "coalesce(string_agg(concept_id, ',' ORDER BY concept_id) FILTER (final = '" + final + "' AND concept_id IN (" + ", ".join(f"'{x}'" for x in ids) + ")), '')"
+REFERENCE = CONF + f""", g AS (SELECT posting_no, {_IN(HARD, 'present')} AS h, {_IN(POSITIVE, 'present')} AS p, {_IN(POSITIVE, 'unresolved')} AS u, {_IN(IRRELEVANT, 'present')} AS i FROM (SELECT posting_no, concept_id, CASE WHEN actual IS NULL THEN 'unresolved' WHEN actual THEN 'present' ELSE 'absent' END AS final FROM pairs) GROUP BY 1),
+ref AS (SELECT posting_no, h = '' AND (i = '' OR p <> '' OR u <> '') AS worth_sending, h = '' AND (i = '' OR u <> '') AND p = '' AS ambiguous, CASE WHEN h <> '' THEN 'hard conflict: ' || h WHEN i <> '' AND p = '' AND u = '' THEN 'irrelevant: ' || i WHEN p <> '' THEN 'evidence: ' || p WHEN u <> '' THEN 'unresolved: ' || u ELSE 'inconclusive' END AS basis FROM g)"""
+
+
+def worth(spark, sf):
+    final = F.when(F.col("actual").isNull(), "unresolved").when(F.col("actual"), "present").otherwise("absent")
+    return M.triage_reference(pairs(spark, sf).withColumn("final", final), HARD, POSITIVE, IRRELEVANT)
+
+
+@query(REFERENCE + " SELECT * FROM ref")
+def triage_reference(spark, sf):
+    return worth(spark, sf)
+
+
+@query(REFERENCE + """, st AS (SELECT posting_no, bool_or(predicted AND concept_id LIKE 'technical%') AS one, bool_or(predicted AND concept_id = 'technical.software') AS two FROM pairs GROUP BY 1),
+a AS (SELECT unnest([1, 2]) AS stage, unnest([one, one AND two]) AS sent, worth_sending AS w FROM st JOIN ref USING (posting_no)) SELECT stage, count(*) AS n, count(*) FILTER (sent) AS survivors, count(*) FILTER (sent AND w) / count(*) FILTER (w) AS recall, 1 - count(*) FILTER (sent) / count(*) AS reduction FROM a GROUP BY 1""")
 def triage_stage_metrics(spark, sf):
-    tech = F.col("concept_id").startswith("technical")
-    p = pairs(spark, sf).groupBy("posting_no").agg(F.bool_or(F.col("actual") & tech).alias("technical"), F.bool_or(F.col("predicted") & tech).alias("sent"))
-    s, t = F.col("sent"), F.col("technical")
-    return p.agg(F.count("*").alias("n"), F.count_if(s).alias("survivors"), (F.count_if(s & t) / F.count_if(t)).alias("recall"), (1 - F.count_if(s) / F.count("*")).alias("reduction"))
+    """Two stages in turn, against the derived reference."""
+    some = lambda c: F.bool_or(F.col("predicted") & c)
+    p = pairs(spark, sf).groupBy("posting_no").agg(some(F.col("concept_id").startswith("technical")).alias("one"), some(F.col("concept_id") == "technical.software").alias("two"))
+    stages = F.array(F.struct(F.lit(1).alias("stage"), F.col("one").alias("sent")), F.struct(F.lit(2).alias("stage"), (F.col("one") & F.col("two")).alias("sent")))
+    each = p.join(worth(spark, sf), "posting_no").select("worth_sending", F.inline(stages))
+    s, w = F.col("sent"), F.col("worth_sending")
+    return each.groupBy("stage").agg(F.count("*").alias("n"), F.count_if(s).alias("survivors"), (F.count_if(s & w) / F.count_if(w)).alias("recall"), (1 - F.count_if(s) / F.count("*")).alias("reduction"))
 
 
 @query("""WITH s AS (SELECT doc_id, 10 + doc_id % 200 AS a, 60 + doc_id % 300 AS b FROM documents), w AS (SELECT doc_id, unnest([0, 50 + doc_id % 90, 200]) AS s0, unnest([40, 150 + doc_id % 60, 260]) AS e0 FROM documents),
@@ -221,35 +275,47 @@ def span_coverage(spark, sf):
     return M.span_coverage(spans, wins, "doc_id").select("doc_id", "covered", F.round("share", 9).alias("share"))
 
 
-@query("SELECT sha256(text) AS body, count(*) AS n, count(DISTINCT lang || (doc_id % 2)) AS labels FROM documents GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT lang || (doc_id % 2)) > 1")
+@query("""WITH r AS (SELECT quality AS label, crc % 3 AS part, sha256(text) AS body, string_split(text, chr(10))[1] AS title, source AS grp FROM (SELECT *, ('0x' || sha256(source)[1:6])::BIGINT AS crc FROM documents JOIN labels USING (doc_id))),
+e AS (SELECT label, part, unnest(['body', 'title', 'group']) AS kind, unnest([body, title, grp]) AS key FROM r) SELECT kind, key, count(*) AS n, count(DISTINCT label) AS labels, count(DISTINCT part) AS parts FROM e WHERE key IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1 AND (count(DISTINCT label) > 1 OR count(DISTINCT part) > 1)""")
 def label_consistency(spark, sf):
-    """Repeated bodies with conflicting labels."""
-    g = table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("body"))
-    return g.agg(F.count("*").alias("n"), F.count_distinct(F.concat("lang", (F.col("doc_id") % 2).cast("string"))).alias("labels")).where("n > 1 and labels > 1")
+    """Bodies, titles (first lines) and groups that occur again with another label, or in another partition."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    d = d.withColumn("part", F.conv(F.substring(F.sha2("source", 256), 1, 6), 16, 10).cast("long") % 3)
+    return M.label_conflicts(d, {"body": F.sha2("text", 256), "title": F.split("text", "\n")[0], "group": F.col("source")}, "quality", "part")
 
 
-@query("SELECT event_type, count(*) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, count(*) / sum(value) AS per_second FROM events GROUP BY 1")
+@query("""SELECT event_type, count(*) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, count(*) / sum(value) AS per_second, sum(length(props)) / sum(value) AS weighted_per_second FROM events WHERE value IS NOT NULL GROUP BY 1""")
 def runtime_percentiles(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.95)).alias("p95"), (F.count("*") / F.sum("value")).alias("per_second"))
+    e = table(spark, sf, "events").where("value is not null")
+    rates = e.groupBy("event_type").agg(F.count("*").alias("n"), (F.count("*") / F.sum("value")).alias("per_second"), (F.sum(F.length("props")) / F.sum("value")).alias("weighted_per_second"))
+    return rates.join(M.percentiles(e, "event_type", "value", {"p50": 0.5, "p95": 0.95}), "event_type")
 
 
-@query(SC + " SELECT lang, count(*) FILTER ((score > 0.5) = (score > 0.4 + fold / 20.0)) / count(*) AS agreement FROM scored GROUP BY 1")
+@query(SC + " SELECT lang, count(*) FILTER ((score > 0.5) = (score > 0.4 + fold / 20.0)) / count(*) AS agreement, sum(1 + n_chars) / sum(1 + n_chars * (1 + fold) / 8.0) AS speed_up FROM scored GROUP BY 1")
 def prediction_agreement(spark, sf):
+    """Two sets of predictions with their costs: how often they agree, and how much less the second takes."""
     same = (F.col("score") > 0.5) == (F.col("score") > 0.4 + F.col("fold") / 20.0)
-    return scored(spark, sf).groupBy("lang").agg((F.count_if(same) / F.count("*")).alias("agreement"))
+    cost = 1 + F.col("n_chars") * (1 + F.col("fold")) / 8.0
+    return scored(spark, sf).groupBy("lang").agg((F.count_if(same) / F.count("*")).alias("agreement"), (F.sum(1 + F.col("n_chars")) / F.sum(cost)).alias("speed_up"))
+
 
+SEEDS, MOST_PHRASES = "(?i)\\b(?:the|que|der|los)\\b", 100
 
-@query("""WITH w AS (SELECT doc_id, quality, list_filter(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM documents JOIN labels USING (doc_id) WHERE lang = 'en'),
-g AS (SELECT doc_id, quality, unnest(list_concat(list_transform(range(1, len(ws)), lambda i: array_to_string(ws[i:i + 1], ' ')), list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')))) AS phrase FROM w),
-c AS (SELECT quality, phrase, count(DISTINCT doc_id) AS n FROM g GROUP BY 1, 2) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY quality ORDER BY n DESC, phrase) <= 50""")
+
+@query(f"""WITH w AS (SELECT doc_id, quality, list_filter(string_split(regexp_replace(text, '([.!?])\\s+([A-Z#*])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda z: regexp_matches(z, '{SEEDS}')) AS ss FROM documents JOIN labels USING (doc_id)),
+s AS (SELECT doc_id, quality, list_filter(string_split(regexp_replace(lower(s), '[^\\p{{L}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM (SELECT doc_id, quality, unnest(ss) AS s FROM w)),
+g AS (SELECT doc_id, quality, unnest(list_concat({", ".join(f"list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(ws[i:i + {k - 1}], ' '))" for k in (2, 3, 4))})) AS phrase FROM s),
+c AS (SELECT quality, phrase, count(DISTINCT doc_id) AS n FROM g GROUP BY 1, 2) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY quality ORDER BY n DESC, phrase) <= {MOST_PHRASES}""")
 def mine_phrases(spark, sf):
-    """Two- and three-word phrases per outcome by distinct documents, the top 50 of each."""
-    d = table(spark, sf, "documents").where("lang = 'en'").join(table(spark, sf, "labels"), "doc_id")
-    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), lambda w: w != "")
-    grams = lambda k: F.when(F.size("ws") >= k, F.transform(F.sequence(F.lit(1), F.size("ws") - k + 1), lambda i: F.array_join(F.slice("ws", i, k), " "))).otherwise(F.array().cast("array<string>"))
-    each = d.select("doc_id", "quality", words.alias("ws")).select("doc_id", "quality", F.explode(F.array_distinct(F.concat(grams(2), grams(3)))).alias("phrase"))
+    """Two- to four-word phrases of the sentences with a seed word, per outcome by distinct documents, the top 100 of each."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    sentences = F.filter(T.split_sentences(F.col("text")), lambda x: x.rlike(SEEDS))
+    words = lambda x: F.filter(F.split(F.regexp_replace(F.lower(x), "[^\\p{L}]+", " "), " "), lambda w: w != "")
+    grams = lambda ws, k: F.when(F.size(ws) >= k, F.transform(F.sequence(F.lit(1), F.size(ws) - k + 1), lambda i: F.array_join(F.slice(ws, i, k), " "))).otherwise(F.array().cast("array<string>"))
+    phrases = F.flatten(F.transform(F.transform(sentences, words), lambda ws: F.concat(*[grams(ws, k) for k in (2, 3, 4)])))
+    each = d.select("doc_id", "quality", F.explode(F.array_distinct(phrases)).alias("phrase"))
     c = each.groupBy("quality", "phrase").agg(F.count("*").alias("n"))
-    return c.withColumn("r", F.row_number().over(W.partitionBy("quality").orderBy(F.desc("n"), "phrase"))).where("r <= 50").drop("r")
+    return c.withColumn("r", F.row_number().over(W.partitionBy("quality").orderBy(F.desc("n"), "phrase"))).where(F.col("r") <= MOST_PHRASES).drop("r")
 
 
 @query("SELECT doc_id FROM documents WHERE n_chars >= 200 ORDER BY sha256('s1|' || doc_id), doc_id LIMIT 100")
@@ -257,15 +323,21 @@ def hash_sample(spark, sf):
     return S.hash_sample(table(spark, sf, "documents").where("n_chars >= 200").select("doc_id"), 100, "s1", "doc_id")
 
 
-@query(f"WITH postings AS ({X.POSTINGS_SQL}) SELECT posting_no, company_id || '/' || CASE WHEN regexp_matches(title, '(?i)engineer|administrator') THEN 'technical' WHEN regexp_matches(title, '(?i)nurse') THEN 'care' ELSE 'other' END || '/' || CASE WHEN regexp_matches(title || primary_location, '(?i)remote') THEN 'remote' ELSE 'site' END AS stratum FROM postings")
-def assign_strata(spark, sf):
-    return strata(spark, sf).select("posting_no", "stratum")
+FLAGS = (("technical", "(?i)engineer|administrator|analyst"), ("management", "(?i)senior|lead|manager"), ("travel", "(?i)travel of|travel up to|frequent travel"))
 
 
-def strata(spark, sf):
-    family = F.when(F.col("title").rlike("(?i)engineer|administrator"), "technical").when(F.col("title").rlike("(?i)nurse"), "care").otherwise("other")
-    mode = F.when(F.concat("title", "primary_location").rlike("(?i)remote"), "remote").otherwise("site")
-    return postings(spark, sf).select("posting_no", "company_id", "title", F.concat_ws("/", "company_id", family, mode).alias("stratum"))
+@query(BODY + f""", f AS (SELECT *, {", ".join(f"regexp_matches(title || ' ' || body, '{p}') AS is_{n}" for n, p in FLAGS)}, len(list_distinct(list_filter(string_split(regexp_replace(lower(body), '[^a-z]+', ' ', 'g'), ' '), lambda w: length(w) > 1))) AS words FROM bodies)
+SELECT posting_no, company_id || '/' || CASE WHEN regexp_matches(title, '(?i)engineer|administrator') THEN 'technical' WHEN regexp_matches(title, '(?i)nurse') THEN 'care' ELSE 'other' END || '/' || CASE WHEN regexp_matches(title || primary_location, '(?i)remote') THEN 'remote' WHEN regexp_matches(body, '(?i)work remotely') THEN 'hybrid' ELSE 'site' END
+  || '/' || array_to_string(list_filter([CASE WHEN is_technical THEN 'technical' END, CASE WHEN is_management THEN 'management' END, CASE WHEN is_travel THEN 'travel' END], lambda z: z IS NOT NULL), '+') || '/' || CASE WHEN words < 45 THEN 'narrow' WHEN words < 55 THEN 'middle' ELSE 'broad' END AS stratum FROM f""")
+def assign_strata(spark, sf):
+    """Company, role family, work mode, technical, management and travel flags, and breadth of vocabulary."""
+    body, title = F.col("body"), F.col("title")
+    family = F.when(title.rlike("(?i)engineer|administrator"), "technical").when(title.rlike("(?i)nurse"), "care").otherwise("other")
+    mode = F.when(F.concat("title", "primary_location").rlike("(?i)remote"), "remote").when(body.rlike("(?i)work remotely"), "hybrid").otherwise("site")
+    flags = F.array_join(F.array_compact(F.array(*[F.when(F.concat_ws(" ", title, body).rlike(p), n) for n, p in FLAGS])), "+")
+    words = F.size(T.token_set(body))
+    breadth = F.when(words < 45, "narrow").when(words < 55, "middle").otherwise("broad")
+    return bodies(spark, sf).select("posting_no", F.concat_ws("/", "company_id", family, mode, flags, breadth).alias("stratum"))
 
 
 @query("""WITH c AS (SELECT source, count(*) AS size FROM documents GROUP BY 1), q AS (SELECT *, 137 * size / sum(size) OVER () AS share FROM c), b AS (SELECT *, floor(share)::BIGINT AS base FROM q),
@@ -309,8 +381,12 @@ def fresh_partition(spark, sf):
     return picked.select("doc_id", F.when(F.col("r") <= 100, "discovery").otherwise("validation").alias("pool"))
 
 
-@query("SELECT CASE WHEN doc_id % 10 = 0 THEN 'unresolved' WHEN doc_id % 10 = 1 THEN 'contaminated' WHEN doc_id % 15 = 2 THEN 'exposed' ELSE 'accepted' END AS reason, count(*) AS n FROM documents GROUP BY 1")
+@query(REF + """, h AS (SELECT r.doc_id, r.final, d.source, d.lang, sha256(d.text) AS h FROM r JOIN documents d USING (doc_id)), dev AS (SELECT DISTINCT h FROM h JOIN labels USING (doc_id)),
+e AS (SELECT DISTINCT user_id AS doc_id FROM events), x AS (SELECT CASE WHEN final = 'unresolved' THEN 'unresolved' WHEN h IN (SELECT h FROM dev) THEN 'contaminated' WHEN doc_id IN (SELECT doc_id FROM e) THEN 'exposed' WHEN source = 'src0' THEN 'self-labelled' ELSE 'accepted' END AS reason FROM h) SELECT reason, count(*) AS n FROM x GROUP BY 1""")
 def holdout_guard(spark, sf):
-    n = F.col("doc_id")
-    reason = F.when(n % 10 == 0, "unresolved").when(n % 10 == 1, "contaminated").when(n % 15 == 2, "exposed").otherwise("accepted")
-    return table(spark, sf, "documents").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    """Examples that may be scored: not unresolved, not in the labelled development set by text, not seen by a reader, not labelled by their own source."""
+    d = table(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
+    rows = reference(spark, sf).select("doc_id", "final").join(d, "doc_id")
+    known = d.join(table(spark, sf, "labels").select("doc_id"), "doc_id").select("h").distinct()
+    seen = table(spark, sf, "events").select(F.col("user_id").alias("doc_id")).distinct()
+    return S.holdout_guard(rows, known, seen, ["src0"]).groupBy("reason").agg(F.count("*").alias("n"))

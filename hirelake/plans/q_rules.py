@@ -137,23 +137,29 @@ def rule_lifecycle(spark, sf):
 
 
 PREFERENCES = ("ideal", "positive", "negative", "hardConflict", "neutral")
-SIGNALS_SQL = "signals AS (SELECT c_custkey AS user_id, concept_id, (['ideal', 'positive', 'negative', 'hardConflict', 'neutral'])[1 + (c_custkey * 7 + length(concept_id)) % 5] AS preference FROM customer, c WHERE c_custkey <= 20)"
+SIGNALS_SQL = "signals AS (SELECT c_custkey AS user_id, concept_id, (['ideal', 'positive', 'negative', 'hardConflict', 'neutral'])[1 + (c_custkey * 7 + length(concept_id)) % 5] AS preference FROM customer, c)"
 WEIGHT = "CASE preference WHEN 'ideal' THEN 2.0 WHEN 'positive' THEN 1.0 WHEN 'negative' THEN -3.0 WHEN 'hardConflict' THEN -6.0 ELSE 0.0 END::DOUBLE"
 
 
-@query(MATCHES + f""", c AS ({X.CONCEPTS_SQL}), {SIGNALS_SQL}, a AS (SELECT DISTINCT posting_no, user_id, m.concept_id, dimension, preference FROM matches m JOIN c USING (concept_id) JOIN signals USING (concept_id) WHERE preference <> 'neutral'),
+@query(MATCHES + f""", c AS ({X.CONCEPTS_SQL}), {SIGNALS_SQL}, pr AS ({X.PROFILES_SQL}),
+a0 AS (SELECT DISTINCT posting_no, pr.user_id, m.concept_id, dimension, CASE WHEN conflict_group <> '' AND m.concept_id LIKE conflict_group || '.%' THEN 'hardConflict' ELSE preference END AS preference FROM matches m JOIN pr USING (posting_no) JOIN c USING (concept_id) JOIN signals s ON s.user_id = pr.user_id AND s.concept_id = m.concept_id),
+a AS (SELECT * FROM a0 WHERE preference <> 'neutral'),
 k AS (SELECT * FROM a WHERE NOT (concept_id = 'technical.network' AND EXISTS (SELECT 1 FROM a b WHERE b.posting_no = a.posting_no AND b.user_id = a.user_id AND b.concept_id = 'technical.software'))),
 d AS (SELECT posting_no, user_id, dimension, sum({WEIGHT}) AS w, count(*) FILTER (preference = 'hardConflict') AS h FROM k GROUP BY ALL),
 l AS (SELECT *, CASE dimension WHEN 'Work Arrangement' THEN greatest(least(w, 1), -2) WHEN 'Role Type / Career Direction' THEN greatest(least(w, 2.5), -3) WHEN 'Technical Domain' THEN greatest(least(w, 1.5), -2) WHEN 'Work Environment' THEN greatest(least(w, 1), -3) WHEN 'Responsibility Shape' THEN greatest(least(w, 1.5), -2) ELSE greatest(least(w, 1), -2) END AS c_w FROM d),
 s AS (SELECT posting_no, user_id, least(greatest(floor(5 + sum(c_w) + 0.5), 1), 10)::BIGINT AS score, sum(h)::BIGINT AS hard_conflicts FROM l GROUP BY ALL)
 SELECT posting_no, user_id, CASE WHEN hard_conflicts > 0 THEN least(score, 2) ELSE score END AS score, hard_conflicts FROM s""")
 def job_fit(spark, sf):
+    """Every posting for its reader, the customer of its order; some readers bar a group of concepts as a whole."""
     concepts = X.concepts(spark)
     choice = F.array(*[F.lit(p) for p in PREFERENCES])
-    users = table(spark, sf, "customer").where("c_custkey <= 20").select(F.col("c_custkey").alias("user_id"))
+    users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
     signals = users.crossJoin(F.broadcast(concepts.select("concept_id"))).withColumn("preference", F.get(choice, ((F.col("user_id") * 7 + F.length("concept_id")) % 5).cast("int")))
     over = spark.createDataFrame([("technical.software", "technical.network")], "concept_id string, superseded string")
-    return FIT.job_fit(matches(spark, sf).select("posting_no", "concept_id").distinct(), signals, concepts, over)
+    readers = X.profiles(spark, sf).select("posting_no", "user_id", "conflict_group")
+    barred = readers.where("conflict_group <> ''").select("user_id", "conflict_group").distinct()
+    barred = barred.join(F.broadcast(concepts), concepts.concept_id.startswith(F.concat("conflict_group", F.lit(".")))).select("user_id", "concept_id")
+    return FIT.job_fit(matches(spark, sf).select("posting_no", "concept_id").distinct(), signals, concepts, over, readers.select("posting_no", "user_id"), barred)
 
 
 @query(BODY + """, t AS (SELECT posting_no, CASE WHEN regexp_matches(body, 'No travel') THEN 0 ELSE TRY_CAST(regexp_extract(body, 'ravel up to ([0-9]+)%', 1) AS INT) END AS pct FROM bodies),
@@ -177,29 +183,3 @@ def work_location_level(spark, sf):
     found = F.array_compact(F.array(F.when(remote, F.struct(F.lit(0).alias("priority"), F.lit(0).alias("level"))), *[F.when(F.col("body").rlike(p), F.struct(F.lit(pr).alias("priority"), F.lit(lv).alias("level"))) for p, lv, pr in CADENCE]))
     b = bodies(spark, sf).select("posting_no", F.array_min(found)["level"].alias("level")).where("level is not null")
     return b.select("posting_no", "level", F.get(F.array(*[F.lit(x) for x in FIT.DISTANCE_IMPACT]), F.abs(F.col("level") - 3)).alias("impact"))
-
-
-FACTS = """CASE posting_no % 6 WHEN 0 THEN 'bachelor' WHEN 1 THEN 'master' WHEN 2 THEN 'highSchool' WHEN 3 THEN 'associate' END"""
-CLEAR = "CASE posting_no % 7 WHEN 0 THEN 'secret' WHEN 1 THEN 'topSecret' WHEN 2 THEN 'topSecretSCI' WHEN 3 THEN 'none' END"
-
-
-@query(f"WITH postings AS ({X.POSTINGS_SQL}), f AS (SELECT posting_no, {FACTS} AS lv, CASE WHEN posting_no % 2 = 0 THEN 'required' ELSE 'preferred' END AS rq, (['highSchool', 'associate', 'bachelor'])[1 + posting_no % 3] AS has FROM postings), r AS (SELECT *, CASE lv WHEN 'bachelor' THEN 3 WHEN 'master' THEN 4 WHEN 'highSchool' THEN 1 WHEN 'associate' THEN 2 END AS need, 1 + posting_no % 3 AS own FROM f) SELECT posting_no, CASE WHEN need IS NULL THEN 'unknown' WHEN own >= need THEN 'met' WHEN rq = 'required' THEN 'requiredGap' ELSE 'preferredGap' END AS kind FROM r")
-def education_fit(spark, sf):
-    n = F.col("posting_no")
-    has = F.get(F.array(F.lit("highSchool"), F.lit("associate"), F.lit("bachelor")), (n % 3).cast("int"))
-    return postings(spark, sf).select("posting_no", FIT.education_kind(F.expr(FACTS), F.when(n % 2 == 0, "required").otherwise("preferred"), has).alias("kind"))
-
-
-@query(f"WITH postings AS ({X.POSTINGS_SQL}), f AS (SELECT posting_no, CASE {CLEAR} WHEN 'secret' THEN 1 WHEN 'topSecret' THEN 2 WHEN 'topSecretSCI' THEN 3 WHEN 'none' THEN 0 END AS need, posting_no % 4 AS own, posting_no % 2 = 0 AS strict FROM postings) SELECT posting_no, CASE WHEN coalesce(need, 0) = 0 THEN 'none' WHEN own >= need THEN 'met' WHEN strict THEN 'strictGap' ELSE 'obtainable' END AS kind FROM f")
-def clearance_fit(spark, sf):
-    n = F.col("posting_no")
-    has = F.get(F.array(*[F.lit(k) for k in FIT.CLEARANCE]), (n % 4).cast("int"))
-    return postings(spark, sf).select("posting_no", FIT.clearance_kind(F.expr(CLEAR), F.when(n % 2 == 0, "mustPossess").otherwise("eligible"), has).alias("kind"))
-
-
-@query(BODY + " SELECT posting_no, CASE WHEN regexp_matches(body, '(?i)unable to sponsor') THEN 'mismatch' WHEN regexp_matches(body, '(?i)sponsorship is available') THEN 'match' WHEN regexp_matches(body, '(?i)citizenship is required') THEN 'mismatch' ELSE 'unknown' END AS kind FROM bodies")
-def authorization_fit(spark, sf):
-    """For a profile that needs a sponsor and isn't a citizen."""
-    b = F.col("body")
-    kind = F.when(b.rlike("(?i)unable to sponsor"), "mismatch").when(b.rlike("(?i)sponsorship is available"), "match").when(b.rlike("(?i)citizenship is required"), "mismatch").otherwise("unknown")
-    return bodies(spark, sf).select("posting_no", kind.alias("kind"))

@@ -111,20 +111,6 @@ def keyword_match(spark, sf):
     return postings(spark, sf).where(S.keyword_match(text, ["SQL ", "remote"], ["relocation"])).select("posting_no")
 
 
-PAY = "CASE WHEN posting_no % 5 = 0 THEN (130 + posting_no % 50) * 1000 WHEN posting_no % 5 = 1 THEN 60 + posting_no % 20 END"
-
-
-@query(BODY + f""", f AS (SELECT *, {PAY} AS pay_max, posting_no % 5 = 0 AS annual FROM bodies)
-SELECT posting_no FROM f WHERE (pay_max IS NULL OR NOT annual OR pay_max >= 150000) AND (contains(lower(primary_location), 'remote') OR contains(lower(title), 'remote') OR primary_location LIKE 'US-%') AND NOT contains(body, 'Active Secret') AND NOT contains(body, 'deployment overseas')""")
-def discovery_filter(spark, sf):
-    """Salary floor for annual pay, location mode, strict clearance and away assignments."""
-    body = T.html_to_text(F.col("html"))
-    p = postings(spark, sf).select("*", body.alias("body"), F.expr(PAY).alias("pay_max"), (F.col("posting_no") % 5 == 0).alias("annual"))
-    floor = F.col("pay_max").isNull() | ~F.col("annual") | (F.col("pay_max") >= 150000)
-    place = F.lower("primary_location").contains("remote") | F.lower("title").contains("remote") | F.col("primary_location").startswith("US-")
-    return p.where(floor & place & ~F.col("body").contains("Active Secret") & ~F.col("body").contains("deployment overseas")).select("posting_no")
-
-
 @query(P + """, a AS (SELECT company_id, CASE WHEN posting_no % 29 <> 0 THEN greatest(date_diff('day', start_date, (SELECT max(start_date) FROM j)), 0) END AS d FROM j)
 SELECT company_id, CASE WHEN d IS NULL THEN 'unknown' WHEN d <= 0 THEN 'today' WHEN d <= 1 THEN 'yesterday' WHEN d <= 7 THEN '2-7' WHEN d <= 14 THEN '8-14' WHEN d <= 30 THEN '15-30' ELSE '31+' END AS age_group, count(*) AS n FROM a GROUP BY ALL""")
 def age_groups(spark, sf):
@@ -134,15 +120,6 @@ def age_groups(spark, sf):
     return p.crossJoin(today).groupBy("company_id", S.age_group(days).alias("age_group")).agg(F.count("*").alias("n"))
 
 
-@query(P + """, a AS (SELECT posting_no, (50 + posting_no % 70) * 1000 AS lo, (130 + posting_no % 50) * 1000 AS hi FROM j WHERE posting_no % 5 = 0)
-SELECT posting_no, round(least(greatest((120000 - lo) / (hi - lo), 0.0), 1.0), 6) AS place, least(greatest((120000 - lo) / (hi - lo), 0.0), 1.0) >= 0.75 AS limited FROM a""")
-def salary_headroom(spark, sf):
-    n = F.col("posting_no")
-    p = postings(spark, sf).where(n % 5 == 0)
-    place = S.headroom(F.lit(120000), (50 + n % 70) * 1000, (130 + n % 50) * 1000)
-    return p.select("posting_no", F.round(place, 6).alias("place"), (place >= 0.75).alias("limited"))
-
-
 @query(P + " SELECT country, arg_min(primary_location, posting_no) AS label, count(*) AS n FROM j GROUP BY country")
 def country_facets(spark, sf):
     return S.facets(postings(spark, sf), ["country"], "primary_location", "posting_no")
@@ -154,13 +131,19 @@ def location_facets(spark, sf):
     return S.facets(p, ["country", "location_id"], "primary_location", "posting_no")
 
 
-@query(P + """, l AS (SELECT primary_location AS label, count(*) AS n FROM j GROUP BY 1),
-s AS (SELECT *, CASE WHEN label LIKE 'US-__-%' THEN label[4:5] WHEN label LIKE '%, CO' THEN 'CO' WHEN lower(trim(string_split(label, ',')[-1])) = 'massachusetts' THEN 'MA' END AS st FROM l)
-SELECT coalesce(st, 'Other') AS state, sum(n)::BIGINT AS n, array_to_string(list_sort(list(label)), ';') AS labels FROM s GROUP BY 1""")
+_SHAPES = []
+for _pattern, _at, _rest, _by_name in S.SHAPES:
+    _raw, _place = f"regexp_extract(label, '{_pattern}', {_at})", f"trim(regexp_extract(label, '{_pattern}', {_rest}))"
+    _key = f"(SELECT st.code FROM st WHERE lower(st.name) = lower({_raw}))" if _by_name else f"(SELECT st.code FROM st WHERE st.code = upper({_raw}))"
+    _SHAPES.append((f"regexp_matches(label, '{_pattern}') AND {_place} <> '' AND {_key} IS NOT NULL", _key, _place))
+_STATES = ", ".join(f"('{c}', '{n}')" for c, n in S.STATES.items())
+
+
+@query(P + f""", st AS (SELECT * FROM (VALUES {_STATES}) v(code, name)), l AS (SELECT primary_location AS label, count(*) AS n FROM j GROUP BY 1),
+s AS (SELECT n, coalesce(CASE {" ".join(f"WHEN {w} THEN {k}" for w, k, _ in _SHAPES)} END, 'Other') AS state, coalesce(CASE {" ".join(f"WHEN {w} THEN {p}" for w, _, p in _SHAPES)} END, label) AS place FROM l)
+SELECT state, coalesce((SELECT name FROM st WHERE code = state), 'Other locations') AS name, sum(n)::BIGINT AS n, array_to_string(list_sort(list(DISTINCT place)), ';') AS places, state <> 'Other' AS mapped FROM s GROUP BY 1""")
 def state_location_groups(spark, sf):
-    labels = postings(spark, sf).groupBy(F.col("primary_location").alias("label")).agg(F.count("*").alias("n"))
-    groups = labels.groupBy(F.coalesce(S.us_state(F.col("label")), F.lit("Other")).alias("state"))
-    return groups.agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list("label")), ";").alias("labels"))
+    return S.state_groups(postings(spark, sf).groupBy(F.col("primary_location").alias("label")).agg(F.count("*").alias("n")))
 
 
 @query(P + """, q AS (SELECT * FROM (VALUES ('q1', 'building', 'US-TX-Austin'), ('q1', 'building', 'Remote, US'), ('q2', 'machinery', 'Denver, CO'), ('q2', 'machinery', 'Remote, US')) v(query_id, company_id, location))
@@ -170,14 +153,3 @@ def source_filter(spark, sf):
     q = spark.createDataFrame([("q1", "building", ["US-TX-Austin"]), ("q2", "machinery", ["Denver, CO"])], "query_id string, company_id string, places array<string>")
     q = q.select("query_id", "company_id", F.explode(F.array_union("places", F.array(F.lit("Remote, US")))).alias("primary_location"))
     return postings(spark, sf).join(F.broadcast(q), ["company_id", "primary_location"]).select("query_id", "posting_no").distinct()
-
-
-@query(BODY + """ SELECT posting_no, title, CASE WHEN posting_no % 9 <> 4 THEN length(body) END AS body_length,
-  array_to_string(list_filter(['technical.software', CASE WHEN posting_no % 2 = 0 THEN 'technical.old' ELSE 'technical.network' END], lambda c: posting_no % 9 <> 4 AND c <> 'technical.old'), ',') AS concepts FROM bodies""")
-def compact_list(spark, sf):
-    """Narrow rows; without a body there are no analyses, and concepts of old taxonomies go."""
-    n = F.col("posting_no")
-    has_body = n % 9 != 4
-    concepts = F.array(F.lit("technical.software"), F.when(n % 2 == 0, "technical.old").otherwise("technical.network"))
-    kept = F.filter(concepts, lambda c: has_body & (c != "technical.old"))
-    return postings(spark, sf).select("posting_no", "title", F.when(has_body, F.length(T.html_to_text(F.col("html"))).cast("long")).alias("body_length"), F.array_join(kept, ",").alias("concepts"))

@@ -51,7 +51,15 @@ def test_keywords_and_ages(spark):
     assert one(spark, search.keyword_match(F.col("t"), ["sql"], ["cook"]), t="SQL cook") is False
     assert one(spark, search.keyword_match(F.col("t"), ["sql"], []), t=None) is True
     assert one(spark, search.age_group(F.col("t").cast("int")), t="-3") == "today"
-    assert one(spark, search.us_state(F.col("t")), t="Boston, Massachusetts") == "MA"
+
+
+def test_location_shapes(spark):
+    labels = {
+        "US, MA, Boston": ("MA", "Boston"), "Dallas, TX, United States": ("TX", "Dallas"), "United States-New York-Albany": ("NY", "Albany"), "US-VA-Reston": ("VA", "Reston"),
+        "US - CO, Boulder": ("CO", "Boulder"), "Denver, CO": ("CO", "Denver"), "VA - Norfolk": ("VA", "Norfolk"), "Boston, Massachusetts": None, "Remote, US": None, "XX - Nowhere": None, "": None,
+    }
+    d = spark.createDataFrame([(k,) for k in labels], "label string").select("label", search.us_location(F.col("label")).alias("x"))
+    assert {r.label: r.x and tuple(r.x) for r in d.collect()} == labels
 
 
 def test_order_of_input_does_not_matter(spark):
