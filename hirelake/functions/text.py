@@ -84,15 +84,35 @@ def mask_names(text: Column, pattern: Column, token: str = "the employer") -> Co
     return F.regexp_replace(text, F.concat(F.lit("(?i)"), pattern), F.lit(token))
 
 
-def span_windows(n: Column, capacity: int, strategy: str) -> Column:
-    """One-based word places kept of ``n`` words: prefix, head_tail or head_mid_tail."""
-    half, third = capacity // 2, capacity // 3
+def word_place(text: Column, pattern: str) -> Column:
+    """One-based number of the word at which the first match of a heading's pattern begins, or null."""
+    at = F.regexp_instr(text, F.lit(pattern))
+    before = F.filter(F.split(F.substring(text, F.lit(1), F.greatest(at - 1, F.lit(0))), "\\s+"), lambda w: w != "")
+    return F.when(at > 0, F.size(before) + 1)
+
+
+def span_windows(n: Column, capacity: int, strategy: str, duty: Column | None = None, qualification: Column | None = None) -> Column:
+    """One-based word places kept of ``n`` words: prefix, head_tail, head_mid_tail or sections.
+
+    sections keeps a quarter from the head, half from the first duty heading and a quarter from the first
+    qualification heading (places of words; without one the middle and the tail).  What overlaps saves goes to more of
+    the head, so ``capacity`` places are kept whenever there are as many.
+    """
+    half, third, quarter = capacity // 2, capacity // 3, capacity // 4
     run = lambda a, b: F.when(b >= a, F.sequence(a.cast("int"), b.cast("int"))).otherwise(F.array().cast("array<int>"))
     one = F.lit(1)
     if strategy == "prefix":
         parts = [run(one, F.least(n, F.lit(capacity)))]
     elif strategy == "head_tail":
         parts = [run(one, F.least(n, F.lit(half))), run(F.greatest(one, n - half + 1), n)]
+    elif strategy == "sections":
+        rest = capacity - quarter - half
+        middle = F.greatest(one, F.least(F.coalesce(duty, F.floor((n - half) / 2) + 1), n - half + 1))
+        tail = F.greatest(one, F.least(F.coalesce(qualification, n - rest + 1), n - rest + 1))
+        parts = [run(one, F.least(n, F.lit(quarter))), run(middle, F.least(n, middle + half - 1)), run(tail, F.least(n, tail + rest - 1))]
+        kept = reduce(F.array_union, parts)
+        more = F.slice(F.array_except(run(one, n), kept), F.lit(1), F.greatest(F.lit(capacity) - F.size(kept), F.lit(0)))
+        return F.array_sort(F.concat(kept, more))
     else:
         mid = F.greatest(one, F.floor(n / 2) - third // 2)
         parts = [run(one, F.least(n, F.lit(third))), run(mid, F.least(n, mid + third - 1)), run(F.greatest(one, n - third + 1), n)]

@@ -76,6 +76,24 @@ def input_fingerprint(rows: DataFrame, column: str) -> Column:
     return F.sha2(F.concat_ws(",", *leaves(column, rows.schema[column].dataType)), 256)
 
 
+def dataset_fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(n_rows, fingerprint): a digest that the order of rows doesn't change.
+
+    Rows' SHA-256 digests are cut into four numbers of 60 bits that are summed, so repeated rows count and the state is
+    five numbers whatever the table's size.
+    """
+    digest = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]), 256)
+    part = lambda k: F.sum(F.conv(F.substring("h", 15 * k + 1, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
+    sums = rows.select(digest.alias("h")).agg(F.count("*").alias("n_rows"), *[part(k).alias(f"s{k}") for k in range(4)])
+    return sums.select("n_rows", F.sha2(F.concat_ws("|", "n_rows", *[F.coalesce(f"s{k}", F.lit(0)) for k in range(4)]), 256).alias("fingerprint"))
+
+
+def stale(stored: Column, version: Column, content: Column, concepts: list[str]) -> Column:
+    """Whether a stored struct (version, content, concepts) no longer equals what is current; its set must be complete."""
+    whole = F.coalesce(F.array_sort(F.array_distinct(stored["concepts"])) == F.array(*[F.lit(c) for c in sorted(concepts)]), F.lit(False))
+    return ~(stored["version"].eqNullSafe(version) & stored["content"].eqNullSafe(content) & whole)
+
+
 def dedup_population(rows: DataFrame, key: str, text_hash: str, at: str, tie: str) -> DataFrame:
     """Every row with why it is dropped (older copy of its id, then of its text) or kept."""
     by_key = W.partitionBy(key).orderBy(F.desc(at), tie)
@@ -134,14 +152,17 @@ def incremental_refresh(listings: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def detail_budget(candidates: DataFrame, details: int, revalidations: int, per: str = "company_id") -> DataFrame:
-    """Which rows to fetch per company: new rows first, then the oldest within what is left."""
+    """Which rows to fetch per company: new rows first, then the oldest within what is left.
+
+    Ranks beyond the limits are cut in every task before rows move; only counts need all rows.
+    """
     rank = lambda *o: F.row_number().over(W.partitionBy(per, "is_new").orderBy(*o))
-    n = F.when(F.col("is_new"), rank(F.desc("preliminary_match"), "external_path")).otherwise(rank(F.asc_nulls_first("validated_at"), "external_path"))
-    ranked = candidates.withColumn("place", n)
-    new = F.sum(F.col("is_new").cast("long")).over(W.partitionBy(per))
-    left = F.least(F.lit(revalidations), F.greatest(F.lit(details) - F.least(new, F.lit(details)), F.lit(0)))
-    take = F.when(F.col("is_new"), F.col("place") <= details).otherwise(F.col("place") <= left)
-    return ranked.withColumn("fetch", take)
+    news = candidates.groupBy(per).agg(F.count_if("is_new").alias("__new"))
+    first = candidates.where("is_new").withColumn("place", rank(F.desc("preliminary_match"), "external_path")).where(F.col("place") <= details)
+    known = candidates.where("not is_new").withColumn("place", rank(F.asc_nulls_first("validated_at"), "external_path")).where(F.col("place") <= revalidations)
+    left = F.least(F.lit(revalidations), F.greatest(F.lit(details) - F.least("__new", F.lit(details)), F.lit(0)))
+    chosen = known.join(F.broadcast(news), per).where(F.col("place") <= left).drop("__new")
+    return first.unionByName(chosen)
 
 
 def ranked(rows: DataFrame, order: list) -> DataFrame:

@@ -20,16 +20,17 @@ def first_not_negated(text: Column, pattern: str) -> Column:
     return F.try_element_at(free, F.lit(1))["hit"]
 
 
-def match_rules(postings: DataFrame, rules: list[tuple], id_col: str = "posting_no") -> DataFrame:
+def match_rules(postings: DataFrame, rules: list[tuple], id_col: str = "posting_no", facts: list[str] | None = None) -> DataFrame:
     """(id, concept_id, rule_id, evidence) of accepted evidence.
 
     postings: id, title, body; rules: (rule id, concept, kind, context group, scope, pattern).
     The rule table is compiled into constant patterns of one projection: nothing is shuffled.
     An exclusion vetoes its concept; a context group counts when all of its members match;
-    positive evidence must not be negated.
+    positive evidence must not be negated.  A rule of scope ``fact:name`` selects by an extracted fact, a column named in
+    ``facts``: its pattern is matched with the fact's text, which is the evidence.
     """
     corpus = F.concat_ws("\n", "title", "body")
-    text = {"title": F.col("title"), "posting": F.col("body"), "corpus": corpus}
+    text = {"title": F.col("title"), "posting": F.col("body"), "corpus": corpus} | {f"fact:{f}": F.col(f).cast("string") for f in facts or ()}
     size: dict[tuple, int] = {}
     for _, concept, kind, group, _, _ in rules:
         if kind == "context":
@@ -37,7 +38,7 @@ def match_rules(postings: DataFrame, rules: list[tuple], id_col: str = "posting_
     found = []
     for rule_id, concept, kind, group, scope, pattern in rules:
         t = text[scope]
-        hit = first_not_negated(t, pattern) if kind == "positive" else F.regexp_extract(t, pattern, 0)
+        hit = first_not_negated(t, pattern) if kind == "positive" and not scope.startswith("fact:") else F.regexp_extract(t, pattern, 0)
         row = F.struct(F.lit(concept).alias("concept_id"), F.lit(rule_id).alias("rule_id"), F.lit(kind).alias("kind"), F.lit(group).alias("grp"), F.lit(size.get((concept, group), 0)).alias("members"), hit.alias("evidence"))
         found.append(F.when(t.rlike(pattern), row))
     hits = postings.select(id_col, F.filter(F.array(*found), lambda r: r.isNotNull() & r["evidence"].isNotNull()).alias("all"))
@@ -110,3 +111,56 @@ def buckets(text: Column, table: dict[str, str], most: int = 5) -> Column:
         hits = F.slice(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower))), 1, most)
         parts.append(F.when(F.size(hits) > 0, F.concat(F.lit(f"{name}:"), F.array_join(hits, ","))))
     return F.array_join(F.array_compact(F.array(*parts)), "|")
+
+
+def reconciled(stored: DataFrame, postings: DataFrame, rules: list[tuple], version: str, id_col: str = "posting_no") -> DataFrame:
+    """stored: id, version, concepts (sorted). Rows of another version are classified again from their postings (id, title,
+    body), the others pass: id, version, concepts, recomputed, repaired (whether the set changed)."""
+    old = stored.where(~F.col("version").eqNullSafe(version))
+    found = match_rules(postings.join(old.select(id_col), id_col, "left_semi"), rules, id_col).groupBy(id_col).agg(F.array_sort(F.collect_set("concept_id")).alias("now"))
+    again = old.join(found, id_col, "left").withColumn("now", F.coalesce("now", F.expr("cast(array() as array<string>)")))
+    again = again.select(id_col, F.lit(version).alias("version"), F.col("now").alias("concepts"), F.lit(True).alias("recomputed"), (F.col("now") != F.col("concepts")).alias("repaired"))
+    rest = stored.where(F.col("version").eqNullSafe(version)).select(id_col, "version", "concepts", F.lit(False).alias("recomputed"), F.lit(False).alias("repaired"))
+    return again.unionByName(rest)
+
+
+def family_decision(title: Column, body: Column, families: dict[str, tuple[str, str]], variant: dict) -> Column:
+    """The families of a variant that reject, joined by commas; empty keeps.
+
+    families: name to (title pattern, body pattern). variant: families (names), body (a family needs its body pattern),
+    veto (a pattern of technical duties in the body), noise (a pattern of matches that are none), protect (a title
+    pattern that keeps).
+    """
+    rows = []
+    for name in variant["families"]:
+        in_title, in_body = families[name]
+        hit = title.rlike(in_title) & (body.rlike(in_body) if variant.get("body") else F.lit(True))
+        rows.append(F.when(hit, name))
+    keep = title.rlike(variant["protect"]) if variant.get("protect") else F.lit(False)
+    if variant.get("veto"):
+        duties = F.regexp_extract_all(body, F.lit(variant["veto"]), F.lit(0))
+        keep = keep | (F.exists(duties, lambda m: ~m.rlike(variant["noise"])) if variant.get("noise") else F.size(duties) > 0)
+    return F.when(keep, "").otherwise(F.array_join(F.array_compact(F.array(*rows)), ","))
+
+
+def triage_status(observations: DataFrame, ruleset: str, by: list[str]) -> DataFrame:
+    """observations: decision, has_body, ruleset, at, and the columns ``by``. Counts overall and per slice of each column."""
+    each = F.array(F.struct(F.lit("all").alias("slice"), F.lit("").alias("value")), *[F.struct(F.lit(c).alias("slice"), F.col(c).cast("string").alias("value")) for c in by])
+    d = lambda x: F.col("decision") == x
+    g = observations.select("decision", "has_body", "ruleset", "at", F.inline(each)).groupBy("slice", "value")
+    n = g.agg(
+        F.count("*").alias("n"), F.count_if(d("KEEP")).alias("keep"), F.count_if(d("REJECT")).alias("reject"), F.count_if(d("UNDETERMINED")).alias("undetermined"), F.count_if(~F.col("has_body") & ~d("UNDETERMINED")).alias("title_only"),
+        F.count_if("has_body").alias("described"), F.count_if(F.col("ruleset") != ruleset).alias("stale"), F.max("at").alias("latest"),
+    )
+    decided = F.col("keep") + F.col("reject")
+    return n.withColumn("reject_percent", F.round(F.when(decided > 0, 100.0 * F.col("reject") / decided), 6))
+
+
+def rule_lifecycle(rules: DataFrame, usage: DataFrame, now, review_days: int = 30, delete_days: int = 180) -> DataFrame:
+    """rules: rule_id, state, since (date); usage: rule_id, matches, last_match. A rule that was neither changed nor matched
+    for ``review_days`` is due for review; one retired for ``delete_days`` is deleted."""
+    j = rules.join(usage, "rule_id", "left")
+    idle = F.datediff(F.lit(now).cast("date"), F.greatest("since", F.to_date("last_match")))
+    age = F.datediff(F.lit(now).cast("date"), "since")
+    state = F.when((F.col("state") == "active") & (idle >= review_days), "review-due").when((F.col("state") == "retired") & (age >= delete_days), "deleted").otherwise(F.col("state"))
+    return j.select("rule_id", F.coalesce("matches", F.lit(0)).alias("matches"), state.alias("state"))

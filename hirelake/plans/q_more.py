@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hirelake.functions import text as T
 from hirelake.operators import clusters as C
 from hirelake.operators import identity as I
+from hirelake.operators import metrics as M
 from hirelake.operators import review as V
 from hirelake.sources import cache as S
 from hirelake.streaming import jobs as J
@@ -65,15 +66,6 @@ def input_fingerprint(spark, sf):
     return p.select("posting_no", I.input_fingerprint(p, "input").alias("fingerprint"))
 
 
-@query(BODY + " SELECT posting_no % 3 = 0 AS stale, count(*) AS inspected, count(*) FILTER (posting_no % 3 = 0) AS recomputed, count(*) FILTER (posting_no % 6 = 0) AS repaired FROM bodies GROUP BY 1")
-def reconcile_stale(spark, sf):
-    """Only rows of an old version are computed again; the others pass."""
-    p = postings(spark, sf).select("posting_no", "title", "html", F.when(F.col("posting_no") % 6 == 0, "old").otherwise(I.content_hash(F.col("title"), T.html_to_text(F.col("html")))).alias("stored"), (F.col("posting_no") % 3 == 0).alias("stale"))
-    again = p.where("stale").withColumn("now", I.content_hash(F.col("title"), T.html_to_text(F.col("html"))))
-    rest = p.where("not stale").withColumn("now", F.col("stored"))
-    return again.unionByName(rest).groupBy("stale").agg(F.count("*").alias("inspected"), F.count_if("stale").alias("recomputed"), F.count_if(F.col("stored") != F.col("now")).alias("repaired"))
-
-
 GRAMS = f"""WITH t AS (SELECT min(p_partkey) AS id, p_name AS title FROM part GROUP BY p_name), p AS (SELECT id, ' ' || lower(title) || ' ' AS s FROM t),
 tf AS (SELECT id, g, count(*) AS tf FROM (SELECT id, unnest(list_transform(range(1, length(s) - 1), lambda i: s[i:i + 2])) AS g FROM p) GROUP BY 1, 2),
 df AS (SELECT g, count(*) AS df FROM tf GROUP BY 1), w AS (SELECT id, g, tf * (ln((1 + (SELECT count(*) FROM t)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (g)),
@@ -146,7 +138,7 @@ def stream_rule_usage(spark, sf):
 
 @query("SELECT DISTINCT user_id || ':' || event_type AS key FROM events WHERE ts > (SELECT min(ts) + INTERVAL 12 HOUR FROM events)")
 def stream_discovery(spark, sf):
-    return J.drained(J.stream_discovery(J.events_stream(spark, sf, "3650 days"), start_of(spark, sf)), "discovery")
+    return J.stream_discovery(J.events_stream(spark, sf), start_of(spark, sf))
 
 
 @query(FOLD_SQL.replace("SELECT job_id, state, applied_at, closed_at, ignored FROM f", "SELECT job_id, state, n AS events, ignored::BIGINT AS ignored FROM f"))
@@ -179,4 +171,7 @@ def tfidf_logistic(spark, sf):
         model = Pipeline(stages=stages).fit(d.where(F.col("fold") != fold))
         scored = model.transform(d.where(F.col("fold") == fold)).select("doc_id", "fold", "label", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
         out = scored if out is None else out.unionByName(scored)
-    return out
+    out = C.written(out, "tfidf-scores")
+    # A fold's threshold keeps 95 % of the rows to keep of the other folds.
+    each = out.select("score", (F.col("label") == 1).alias("actual"), F.explode(F.array_remove(F.array(*[F.lit(k) for k in range(3)]), F.col("fold"))).alias("fold"))
+    return out.join(F.broadcast(M.choose_threshold(each, 0.95)), "fold").withColumn("keep", F.col("score") >= F.col("threshold"))

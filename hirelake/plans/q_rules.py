@@ -81,7 +81,11 @@ def triage_decide(spark, sf):
     return decided(spark, sf).select("posting_no", "decision", "rule_ids")
 
 
-BUCKETS = {"code": "(?i)sql|linux|software", "place": "(?i)remotely|overseas|site", "degree": "(?i)bachelor|master|associate"}
+#: Ten kinds of evidence.
+BUCKETS = {
+    "code": "(?i)sql|linux|software", "place": "(?i)remotely|overseas|site", "degree": "(?i)bachelor|master|associate", "clearance": "(?i)secret|clearance|polygraph", "pay": "(?i)salary|pay|compensation", "travel": "(?i)travel|deployment",
+    "people": "(?i)team|people", "law": "(?i)citizen|visa|export", "field": "(?i)computer|engineering|mathematics", "perks": "(?i)benefits|bonus|stipend",
+}
 
 
 @query(BODY + """, s AS (SELECT posting_no, regexp_matches(title, '(?i)nurse|warehouse|bridges') AS physical, regexp_matches(title, '(?i)software|network|systems|data|electrical') AS technical, body FROM bodies),
@@ -93,25 +97,71 @@ def two_stage_triage(spark, sf):
     return bodies(spark, sf).select("posting_no", stage.alias("rejected_at"), R.buckets(F.col("body"), BUCKETS).alias("evidence"))
 
 
-FAMILIES = {"care": "(?i)nurse", "storage": "(?i)warehouse", "civil": "(?i)civil|bridges"}
-PROOF = {"care": "(?i)people", "storage": "(?i)site|travel", "civil": "(?i)degree|experience"}
+#: Families (title, body) and the eight variants that use them.
+FAMILIES = {"care": ("(?i)nurse", "(?i)people"), "storage": ("(?i)warehouse", "(?i)site|travel"), "civil": ("(?i)civil|bridges", "(?i)degree|experience"), "electrical": ("(?i)electrical", "(?i)clearance|travel"), "service": ("(?i)technician", "(?i)travel|office")}
+BASE, ALL, DUTY, NOISE, PROTECT = ["care", "storage"], ["care", "storage", "civil", "electrical", "service"], "(?i)[a-z]+ of sql|linux", "(?i)knowledge of sql", "(?i)software|network|systems"
+VARIANTS = {
+    "title": {"families": BASE}, "title-body": {"families": BASE, "body": True}, "guarded": {"families": BASE, "body": True, "veto": DUTY}, "protected": {"families": BASE, "body": True, "veto": DUTY, "protect": PROTECT},
+    "noise-aware": {"families": BASE, "body": True, "veto": DUTY, "noise": NOISE}, "extended": {"families": ALL, "body": True, "veto": DUTY, "noise": NOISE}, "electrical-safe": {"families": [f for f in ALL if f != "electrical"], "body": True, "veto": DUTY, "noise": NOISE, "protect": PROTECT},
+    "aggressive": {"families": ALL},
+}
 
 
-@query(BODY + ", v AS (SELECT unnest(['title', 'title-body', 'guarded']) AS variant), f AS (SELECT *, CASE " + " ".join(f"WHEN regexp_matches(title, '{p}') THEN '{n}'" for n, p in FAMILIES.items()) + " END AS family FROM bodies) SELECT variant, posting_no, family, family IS NOT NULL AND CASE variant WHEN 'title' THEN true ELSE CASE family " + " ".join(f"WHEN '{n}' THEN regexp_matches(body, '{p}')" for n, p in PROOF.items()) + " END AND (variant = 'title-body' OR NOT regexp_matches(body, '(?i)sql')) END AS reject FROM f, v")
+def _variant_sql(v: dict) -> str:
+    keep = ["false"]
+    if v.get("protect"):
+        keep.append(f"regexp_matches(title, '{v['protect']}')")
+    if v.get("veto"):
+        duties = f"regexp_extract_all(body, '{v['veto']}')"
+        keep.append(f"len(list_filter({duties}, lambda m: NOT regexp_matches(m, '{v['noise']}'))) > 0" if v.get("noise") else f"len({duties}) > 0")
+    hits = ", ".join(f"CASE WHEN regexp_matches(title, '{FAMILIES[n][0]}')" + (f" AND regexp_matches(body, '{FAMILIES[n][1]}')" if v.get("body") else "") + f" THEN '{n}' END" for n in v["families"])
+    return f"CASE WHEN {' OR '.join(keep)} THEN '' ELSE array_to_string(list_filter([{hits}], lambda z: z IS NOT NULL), ',') END"
+
+
+@query(BODY + ", d AS (" + " UNION ALL ".join(f"SELECT '{n}' AS variant, posting_no, {_variant_sql(v)} AS families FROM bodies" for n, v in VARIANTS.items()) + ") SELECT variant, posting_no, families, families <> '' AS reject FROM d")
 def family_triage(spark, sf):
-    """Title family, body proof and technical veto in three named variants."""
-    family = F.coalesce(*[F.when(F.col("title").rlike(p), n) for n, p in FAMILIES.items()])
-    proof = F.coalesce(*[F.when(F.col("family") == n, F.col("body").rlike(p)) for n, p in PROOF.items()], F.lit(False))
-    b = bodies(spark, sf).withColumn("family", family).withColumns({"proof": proof, "veto": F.col("body").rlike("(?i)sql")})
-    known = F.col("family").isNotNull()
-    rows = F.array(F.struct(F.lit("title").alias("variant"), known.alias("reject")), F.struct(F.lit("title-body").alias("variant"), (known & F.col("proof")).alias("reject")), F.struct(F.lit("guarded").alias("variant"), (known & F.col("proof") & ~F.col("veto")).alias("reject")))
-    return b.select("posting_no", "family", F.inline(rows)).select("variant", "posting_no", "family", "reject")
+    """Title families, their proof in the body, technical vetoes and protected titles, in eight named variants."""
+    rows = F.array(*[F.struct(F.lit(n).alias("variant"), R.family_decision(F.col("title"), F.col("body"), FAMILIES, v).alias("families")) for n, v in VARIANTS.items()])
+    return bodies(spark, sf).select("posting_no", F.inline(rows)).select("variant", "posting_no", "families", (F.col("families") != "").alias("reject"))
 
 
-@query(FLAGS + " SELECT company_id, count(*) AS n, count(*) FILTER (decision = 'KEEP') AS keep, count(*) FILTER (decision = 'REJECT') AS reject, round(100.0 * count(*) FILTER (decision = 'REJECT') / count(*), 6) AS reject_percent, max(start_date) AS latest FROM decided GROUP BY ROLLUP (company_id)")
+@query(FLAGS + """, o AS (SELECT d.posting_no, d.company_id AS employer, p.country AS provider, CASE WHEN p.is_available THEN decision WHEN med THEN 'REJECT' ELSE 'UNDETERMINED' END AS decision, p.is_available AS has_body, CASE WHEN d.start_date < DATE '1995-01-01' THEN 'rules-0' ELSE 'rules-1' END AS ruleset, d.start_date AS made FROM decided d JOIN postings p USING (posting_no) JOIN f USING (posting_no)),
+e AS (SELECT * EXCLUDE (employer, provider), unnest(['all', 'employer', 'provider']) AS slice, unnest(['', employer, provider]) AS value FROM o), n AS (SELECT slice, value, count(*) AS n, count(*) FILTER (decision = 'KEEP') AS keep, count(*) FILTER (decision = 'REJECT') AS reject, count(*) FILTER (decision = 'UNDETERMINED') AS undetermined, count(*) FILTER (NOT has_body AND decision <> 'UNDETERMINED') AS title_only, count(*) FILTER (has_body) AS described, count(*) FILTER (ruleset <> 'rules-1') AS stale, max(made) AS latest FROM e GROUP BY 1, 2)
+SELECT *, round(CASE WHEN keep + reject > 0 THEN 100.0 * reject / (keep + reject) END, 6) AS reject_percent FROM n""")
 def triage_status(spark, sf):
-    d = decided(spark, sf).rollup("company_id")
-    return d.agg(F.count("*").alias("n"), F.count_if(F.col("decision") == "KEEP").alias("keep"), F.count_if(F.col("decision") == "REJECT").alias("reject"), F.round(100.0 * F.count_if(F.col("decision") == "REJECT") / F.count("*"), 6).alias("reject_percent"), F.max("start_date").alias("latest"))
+    """Postings that are gone have no body: their titles decide, or nothing does."""
+    p = postings(spark, sf).select("posting_no", F.col("country").alias("provider"), F.col("is_available").alias("has_body"))
+    j = decided(spark, sf).join(p, "posting_no")
+    alone = F.when(F.col("title").rlike(GRAPH["medical-title"]["pattern"]), "REJECT").otherwise("UNDETERMINED")
+    o = j.select(F.col("company_id").alias("employer"), "provider", "has_body", F.when(F.col("has_body"), F.col("decision")).otherwise(alone).alias("decision"), F.when(F.col("start_date") < "1995-01-01", "rules-0").otherwise("rules-1").alias("ruleset"), F.col("start_date").alias("at"))
+    return R.triage_status(o, "rules-1", ["employer", "provider"])
+
+
+@query(BODY + """, f AS (SELECT posting_no, title, body, regexp_matches(title || ' ' || primary_location, '(?i)\\bremote\\b') OR regexp_matches(body, '(?i)work remotely|fully remote') AS remote FROM bodies)
+SELECT posting_no, 'arrangement.remote' AS concept_id, 'f1' AS rule_id, 'true' AS evidence FROM f WHERE remote UNION ALL SELECT posting_no, 'technical.software', 'f2', regexp_extract(title, '(?i)software engineer') FROM f WHERE regexp_matches(title, '(?i)software engineer')""")
+def match_fact_selectors(spark, sf):
+    """Concepts by extracted facts beside text rules."""
+    from hirelake.operators import facts as FACTS
+
+    remote = F.concat_ws(" ", "title", "primary_location").rlike(FACTS.REMOTE_NAMED) | F.col("body").rlike(FACTS.REMOTE_ROLE)
+    rules = [("f1", "arrangement.remote", "positive", "", "fact:is_remote", "true"), ("f2", "technical.software", "title", "", "title", "(?i)software engineer")]
+    return R.match_rules(bodies(spark, sf).withColumn("is_remote", remote), rules, facts=["is_remote"])
+
+
+@query(MATCHES + """, cu AS (SELECT posting_no, list_sort(list(DISTINCT concept_id)) AS now FROM matches GROUP BY 1), ol AS (SELECT posting_no, list_sort(list(DISTINCT concept_id)) AS was FROM matches WHERE rule_id NOT IN ('r05', 'r12') GROUP BY 1),
+s AS (SELECT p.posting_no, p.start_date < DATE '1995-01-01' AS stale, coalesce(now, []) AS now, coalesce(was, []) AS was FROM postings p LEFT JOIN cu USING (posting_no) LEFT JOIN ol USING (posting_no))
+SELECT stale AS recomputed, count(*) AS inspected, count(*) FILTER (stale AND now <> was) AS repaired, sum(len(now))::BIGINT AS concepts FROM s GROUP BY 1""")
+def reconcile_stale(spark, sf):
+    """Rows of before 1995 were classified by an older rule table; only they are classified again."""
+    b = bodies(spark, sf)
+    old = [r for r in X.RULES if r[0] not in ("r05", "r12")]
+    sets = lambda rules: R.match_rules(b.select("posting_no", "title", "body"), rules).groupBy("posting_no").agg(F.array_sort(F.collect_set("concept_id")).alias("c"))
+    before = F.col("start_date") < "1995-01-01"
+    j = b.select("posting_no", "start_date").join(sets(old).withColumnRenamed("c", "was"), "posting_no", "left").join(sets(list(X.RULES)).withColumnRenamed("c", "now"), "posting_no", "left")
+    empty = F.expr("cast(array() as array<string>)")
+    stored = j.select("posting_no", F.when(before, "rules-0").otherwise("rules-1").alias("version"), F.coalesce(F.when(before, F.col("was")).otherwise(F.col("now")), empty).alias("concepts"))
+    out = R.reconciled(stored, b.select("posting_no", "title", "body"), list(X.RULES), "rules-1")
+    return out.groupBy("recomputed").agg(F.count("*").alias("inspected"), F.count_if("repaired").alias("repaired"), F.sum(F.size("concepts").cast("long")).alias("concepts"))
 
 
 USAGE = "SELECT event_type AS rule_id, count(*) AS matches, count(*) FILTER (value < 10) AS timeouts, max(ts) AS last_match FROM events GROUP BY 1"
@@ -127,13 +177,14 @@ def rule_usage(spark, sf):
     return usage(spark, sf)
 
 
-@query(f"""WITH u AS ({USAGE}), r AS (SELECT * FROM (VALUES ('click', 'active', 10), ('view', 'active', 45), ('error', 'retired', 100), ('signup', 'retired', 200), ('never', 'active', 31)) v(rule_id, state, days))
-SELECT r.rule_id, coalesce(u.matches, 0)::BIGINT AS matches, CASE WHEN state = 'active' AND days >= 30 THEN 'review-due' WHEN state = 'retired' AND days >= 180 THEN 'deleted' ELSE state END AS state FROM r LEFT JOIN u USING (rule_id)""")
+@query(f"""WITH u AS ({USAGE}), nw AS (SELECT (max(ts)::DATE + 29) AS d FROM events), r AS (SELECT rule_id, state, nw.d - days AS since, days, nw.d FROM (VALUES ('click', 'active', 10), ('view', 'active', 45), ('error', 'retired', 100), ('signup', 'retired', 200), ('never', 'active', 31), ('young', 'active', 29)) v(rule_id, state, days), nw)
+SELECT r.rule_id, coalesce(u.matches, 0)::BIGINT AS matches, CASE WHEN state = 'active' AND d - greatest(since, coalesce(last_match::DATE, since)) >= 30 THEN 'review-due' WHEN state = 'retired' AND days >= 180 THEN 'deleted' ELSE state END AS state FROM r LEFT JOIN u USING (rule_id)""")
 def rule_lifecycle(spark, sf):
-    """Active rules fall due for review after 30 days, retired ones are deleted after 180."""
-    r = spark.createDataFrame([("click", "active", 10), ("view", "active", 45), ("error", "retired", 100), ("signup", "retired", 200), ("never", "active", 31)], "rule_id string, state string, days int")
-    state = F.when((F.col("state") == "active") & (F.col("days") >= 30), "review-due").when((F.col("state") == "retired") & (F.col("days") >= 180), "deleted").otherwise(F.col("state"))
-    return r.join(usage(spark, sf), "rule_id", "left").select("rule_id", F.coalesce("matches", F.lit(0)).alias("matches"), state.alias("state"))
+    """29 days after the last event, so that matched rules are still in use."""
+    now = table(spark, sf, "events").agg(F.date_add(F.to_date(F.max("ts")), 29)).first()[0]
+    rows = [("click", "active", 10), ("view", "active", 45), ("error", "retired", 100), ("signup", "retired", 200), ("never", "active", 31), ("young", "active", 29)]
+    r = spark.createDataFrame(rows, "rule_id string, state string, days int").select("rule_id", "state", F.date_sub(F.lit(now), F.col("days")).alias("since"))
+    return R.rule_lifecycle(r, usage(spark, sf), now)
 
 
 PREFERENCES = ("ideal", "positive", "negative", "hardConflict", "neutral")

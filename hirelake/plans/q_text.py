@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hirelake.functions import text as T
 from hirelake.operators import identity as I
 
-from .fixtures import POSTINGS_SQL, postings, table
+from .fixtures import CONCEPTS, POSTINGS_SQL, postings, table
 from .registry import query
 
 P = f"WITH postings AS ({POSTINGS_SQL})"
@@ -92,6 +92,22 @@ def select_spans(spark, sf):
     return d.select("doc_id", "n_words", T.span_windows(F.col("n_words"), 120, "head_mid_tail").cast("array<long>").alias("places"))
 
 
+DUTIES, QUALIFICATIONS = "(?i)\\bmore\\b", "(?i)\\b(?:preferred|required) qualifications\\b"
+_WORDS = lambda x: f"list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')"
+_PLACE = lambda p: f"CASE WHEN regexp_matches(body, '{p}') THEN len({_WORDS(f'string_split_regex(body, {chr(39)}{p}{chr(39)})[1]')}) + 1 END"
+
+
+@query(BODY + f""", w AS (SELECT posting_no, len({_WORDS('body')}) AS n, {_PLACE(DUTIES)} AS d, {_PLACE(QUALIFICATIONS)} AS q FROM bodies), s AS (SELECT *, greatest(1, least(coalesce(d, (n - 20) // 2 + 1), n - 19)) AS m, greatest(1, least(coalesce(q, n - 9), n - 9)) AS t FROM w),
+k AS (SELECT *, list_distinct(list_concat(list_concat(range(1, least(n, 10) + 1), range(m, least(n, m + 19) + 1)), range(t, least(n, t + 9) + 1))) AS kept FROM s)
+SELECT posting_no, n::INT AS n_words, list_sort(list_concat(kept, list_filter(range(1, n + 1), lambda i: NOT list_contains(kept, i))[1:greatest(40 - len(kept), 0)])) AS places FROM k""")
+def select_section_spans(spark, sf):
+    """Forty words of a body: its head, its duties and its qualifications."""
+    body = F.col("body")
+    words = F.size(F.filter(F.split(body, "\\s+"), lambda x: x != ""))
+    d = postings(spark, sf).select("posting_no", T.html_to_text(F.col("html")).alias("body")).select("posting_no", words.alias("n_words"), T.word_place(body, DUTIES).alias("d"), T.word_place(body, QUALIFICATIONS).alias("q"))
+    return d.select("posting_no", "n_words", T.span_windows(F.col("n_words"), 40, "sections", F.col("d"), F.col("q")).cast("array<long>").alias("places"))
+
+
 @query(BODY + """, a AS (SELECT posting_no, body, instr(lower(body), 'clearance') AS pos FROM bodies WHERE instr(lower(body), 'clearance') > 0),
 b AS (SELECT *, greatest(pos - 20, 1) AS s FROM a)
 SELECT posting_no, CASE WHEN s > 1 THEN '…' ELSE '' END || trim(substring(body, s, 60)) || CASE WHEN s + 60 <= length(body) THEN '…' ELSE '' END AS excerpt FROM b""")
@@ -119,15 +135,21 @@ def content_hash(spark, sf):
     return h.withColumn("classification_fingerprint", I.classification_fingerprint(F.col("content_hash"), "rules-1", "taxonomy-1"))
 
 
-@query(BODY + """ SELECT posting_no FROM bodies WHERE (CASE WHEN posting_no % 3 = 0 THEN 'rules-0' ELSE 'rules-1' END) <> 'rules-1'
-  OR sha256(title || chr(10) || body) <> sha256(title || chr(10) || CASE WHEN posting_no % 10 = 4 THEN body || '!' ELSE body END)""")
+CONCEPT_IDS = sorted(c for c, _ in CONCEPTS)
+
+
+@query(BODY + f""" SELECT posting_no FROM bodies JOIN orders ON o_orderkey = posting_no WHERE o_orderpriority = '1-URGENT' OR o_orderstatus = 'P' OR o_totalprice > 300000""")
 def stale_rows(spark, sf):
-    """Rows whose stored version or content digest isn't the current one."""
+    """Rows whose version or content digest isn't the current one, or whose concept set isn't complete.
+
+    Urgent orders' rows were stored by older rules, pending ones' with another text, those of large orders without a concept.
+    """
     body = T.html_to_text(F.col("html"))
-    stored = F.when(F.col("posting_no") % 10 == 4, F.concat(body, F.lit("!"))).otherwise(body)
-    version = F.when(F.col("posting_no") % 3 == 0, "rules-0").otherwise("rules-1")
-    d = postings(spark, sf).select("posting_no", version.alias("version"), I.content_hash(F.col("title"), body).alias("now"), I.content_hash(F.col("title"), stored).alias("stored"))
-    return d.where("version <> 'rules-1' or now <> stored").select("posting_no")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("posting_no"), "o_orderpriority", "o_orderstatus", "o_totalprice")
+    full = F.array(*[F.lit(c) for c in reversed(CONCEPT_IDS)])
+    stored = F.struct(F.when(F.col("o_orderpriority") == "1-URGENT", "rules-0").otherwise("rules-1").alias("version"), I.content_hash(F.col("title"), F.when(F.col("o_orderstatus") == "P", F.concat(body, F.lit("!"))).otherwise(body)).alias("content"), F.when(F.col("o_totalprice") > 300000, F.slice(full, 2, 99)).otherwise(full).alias("concepts"))
+    d = postings(spark, sf).join(o, "posting_no").select("posting_no", stored.alias("stored"), I.content_hash(F.col("title"), body).alias("content"))
+    return d.where(I.stale(F.col("stored"), F.lit("rules-1"), F.col("content"), CONCEPT_IDS)).select("posting_no")
 
 
 @query("""SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'added' WHEN a.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS change
@@ -139,14 +161,9 @@ def snapshot_diff(spark, sf):
     return I.snapshot_diff(o.where("o_orderkey % 10 <> 1"), after, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
 
 
-@query("""WITH r AS (SELECT o_orderkey % 64 AS bucket, sha256(o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority) AS h FROM orders),
-b AS (SELECT bucket, count(*) AS n, sha256(string_agg(h, ',' ORDER BY h)) AS d FROM r GROUP BY bucket) SELECT sum(n)::BIGINT AS n_rows, sha256(string_agg(d, ',' ORDER BY bucket)) AS fingerprint FROM b""")
+@query("""WITH r AS (SELECT sha256(coalesce(o_orderkey::VARCHAR, '-') || '|' || coalesce(o_orderstatus, '-') || '|' || coalesce(o_orderpriority, '-')) AS h FROM orders), n AS (SELECT count(*) AS n, """ + ", ".join(f"sum(('0x' || h[{15 * k + 1}:{15 * k + 15}])::BIGINT)::HUGEINT AS s{k}" for k in range(4)) + """ FROM r) SELECT n AS n_rows, sha256(n || '|' || s0 || '|' || s1 || '|' || s2 || '|' || s3) AS fingerprint FROM n""")
 def dataset_fingerprint(spark, sf):
-    """Order-free digest of a table: of the digests of its buckets. A fixed number of buckets."""
-    r = table(spark, sf, "orders").select((F.col("o_orderkey") % 64).alias("bucket"), F.sha2(F.concat_ws("|", "o_orderkey", "o_orderstatus", "o_orderpriority"), 256).alias("h"))
-    b = r.groupBy("bucket").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("d"))
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), ",")
-    return b.agg(F.sum("n").alias("n_rows"), F.sha2(parts, 256).alias("fingerprint"))
+    return I.dataset_fingerprint(table(spark, sf, "orders"), ["o_orderkey", "o_orderstatus", "o_orderpriority"])
 
 
 @query(P + """, r AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY (posting_no % 5 = 0), NOT is_available, (posting_no % 2 = 0), start_date DESC, cached_at DESC, posting_no) AS place FROM postings)
@@ -240,7 +257,7 @@ SELECT company_id, external_path, is_new FROM r WHERE CASE WHEN is_new THEN plac
 def detail_budget(spark, sf):
     n = F.col("posting_no")
     c = postings(spark, sf).select("company_id", "external_path", (n % 40 == 0).alias("is_new"), (n % 3 == 0).alias("preliminary_match"), F.when(n % 5 != 0, F.col("cached_at")).alias("validated_at"))
-    return I.detail_budget(c, 200, 25).where("fetch").select("company_id", "external_path", "is_new")
+    return I.detail_budget(c, 200, 25).select("company_id", "external_path", "is_new")
 
 
 @query(P + " SELECT posting_no, row_number() OVER (ORDER BY is_available DESC, start_date DESC NULLS LAST, title, posting_no) AS place FROM postings")

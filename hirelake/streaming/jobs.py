@@ -37,9 +37,23 @@ def stream_rule_usage(events: DataFrame, width: str = "10 seconds") -> DataFrame
 
 
 def stream_discovery(events: DataFrame, start) -> DataFrame:
-    """Keys newer than the ledger's start, the first row of each within the watermark."""
-    keyed = events.where(F.col("ts") > F.lit(start)).withColumn("key", F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))
-    return keyed.dropDuplicatesWithinWatermark(["key"]).select("key")
+    """Keys newer than the ledger's start, once each: a batch's keys that no batch before has written.
+
+    The ledger is a table below the shared folder, so no state grows in memory; a batch that runs again writes the same part.
+    """
+    spark, path = events.sparkSession, scratch(events.sparkSession, "discovery")
+    made = [0]
+
+    def apply(batch: DataFrame, k: int) -> None:
+        own = batch.sparkSession
+        keys = batch.where(F.col("ts") > F.lit(start)).select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key")).distinct()
+        if k:
+            keys = keys.join(own.read.schema("key string").parquet(*[f"{path}/{j}" for j in range(k)]), "key", "left_anti")
+        keys.write.mode("overwrite").parquet(f"{path}/{k}")
+        made[0] = k + 1
+
+    run_batches(events, apply, "discovery-state", "append")
+    return spark.read.schema("key string").parquet(*[f"{path}/{k}" for k in range(made[0])]) if made[0] else spark.createDataFrame([], "key string")
 
 
 def stream_workflow(events: DataFrame) -> DataFrame:
