@@ -182,6 +182,23 @@ def percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float])
     return wide.groupBy(by).agg(*[F.max(F.when(F.col("name") == k, F.col("x"))).alias(k) for k in shares])
 
 
+def audit_estimates(rows: DataFrame, stratum: str) -> DataFrame:
+    """rows: stratum, sampled, actual (to keep), rejected. Per stratum: population, sample, weight, and design-weighted
+    totals of rows to keep and false rejects, with the recall that they imply."""
+    smp, a, rej = F.col("sampled"), F.col("actual"), F.col("rejected")
+    g = rows.groupBy(stratum).agg(F.count("*").alias("pop"), F.count_if(smp).alias("smp"), F.count_if(smp & a).alias("k"), F.count_if(smp & a & rej).alias("fr")).where("smp > 0")
+    w = F.col("pop") / F.col("smp")
+    return g.select(stratum, "pop", "smp", w.alias("weight"), (F.col("k") * w).alias("keeps"), (F.col("fr") * w).alias("false_rejects"), ratio(F.col("k") - F.col("fr"), F.col("k")).alias("recall"))
+
+
+def untouched_parity(base: DataFrame, candidate: DataFrame, concept: str, id_col: str = "posting_no") -> DataFrame:
+    """base, candidate: id, concept_id of positive decisions. Decisions of the other concepts that a candidate loses or gains."""
+    b = base.where(F.col("concept_id") != concept).select(id_col, "concept_id", F.lit(True).alias("b"))
+    c = candidate.where(F.col("concept_id") != concept).select(id_col, "concept_id", F.lit(True).alias("c"))
+    both = b.join(c, [id_col, "concept_id"], "full")
+    return both.groupBy("concept_id").agg(F.count_if("b").alias("n"), F.count_if(F.col("c").isNull()).alias("lost"), F.count_if(F.col("b").isNull()).alias("gained"))
+
+
 def span_coverage(spans: DataFrame, windows: DataFrame, key: str) -> DataFrame:
     """Share of each span (start, end) inside the merged windows (start, end) of its key."""
     w = W.partitionBy(key).orderBy("start", "end")

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 #: Fixed weights of reasons, least score, caps of a batch.
 REASONS = {"new_employer": 2.0, "rare_tokens": 1.0, "rule_conflict": 3.0, "title_only": 3.0}
+LEAST_NEW, LEAST_CASES, LEAST_EMPLOYERS = 25, 10, 3
 LEAST_SCORE, MOST_CASES, PER_EMPLOYER, TWIN = 4.0, 24, 6, 0.8
 
 
@@ -41,3 +42,10 @@ def select_review_cases(cases: DataFrame, prior: DataFrame, least: float = LEAST
     order = ["turn", F.desc("score"), "case_id"]
     top = left.withColumn("turn", turn).where(F.col("turn") <= per_employer).orderBy(*order).limit(most)
     return top.withColumn("place", F.row_number().over(W.orderBy(*order))).select("case_id", "employer", "score", "place")
+
+
+def review_due(selected: DataFrame, new_keys: DataFrame, observations: int = LEAST_NEW, cases: int = LEAST_CASES, employers: int = LEAST_EMPLOYERS) -> DataFrame:
+    """One row: new observations, selected cases and their employers, and whether all three suffice for a review."""
+    n = new_keys.agg(F.count("*").alias("observations"))
+    c = selected.agg(F.count("*").alias("cases"), F.count_distinct("employer").alias("employers"))
+    return n.crossJoin(F.broadcast(c)).withColumn("due", (F.col("observations") >= observations) & (F.col("cases") >= cases) & (F.col("employers") >= employers))

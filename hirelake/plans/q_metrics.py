@@ -199,11 +199,13 @@ def decision_changes(spark, sf):
     return M.changed_decisions(s, ["lang"])
 
 
-@query(EV + " SELECT concept_id, count(*) FILTER (score > 0.5 AND NOT score > 0.6) AS lost, count(*) AS n FROM ev WHERE concept_id <> 'technical.software' GROUP BY 1")
+@query(EV + """, b AS (SELECT posting_no, concept_id FROM ev WHERE score > 0.5 AND concept_id <> 'technical.software'), c AS (SELECT posting_no, concept_id FROM ev WHERE score > CASE WHEN concept_id LIKE 'role%' THEN 0.4 ELSE 0.6 END AND concept_id <> 'technical.software')
+SELECT concept_id, count(b.posting_no) AS n, count(*) FILTER (c.posting_no IS NULL) AS lost, count(*) FILTER (b.posting_no IS NULL) AS gained FROM b FULL JOIN c USING (posting_no, concept_id) GROUP BY 1""")
 def untouched_parity(spark, sf):
-    """Decisions of other concepts that a candidate changes."""
-    e = evidence(spark, sf).where("concept_id <> 'technical.software'")
-    return e.groupBy("concept_id").agg(F.count_if((F.col("score") > 0.5) & ~(F.col("score") > 0.6)).alias("lost"), F.count("*").alias("n"))
+    """Decisions of other concepts that a candidate's thresholds change."""
+    e = evidence(spark, sf)
+    least = F.when(F.col("concept_id").startswith("role"), 0.4).otherwise(0.6)
+    return M.untouched_parity(e.where("score > 0.5"), e.where(F.col("score") > least), "technical.software")
 
 
 GATE = SC + f""", v AS (SELECT lang, actual, score AS s0, ((doc_id * 53) % 97) / 97.0 * 0.5 + CASE WHEN actual THEN 0.4 ELSE 0.1 END AS s1 FROM scored), w AS (SELECT lang, 0 AS run, s0 AS s, actual FROM v UNION ALL SELECT lang, 1, s1, actual FROM v),
@@ -227,12 +229,11 @@ def release_gate(spark, sf):
     return M.release_gate(figures(F.col("score")), figures(better), "lang")
 
 
-@query(SC + ", a AS (SELECT lang, count(*) AS pop, count(*) FILTER (doc_id % 3 = 0) AS smp, count(*) FILTER (doc_id % 3 = 0 AND actual AND score < 0.3) AS fr FROM scored GROUP BY 1) SELECT lang, pop, smp, pop / smp AS weight, fr * pop / smp AS false_rejects FROM a WHERE smp > 0")
+@query(SC + f", a AS (SELECT lang, count(*) AS pop, count(*) FILTER (fold = 1) AS smp, count(*) FILTER (fold = 1 AND actual) AS k, count(*) FILTER (fold = 1 AND actual AND score < 0.3) AS fr FROM scored GROUP BY 1) SELECT lang, pop, smp, pop / smp AS weight, k * pop / smp AS keeps, fr * pop / smp AS false_rejects, {r('k - fr', 'k')} AS recall FROM a WHERE smp > 0")
 def audit_estimates(spark, sf):
-    """Design-weighted false rejects per stratum."""
-    third = F.col("doc_id") % 3 == 0
-    a = scored(spark, sf).groupBy("lang").agg(F.count("*").alias("pop"), F.count_if(third).alias("smp"), F.count_if(third & F.col("actual") & (F.col("score") < 0.3)).alias("fr")).where("smp > 0")
-    return a.select("lang", "pop", "smp", (F.col("pop") / F.col("smp")).alias("weight"), (F.col("fr") * F.col("pop") / F.col("smp")).alias("false_rejects"))
+    """Design-weighted estimates per language, from one fold that was audited."""
+    rows = scored(spark, sf).select("lang", "actual", (F.col("fold") == 1).alias("sampled"), (F.col("score") < 0.3).alias("rejected"))
+    return M.audit_estimates(rows, "lang")
 
 
 HARD, POSITIVE, IRRELEVANT = ["environment.travel"], ["technical.software", "technical.network", "technical.electrical"], ["role.field-service"]

@@ -131,6 +131,13 @@ def select_review_cases(spark, sf):
     return V.select_review_cases(p, p.join(top, "case_id", "left_semi").select("case_id", "tokens"))
 
 
+@query(REVIEW.replace("\nSELECT case_id, employer, score, (row_number()", ", sel AS (SELECT case_id, employer, score, (row_number()").replace("LIMIT 24", "LIMIT 24)") + ", nw AS (SELECT count(DISTINCT user_id || ':' || event_type) AS n FROM events WHERE ts > (SELECT min(ts) + INTERVAL 12 HOUR FROM events)) SELECT any_value(nw.n) AS observations, count(*) AS cases, count(DISTINCT employer) AS employers, any_value(nw.n) >= 25 AND count(*) >= 10 AND count(DISTINCT employer) >= 3 AS due FROM sel, nw")
+def review_trigger(spark, sf):
+    """Whether the selected cases and the new observations since the ledger's start call for a review."""
+    e = table(spark, sf, "events").where(F.col("ts") > F.lit(start_of(spark, sf)))
+    return V.review_due(select_review_cases(spark, sf), e.select("user_id", "event_type").distinct())
+
+
 @query("SELECT time_bucket(INTERVAL 10 SECOND, ts) AS window_start, event_type AS rule_id, count(*) AS matches FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 10 SECOND, ts) + INTERVAL 10 SECOND <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def stream_rule_usage(spark, sf):
     return J.drained(J.stream_rule_usage(J.events_stream(spark, sf)), "rule-usage")

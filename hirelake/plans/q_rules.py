@@ -224,7 +224,11 @@ def travel_requirement(spark, sf):
     return b.select("posting_no", "level", FIT.travel_fit(F.col("level"), F.lit(4)).alias("fit"))
 
 
-CADENCE = (("(?i)remotely two days", 3, 1), ("(?i)relocation to the site", 5, 2), ("(?i)deployment", 5, 3))
+#: Cadence rules: pattern, level (0 remote to 5 always on site) and priority.
+CADENCE = (
+    ("(?i)three days a week", 4, 1), ("(?i)remotely two days", 3, 2), ("(?i)office visits are optional", 1, 3), ("(?i)office visits may be", 2, 4), ("(?i)rotational schedule", 5, 5),
+    ("(?i)relocation to the site", 5, 6), ("(?i)deployment", 5, 7), ("(?i)must live within", 3, 8),
+)
 
 
 @query(BODY + ", k AS (" + " UNION ALL ".join(f"SELECT posting_no, {lv} AS level, {pr} AS priority FROM bodies WHERE regexp_matches(body, '{p}')" for p, lv, pr in CADENCE) + " UNION ALL SELECT posting_no, 0, 0 FROM bodies WHERE regexp_matches(title || primary_location, '(?i)remote')) SELECT posting_no, level, ([1, 0, -1, -2, -3, -4])[1 + abs(level - 3)] AS impact FROM k QUALIFY row_number() OVER (PARTITION BY posting_no ORDER BY priority, level) = 1")
