@@ -103,16 +103,16 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
         yield headers, whole[len(head) + 4 : -4], whole
 
 
-def inflated(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """The stream's bytes in turn; further members, if any, follow on."""
-    rest = memoryview(content)
-    while len(rest):
-        z = zlib.decompressobj(31)
-        while len(rest) and not z.eof:
-            yield z.decompress(rest[:step])
-            rest = rest[step:]
-        yield z.flush()
-        rest = memoryview(z.unused_data + bytes(rest)) if z.unused_data else rest
+def inflated(chunks: Iterator[bytes], step: int = STRETCH) -> Iterator[bytes]:
+    """A gzip stream's bytes in turn, at most ``step`` at a time; further members, if any, follow on."""
+    z = zlib.decompressobj(31)
+    for chunk in chunks:
+        while chunk:
+            if z.eof:
+                z = zlib.decompressobj(31)
+            yield z.decompress(chunk, step)
+            chunk = z.unused_data or z.unconsumed_tail
+    yield z.flush()
 
 
 def member(record: bytes, level: int = LEVEL) -> bytes:
@@ -121,17 +121,21 @@ def member(record: bytes, level: int = LEVEL) -> bytes:
 
 
 def normalise(spark, source: str, target: str, level: int = LEVEL) -> DataFrame:
-    """Rewrite the monolithic files of ``source`` below ``target``; returns the offset index."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.gz").load(source).select("path", "content")
+    """Rewrite the monolithic files of ``source`` below ``target`` in the same store; returns the offset index.
+
+    Files are streamed, so a task's memory holds a stretch and a record, whatever a file's size.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.gz").load(source).select("path")  # contents are streamed
 
     def run(batches):
         store, folder = fs.FileSystem.from_uri(target)
+        origin = fs.FileSystem.from_uri(source)[1]
         for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1)):
-                name = os.path.basename(path.as_py()).removesuffix(".txt.gz") + ".warc.gz"
+            for path in batch.column(0).to_pylist():
+                name = os.path.basename(path).removesuffix(".txt.gz") + ".warc.gz"
                 rows, offset, part = [], 0, f"{folder}/.{name}-{uuid.uuid4().hex}"
-                with store.open_output_stream(part) as out:
-                    for headers, _, whole in split_records(inflated(content.as_py())):
+                with store.open_output_stream(part) as out, store.open_input_file(f"{origin}/{os.path.basename(path)}") as whole_file:
+                    for headers, _, whole in split_records(inflated(iter(lambda f=whole_file: f.read(STRETCH), b""))):
                         packed = member(whole, level)
                         out.write(packed)
                         page = headers["WARC-Record-ID"].removeprefix("<urn:page:").rstrip(">")
