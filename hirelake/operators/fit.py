@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 #: Fixed values of the scoring.
 WEIGHTS = {"ideal": 2.0, "positive": 1.0, "negative": -3.0, "hardConflict": -6.0, "neutral": 0.0}
@@ -55,10 +54,6 @@ def travel_fit(level: Column, tolerance: Column) -> Column:
     return F.when(level - tolerance >= 2, "hardConflict").when(level > tolerance, "negative").otherwise("neutral")
 
 
-def best_by(df: DataFrame, key: str, *order) -> DataFrame:
-    return df.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("__r = 1").drop("__r")
-
-
 def education_kind(level: Column, requirement: Column, has: Column) -> Column:
     """Kind of a parsed academic requirement for a profile; only ``requiredGap`` hides a posting."""
     need, own = mapped(level, EDUCATION), mapped(has, EDUCATION)

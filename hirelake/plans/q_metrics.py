@@ -10,7 +10,7 @@ from hirelake.operators import metrics as M
 from hirelake.operators import sampling as S
 
 from . import fixtures as X
-from .fixtures import postings, table
+from .fixtures import table
 from .q_rules import MATCHES, bodies, matches
 from .q_text import BODY
 from .registry import query
@@ -29,7 +29,6 @@ def scored(spark, sf):
     return table(spark, sf, "labels").join(d, "doc_id").select("doc_id", "source", "lang", (n % 4).cast("int").alias("fold"), (((n * 37) % 101) / F.lit(101.0)).alias("score"), (F.col("quality") == 1).alias("actual"), "n_chars")
 
 
-JUDGE = "CASE WHEN ({x}) % 7 = 0 THEN 'absent' ELSE 'present' END"
 REF = f"""WITH ref AS (SELECT doc_id, 'c' || (doc_id % 5) AS concept_id, CASE WHEN doc_id % 7 = 0 THEN 'absent' ELSE 'present' END AS judgment_a, CASE WHEN doc_id % 11 = 0 THEN 'absent' ELSE 'present' END AS judgment_b, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'present' ELSE 'absent' END END AS decided FROM documents),
 r AS (SELECT doc_id, concept_id, judgment_a, judgment_b, judgment_a = judgment_b AS agreed, CASE WHEN judgment_a = judgment_b THEN judgment_a ELSE coalesce(decided, 'unresolved') END AS final FROM ref)"""
 

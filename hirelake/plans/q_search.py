@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from hirelake.functions import text as T
 from hirelake.operators import history as H
-from hirelake.operators import identity as I
 from hirelake.operators import search as S
 
 from .fixtures import POSTINGS_SQL, postings, table
