@@ -22,23 +22,25 @@ _ENTRY = 200
 
 
 class Memory(dict):
-    """Ids by text, of ``most`` bytes by estimate; emptied when full."""
+    """Ids by text, of about ``most`` bytes: what was used since half of it was last full, and what was before that."""
 
     def __init__(self, most: int):
-        self.room = self.most = most
+        self.room = self.half = most // 2
+        self.old: dict[str, bytes] = {}
 
     def keep(self, text: str, ids: bytes) -> None:
         self.room -= _ENTRY + len(text) + len(ids)
         if self.room < 0:
+            self.old = dict(self)
             self.clear()
-            self.room = self.most
+            self.room = self.half
         self[text] = ids
 
 
 class TokenBytes:
     """ids(text) as little-endian unsigned 32-bit bytes; memories of chunks and of their words."""
 
-    def __init__(self, path: str, chunks: int = 24 << 20, words: int = 24 << 20):
+    def __init__(self, path: str, chunks: int = 48 << 20, words: int = 56 << 20):
         from tokenizers import Tokenizer
 
         self._encode = Tokenizer.from_file(path).encode
@@ -51,12 +53,15 @@ class TokenBytes:
         """Lower-cased letters, or punctuation."""
         got = self._words.get(word)
         if got is None:
-            got = self._direct(word)
+            got = self._words.old.get(word) or self._direct(word)
             if len(word) <= 40:
                 self._words.keep(word, got)
         return got
 
     def _chunk(self, chunk: str) -> bytes:
+        if old := self._chunks.old.get(chunk):
+            self._chunks.keep(chunk, old)
+            return old
         # Letters up to U+00FF are lower-cased one by one and have no other normal form.
         if len(chunk) <= 64 and (chunk.isascii() or max(chunk) < "Ā"):
             if chunk.isalpha():
