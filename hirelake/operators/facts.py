@@ -120,19 +120,30 @@ CLEARANCE_NEED = (("activeRequired", "(?i)\\bactive\\b", None), ("mustPossess",
 PREFERRED_MARK, RESET_MARK, LOOK_BACK = "preferred:", "required:", 220
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def number(digits: Column, scale: Column) -> Column:
     return F.replace(digits, F.lit(","), F.lit("")).try_cast("double") * F.when(F.lower(scale) == "k", 1000.0).otherwise(1.0)
 
 
 def pay(text: Column, name: str, priority: int, pattern: str) -> Column:
-    """struct(priority, status, period, minimum, maximum, dollar) of the first match, or null."""
-    g = [F.regexp_extract(text, pattern, k) for k in range(6)]
-    low, high = number(g[1], g[2]), number(g[3], g[4])
-    hourly, annual = g[0].rlike(HOURLY), g[0].rlike(ANNUAL) | (high >= ANNUAL_FROM)
-    status = F.when(hourly, "hourly-unconverted").when(annual, name).otherwise("ambiguous-period")
-    period = F.when(hourly, "hourly").when(annual, "annual").otherwise("unknown")
-    row = F.struct(F.lit(priority).alias("priority"), status.alias("status"), period.alias("period"), low.alias("minimum"), high.alias("maximum"), g[0].contains("$").alias("dollar"))
-    return F.when(text.rlike(pattern), row)
+    """struct(priority, status, period, minimum, maximum, dollar) of the first match, or null.
+
+    The text is searched once; the groups are read from what matched.
+    """
+
+    def row(m: Column) -> Column:
+        g = [F.regexp_extract(m, pattern, k) for k in range(5)]
+        low, high = number(g[1], g[2]), number(g[3], g[4])
+        hourly, annual = m.rlike(HOURLY), m.rlike(ANNUAL) | (high >= ANNUAL_FROM)
+        status = F.when(hourly, "hourly-unconverted").when(annual, name).otherwise("ambiguous-period")
+        period = F.when(hourly, "hourly").when(annual, "annual").otherwise("unknown")
+        return F.when(m != "", F.struct(F.lit(priority).alias("priority"), status.alias("status"), period.alias("period"), low.alias("minimum"), high.alias("maximum"), m.contains("$").alias("dollar")))
+
+    return bound(F.regexp_extract(text, pattern, 0), row)
 
 
 def salary(body: Column, lines: Column, rules=SALARY) -> Column:
@@ -145,11 +156,16 @@ def salary(body: Column, lines: Column, rules=SALARY) -> Column:
     kind = F.coalesce(pay(F.lit("x"), SUMMARY_NAME, SUMMARY_PRIORITY, SUMMARY_RANGE), F.lit(None))
     none = F.filter(F.array(kind), lambda x: F.lit(False))
 
-    def step(acc: Column, line: Column) -> Column:
+    def read(line: Column) -> Column:
         heading = line.rlike(SUMMARY_HEADING)
-        row = F.when(heading, pay(line, SUMMARY_NAME, SUMMARY_PRIORITY, SUMMARY_RANGE)).when(acc["inside"], pay(line, SUMMARY_NAME, SUMMARY_PRIORITY, SECTION_RANGE))
-        return F.struct((heading | (acc["inside"] & row.isNotNull())).alias("inside"), F.when(row.isNull(), acc["rows"]).otherwise(F.concat(acc["rows"], F.array(row))).alias("rows"))
+        row = F.when(heading, pay(line, SUMMARY_NAME, SUMMARY_PRIORITY, SUMMARY_RANGE)).otherwise(pay(line, SUMMARY_NAME, SUMMARY_PRIORITY, SECTION_RANGE))
+        return F.struct(heading.alias("heading"), row.alias("row"))
+
+    def step(acc: Column, x: Column) -> Column:
+        counts = (x["heading"] | acc["inside"]) & x["row"].isNotNull()
+        return F.struct((x["heading"] | counts).alias("inside"), F.when(counts, F.concat(acc["rows"], F.array(x["row"]))).otherwise(acc["rows"]).alias("rows"))
 
+    lines = F.transform(lines, read)
     found = F.aggregate(lines, F.struct(F.lit(False).alias("inside"), none.alias("rows")), step, lambda acc: acc["rows"])
     fine = F.filter(found, lambda r: r["dollar"] | (r["period"] != "unknown") | (r["maximum"] >= ANNUAL_FROM))
     periods = lambda rows: F.size(F.array_distinct(F.transform(rows, lambda r: r["period"])))
@@ -168,7 +184,7 @@ def salary(body: Column, lines: Column, rules=SALARY) -> Column:
         before = first.isNotNull() & (first["priority"] < SUMMARY_PRIORITY)
         return F.when(before, flat_first).when(F.size(rows) > 0, summary).when(first.isNotNull(), flat_first).otherwise(out(null, null, unknown, empty))
 
-    return F.transform(F.array(F.struct(flat.alias("flat"), fine.alias("rows"))), chosen)[0]
+    return bound(F.struct(flat.alias("flat"), fine.alias("rows")), chosen)
 
 
 def first_name(text: Column, table, none=None) -> Column:
@@ -194,27 +210,25 @@ def work_authorization(segments: Column) -> Column:
             c = c & s.rlike(rule.any_of)
         return c
 
-    def step(acc: Column, s: Column) -> Column:
-        section = first_name(s, SECTIONS)
-        asked = F.array_compact(F.array(*[F.when(held(r, s), F.struct(F.lit(r.result).alias("r"), F.lit(r.strength).alias("s"))) for r in SPONSORSHIP]))
-        by_section = F.when(acc["section"] == "preferred", "preferred").otherwise("strict")
+    def read(s: Column) -> Column:
+        asked = [F.when(held(r, s), F.struct(F.lit(r.result).alias("r"), F.lit(r.strength).alias("s"))) for r in reversed(SPONSORSHIP)]
         rows = []
         for r in ELIGIBILITY:
-            strength = by_section if r.strength == "section" else F.lit(r.strength)
-            if r.conditional:
-                strength = F.when(s.rlike(r.conditional), "conditional").otherwise(strength)
+            strength = F.when(s.rlike(r.conditional), "conditional").otherwise(r.strength) if r.conditional else F.lit(r.strength)
             rows.append(F.when(held(r, s), F.struct(F.lit(r.result).alias("r"), strength.alias("s"), text(r.country).alias("c"), F.lit(r.weak).alias("w"))))
+        return F.struct(s.alias("s"), first_name(s, SECTIONS).alias("section"), F.coalesce(*asked).alias("asked"), F.coalesce(*rows).alias("mine"))
+
+    def step(acc: Column, x: Column) -> Column:
+        mine, asked, section = x["mine"], x["asked"], x["section"]
         weak = [r.result for r in ELIGIBILITY if r.weak]
-        mine = F.coalesce(*rows)
+        strength = F.when(mine["s"] == "section", F.when(acc["section"] == "preferred", "preferred").otherwise("strict")).otherwise(mine["s"])
         takes = mine.isNotNull() & F.when(mine["w"], acc["eligibility"] == "noneSpecified").otherwise(acc["eligibility"].isin("noneSpecified", *weak))
-        last = F.try_element_at(asked, F.lit(-1))
-        says = (F.size(asked) > 0) | takes
-        free = section.isNull()
+        free, says = section.isNull(), asked.isNotNull()
         keep = lambda name, value, when: F.when(free & when, value).otherwise(acc[name]).alias(name)
         return F.struct(
-            F.coalesce(section, acc["section"]).alias("section"), keep("eligibility", mine["r"], takes), keep("sponsorship", last["r"], F.size(asked) > 0),
-            keep("strength", mine["s"], takes), keep("sponsorship_strength", last["s"], F.size(asked) > 0), keep("country", F.coalesce(mine["c"], acc["country"]), takes),
-            keep("evidence", F.array_distinct(F.concat(acc["evidence"], F.array(s))), says),
+            F.coalesce(section, acc["section"]).alias("section"), keep("eligibility", mine["r"], takes), keep("sponsorship", asked["r"], says),
+            keep("strength", strength, takes), keep("sponsorship_strength", asked["s"], says), keep("country", F.coalesce(mine["c"], acc["country"]), takes),
+            keep("evidence", F.array_distinct(F.concat(acc["evidence"], F.array(x["s"]))), says | takes),
         )
 
     def end(acc: Column) -> Column:
@@ -222,7 +236,7 @@ def work_authorization(segments: Column) -> Column:
         status = F.when(nothing, "not-mentioned").when(acc["strength"].isin("strict", "preferred") | (acc["sponsorship_strength"] == "strict"), "parsed").otherwise("review")
         return F.struct(*[acc[c].alias(c) for c in ("eligibility", "sponsorship", "strength", "sponsorship_strength", "country")], F.slice(acc["evidence"], 1, MOST_EVIDENCE).alias("evidence"), status.alias("status"))
 
-    return F.aggregate(segments, start, step, end)
+    return F.aggregate(F.transform(segments, read), start, step, end)
 
 
 def clean_sentence(s: Column) -> Column:
@@ -251,8 +265,8 @@ def historical(s: Column) -> Column:
 def top_signals(signals: Column, most: int) -> Column:
     """Distinct by category and evidence, strong ones first, then by category and place."""
     placed = F.transform(signals, lambda r, i: F.struct((r["level"] != "strong").alias("after"), r["category"].alias("category"), i.alias("i"), r.alias("r")))
-    once = F.filter(placed, lambda p: ~F.exists(placed, lambda q: (q["i"] < p["i"]) & (q["r"]["category"] == p["r"]["category"]) & (q["r"]["evidence"] == p["r"]["evidence"])))
-    return F.transform(F.slice(F.array_sort(once), 1, most), lambda p: p["r"])
+    once = lambda rows: F.filter(rows, lambda p: ~F.exists(rows, lambda q: (q["i"] < p["i"]) & (q["r"]["category"] == p["r"]["category"]) & (q["r"]["evidence"] == p["r"]["evidence"])))
+    return bound(placed, lambda rows: F.transform(F.slice(F.array_sort(once(rows)), 1, most), lambda p: p["r"]))
 
 
 def remote_work(metadata: Column, body: Column, sentences: Column) -> Column:
@@ -274,7 +288,8 @@ def remote_work(metadata: Column, body: Column, sentences: Column) -> Column:
     now = F.filter(sentences, lambda s: ~historical(s))
     top = top_signals(F.flatten(F.transform(now, signals)), MOST_REMOTE)
 
-    def summed(top: Column) -> Column:
+    def summed(both: Column) -> Column:
+        top, is_remote = both["top"], both["is_remote"]
         has = lambda level: F.exists(top, lambda r: r["level"] == level)
         reasons = F.slice(F.array_distinct(F.transform(top, lambda r: r["reason"])), 1, 2)
         level = F.when(~is_remote, "none").when(has("strong"), "strong").when(has("questionable"), "questionable").otherwise("none")
@@ -282,7 +297,7 @@ def remote_work(metadata: Column, body: Column, sentences: Column) -> Column:
         said = is_remote & (F.size(top) > 0)
         return F.struct(is_remote.alias("is_remote"), level.alias("level"), F.when(said, F.concat(F.array_join(reasons, "; "), F.lit("."))).alias("summary"), F.when(said, F.array_join(F.transform(top, lambda r: r["category"]), ",")).otherwise("").alias("categories"), status.alias("status"))
 
-    return F.transform(F.array(top), summed)[0]
+    return bound(F.struct(top.alias("top"), is_remote.alias("is_remote")), summed)
 
 
 def stay_days(s: Column) -> Column:
@@ -339,29 +354,40 @@ def clearance(body: Column) -> Column:
     Negated phrases go first.  Levels are tried in order; a mention under a preferred mark (within LOOK_BACK characters,
     no reset after it) counts only if no level has a mention elsewhere, and then as preferred.
     """
-    text = F.regexp_replace(body, CLEARANCE_NEGATED, " ")
+    return bound(F.regexp_replace(body, CLEARANCE_NEGATED, " "), lambda text: _clearance(text, body))
+
 
+def _clearance(text: Column, body: Column) -> Column:
     def mentions(pattern: str) -> Column:
         # What stands before each match, by splitting; rebuilt as the text up to the match.
         hit = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        gap = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hit))
-        return F.aggregate(F.arrays_zip(gap.alias("g"), hit.alias("h")), F.struct(F.lit("").alias("text"), F.expr("cast(array() as array<string>)").alias("before")), lambda acc, x: F.struct(F.concat(acc["text"], x["g"], x["h"]).alias("text"), F.concat(acc["before"], F.array(F.concat(acc["text"], x["g"]))).alias("before")), lambda acc: acc["before"])
+        gap = F.split(text, pattern, -1)
+        start = F.struct(F.lit("").alias("text"), F.expr("cast(array() as array<string>)").alias("before"))
+        step = lambda acc, x: F.struct(F.concat(acc["text"], x["g"], x["h"]).alias("text"), F.concat(acc["before"], F.array(F.concat(acc["text"], x["g"]))).alias("before"))
+        pairs = F.filter(F.arrays_zip(gap.alias("g"), hit.alias("h")), lambda x: x["h"].isNotNull())
+        return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["before"])).otherwise(F.expr("cast(array() as array<string>)"))
 
     def wished(before: Column) -> Column:
         near = F.right(before, F.lit(LOOK_BACK))
         preferred = last_place(near, PREFERRED_MARK)
         return (preferred > 0) & (preferred > last_place(near, RESET_MARK))
 
-    named = [(level, mentions(p)) for level, p in CLEARANCE]
-    free = F.coalesce(*[F.when(F.exists(m, lambda b: ~wished(b)), F.lit(level)) for level, m in named])
-    any_level = F.coalesce(*[F.when(F.size(m) > 0, F.lit(level)) for level, m in named])
-    polygraph = text.rlike(POLYGRAPH)
-    level = F.coalesce(free, any_level, F.when(polygraph, "other"), F.lit("noneMentioned"))
+    free_of = lambda m: F.exists(m, lambda b: ~wished(b))
+    named = F.array(*[bound(mentions(p), lambda m: F.struct((F.size(m) > 0).alias("any"), free_of(m).alias("free"))) for _, p in CLEARANCE])
+
+    def judged(x: Column) -> Column:
+        named, sentences = x["named"], x["sentences"]
+        free = F.coalesce(*[F.when(named[k]["free"], F.lit(level)) for k, (level, _) in enumerate(CLEARANCE)])
+        any_level = F.coalesce(*[F.when(named[k]["any"], F.lit(level)) for k, (level, _) in enumerate(CLEARANCE)])
+        level = F.coalesce(free, any_level, F.when(x["polygraph"], "other"), F.lit("noneMentioned"))
+        context = F.when(F.size(sentences) > 0, F.array_join(sentences, " ")).otherwise(text)
+        need = reduce(lambda c, r: c.when(context.rlike(r[1]) & (~context.rlike(r[2]) if r[2] else F.lit(True)), r[0]), CLEARANCE_NEED, F.when(level == "noneMentioned", "none").when(free.isNull() & any_level.isNotNull(), "preferred")).otherwise("ambiguous")
+        return F.struct(level.alias("level"), need.alias("requirement"), x["polygraph"].alias("polygraph"))
+
     sentences = F.filter(F.split(text, "(?<=[.!?])\\s+(?=[A-Z#*])"), lambda s: s.rlike(CLEARANCE_CONTEXT))
-    context = F.when(F.size(sentences) > 0, F.array_join(sentences, " ")).otherwise(text)
-    need = reduce(lambda c, r: c.when(context.rlike(r[1]) & (~context.rlike(r[2]) if r[2] else F.lit(True)), r[0]), CLEARANCE_NEED, F.when(level == "noneMentioned", "none").when(free.isNull() & any_level.isNotNull(), "preferred")).otherwise("ambiguous")
-    status = F.when(F.trim(body) == "", "description-unavailable").when(level == "noneMentioned", "not-mentioned").when((level == "other") | (need == "ambiguous"), "ambiguous").otherwise("parsed")
-    return F.struct(level.alias("level"), need.alias("requirement"), polygraph.alias("polygraph"), status.alias("status"))
+    found = bound(F.struct(named.alias("named"), sentences.alias("sentences"), text.rlike(POLYGRAPH).alias("polygraph")), judged)
+    status = lambda r: F.when(F.trim(body) == "", "description-unavailable").when(r["level"] == "noneMentioned", "not-mentioned").when((r["level"] == "other") | (r["requirement"] == "ambiguous"), "ambiguous").otherwise("parsed")
+    return bound(found, lambda r: F.struct(r["level"].alias("level"), r["requirement"].alias("requirement"), r["polygraph"].alias("polygraph"), status(r).alias("status")))
 
 
 #: Degrees with their ranks, from the highest; fields of study; words that tell a wish from a duty.
@@ -390,11 +416,14 @@ def degree_requirements(segments: Column) -> Column:
 
         return F.flatten(F.transform(F.split(s, BRANCH), branch))
 
-    def step(acc: Column, s: Column) -> Column:
-        section = first_name(s, DEGREE_SECTIONS)
-        return F.struct(F.coalesce(section, acc["section"]).alias("section"), F.when(section.isNull(), F.concat(acc["rows"], paths(s, acc["section"]))).otherwise(acc["rows"]).alias("rows"))
+    read = lambda s: F.struct(first_name(s, DEGREE_SECTIONS).alias("section"), paths(s, F.lit(None).cast("string")).alias("rows"))
+
+    def step(acc: Column, x: Column) -> Column:
+        own = F.transform(x["rows"], lambda r: F.struct(r["rank"].alias("rank"), r["level"].alias("level"), F.coalesce(r["requirement"], acc["section"]).alias("requirement"), r["years"].alias("years"), r["fields"].alias("fields")))
+        return F.struct(F.coalesce(x["section"], acc["section"]).alias("section"), F.when(x["section"].isNull(), F.concat(acc["rows"], own)).otherwise(acc["rows"]).alias("rows"))
 
-    found = F.aggregate(segments, F.struct(F.lit("stated").alias("section"), empty.alias("rows")), step, lambda acc: F.array_distinct(acc["rows"]))
+    said = F.filter(F.transform(segments, read), lambda x: x["section"].isNotNull() | (F.size(x["rows"]) > 0))
+    found = F.aggregate(said, F.struct(F.lit("stated").alias("section"), empty.alias("rows")), step, lambda acc: F.array_distinct(acc["rows"]))
 
     def reduced(rows: Column) -> Column:
         firm = F.filter(rows, lambda r: r["requirement"] != "preferred")

@@ -299,7 +299,7 @@ def prediction_agreement(spark, sf):
     return scored(spark, sf).groupBy("lang").agg((F.count_if(same) / F.count("*")).alias("agreement"), (F.sum(1 + F.col("n_chars")) / F.sum(cost)).alias("speed_up"))
 
 
-SEEDS, MOST_PHRASES = "(?i)\\b(?:the|que|der|los)\\b", 100
+SEEDS, MOST_PHRASES = "(?i)(?:^|[^\\p{L}])(?:the|que|der|los)(?:$|[^\\p{L}])", 100
 
 
 @query(f"""WITH w AS (SELECT doc_id, quality, list_filter(string_split(regexp_replace(text, '([.!?])\\s+([A-Z#*])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda z: regexp_matches(z, '{SEEDS}')) AS ss FROM documents JOIN labels USING (doc_id)),
