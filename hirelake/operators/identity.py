@@ -161,7 +161,7 @@ def detail_budget(candidates: DataFrame, details: int, revalidations: int, per:
     first = candidates.where("is_new").withColumn("place", rank(F.desc("preliminary_match"), "external_path")).where(F.col("place") <= details)
     known = candidates.where("not is_new").withColumn("place", rank(F.asc_nulls_first("validated_at"), "external_path")).where(F.col("place") <= revalidations)
     left = F.least(F.lit(revalidations), F.greatest(F.lit(details) - F.least("__new", F.lit(details)), F.lit(0)))
-    chosen = known.join(F.broadcast(news), per).where(F.col("place") <= left).drop("__new")
+    chosen = known.join(news, per).where(F.col("place") <= left).drop("__new")
     return first.unionByName(chosen)
 
 

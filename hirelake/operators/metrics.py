@@ -46,7 +46,7 @@ def pr_curve(scored: DataFrame, by: list[str]) -> DataFrame:
     at = scored.groupBy(*by, "score").agg(F.count_if("actual").alias("pos"), F.count("*").alias("n"))
     total = at.groupBy(*by).agg(F.sum("pos").alias("all_pos"))
     w = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    run = at.withColumns({"tp": F.sum("pos").over(w), "picked": F.sum("n").over(w)}).join(F.broadcast(total), by)
+    run = at.withColumns({"tp": F.sum("pos").over(w), "picked": F.sum("n").over(w)}).join(total, by)
     return run.select(*by, "score", "tp", "picked", ratio(F.col("tp"), F.col("picked")).alias("precision"), ratio(F.col("tp"), F.col("all_pos")).alias("recall"))
 
 
@@ -72,7 +72,7 @@ def choose_threshold(scored: DataFrame, recall: float, by: str = "fold") -> Data
     at = scored.where("actual").groupBy(by, "score").agg(F.count("*").alias("n"))
     total = at.groupBy(by).agg(F.sum("n").alias("all")).withColumn("place", F.floor((1 - recall) * F.col("all") + 1e-9) + 1)
     run = at.withColumn("upto", F.sum("n").over(W.partitionBy(by).orderBy("score").rowsBetween(W.unboundedPreceding, 0)))
-    return run.join(F.broadcast(total), by).where(F.col("upto") >= F.col("place")).groupBy(by).agg(F.min("score").alias("threshold"))
+    return run.join(total, by).where(F.col("upto") >= F.col("place")).groupBy(by).agg(F.min("score").alias("threshold"))
 
 
 def threshold_sweep(scored: DataFrame, grid: list[float], by: list[str]) -> DataFrame:
@@ -176,7 +176,7 @@ def percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float])
     groups = placed.groupBy(by).agg(F.min("place").alias("first"), F.count("*").alias("n"))
     asks = groups.select(by, "first", "n", F.inline(F.array(*[F.struct(F.lit(k).alias("name"), (F.lit(v) * (F.col("n") - 1)).alias("at")) for k, v in shares.items()])))
     asks = asks.select(by, "name", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("k"), "first").withColumn("place", F.col("first") + F.col("k"))
-    met = placed.select("place", value).join(F.broadcast(asks), "place")
+    met = placed.select("place", value).join(asks, "place")
     part = F.when(F.floor("at") == F.ceil("at"), 1.0).otherwise(1 - F.abs(F.col("at") - F.col("k")))
     wide = met.groupBy(by, "name").agg(F.sum(F.col(value) * part).alias("x"))
     return wide.groupBy(by).agg(*[F.max(F.when(F.col("name") == k, F.col("x"))).alias(k) for k in shares])

@@ -37,7 +37,7 @@ def stratified_sample(rows: DataFrame, n: int, seed: str, stratum: str, key: str
     most = q.agg(F.max("quota")).first()[0] or 0
     rank = F.row_number().over(W.partitionBy(stratum).orderBy("__k", key))
     first = rows.withColumn("__k", rank_key(seed, key)).withColumn("__r", rank).where(F.col("__r") <= most)
-    return first.join(F.broadcast(q), stratum).where("__r <= quota").drop("__r", "__k", "quota")
+    return first.join(q, stratum).where("__r <= quota").drop("__r", "__k", "quota")
 
 
 def quota_sample(rows: DataFrame, families: list[tuple[str, Column, int]], seed: str, title: str, key: str) -> DataFrame:

@@ -181,4 +181,4 @@ def tfidf_logistic(spark, sf):
     out = C.written(out, "tfidf-scores")
     # A fold's threshold keeps 95 % of the rows to keep of the other folds.
     each = out.select("score", (F.col("label") == 1).alias("actual"), F.explode(F.array_remove(F.array(*[F.lit(k) for k in range(3)]), F.col("fold"))).alias("fold"))
-    return out.join(F.broadcast(M.choose_threshold(each, 0.95)), "fold").withColumn("keep", F.col("score") >= F.col("threshold"))
+    return out.join(M.choose_threshold(each, 0.95), "fold").withColumn("keep", F.col("score") >= F.col("threshold"))
