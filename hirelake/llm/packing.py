@@ -107,9 +107,9 @@ def cut_at_powers(pieces: list[Piece], total: int) -> list[list[Piece]]:
     return out
 
 
-def _pools(batches, tokenizer: str, end_id: int, pool_tokens: int):
+def _pools(batches, tokenizer: str, end_id: int, pool_tokens: int, memory: tuple[int, ...]):
     """Lists of (doc_id, ids as bytes) of at least ``pool_tokens`` tokens, but for the last."""
-    encode, end = token_bytes(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+    encode, end = token_bytes(tokenizer, *memory), np.array([end_id], dtype="<u4").tobytes()
     pool, held = [], 0
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -123,12 +123,12 @@ def _pools(batches, tokenizer: str, end_id: int, pool_tokens: int):
         yield pool
 
 
-def _mapped(documents: DataFrame, tokenizer: str, window: int, end_id: int, pool_tokens: int, emit, schema: str) -> DataFrame:
+def _mapped(documents: DataFrame, tokenizer: str, window: int, end_id: int, pool_tokens: int, memory: tuple[int, ...], emit, schema: str) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 40
-        for pool in _pools(batches, tokenizer, end_id, pool_tokens):
+        for pool in _pools(batches, tokenizer, end_id, pool_tokens, memory):
             packed = pack_pool([len(ids) // 4 for _, ids in pool], window)
             yield from emit(pool, packed, base)
             base += len(packed)
@@ -136,8 +136,11 @@ def _mapped(documents: DataFrame, tokenizer: str, window: int, end_id: int, pool
     return documents.mapInArrow(run, schema)
 
 
-def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, pool_tokens: int = POOL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Layout rows (``LAYOUT``) of every piece; each id of a document lies in exactly one."""
+def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, pool_tokens: int = POOL, id_col: str = "doc_id", text_col: str = "text", memory: tuple[int, ...] = ()) -> DataFrame:
+    """Layout rows (``LAYOUT``) of every piece; each id of a document lies in exactly one.
+
+    ``memory``: bytes that a worker may keep word ids in, for chunks and for words; less of it costs time only.
+    """
 
     def emit(pool, packed, base):
         rows = []
@@ -147,10 +150,10 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int
                 rows.append((doc, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), len(ids) // 4, base + k, at))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[x.split()[0] for x in LAYOUT.split(", ")])
 
-    return _mapped(only(documents, doc_id=id_col, text=text_col), tokenizer, window, end_id, pool_tokens, emit, LAYOUT)
+    return _mapped(only(documents, doc_id=id_col, text=text_col), tokenizer, window, end_id, pool_tokens, memory, emit, LAYOUT)
 
 
-def sequences(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, pad_id: int = 0, pool_tokens: int = POOL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sequences(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, pad_id: int = 0, pool_tokens: int = POOL, id_col: str = "doc_id", text_col: str = "text", memory: tuple[int, ...] = ()) -> DataFrame:
     """The packed ids: sequence_id, ids array<int> (padded, but for powers of two), n_tokens."""
 
     def emit(pool, packed, base):
@@ -163,4 +166,4 @@ def sequences(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id
             ids = pa.array(base + np.arange(first, first + len(rows)), pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.int64())], names=["sequence_id", "ids", "n_tokens"])
 
-    return _mapped(only(documents, doc_id=id_col, text=text_col), tokenizer, window, end_id, pool_tokens, emit, "sequence_id long, ids array<int>, n_tokens long")
+    return _mapped(only(documents, doc_id=id_col, text=text_col), tokenizer, window, end_id, pool_tokens, memory, emit, "sequence_id long, ids array<int>, n_tokens long")

@@ -40,7 +40,7 @@ class Memory(dict):
 class TokenBytes:
     """ids(text) as little-endian unsigned 32-bit bytes; memories of chunks and of their words."""
 
-    def __init__(self, path: str, chunks: int = 48 << 20, words: int = 56 << 20):
+    def __init__(self, path: str, chunks: int = 128 << 20, words: int = 224 << 20):
         from tokenizers import Tokenizer
 
         self._encode = Tokenizer.from_file(path).encode
@@ -85,6 +85,6 @@ class TokenBytes:
         return b"".join([get(x) or new(x) for x in text.split()])
 
 
-def token_bytes(path: str) -> TokenBytes:
-    """The process's own instance for a tokenizer file."""
-    return held(("tokens", path), lambda: TokenBytes(path))
+def token_bytes(path: str, *memory: int) -> TokenBytes:
+    """The process's own instance for a tokenizer file; ``memory``: bytes for chunks and for words."""
+    return held(("tokens", path, *memory), lambda: TokenBytes(path, *memory))
