@@ -18,6 +18,9 @@ from hirelake.llm.queries import tokenizer_path
 #: cosines are about normal with a deviation of 1 / sqrt(dimensions).
 LEAST_SCORE = 3 / langid.DIMENSIONS**0.5
 
+#: Bytes of word ids that a worker keeps while packing: the stages before have left the executors' heaps full.
+WORD_MEMORY = (24 << 20, 24 << 20)
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter or without likeness to any language that was learnt."""
@@ -71,7 +74,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_path(), memory=WORD_MEMORY)
 
 
 STAGES = [
