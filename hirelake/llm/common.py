@@ -40,6 +40,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Remove the files of a table that ``saved`` wrote; nothing may read it any more."""
+    context = df.sparkSession.sparkContext
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, for small tables inside iterations."""
     shared_dir(df.sparkSession)

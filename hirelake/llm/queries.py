@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_main, langid, licences, mixing, ngram_join, packing, pii, quality, warc
+from . import ann, centroids, html_main, importance, langid, licences, mixing, ngram_join, packing, pii, quality, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -112,5 +112,63 @@ FROM q
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_ann, op4_language, op5_pii, op6_ngram_join, op7_licences, op8_html, op9_quality, op10_warc)}
-ORACLE_SQL: dict[str, str] = {"op6_ngram_join": OP6_SQL, "op9_quality": OP9_SQL, "op10_warc": OP10_SQL}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql() -> str:
+    """The rounds written out one after another."""
+    size, rounds = centroids.DIMENSIONS, centroids.ROUNDS
+    steps = [
+        f"""k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda v: floor({centroids.SCALE} * v::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = {size})""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x AS c
+  FROM (SELECT sha256('{centroids.SEED}:' || vec_id) AS h, x FROM k ORDER BY h, x LIMIT {centroids.CLUSTERS}))""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, k.x, min(struct_pack(d := list_sum(list_transform(range(1, {size + 1}), lambda i: (k.x[i] - c.c[i]) * (k.x[i] - c.c[i])))::BIGINT, k := c.k)) AS b
+  FROM k, c{i} c GROUP BY r, k.x)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS MATERIALIZED (SELECT k, p, sum(x[p])::BIGINT AS s, count(*) AS n FROM (SELECT b.k AS k, x, unnest(range(1, {size + 1})) AS p FROM a{i}) GROUP BY k, p)""")
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.c, c.c) AS c FROM c{i} c
+  LEFT JOIN (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY p) AS c FROM s{i} GROUP BY k) m ON m.k = c.k)""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, b.k::INTEGER AS cluster, b.d AS distance, sum(b.d) OVER (PARTITION BY b.k)::BIGINT AS cluster_inertia, sum(b.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN k USING (r) JOIN c{rounds} c ON c.k = a.b.k"""
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = f"""
+WITH bytes AS (SELECT range AS c FROM range(256)),
+tbl AS MATERIALIZED (SELECT list(v ORDER BY c) AS t FROM (
+  SELECT c, list_reduce(list_prepend(c, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM bytes)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS MATERIALIZED (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+dw AS MATERIALIZED (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY r, w),
+bw AS MATERIALIZED (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM b) GROUP BY w),
+crc AS MATERIALIZED (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode(w))), lambda i: ('0x' || substr(hex(w), (2 * i + 1)::INT, 2))::BIGINT)),
+    lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % {importance.BUCKETS} AS bucket
+  FROM (SELECT w FROM dw UNION SELECT w FROM bw), tbl),
+s AS (SELECT bucket, sum(n) AS s FROM dw JOIN crc USING (w) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS t FROM bw JOIN crc USING (w) GROUP BY bucket),
+n AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) + {importance.BUCKETS} AS s_all, (SELECT coalesce(sum(t), 0) FROM t) + {importance.BUCKETS} AS t_all),
+gain AS MATERIALIZED (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * s_all::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * t_all::DOUBLE)))::BIGINT AS g
+  FROM s FULL JOIN t USING (bucket), n),
+w AS (SELECT r, sum(n * g)::BIGINT AS weight FROM dw JOIN crc USING (w) JOIN gain USING (bucket) GROUP BY r),
+x AS (SELECT d.r, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    ('0x' || substr(sha256('{importance.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (r)),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM x),
+z AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM y WHERE n_features >= {importance.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {importance.PERCENT} * n // 100 THEN rank END AS rank FROM y LEFT JOIN z USING (r)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_ann, op4_language, op5_pii, op6_ngram_join, op7_licences, op8_html, op9_quality, op10_warc, op11_centroids, op12_importance)}
+ORACLE_SQL: dict[str, str] = {"op6_ngram_join": OP6_SQL, "op9_quality": OP9_SQL, "op10_warc": OP10_SQL, "op11_centroids": _op11_sql(), "op12_importance": OP12_SQL}
