@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, centroids, html_main, importance, langid, licences, mixing, ngram_join, packing, pii, quality, warc
+from . import ann, centroids, html_main, importance, langid, licences, mixing, ngram_join, packing, pii, quality, toxicity, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -170,5 +170,9 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {importance.PERCENT}
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_ann, op4_language, op5_pii, op6_ngram_join, op7_licences, op8_html, op9_quality, op10_warc, op11_centroids, op12_importance)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_ann, op4_language, op5_pii, op6_ngram_join, op7_licences, op8_html, op9_quality, op10_warc, op11_centroids, op12_importance, op13_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op6_ngram_join": OP6_SQL, "op9_quality": OP9_SQL, "op10_warc": OP10_SQL, "op11_centroids": _op11_sql(), "op12_importance": OP12_SQL}
