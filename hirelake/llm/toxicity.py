@@ -40,7 +40,7 @@ from .langid import held_out
 
 SAMPLE, FOLDS, SIGNIFICANT, THRESHOLD = 10_000, 2, 12.0, 0.3
 #: Bytes of the common part and, at most, of a class's own part.
-COMMON, OWN = 24 << 10, 8 << 10
+COMMON, OWN = 24 << 10, 2 << 10
 #: Words of a window, bytes of a word, windows compressed at once, words counted before they leave a task.
 WIDTH, LONGEST, TOGETHER, COUNTED = 6, 64, 1 << 14, 1 << 18
 #: Bytes that no UTF-8 text holds in this order.
