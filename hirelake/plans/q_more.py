@@ -140,25 +140,37 @@ def review_trigger(spark, sf):
 
 @query("SELECT time_bucket(INTERVAL 10 SECOND, ts) AS window_start, event_type AS rule_id, count(*) AS matches FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 10 SECOND, ts) + INTERVAL 10 SECOND <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def stream_rule_usage(spark, sf):
-    return J.drained(J.stream_rule_usage(J.events_stream(spark, sf)), "rule-usage")
+    return J.drained(J.stream_rule_usage(J.events_stream(spark, sf)), S.scratch(spark, "rule-usage"))
 
 
 @query("SELECT DISTINCT user_id || ':' || event_type AS key FROM events WHERE ts > (SELECT min(ts) + INTERVAL 12 HOUR FROM events)")
 def stream_discovery(spark, sf):
-    return J.stream_discovery(J.events_stream(spark, sf), start_of(spark, sf))
+    """Keys are remembered for longer than the events last."""
+    e = J.events_stream(spark, sf, None).select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), "ts")
+    return J.stream_discovery(e, start_of(spark, sf), S.scratch(spark, "discovery")).select("key")
 
 
-@query(FOLD_SQL.replace("SELECT job_id, state, applied_at, closed_at, ignored FROM f", "SELECT job_id, state, n AS events, ignored::BIGINT AS ignored FROM f"))
+@query(FOLD_SQL.replace("SELECT job_id, state, applied_at, closed_at, ignored FROM f", "SELECT job_id, state, applied_at, closed_at, n AS events, ignored::BIGINT AS ignored FROM f"))
 def stream_workflow(spark, sf):
     e = J.events_stream(spark, sf).select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), "event_id", F.expr(ACTION).alias("to_state"))
-    return J.stream_workflow(e).select("job_id", "state", "events", "ignored")
+    return J.stream_workflow(e, S.scratch(spark, "workflow")).select("job_id", "state", "applied_at", "closed_at", "events", "ignored")
 
 
-@query("WITH k AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, 'added' AS change, count(*) AS n FROM k GROUP BY 1")
+THIRDS = "CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END"
+
+
+@query(f"""WITH l AS (SELECT event_type, user_id, {THIRDS} AS batch, arg_max(struct_pack(v := value, p := props), struct_pack(a := ts, b := event_id)) AS row FROM events GROUP BY ALL),
+g AS (SELECT k.event_type, k.user_id, b.batch, l.row FROM (SELECT DISTINCT event_type, user_id FROM l) k CROSS JOIN (SELECT unnest([0, 1, 2]) AS batch) b LEFT JOIN l USING (event_type, user_id, batch)),
+p AS (SELECT *, lag(row) OVER w AS before, count(row) OVER (PARTITION BY event_type, user_id ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM g WINDOW w AS (PARTITION BY event_type, user_id ORDER BY batch)),
+c AS (SELECT event_type, batch, CASE WHEN row IS NULL THEN CASE WHEN before IS NOT NULL THEN 'removed' END WHEN seen = 0 THEN 'added' WHEN before IS NULL OR row <> before THEN 'changed' END AS change FROM p)
+SELECT event_type, batch, change, count(*) AS n FROM c WHERE change IS NOT NULL GROUP BY ALL""")
 def stream_refresh(spark, sf):
-    """Each batch is merged into the cache table; only changed keys are written."""
-    rows = J.stream_refresh(J.events_stream(spark, sf), ["event_type", "user_id"], ["value", "props"], ["ts", "event_id"])
-    return rows.groupBy("event_type", "change").agg(F.count("*").alias("n"))
+    """Three batches of events, each the full listing of every event type, are merged into the cache in turn."""
+    e = table(spark, sf, "events").select(F.col("event_type").alias("company_id"), F.col("user_id").cast("string").alias("external_path"), "value", "props", "ts", "event_id", F.expr(THIRDS).alias("third"))
+    path = S.scratch(spark, "refresh")
+    stream = J.in_turn([e.where(F.col("third") == k).drop("third") for k in range(3)], f"{path}/in")
+    rows = J.stream_refresh(stream, path, ["value", "props"], ["ts", "event_id"], scope=["company_id"], buckets=16)
+    return rows.groupBy(F.col("company_id").alias("event_type"), "batch", "change").agg(F.count("*").alias("n"))
 
 
 @query()

@@ -74,6 +74,13 @@ def publish(df: DataFrame, path: str, fields: list[str], fmt: str = "parquet") -
     return buckets.agg(F.sum("n").alias("n_rows"), F.bit_xor("x").alias("digest"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the file or folder is there, in whatever store the path names."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(context._jsc.hadoopConfiguration()).exists(at)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
