@@ -5,26 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hirelake.operators.rule_index import LONGEST, SHORTEST, Index, required
+
 #: A match is negated by one of these within so many characters before it.
 NEGATION, LOOK_BACK = "(?i)\\b(?:no|not|without|never|neither|nor|isn't|aren't|don't|doesn't)\\b[^.;]*$", 60
 EVIDENCE_CHARS, MOST_TITLE, MOST_BODY = 300, 10_000, 1_000_000
 
 
-def first_not_negated(text: Column, pattern: str) -> Column:
+#: Rule tables from so many rows are looked up by the literals of their patterns.
+INDEXED = 40
+
+
+def first_not_negated(text: Column, pattern: str | Column) -> Column:
     """The first match that no negation precedes closely; null if there is none.
 
     Splitting by the pattern gives what stands before each match, back to the one before.
     """
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0)).alias("hit"))
     free = F.filter(zipped, lambda p: p["hit"].isNotNull() & ~F.rtrim(F.right(p["before"], F.lit(LOOK_BACK))).rlike(NEGATION))
     return F.try_element_at(free, F.lit(1))["hit"]
 
 
-def match_rules(postings: DataFrame, rules: list[tuple], id_col: str = "posting_no", facts: list[str] | None = None) -> DataFrame:
+def match_rules(postings: DataFrame, rules: list[tuple], id_col: str = "posting_no", facts: list[str] | None = None, indexed: bool | None = None) -> DataFrame:
     """(id, concept_id, rule_id, evidence) of accepted evidence.
 
     postings: id, title, body; rules: (rule id, concept, kind, context group, scope, pattern).
-    The rule table is compiled into constant patterns of one projection: nothing is shuffled.
+    Nothing is shuffled: a small rule table is compiled into constant patterns of one projection; of a large one
+    (``indexed``, by default from ``INDEXED`` rules) a posting tries the rules that ``rule_index`` names for it.
     An exclusion vetoes its concept; a context group counts when all of its members match;
     positive evidence must not be negated.  A rule of scope ``fact:name`` selects by an extracted fact, a column named in
     ``facts``: its pattern is matched with the fact's text, which is the evidence.
@@ -35,17 +42,71 @@ def match_rules(postings: DataFrame, rules: list[tuple], id_col: str = "posting_
     for _, concept, kind, group, _, _ in rules:
         if kind == "context":
             size[concept, group] = size.get((concept, group), 0) + 1
+    large = len(rules) >= INDEXED if indexed is None else indexed
+    found = (_looked_up if large else _projected)(rules, text, size)
+    hits = postings.select(id_col, found.alias("all"))
+    vetoed = lambda r: F.exists("all", lambda x: (x["concept_id"] == r["concept_id"]) & (x["kind"] == "exclusion"))
+    group = lambda r: F.size(F.filter("all", lambda x: (x["kind"] == "context") & (x["concept_id"] == r["concept_id"]) & (x["grp"] == r["grp"])))
+    kept = F.filter("all", lambda r: ~vetoed(r) & ((r["kind"] != "context") | (group(r) == r["members"])))
+    return hits.select(id_col, F.explode(kept).alias("r")).select(id_col, "r.concept_id", "r.rule_id", F.trim(F.regexp_replace("r.evidence", "\\s+", " ")).alias("evidence"))
+
+
+def _projected(rules: list[tuple], text: dict[str, Column], size: dict[tuple, int]) -> Column:
+    """Each rule's hit as one column with a constant pattern."""
     found = []
     for rule_id, concept, kind, group, scope, pattern in rules:
         t = text[scope]
         hit = first_not_negated(t, pattern) if kind == "positive" and not scope.startswith("fact:") else F.regexp_extract(t, pattern, 0)
         row = F.struct(F.lit(concept).alias("concept_id"), F.lit(rule_id).alias("rule_id"), F.lit(kind).alias("kind"), F.lit(group).alias("grp"), F.lit(size.get((concept, group), 0)).alias("members"), hit.alias("evidence"))
         found.append(F.when(t.rlike(pattern), row))
-    hits = postings.select(id_col, F.filter(F.array(*found), lambda r: r.isNotNull() & r["evidence"].isNotNull()).alias("all"))
-    vetoed = lambda r: F.exists("all", lambda x: (x["concept_id"] == r["concept_id"]) & (x["kind"] == "exclusion"))
-    group = lambda r: F.size(F.filter("all", lambda x: (x["kind"] == "context") & (x["concept_id"] == r["concept_id"]) & (x["grp"] == r["grp"])))
-    kept = F.filter("all", lambda r: ~vetoed(r) & ((r["kind"] != "context") | (group(r) == r["members"])))
-    return hits.select(id_col, F.explode(kept).alias("r")).select(id_col, "r.concept_id", "r.rule_id", F.trim(F.regexp_replace("r.evidence", "\\s+", " ")).alias("evidence"))
+    return F.filter(F.array(*found), lambda r: r.isNotNull() & r["evidence"].isNotNull())
+
+
+#: Which texts a scope's matches lie in; a literal never spans the line break between title and body.
+_PARTS = {"title": frozenset(["title"]), "posting": frozenset(["posting"]), "corpus": frozenset(["title", "posting"])}
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _looked_up(rules: list[tuple], text: dict[str, Column], size: dict[tuple, int]) -> Column:
+    """The hits of the rules whose literals the posting holds; the rule table is a few constant arrays, each used once."""
+    index = Index.of([(r[5], _PARTS.get(r[4], frozenset())) for r in rules])
+    used = sorted({r[4] for r in rules})
+    patterns = F.array(*[F.lit(r[5]) for r in rules])
+    scopes = F.array(*[F.lit(used.index(r[4]) * 2 + (r[2] == "positive" and not r[4].startswith("fact:"))) for r in rules])
+    table = F.array(*[F.lit("\x01".join((r[1], r[0], r[2], r[3], str(size.get((r[1], r[3]), 0))))) for r in rules])
+
+    def tried(i: Column, all_texts: Column) -> Column:
+        def at(x: Column) -> Column:
+            t = F.get(all_texts, F.floor(x["scope"] / 2).cast("int"))
+            first = lambda first: F.when((x["scope"] % 2 == 1) & first.isNotNull(), first_not_negated(t, x["pattern"])).otherwise(first)
+            return _let(F.get(F.regexp_extract_all(t, x["pattern"], F.lit(0)), 0), first)
+
+        return F.struct(i.alias("rule"), _let(F.struct(F.get(scopes, i).alias("scope"), F.get(patterns, i).alias("pattern")), at).alias("evidence"))
+
+    hits = _let(F.array(*[text[s] for s in used]), lambda all_texts: F.transform(index.candidates({k: text[k] for k in index.kinds}), lambda i: tried(i, all_texts)))
+    row = lambda x: _let(F.split(F.get(table, x["rule"]), "\x01"), lambda c: F.struct(F.get(c, 0).alias("concept_id"), F.get(c, 1).alias("rule_id"), F.get(c, 2).alias("kind"), F.get(c, 3).alias("grp"), F.get(c, 4).cast("int").alias("members"), x["evidence"].alias("evidence")))
+    return F.transform(F.filter(hits, lambda x: x["evidence"].isNotNull()), row)
+
+
+def credential_mentions(rows: DataFrame, catalog: list[tuple], id_col: str = "posting_no", text_col: str = "body") -> DataFrame:
+    """(id, grp, credentials, mentions) of a catalog (credential, group, alias, own pattern or None).
+
+    An alias is matched as it stands, in any case, between signs that are neither letters nor digits; an own pattern takes its
+    place.  Credentials of one group are one row, with the number of aliases that were found.  The catalog is looked up by the literals of
+    its patterns.
+    """
+    quoted = lambda a: "(?i)(?<![\\p{L}\\p{N}])" + "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in a) + "(?![\\p{L}\\p{N}])"
+    entries = [(c, g, own or quoted(a), required(own) if own else [frozenset([a.lower()[:LONGEST]])]) for c, g, a, own in catalog]
+    index = Index.of([(p, frozenset(["text"])) for _, _, p, _ in entries], [[s for s in need if all(len(x) >= SHORTEST and x.isascii() for x in s)] for _, _, _, need in entries])
+    table = F.array(*[F.struct(F.lit(c).alias("credential"), F.lit(g).alias("grp"), F.lit(p).alias("pattern")) for c, g, p, _ in entries])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    met = F.filter(F.transform(index.candidates({"text": text}), lambda i: F.get(table, i)), lambda r: F.regexp_like(text, r["pattern"]))
+    each = rows.select(id_col, F.explode(met).alias("r")).select(id_col, "r.grp", "r.credential")
+    return each.groupBy(id_col, "grp").agg(F.array_join(F.array_sort(F.collect_set("credential")), ",").alias("credentials"), F.count("*").alias("mentions"))
 
 
 def merge_evidence(matches: DataFrame, id_col: str = "posting_no") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hirelake.functions import text as T
 from hirelake.operators import extract as E
 from hirelake.operators import facts as X
+from hirelake.operators import rules as R
 
 from .fixtures import POSTINGS_SQL, postings
 from .q_rules import bodies
@@ -225,15 +226,18 @@ def extract_geo_restriction(spark, sf):
     return segmented(spark, sf).where(remote).select("posting_no", X.geo_restriction(F.col("sentences")).alias("g")).where("g is not null").select("posting_no", "g.*")
 
 
-CREDENTIALS = (("sql", "skill", "SQL"), ("linux", "skill", "Linux"), ("bachelor", "degree", "Bachelor's"), ("ged", "degree", "GED"))
+#: credential, group, alias, own pattern.
+CREDENTIALS = (("sql", "skill", "SQL", None), ("linux", "skill", "Linux", None), ("bachelor", "degree", "Bachelor's", None), ("ged", "degree", "GED", None), ("ged", "degree", "high school equivalency", "(?i)high school (?:diploma|equivalency)"), ("clearance", "security", "clearance", "(?i)(?:top )?secret(?:/sci)? clearance"), ("polygraph", "security", "polygraph", None))
 
 
-@query(BODY + ", h AS (" + " UNION ALL ".join(f"SELECT posting_no, '{g}' AS grp, '{c}' AS credential FROM bodies WHERE regexp_matches(body, '(?i)(?:^|[^a-z0-9]){a.replace(chr(39), chr(39) * 2)}(?:$|[^a-z0-9])')" for c, g, a in CREDENTIALS) + ") SELECT posting_no, grp, string_agg(credential, ',' ORDER BY credential) AS credentials FROM h GROUP BY 1, 2")
+def _credential_pattern(alias: str, own: str | None) -> str:
+    return (own or f"(?i)(?:^|[^\\p{{L}}\\p{{N}}]){alias}(?:$|[^\\p{{L}}\\p{{N}}])").replace("'", "''")
+
+
+@query(BODY + ", h AS (" + " UNION ALL ".join(f"SELECT posting_no, '{g}' AS grp, '{c}' AS credential FROM bodies WHERE regexp_matches(body, '{_credential_pattern(a, p)}')" for c, g, a, p in CREDENTIALS) + ") SELECT posting_no, grp, string_agg(DISTINCT credential, ',' ORDER BY credential) AS credentials, count(*) AS mentions FROM h GROUP BY 1, 2")
 def credential_mentions(spark, sf):
-    """Alias dictionary with letter and digit boundaries; alternatives of a group are one row."""
-    hits = F.array_compact(F.array(*[F.when(F.col("body").rlike(f"(?i)(?:^|[^a-z0-9]){a}(?:$|[^a-z0-9])"), F.struct(F.lit(g).alias("grp"), F.lit(c).alias("credential"))) for c, g, a in CREDENTIALS]))
-    each = bodies(spark, sf).select("posting_no", F.inline(hits))
-    return each.groupBy("posting_no", "grp").agg(F.array_join(F.array_sort(F.collect_set("credential")), ",").alias("credentials"))
+    """A catalogue of aliases and own patterns."""
+    return R.credential_mentions(bodies(spark, sf), CREDENTIALS)
 
 
 HEADED = LINES + f", hd AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '{E.HEADING}') THEN line END IGNORE NULLS) OVER (PARTITION BY posting_no ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM lines)"

@@ -33,6 +33,22 @@ def match_concepts(spark, sf):
     return matches(spark, sf)
 
 
+_FIRST = ("team", "pay", "salary", "travel", "secret", "clearance", "degree", "master", "bachelor", "visa", "sql", "office", "remote", "relocation", "deployment", "citizen", "sponsor", "bonus", "stipend", "associate", "warehouse", "nurse", "bridges", "analyst", "network")
+_THEN = ("required", "preferred", "experience", "available", "annually", "people", "hour", "useful", "overseas", "week", "engineer", "administrator")
+#: A large rule table: two words of one sentence; some rules are context groups of two, some vetoes.
+MANY_RULES = tuple(
+    (f"m{12 * i + j:03d}", f"pair.{a}", "exclusion" if (i, j) in ((2, 4), (7, 1)) else "context" if j in (0, 1) else "title", "g" if j in (0, 1) else "", ("posting", "corpus", "title")[(i + j) % 3 if j > 9 else j % 2], f"(?i)\\b{a}[a-z]*\\b[^.]*\\b{b}\\b")
+    for i, a in enumerate(_FIRST)
+    for j, b in enumerate(_THEN)
+)
+
+
+@query(MATCHES.replace(X.RULES_SQL, X.duck_values(MANY_RULES, "rule_id, concept_id, kind, context_group, scope, pattern")) + " SELECT * FROM matches")
+def match_rule_table(spark, sf):
+    """Three hundred rules, looked up by the literals of their patterns."""
+    return R.match_rules(bodies(spark, sf).select("posting_no", "title", "body"), MANY_RULES)
+
+
 NEGATED = BODY + """, z AS (SELECT posting_no, string_split_regex(body, '(?i)clearance|travel') AS b, regexp_extract_all(body, '(?i)clearance|travel') AS h FROM bodies),
 f AS (SELECT posting_no, list_filter(list_transform(range(1, len(h) + 1), lambda i: CASE WHEN NOT regexp_matches(rtrim(right(b[i], 60)), '""" + R.NEGATION.replace("'", "''") + """') THEN h[i] END), lambda x: x IS NOT NULL) AS hits FROM z)
 SELECT posting_no, hits[1] AS hit FROM f"""
