@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -84,25 +82,45 @@ def threshold_sweep(scored: DataFrame, grid: list[float], by: list[str]) -> Data
     return s.select(*by, "threshold", "rejects", "false_rejects", ratio(F.col("keeps") - F.col("false_rejects"), F.col("keeps")).alias("keep_recall"))
 
 
-def fold_frontier(scored: DataFrame, budget: int, folds: list[int]) -> DataFrame:
-    """Thresholds of all folds together that reject most with at most ``budget`` false rejects.
+def fold_frontier(scored: DataFrame, budget: int) -> DataFrame:
+    """(fold, threshold, rejects, false_rejects, total_rejects, total_false_rejects): one threshold a fold, which
+    together reject most with at most ``budget`` false rejects.
 
-    A fold has budget + 1 options (k false rejects: everything below its k+1-th kept score), so
-    the join of options is bounded by the budget.
+    scored: fold, score, actual (to keep).  A fold's options are the scores of its first budget + 1 rows to keep; a threshold
+    rejects what is below it.  Folds are combined by a min-plus convolution over the false rejects used so far: a state for each number
+    of them holds the most rejects and the options chosen, so that ``folds * budget ** 2`` sums decide, whatever the number of rows.
+    Equal sums go to fewer false rejects, then to lower thresholds, earlier folds first.  A fold without a row to keep has no threshold
+    and rejects nothing.
     """
-    w = W.partitionBy("fold").orderBy("score", "doc_id")
-    ranked = scored.where("actual").withColumn("k", F.row_number().over(w) - 1).where(F.col("k") <= budget).select("fold", "k", F.col("score").alias("threshold"))
-    at = scored.groupBy("fold", "score").agg(F.count("*").alias("n"), F.count_if("actual").alias("pos"))
-    options = ranked.join(at, "fold").where("score < threshold").groupBy("fold", "k", "threshold").agg(F.sum("n").alias("rejects"), F.sum("pos").alias("false_rejects"))
-    options = options.where(F.col("false_rejects") <= budget).unionByName(ranked.where("k = 0").select("fold", "k", "threshold", F.lit(0).cast("long").alias("rejects"), F.lit(0).cast("long").alias("false_rejects")))
-    best = options.groupBy("fold", "false_rejects").agg(F.max(F.struct("rejects", F.col("threshold")))["rejects"].alias("rejects"))
-    one = lambda f: best.where(F.col("fold") == f).select(F.col("false_rejects").alias(f"f{f}"), F.col("rejects").alias(f"r{f}"))
-    total, joined = F.lit(0), None
-    for f in folds:
-        total = total + F.col(f"f{f}")
-        joined = one(f) if joined is None else joined.join(F.broadcast(one(f)), total <= budget)
-    rejects = reduce(lambda a, b: a + b, [F.col(f"r{f}") for f in folds])
-    return joined.select(rejects.alias("rejects"), total.alias("false_rejects"), *[f"f{f}" for f in folds]).agg(F.max(F.struct("rejects", -F.col("false_rejects")))["rejects"].alias("rejects"))
+    at = scored.where("score is not null").groupBy("fold", "score").agg(F.count("*").alias("n"), F.count_if("actual").alias("pos"))
+    w = W.partitionBy("fold").orderBy("score")
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    below = at.select("fold", "score", "pos", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rejects"), F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("false_rejects"))
+    options = below.where((F.col("pos") > 0) & (F.col("false_rejects") <= budget)).select("fold", F.col("false_rejects").cast("int").alias("f"), "rejects", F.col("score").alias("threshold"))
+    none = scored.select("fold").distinct().select("fold", F.lit(0).alias("f"), F.lit(0).cast("long").alias("rejects"), F.lit(None).cast("double").alias("threshold"))
+    # A fold's own options of no false reject come before the empty one.
+    each = options.unionByName(none).groupBy("fold", "f").agg(F.max(F.struct(F.col("threshold").isNotNull().alias("own"), "rejects", "threshold")).alias("o"))
+    per = each.groupBy("fold").agg(F.map_from_entries(F.collect_list(F.struct("f", F.struct("o.rejects", "o.threshold")))).alias("options"))
+    folds = per.agg(F.array_sort(F.collect_list(F.struct("fold", F.transform(F.sequence(F.lit(0), F.lit(budget)), lambda f: F.try_element_at("options", f)).alias("options")))).alias("folds"))
+    pick = f"array<struct<fold:{scored.schema['fold'].dataType.simpleString()},threshold:double,rejects:bigint,false_rejects:int>>"
+    state = f"struct<rejects:bigint,low:array<double>,picks:{pick}>"
+    start = F.transform(F.sequence(F.lit(0), F.lit(budget)), lambda t: F.when(t == 0, F.expr(f"cast(named_struct('rejects', 0L, 'low', array(), 'picks', array()) as {state})")))
+
+    def joined(acc: Column, x: Column, t: Column, f: Column) -> Column:
+        was, own = F.get(acc, t - f), F.get(x["options"], f)
+        added = F.struct(
+            (was["rejects"] + own["rejects"]).alias("rejects"),
+            F.concat(was["low"], F.array(-F.coalesce(own["threshold"], F.lit(float("-inf"))))).alias("low"),
+            F.concat(was["picks"], F.array(F.struct(x["fold"].alias("fold"), own["threshold"].alias("threshold"), own["rejects"].alias("rejects"), f.alias("false_rejects")))).alias("picks"),
+        )
+        return F.when(was.isNotNull() & own.isNotNull(), added)
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(budget)), lambda t: F.array_max(F.transform(F.sequence(F.lit(0), t), lambda f: joined(acc, x, t, f))))
+
+    ends = folds.select(F.posexplode(F.aggregate("folds", start, step)).alias("used", "s")).where("s is not null")
+    best = ends.agg(F.max(F.struct("s.rejects", (-F.col("used")).alias("unused"), "s.low", "s.picks")).alias("b")).where("b is not null")
+    return best.select(F.inline("b.picks"), F.col("b.rejects").alias("total_rejects"), (-F.col("b.unused")).cast("int").alias("total_false_rejects"))
 
 
 def calibration(scored: DataFrame, least: float = 1e-12) -> DataFrame:

@@ -116,8 +116,9 @@ degrees AS (SELECT posting_no, min(level) FILTER (rnk = least) AS minimum_level,
 
 
 def degree_facts(spark, sf):
-    d = segmented(spark, sf).select("posting_no", X.degree_requirements(F.col("sentences")).alias("d")).where("d is not null")
-    return d.select("posting_no", "d.*")
+    # Of an array of one or none, so that no filter repeats the extraction.
+    d = X.degree_requirements(F.col("sentences"))
+    return segmented(spark, sf).select("posting_no", F.inline(F.array_compact(F.array(d))))
 
 
 @query(DEGREED + " SELECT * FROM degrees")
@@ -223,7 +224,7 @@ SELECT posting_no, category, left(s, {X.SNIPPET}) AS snippet FROM h QUALIFY row_
 def extract_geo_restriction(spark, sf):
     """For remote postings the first rule by priority, then by sentence, that no guard undoes."""
     remote = F.concat("title", "primary_location").rlike("(?i)remote") | F.col("body").rlike(X.REMOTE_ROLE)
-    return segmented(spark, sf).where(remote).select("posting_no", X.geo_restriction(F.col("sentences")).alias("g")).where("g is not null").select("posting_no", "g.*")
+    return segmented(spark, sf).where(remote).select("posting_no", F.inline(F.array_compact(F.array(X.geo_restriction(F.col("sentences"))))))
 
 
 #: credential, group, alias, own pattern.
@@ -262,7 +263,8 @@ b AS (SELECT *, string_split_regex(clause, '{E.BRANCH}') AS bs FROM c2 WHERE tri
 o AS MATERIALIZED ({" UNION ALL ".join(f"SELECT *, '{n}' AS domain, regexp_extract(branch, '{p}', 0) AS hit FROM b2 WHERE regexp_matches(branch, '{p}')" for n, p in DOMAINS.items())}),
 obs AS MATERIALIZED (SELECT posting_no, sha256(posting_no || '|' || line_no || '|' || clause_no || '|' || branch_no || '|' || domain)[1:16] AS observation_id, line_no, clause_no, branch_no, domain, hit, instr(line, hit)::INT AS start, line, {first_sql('clause', E.OBLIGATION, "'stated'")} AS obligation,
   CASE WHEN regexp_matches(clause, '{E.NEGATED}') THEN 'negated' ELSE 'affirmed' END AS polarity, {first_sql('clause', E.TIMING, "''")} AS timing, heading, {_VALUE} AS value FROM o),
-alt AS MATERIALIZED (SELECT x.observation_id, string_agg(y.observation_id, ',' ORDER BY y.observation_id) AS alternatives FROM obs x JOIN obs y ON x.posting_no = y.posting_no AND x.line_no = y.line_no AND x.clause_no = y.clause_no AND x.branch_no <> y.branch_no GROUP BY 1)"""
+grouped AS (SELECT posting_no, line_no, clause_no, list(struct_pack(b := branch_no, i := observation_id)) AS others FROM obs GROUP BY ALL),
+alt AS MATERIALIZED (SELECT observation_id, array_to_string(list_sort(list_transform(list_filter(others, lambda o: o.b <> branch_no), lambda o: o.i)), ',') AS alternatives FROM obs JOIN grouped USING (posting_no, line_no, clause_no))"""
 
 
 def observations(spark, sf):

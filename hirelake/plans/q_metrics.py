@@ -177,12 +177,13 @@ def threshold_sweep(spark, sf):
     return M.threshold_sweep(scored(spark, sf), [0.1, 0.25, 0.5, 0.75], ["lang"])
 
 
-@query(SC + """, k AS (SELECT fold, score AS th, row_number() OVER (PARTITION BY fold ORDER BY score, doc_id) - 1 AS k FROM scored WHERE actual),
-o AS (SELECT k.fold, k.k, count(s.score) AS rejects, count(s.score) FILTER (s.actual) AS f FROM k LEFT JOIN scored s ON s.fold = k.fold AND s.score < k.th WHERE k.k <= 6 GROUP BY 1, 2, th),
-b AS (SELECT fold, f, max(rejects) AS r FROM o WHERE f <= 6 GROUP BY 1, 2)
-SELECT max(a.r + b_.r + c.r + d.r) AS rejects FROM b a, b b_, b c, b d WHERE a.fold = 0 AND b_.fold = 1 AND c.fold = 2 AND d.fold = 3 AND a.f + b_.f + c.f + d.f <= 6""")
+@query(SC + """, k AS (SELECT DISTINCT fold, score AS th FROM scored WHERE actual),
+o AS (SELECT k.fold, th, count(s.score) AS r, count(s.score) FILTER (s.actual) AS f FROM k LEFT JOIN scored s ON s.fold = k.fold AND s.score < k.th GROUP BY 1, 2 HAVING f <= 6),
+c AS (SELECT [a, b_, c, d] AS picks, a.r + b_.r + c.r + d.r AS total_rejects, (a.f + b_.f + c.f + d.f)::INT AS total_false_rejects FROM o a, o b_, o c, o d
+  WHERE a.fold = 0 AND b_.fold = 1 AND c.fold = 2 AND d.fold = 3 AND a.f + b_.f + c.f + d.f <= 6 ORDER BY 2 DESC, 3, a.th, b_.th, c.th, d.th LIMIT 1)
+SELECT p.fold, p.th AS threshold, p.r AS rejects, p.f::INT AS false_rejects, total_rejects, total_false_rejects FROM (SELECT *, unnest(picks) AS p FROM c)""")
 def fold_frontier(spark, sf):
-    return M.fold_frontier(scored(spark, sf), 6, [0, 1, 2, 3])
+    return M.fold_frontier(scored(spark, sf), 6)
 
 
 @query(SC + """, b AS (SELECT least(floor(score * 10), 9)::BIGINT AS bin, count(*) AS n, sum(score) AS s, sum(actual::INT) AS k, sum((score - actual::INT) ** 2) AS b, sum(-(actual::INT * ln(least(greatest(score, 1e-12), 1 - 1e-12)) + (1 - actual::INT) * ln(1 - least(greatest(score, 1e-12), 1 - 1e-12)))) AS c FROM scored GROUP BY 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hirelake.functions import digests as D
 from hirelake.functions import text as T
 from hirelake.operators import identity as I
 
@@ -163,7 +164,7 @@ def snapshot_diff(spark, sf):
 
 @query("""WITH r AS (SELECT sha256(coalesce(o_orderkey::VARCHAR, '-') || '|' || coalesce(o_orderstatus, '-') || '|' || coalesce(o_orderpriority, '-')) AS h FROM orders), n AS (SELECT count(*) AS n, """ + ", ".join(f"sum(('0x' || h[{15 * k + 1}:{15 * k + 15}])::BIGINT)::HUGEINT AS s{k}" for k in range(4)) + """ FROM r) SELECT n AS n_rows, sha256(n || '|' || s0 || '|' || s1 || '|' || s2 || '|' || s3) AS fingerprint FROM n""")
 def dataset_fingerprint(spark, sf):
-    return I.dataset_fingerprint(table(spark, sf, "orders"), ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+    return D.dataset_fingerprint(table(spark, sf, "orders"), ["o_orderkey", "o_orderstatus", "o_orderpriority"])
 
 
 @query(P + """, r AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY (posting_no % 5 = 0), NOT is_available, (posting_no % 2 = 0), start_date DESC, cached_at DESC, posting_no) AS place FROM postings)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hirelake.functions.digests import dataset_fingerprint
+
 JOB = T.StructType([T.StructField("externalPath", T.StringType()), T.StructField("title", T.StringType()), T.StructField("descriptionHtml", T.StringType()), T.StructField("descriptionCompressed", T.StringType())])
 CACHE = T.StructType([T.StructField("schemaVersion", T.IntegerType()), T.StructField("companyId", T.StringType()), T.StructField("jobs", T.ArrayType(JOB)), T.StructField("_corrupt_record", T.StringType())])
 
@@ -65,13 +67,18 @@ def read_labelled_jsonl(spark: SparkSession, path: str, labels: list[str]) -> Da
 
 
 def publish(df: DataFrame, path: str, fields: list[str], fmt: str = "parquet") -> DataFrame:
-    """Write the allowed fields once (an existing path is an error); rows and digest of what was written."""
+    """Write the allowed fields once (an existing path is an error); rows and digest of what was written.
+
+    The digest is the one of ``dataset_fingerprint``, so repeated rows count as often as they occur; a ``MANIFEST.json``
+    folder beside the data holds fields, format, rows and digest.
+    """
     out = df.select(*fields)
-    out.write.mode("errorifexists").format(fmt).save(path)
-    back = df.sparkSession.read.schema(out.schema).format(fmt).load(path)
-    digest = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]), 256)
-    buckets = back.select(digest.alias("h")).groupBy(F.substring("h", 1, 2).alias("b")).agg(F.count("*").alias("n"), F.bit_xor(F.conv(F.substring("h", 1, 15), 16, 10).cast("long")).alias("x"))
-    return buckets.agg(F.sum("n").alias("n_rows"), F.bit_xor("x").alias("digest"))
+    out.write.mode("errorifexists").format(fmt).save(f"{path}/data")
+    back = df.sparkSession.read.schema(out.schema).format(fmt).load(f"{path}/data")
+    found = dataset_fingerprint(back, fields).select("n_rows", F.col("fingerprint").alias("digest"))
+    manifest = found.select(F.lit(",".join(fields)).alias("fields"), F.lit(fmt).alias("format"), "n_rows", "digest")
+    manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/MANIFEST.json")
+    return df.sparkSession.read.schema("fields string, format string, n_rows long, digest string").json(f"{path}/MANIFEST.json").select("n_rows", "digest")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
