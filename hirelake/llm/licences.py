@@ -396,16 +396,17 @@ def examples(drawn: list[str], rng: random.Random) -> list[tuple[int, str]]:
 def sampled(documents: DataFrame, sample: int, seed: int) -> list[str]:
     """At most ``sample`` sentences of the corpus, without those that share three words in a row with a template.
 
-    Documents are drawn by a hash threshold, about ``sample`` of them, and give up to four sentences each, so what
-    reaches the driver doesn't grow with the corpus.
+    Different texts are drawn by a hash threshold, about ``sample`` of them, and give up to four sentences each, so what
+    reaches the driver grows neither with the corpus nor with the copies of a text.
     """
     docs = documents.where(F.length("text") > 0)
-    n = docs.count()
+    text_hash = F.xxhash64("text", F.lit(seed))
+    n = docs.select(text_hash.alias("h")).distinct().count()
     share = min(1.0, sample / max(n, 1))
-    small = (F.xxhash64("text", F.lit(seed)).cast("double") / 2.0**64 + 0.5) <= share
+    small = (text_hash.cast("double") / 2.0**64 + 0.5) <= share
     cut = F.filter(F.split(F.regexp_replace("text", "([.!?]) ", "$1\n"), "\n"), lambda x: x.rlike("[A-Za-z0-9\\x{80}-\\x{10FFFF}]"))
     some = F.slice(F.array_sort(F.transform(cut, lambda x: F.struct(F.xxhash64(x, F.lit(seed)).alias("h"), x.alias("x")))), 1, 4)
-    rows = docs.where(small).select(F.explode(some).alias("s")).select("s.*").collect()
+    rows = docs.where(small).groupBy(text_hash.alias("t")).agg(F.min(some).alias("some")).select(F.inline("some")).collect()
     three = lambda w: set(zip(w, w[1:], w[2:]))
     words = lambda t: "".join(c.lower() if c.isalnum() else " " for c in t).split()
     taken = set().union(*(three(words(t)) for ts in TEMPLATES.values() for t in ts))
