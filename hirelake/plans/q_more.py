@@ -82,15 +82,31 @@ def title_members(spark, sf):
     return C.title_members(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")))
 
 
-@query("""WITH RECURSIVE e AS (SELECT event_id AS a, -user_id - 1 AS b FROM events UNION SELECT -user_id - 1, -(user_id // 3 * 3) - 1 FROM events), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS node, a AS t FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.t = u.a) SELECT node, min(t) AS cluster FROM r GROUP BY 1""")
-def cluster_components(spark, sf):
+COMPONENTS = """WITH RECURSIVE e AS (SELECT event_id AS a, -user_id - 1 AS b FROM events UNION SELECT -user_id - 1, -(user_id // 3 * 3) - 1 FROM events), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS node, a AS t FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.t = u.a), c AS (SELECT node, min(t) AS cluster FROM r GROUP BY 1)"""
+
+
+def components(spark, sf):
     """Events of a user, and of three neighbouring users, are one cluster."""
     e, user = table(spark, sf, "events"), -F.col("user_id") - 1
     groups = e.select(user.alias("a"), (-F.floor(F.col("user_id") / 3) * 3 - 1).alias("b")).distinct()
     return C.cluster_components(e.select(F.col("event_id").alias("a"), user.alias("b")).union(groups))
 
 
+@query(COMPONENTS + " SELECT node, cluster FROM c")
+def cluster_components(spark, sf):
+    return components(spark, sf)
+
+
+@query(COMPONENTS + """, n AS (SELECT event_id AS node, event_type IN ('click', 'purchase') AS has_body FROM events), m AS (SELECT n.*, cluster, sha256('seed|representative|' || node) AS h FROM n JOIN c USING (node)),
+p AS (SELECT cluster, count(*) AS members, arg_min(node, struct_pack(b := NOT has_body, h := h)) AS representative FROM m GROUP BY 1)
+SELECT node, cluster, members, representative, node = representative AS is_representative FROM m JOIN p USING (cluster)""")
+def cluster_representatives(spark, sf):
+    """Which event stands for each cluster: clicks and purchases have a body."""
+    nodes = table(spark, sf, "events").select(F.col("event_id").alias("node"), F.col("event_type").isin("click", "purchase").alias("has_body"))
+    return C.cluster_representatives(components(spark, sf), nodes, "seed")
+
+
 QUEUE = "q AS (SELECT posting_no AS case_id, CASE WHEN is_available THEN 'KEEP' ELSE 'REJECT' END AS machine FROM postings), v AS (SELECT l_orderkey AS case_id, l_linenumber AS revision, CASE WHEN l_returnflag = 'R' THEN 'REJECT' ELSE 'KEEP' END AS decision FROM lineitem WHERE l_returnflag <> 'N')"
 
 
