@@ -26,6 +26,8 @@ STRETCH = 86_400
 BUCKETS = 64
 #: Bytes of files that a batch reads at most.
 BATCH_BYTES = 4 << 30
+#: Columns of a table of workflow states.
+WORKFLOW = "job_id long, state string, applied_at timestamp, closed_at timestamp, ignored long, events long"
 UNCHANGED, CLEARED = -1, -2
 STATES = tuple(TRANSITIONS)
 
