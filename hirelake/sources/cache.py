@@ -69,16 +69,16 @@ def read_labelled_jsonl(spark: SparkSession, path: str, labels: list[str]) -> Da
 def publish(df: DataFrame, path: str, fields: list[str], fmt: str = "parquet") -> DataFrame:
     """Write the allowed fields once (an existing path is an error); rows and digest of what was written.
 
-    The digest is the one of ``dataset_fingerprint``, so repeated rows count as often as they occur; a ``MANIFEST.json``
-    folder beside the data holds fields, format, rows and digest.
+    The digest is the one of ``dataset_fingerprint``, so repeated rows count as often as they occur; a ``_manifest``
+    below the data, which readers of the data pass over, holds fields, format, rows and digest.
     """
     out = df.select(*fields)
-    out.write.mode("errorifexists").format(fmt).save(f"{path}/data")
-    back = df.sparkSession.read.schema(out.schema).format(fmt).load(f"{path}/data")
+    out.write.mode("errorifexists").format(fmt).save(path)
+    back = df.sparkSession.read.schema(out.schema).format(fmt).load(path)
     found = dataset_fingerprint(back, fields).select("n_rows", F.col("fingerprint").alias("digest"))
     manifest = found.select(F.lit(",".join(fields)).alias("fields"), F.lit(fmt).alias("format"), "n_rows", "digest")
-    manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/MANIFEST.json")
-    return df.sparkSession.read.schema("fields string, format string, n_rows long, digest string").json(f"{path}/MANIFEST.json").select("n_rows", "digest")
+    manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/_manifest")
+    return df.sparkSession.read.schema("fields string, format string, n_rows long, digest string").json(f"{path}/_manifest").select("n_rows", "digest")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
