@@ -3,8 +3,9 @@
 A line is cut into sentences; word n-grams (one and two words) that the training text holds are
 its sparse features.  One multinomial logistic regression, fitted by Spark ML, tells the licence
 families, other licences (``unknown``) and ``none`` apart.  Evidence is additive, so neighbouring
-sentences of one label, such as the lines of a wrapped text up to the next blank line, are one
-paragraph, which is judged as a whole.  Probabilities are calibrated by a temperature on held-out
+sentences are parted into stretches of one label each, the best partition of all, and a stretch into
+paragraphs: the lines of a wrapped text that go on with a template are one, and a notice beside
+another is one of its own.  A paragraph is judged as a whole.  Probabilities are calibrated by a temperature on held-out
 examples, and so are the two levels above which a paragraph speaks of licences at all and is one
 family's.  A family's paragraph must then be confirmed: it shares enough word pairs with one of
 the family's templates.  Between the two levels, and unconfirmed, it is ``unknown``.
@@ -38,6 +39,10 @@ from .words import chunks, mixed, word_hashes
 #: Paragraphs by which the families are named or granted.
 TEMPLATES = {
     "mit": (
+        "MIT License",
+        "The MIT License (MIT)",
+        "Distributed under the terms of the MIT License.",
+        "This software is available under the MIT license.",
         "Released under the MIT License.",
         "Licensed under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
@@ -45,12 +50,19 @@ TEMPLATES = {
         "SPDX-License-Identifier: MIT",
     ),
     "apache-2.0": (
+        "Apache License, Version 2.0",
+        "Distributed under the terms of the Apache License 2.0.",
+        "The code is available under the Apache 2.0 license.",
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "bsd": (
+        "BSD License",
+        "BSD 3-Clause License",
+        "Licensed under the BSD license.",
+        "The code is available under the BSD 2-Clause License.",
         "Distributed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
@@ -59,6 +71,10 @@ TEMPLATES = {
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "gpl": (
+        "GNU General Public License v3.0",
+        "Licensed under GPLv3.",
+        "The code is available under GPL version 3.",
+        "Distributed under the terms of the GNU GPL, version 2 or later.",
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
@@ -66,11 +82,14 @@ TEMPLATES = {
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "mpl-2.0": (
+        "Mozilla Public License Version 2.0",
+        "Distributed under the terms of the MPL 2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
         "Licensed under the Mozilla Public License 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ),
     "isc": (
+        "ISC License",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "Licensed under the ISC License.",
         "SPDX-License-Identifier: ISC",
@@ -198,6 +217,10 @@ class Grams:
     def __len__(self) -> int:
         return len(self.text)
 
+    def words(self, data: np.ndarray, first: int, last: int) -> str:
+        """The text from the first to the last sentence."""
+        return data[self.begin[first] : self.end[last]].tobytes().decode("utf-8", "replace")
+
     @classmethod
     def of(cls, texts: list[str]) -> Grams:
         """All texts at once, for training."""
@@ -271,6 +294,7 @@ class Scanner:
     def __init__(self, hashes: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float = 1.0, least_licence: float = 0.5, least_family: float = 0.5):
         self.known = Vocabulary(hashes)
         self.weights = np.vstack([weights, np.zeros((1, len(LABELS)))]).astype(np.float32)
+        self.held_out: dict[str, tuple[int, float, float]] = {}  # of the training's held-out examples, by label
         self.bias, self.temperature, self.least_licence, self.least_family = bias, temperature, least_licence, least_family
         self.most = (self.weights[:, 1:] - self.weights[:, :1]).max(axis=1).astype(np.float64)
         self.room = float((bias[1:] - bias[0]).max())
@@ -303,27 +327,37 @@ class Scanner:
         return e / e.sum(axis=1, keepdims=True)
 
     def stretches(self, sums: np.ndarray) -> list[tuple[int, int]]:
-        """(first, last) of the best stretches of neighbouring sentences, each one label's, apart from one another.
+        """(first, last) of the best partition of neighbouring sentences into stretches of one label each.
 
-        A label's stretch has the largest sum of advantages over ``none``; it doesn't reach over a sentence that
-        another licence explains much better.
+        A stretch's worth is its sum of advantages over ``none``, less JOINED for each further sentence; sentences in
+        no stretch are worth nothing.  The best partition is found in one pass over the sentences, with the best
+        worth up to each sentence for each label that its stretch may have.  A stretch doesn't reach over a sentence
+        that another licence explains much better.
         """
-        best = None
         gain = sums[:, 1:] - sums[:, :1]
         top = gain.max(axis=1, keepdims=True)
         gain = np.where((top > JOINED) & (gain > 0) & (gain < APART * top), -np.inf, gain)
-        for c in range(gain.shape[1]):
-            total, first = 0.0, 0
-            for k, g in enumerate(gain[:, c].tolist()):
-                if total <= 0:
-                    total, first = 0.0, k
-                total += g - JOINED * (k > first)
-                if total + self.bias[c + 1] - self.bias[0] > 0 and (best is None or total > best[0]):
-                    best = total, first, k
-        if best is None:
-            return []
-        _, a, b = best
-        return [(x, y) for x, y in self.stretches(sums[:a])] + [(a, b)] + [(b + 1 + x, b + 1 + y) for x, y in self.stretches(sums[b + 1 :])]
+        start = self.bias[1:] - self.bias[0]
+        worth = np.full(gain.shape[1], -np.inf)  # of partitions whose last stretch goes on, by its label
+        first = np.zeros(gain.shape[1], dtype=np.int64)
+        best, last = [0.0], [None]  # of partitions of the first k sentences: worth, and the stretch that ends there
+        for k, g in enumerate(gain):
+            begins = best[k] + start
+            new = begins >= worth - JOINED
+            worth = np.where(new, begins, worth - JOINED) + g
+            first = np.where(new, k, first)
+            c = int(worth.argmax())
+            better = worth[c] > best[k]
+            best.append(float(worth[c]) if better else best[k])
+            last.append((int(first[c]), k) if better else None)
+        out, k = [], len(gain)
+        while k:
+            if last[k] is None:
+                k -= 1
+            else:
+                out.append(last[k])
+                k = last[k][0]
+        return out[::-1]
 
     def scan(self, data: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, str, float, float]]:
         """(text, first line, last line, family, probability, likeness) of the licence paragraphs."""
@@ -337,19 +371,42 @@ class Scanner:
             # No stretch exceeds the run's positive advantages.
             if np.maximum(sums[run, 1:] - sums[run, :1], 0).max(axis=1).sum() + self.room <= 0:
                 continue
-            for x, y in self.stretches(sums[run]):
-                a, b = chosen[run[x]], chosen[run[y]]
-                p = self.probabilities(sums[run[x : y + 1]].sum(axis=0)[None])[0]
-                if 1 - p[0] >= self.least_licence:
-                    text = lambda i, j: data[grams.begin[i] : grams.end[j]].tobytes().decode("utf-8", "replace")
-                    family, alike = self.decided(p, text(a, b))
-                    while family != UNKNOWN and a < b and not continues(family, text(a + 1, b), text(a, b)) and likeness(family, text(a + 1, b)) >= alike:
-                        a += 1
-                    while family != UNKNOWN and a < b and not continues(family, text(a, b - 1), text(a, b)) and likeness(family, text(a, b - 1)) >= alike:
-                        b -= 1
-                    while family != UNKNOWN and b + 1 < len(grams) and grams.block[b + 1] == grams.block[b] and continues(family, text(a, b), text(a, b + 1)):
-                        b += 1
-                    out.append((int(grams.text[a]), int(grams.line[a]), int(grams.line[b]), family, float(p[LABELS.index(family)]), alike))
+            found = [p for x, y in self.stretches(sums[run]) for p in self.paragraphs_of(grams, data, chosen[run[x]], sums[run[x : y + 1]])]
+            for k, (a, b, family, p, alike) in enumerate(found):
+                stop = found[k + 1][0] if k + 1 < len(found) else len(grams)
+                while family != UNKNOWN and b + 1 < stop and grams.block[b + 1] == grams.block[b] and continues(family, grams.words(data, a, b), grams.words(data, a, b + 1)):
+                    b += 1
+                out.append((int(grams.text[a]), int(grams.line[a]), int(grams.line[b]), family, float(p[LABELS.index(family)]), alike))
+        return out
+
+    def paragraphs_of(self, grams: Grams, data: np.ndarray, a: int, sums: np.ndarray) -> list[tuple[int, int, str, np.ndarray, float]]:
+        """(first, last, family, probabilities, likeness) of the paragraphs of a stretch that begins at sentence ``a``.
+
+        A sentence that doesn't go on with a template of its paragraph begins the next one, so that repeated and
+        neighbouring notices are judged one by one; a paragraph holds no more sentences than a template has word pairs.
+        If no paragraph is confirmed, the stretch is one of an unknown licence.
+        """
+        whole = self.probabilities(sums.sum(axis=0)[None])[0]
+        family = LABELS[1 + int(whole[1:].argmax())]
+        cuts = [0]
+        for k in range(1, len(sums)):
+            if family != UNKNOWN and not continues(family, grams.words(data, a + cuts[-1], a + k - 1), grams.words(data, a + cuts[-1], a + k)):
+                cuts.append(k)
+        out = []
+        for x, y in zip(cuts, [*cuts[1:], len(sums)]):
+            p = self.probabilities(sums[x:y].sum(axis=0)[None])[0]
+            if 1 - p[0] < self.least_licence:
+                continue
+            text = lambda i, y=y: grams.words(data, a + i, a + y - 1)
+            kind, alike = self.decided(p, text(x))
+            begin = x
+            while kind != UNKNOWN and x + 1 < y and not continues(kind, text(x + 1), text(x)) and likeness(kind, text(x + 1)) >= alike:
+                x += 1
+            if x > begin:  # what was cut off is judged by itself
+                out += self.paragraphs_of(grams, data, a + begin, sums[begin:x])
+            out.append((a + x, a + y - 1, kind, p, alike))
+        if all(f == UNKNOWN for _, _, f, _, _ in out):
+            out = [(a, a + len(sums) - 1, UNKNOWN, whole, 0.0)] if 1 - whole[0] >= self.least_licence else []
         return out
 
     def decided(self, p: np.ndarray, text: str) -> tuple[str, float]:
@@ -438,6 +495,21 @@ def _calibrated(scanner: Scanner, grams: Grams, text_label: np.ndarray) -> None:
     scanner.least_family = float(np.clip(share[order][fine[-1]], 0.5, 0.95)) if len(fine) else 0.95
 
 
+def measured(scanner: Scanner, labelled: list[tuple[int, str]]) -> dict[str, tuple[int, float, float]]:
+    """Per label: examples, and the precision and recall of what the scanner says of them."""
+    said = []
+    for _, text in labelled:
+        raw = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
+        families = {LABELS.index(f) for _, _, _, f, _, _ in scanner.scan(raw, np.array([len(raw)]))}
+        said.append(families or {0})
+    out = {}
+    for c, name in enumerate(LABELS):
+        own, given = sum(y == c for y, _ in labelled), sum(c in f for f in said)
+        right = sum(y == c and c in f for (y, _), f in zip(labelled, said))
+        out[name] = own, right / max(given, 1), right / max(own, 1)
+    return out
+
+
 def train(spark: SparkSession, documents: DataFrame, text_col: str = "text", sample: int = SAMPLE, seed: int = SEED) -> Scanner:
     """Fit on the examples, four fifths of them, and calibrate on the rest."""
     from pyspark.ml.classification import LogisticRegression
@@ -460,6 +532,7 @@ def train(spark: SparkSession, documents: DataFrame, text_col: str = "text", sam
     model = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=60, standardization=False).fit(spark.createDataFrame(rows, ["label", "features"]).repartition(4))
     scanner = Scanner(known.hashes, model.coefficientMatrix.toArray().T, model.interceptVector.toArray())
     _calibrated(scanner, Grams.of([x for _, x in held]), np.array([y for y, _ in held]))
+    scanner.held_out = measured(scanner, held)
     return scanner
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gzip
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -523,6 +525,68 @@ def test_wrapped_licences(spark, scanner):
     assert lines == [(2, 4, "mit")]
 
 
+def found(scanner, text):
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    return [(a, b, family) for _, a, b, family, _, _ in scanner.scan(raw, np.array([len(raw)]))]
+
+
+def test_neighbouring_notices_lose_no_line(scanner):
+    """k template lines in any order and without blank lines between give k lines, in linear time."""
+    short = [(f, x) for f, ts in licences.TEMPLATES.items() for x in ts if len(x) < 90]
+    draw = random.Random(5)
+    for k in (2, 3, 7, 40, 2000):
+        lines = [draw.choice(short) for _ in range(k)]
+        began = time.time()
+        got = found(scanner, "\n".join(x for _, x in lines))
+        assert time.time() - began < 10
+        assert {n for a, b, _ in got for n in range(a, b + 1)} == set(range(k))
+        named = {n: f for a, b, f in got for n in range(a, b + 1)}
+        assert sum(named[n] == f for n, (f, _) in enumerate(lines)) >= 0.95 * k
+    assert found(scanner, "Licensed under the MIT license.\nLicensed under CC BY 4.0.") == [(0, 0, "mit"), (1, 1, "cc-by")]
+    assert found(scanner, "\n".join(["Released under the MIT License."] * 10)) == [(k, k, "mit") for k in range(10)]
+    three = ["Licensed under the MIT license.", "Licensed under CC BY 4.0.", "Licensed under the Apache License, Version 2.0."]
+    assert [f for _, _, f in found(scanner, "\n".join(three * 200))] == ["mit", "cc-by", "apache-2.0"] * 200
+
+
+def test_best_partition_of_sentences(scanner):
+    """The pass over the sentences finds what trying every partition finds."""
+    draw = np.random.default_rng(3)
+    own = licences.Scanner(np.zeros(0, dtype=np.uint64), np.zeros((0, len(licences.LABELS))), np.where(np.arange(len(licences.LABELS)) == 0, 0.0, -1.5))
+
+    def worth(gain, cut):
+        return sum(gain[a : b + 1].sum(axis=0).max() - 1.5 - licences.JOINED * (b - a) for a, b in cut)
+
+    def partitions(a, n):
+        yield []
+        for x in range(a, n):
+            for y in range(x, n):
+                for rest in partitions(y + 1, n):
+                    yield [(x, y), *rest]
+
+    for _ in range(20):
+        sums = draw.normal(0, 3, (5, len(licences.LABELS)))
+        sums[:, 0] = sums[:, 1:].max(axis=1) - draw.uniform(0.5, 5, 5)
+        gain = sums[:, 1:] - sums[:, :1]
+        top = gain.max(axis=1, keepdims=True)
+        gain = np.where((top > licences.JOINED) & (gain > 0) & (gain < licences.APART * top), -np.inf, gain)
+        best = max(worth(gain, cut) for cut in partitions(0, 5))
+        assert worth(gain, own.stretches(sums)) == pytest.approx(best)
+
+
+def test_held_out_examples(scanner):
+    n, precision, recall = (np.array(x) for x in zip(*[v for k, v in scanner.held_out.items() if k not in (licences.NONE, licences.UNKNOWN)]))
+    assert n.min() >= 5 and (precision * n).sum() / n.sum() > 0.95 and (recall * n).sum() / n.sum() > 0.8
+    assert scanner.held_out[licences.NONE][1] > 0.9 and scanner.held_out[licences.NONE][2] > 0.99
+
+
+def test_headings_and_abbreviations(scanner):
+    families = lambda text: [f for _, _, f in found(scanner, text)]
+    assert families("MIT License") == ["mit"] and families("Licensed under GPLv3") == ["gpl"]
+    assert families("distributed under the terms of the Apache License 2.0") == ["apache-2.0"]
+    assert families("The code is available under GPL version 3.") == ["gpl"]
+    assert families("The general public came to the library.") == []
+
+
 def test_the_classifier_decides(scanner):
     """Results that neither templates nor words of licences alone would give."""
 
