@@ -125,6 +125,12 @@ def bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def cued(texts: Column, *patterns: str) -> Column:
+    """The texts that match any of the patterns, by one search: others can't add to a fold over these patterns."""
+    either = "(?i)" + "|".join(f"(?:{p.removeprefix('(?i)')})" for p in patterns)
+    return F.filter(texts, lambda s: s.rlike(either))
+
+
 def number(digits: Column, scale: Column) -> Column:
     return F.replace(digits, F.lit(","), F.lit("")).try_cast("double") * F.when(F.lower(scale) == "k", 1000.0).otherwise(1.0)
 
@@ -236,7 +242,8 @@ def work_authorization(segments: Column) -> Column:
         status = F.when(nothing, "not-mentioned").when(acc["strength"].isin("strict", "preferred") | (acc["sponsorship_strength"] == "strict"), "parsed").otherwise("review")
         return F.struct(*[acc[c].alias(c) for c in ("eligibility", "sponsorship", "strength", "sponsorship_strength", "country")], F.slice(acc["evidence"], 1, MOST_EVIDENCE).alias("evidence"), status.alias("status"))
 
-    return F.aggregate(F.transform(segments, read), start, step, end)
+    spoken = cued(segments, *[p for _, p in SECTIONS], *[r.pattern for r in (*SPONSORSHIP, *ELIGIBILITY)])
+    return F.aggregate(F.transform(spoken, read), start, step, end)
 
 
 def clean_sentence(s: Column) -> Column:
@@ -269,6 +276,11 @@ def top_signals(signals: Column, most: int) -> Column:
     return bound(placed, lambda rows: F.transform(F.slice(F.array_sort(once(rows)), 1, most), lambda p: p["r"]))
 
 
+def remote_named(metadata: Column, body: Column) -> Column:
+    """Whether a posting's title, place or body calls it remote."""
+    return metadata.rlike(REMOTE_NAMED) | body.rlike(REMOTE_ROLE)
+
+
 def remote_work(metadata: Column, body: Column, sentences: Column) -> Column:
     """struct(is_remote, level, summary, categories, status)."""
 
@@ -284,8 +296,8 @@ def remote_work(metadata: Column, body: Column, sentences: Column) -> Column:
         own = F.array_compact(F.array(*[_signal(s, r) for r in REMOTE]))
         return F.concat(own, travel(s), F.array_compact(F.array(_signal(s, FREQUENT))))
 
-    is_remote = metadata.rlike(REMOTE_NAMED) | body.rlike(REMOTE_ROLE)
-    now = F.filter(sentences, lambda s: ~historical(s))
+    is_remote = remote_named(metadata, body)
+    now = F.filter(cued(sentences, *[r.pattern for r in REMOTE], TRAVEL, FREQUENT.pattern), lambda s: ~historical(s))
     top = top_signals(F.flatten(F.transform(now, signals)), MOST_REMOTE)
 
     def summed(both: Column) -> Column:
@@ -317,7 +329,7 @@ def away_requirements(title: Column, location: Column, body: Column, sentences:
     """
     long_stay = lambda s: s.rlike(PRESENCE) & s.rlike(DEFINITE) & (~s.rlike(CONDITIONAL) | s.rlike(CURRENT)) & (F.coalesce(stay_days(s), F.lit(0)) >= LEAST_DAYS)
     signals = lambda s: F.array_compact(F.array(F.when(long_stay(s), _row(s, EXTENDED.category, EXTENDED.level, EXTENDED.reason)), *[_signal(s, r) for r in AWAY]))
-    now = F.filter(F.concat(F.array(title), sentences), lambda s: ~historical(s))
+    now = F.filter(cued(F.concat(F.array(title), sentences), PRESENCE, *[r.pattern for r in AWAY]), lambda s: ~historical(s))
     top = top_signals(F.flatten(F.transform(now, signals)), MOST_AWAY)
     place = lambda x: first_name(x, DESTINATIONS)
 
@@ -422,7 +434,8 @@ def degree_requirements(segments: Column) -> Column:
         own = F.transform(x["rows"], lambda r: F.struct(r["rank"].alias("rank"), r["level"].alias("level"), F.coalesce(r["requirement"], acc["section"]).alias("requirement"), r["years"].alias("years"), r["fields"].alias("fields")))
         return F.struct(F.coalesce(x["section"], acc["section"]).alias("section"), F.when(x["section"].isNull(), F.concat(acc["rows"], own)).otherwise(acc["rows"]).alias("rows"))
 
-    said = F.filter(F.transform(segments, read), lambda x: x["section"].isNotNull() | (F.size(x["rows"]) > 0))
+    spoken = cued(segments, *[p for _, p in DEGREE_SECTIONS], *[p for *_, p in DEGREES])
+    said = F.filter(F.transform(spoken, read), lambda x: x["section"].isNotNull() | (F.size(x["rows"]) > 0))
     found = F.aggregate(said, F.struct(F.lit("stated").alias("section"), empty.alias("rows")), step, lambda acc: F.array_distinct(acc["rows"]))
 
     def reduced(rows: Column) -> Column:

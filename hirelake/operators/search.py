@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .facts import remote_named
+
 #: Age groups in days, fixed values; rows without a date are unknown.
 AGE_GROUPS = (("today", 0), ("yesterday", 1), ("2-7", 7), ("8-14", 14), ("15-30", 30))
 #: States of the US by code, with the names that labels give them (fixed values).
@@ -80,13 +82,17 @@ def state_groups(labels: DataFrame) -> DataFrame:
     return per.select("state", F.coalesce(F.try_element_at(names, F.col("state")), F.lit("Other locations")).alias("name"), "n", "places", (F.col("state") != "Other").alias("mapped"))
 
 
-def discoverable(include: list[str], exclude: list[str]) -> Column:
-    """Whether a row of facts passes its reader's filter.
+def placed(metadata: Column, location: Column, body: Column) -> Column:
+    """Whether a posting is remote or in a state of the US."""
+    return remote_named(metadata, body) | us_location(location).isNotNull()
+
+
+def acceptable() -> Column:
+    """Whether a row of facts passes its reader's filter of pay and strict requirements.
 
-    Columns: text, period, maximum (pay), desired_pay, is_remote, primary_location, education_kind, clearance_kind,
-    authorization_kind, away_confidence.  Only annual pay below the wish hides; unknown pay passes.
+    Columns: period, maximum (pay), desired_pay, education_kind, clearance_kind, authorization_kind, away_confidence.
+    Only annual pay below the wish hides; unknown pay passes.
     """
     pay = F.coalesce((F.col("period") != "annual") | F.col("maximum").isNull() | (F.col("maximum") >= F.col("desired_pay")), F.lit(True))
-    place = F.col("is_remote") | us_location(F.col("primary_location")).isNotNull()
     strict = (F.col("education_kind") == "requiredGap") | (F.col("clearance_kind") == "strictGap") | (F.col("authorization_kind") == "mismatch") | (F.col("away_confidence") == "strong")
-    return keyword_match(F.col("text"), include, exclude) & pay & place & ~strict
+    return pay & ~strict

@@ -9,7 +9,7 @@ from hirelake.operators import fit as FIT
 from hirelake.operators import search as S
 
 from .fixtures import PROFILES_SQL, postings, profiles
-from .q_extract import AUTHORIZED, AWAY_SQL, CLEARED, DEGREED, PAY, REMOTE_SQL, authorizations, clearances, degree_facts, salaries, segmented
+from .q_extract import AUTHORIZED, AWAY_SQL, CLEARED, DEGREED, PAY, REMOTE_SQL, authorizations, clearances, degree_facts, once, salaries, segmented, sentences_of, texts
 from .q_rules import MATCHES, matches
 from .q_text import BODY
 from .registry import query
@@ -55,20 +55,24 @@ SELECT posting_no FROM txt JOIN pr USING (posting_no) JOIN ek USING (posting_no)
 WHERE (contains(t, 'sql') OR contains(t, 'remote') OR contains(t, 'engineer')) AND NOT contains(t, 'relocation') AND (period <> 'annual' OR maximum IS NULL OR maximum >= desired_pay) AND (is_remote OR {_US})
   AND education_kind <> 'requiredGap' AND clearance_kind <> 'strictGap' AND authorization_kind <> 'mismatch' AND confidence <> 'strong'""")
 def discovery_filter(spark, sf):
-    """Keywords, annual pay, place, and strict mismatches of each posting with its reader's profile, from one pass over the bodies."""
-    s = segmented(spark, sf)
-    body, lines, sentences = F.col("body"), F.col("lines"), F.col("sentences")
-    found = s.select(
-        "posting_no", "primary_location", F.concat_ws(" ", "title", "body").alias("text"), facts.salary(body, lines).alias("pay"), facts.clearance(body).alias("clr"), facts.work_authorization(sentences).alias("aut"),
-        facts.degree_requirements(sentences).alias("deg"), facts.remote_work(F.concat_ws(" ", "title", "primary_location"), body, sentences)["is_remote"].alias("is_remote"),
-        facts.away_requirements(F.col("title"), F.col("primary_location"), body, sentences)["confidence"].alias("away_confidence"),
-    )
+    """Keywords, place, annual pay, and strict mismatches of each posting with its reader's profile.
+
+    What one look at the text decides comes first; sentences are cut and facts extracted for the rows that are left.
+    """
+    text, body = F.concat_ws(" ", "title", "body"), F.col("body")
+    metadata = F.concat_ws(" ", "title", "primary_location")
+    alive = texts(spark, sf).where(S.keyword_match(text, ["SQL", "remote", "engineer"], ["relocation"])).where(S.placed(metadata, F.col("primary_location"), body))
+    sentences = F.col("sentences")
+    away = facts.away_requirements(F.col("title"), F.col("primary_location"), body, sentences)["confidence"]
+    alive = once(once(alive, sentences=sentences_of(F.col("lines"))), away_confidence=away).where("away_confidence <> 'strong'")
+    found = once(alive, pay=facts.salary(body, F.col("lines")), clr=facts.clearance(body), aut=facts.work_authorization(sentences), deg=facts.degree_requirements(sentences))
+    found = found.select("posting_no", "away_confidence", "pay", "clr", "aut", "deg")
     j = found.join(profiles(spark, sf), "posting_no")
     kinds = {
         "education_kind": FIT.education_kind(F.col("deg.minimum_level"), F.col("deg.requirement"), F.col("education")), "clearance_kind": FIT.clearance_kind(F.col("clr.level"), F.col("clr.requirement"), F.col("clearance")),
         "authorization_kind": FIT.authorization_kind(F.col("aut.eligibility"), F.col("aut.strength"), F.col("aut.sponsorship"), F.col("citizen"), F.col("needs_sponsor")), "period": F.col("pay.period"), "maximum": F.col("pay.maximum"),
     }
-    return j.withColumns(kinds).where(S.discoverable(["SQL", "remote", "engineer"], ["relocation"])).select("posting_no")
+    return j.withColumns(kinds).where(S.acceptable()).select("posting_no")
 
 
 @query(f"WITH sal AS ({PAY} SELECT * FROM salaries), {P}, a AS (SELECT posting_no, least(greatest((desired_pay - minimum) / (maximum - minimum), 0.0), 1.0) AS place FROM sal JOIN pr USING (posting_no) WHERE period = 'annual' AND maximum > minimum) SELECT posting_no, round(place, 6) AS place, place >= 0.75 AS limited FROM a")
