@@ -18,6 +18,8 @@ can meet are raked until they stop getting nearer, the last one exactly; columns
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +78,10 @@ def targets(cells: DataFrame, temperature: dict[str, float], wanted: dict[str, d
 
 
 def raked(cells: DataFrame, wanted: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """cells (margins, tokens) with weight: raked until each margin is within the tolerance."""
+    """cells (margins, tokens) with weight: raked until each margin is within the tolerance.
+
+    Every step reads the table twice, so each is checkpointed: the plan of three steps in a row would read it eight times.
+    """
     now = checkpointed(cells.withColumn("weight", F.col("tokens").cast("double")))
     goal = {m: checkpointed(df) for m, df in wanted.items()}
     before = None
@@ -84,14 +89,8 @@ def raked(cells: DataFrame, wanted: dict[str, DataFrame], sweeps: int = SWEEPS,
         for m, df in goal.items():
             sums = now.groupBy(m).agg(F.sum("weight").alias("has")).join(df, m, "left")
             factor = F.when(F.col("has") > 0, F.coalesce("share", F.lit(0.0)) * F.lit(1.0) / F.col("has")).otherwise(0.0)
-            now = now.join(sums.select(m, factor.alias("factor")), m).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        now = checkpointed(now)
-        errors = None
-        for m, df in goal.items():
-            both = now.groupBy(m).agg(F.sum("weight").alias("has")).join(df.where("share > 0"), m)
-            own = both.select((F.abs(F.col("has") - F.col("share")) / F.col("share")).alias("e"))
-            errors = own if errors is None else errors.union(own)
-        worst = errors.agg(F.max("e")).first()[0]
+            now = checkpointed(now.join(sums.select(m, factor.alias("factor")), m).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor"))
+        worst = _worst(now, goal)
         # Margins that no weights can meet stop improving.
         if (worst or 0) <= tolerance or before is not None and worst > 0.99 * before:
             break
@@ -99,6 +98,14 @@ def raked(cells: DataFrame, wanted: dict[str, DataFrame], sweeps: int = SWEEPS,
     return now
 
 
+def _worst(now: DataFrame, goal: dict[str, DataFrame]) -> float | None:
+    """The largest relative distance of a margin's sum from its share, all margins summed in one pass."""
+    named = lambda m, value: F.struct(F.lit(m).alias("margin"), F.col(value).cast("string").alias("value"))
+    each = now.select(F.explode(F.array(*[named(m, m) for m in goal])).alias("of"), "weight").groupBy("of").agg(F.sum("weight").alias("has"))
+    shares = functools.reduce(DataFrame.union, [df.where("share > 0").select(named(m, m).alias("of"), "share") for m, df in goal.items()])
+    return each.join(shares, "of").agg(F.max(F.abs(F.col("has") - F.col("share")) / F.col("share"))).first()[0]
+
+
 def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     """cells with probability: min(1, c * weight / tokens), c such that the expected tokens are ``budget`` times all tokens.
 
