@@ -22,13 +22,14 @@ ignored.
 
 from __future__ import annotations
 
-import bisect
 import functools
 import hashlib
 import html as entities
+import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ from .common import only, saved
 PAGES, SHARE = 5, 0.9
 #: The same for slots of a marked article, and for single blocks.
 ARTICLE_PAGES, ARTICLE_SHARE = 10, 0.95
-#: Cells of a table of two lists of children.
+#: Cells of a table of two lists of children, and weights, that are kept at a time; nothing but memory depends on it.
 CELLS = 250_000
 #: Elements of a tree deeper than this are dissolved into their ancestor there, but for those that decide what is main text.
 DEPTH = 200
@@ -272,87 +273,106 @@ def _read(text: str) -> tuple:
     return tuple(stack[0])
 
 
-def _anchors(a: tuple, b: tuple) -> list[tuple[int, int]]:
-    """Places of equal subtrees that occur once on either side, the most of them that are in one order."""
-    once = [{t[3]: k for k, t in enumerate(side) if count[t[3]] == 1} for side in (a, b) for count in [Counter(t[3] for t in side)]]
-    tails: list[int] = []  # of the chains of each length, the least last place in b
-    ends: list[tuple[int, int, int]] = []  # (place in a, place in b, link to the chain's entry before)
-    last: list[int] = []
-    for shape, i in once[0].items():
-        if shape in once[1]:
-            j = once[1][shape]
-            k = bisect.bisect_left(tails, j)
-            ends.append((i, j, last[k - 1] if k else -1))
-            tails[k : k + 1], last[k : k + 1] = [j], [len(ends) - 1]
-    chain, at = [], last[-1] if last else -1
-    while at >= 0:
-        chain.append(ends[at][:2])
-        at = ends[at][2]
-    return chain[::-1]
+def _ends(a: tuple, b: tuple) -> tuple[int, int]:
+    """How many trees at the beginning, and at the end behind them, are equal: nothing else could match more of them."""
+    first = last = 0
+    while first < min(len(a), len(b)) and a[first][3] == b[first][3]:
+        first += 1
+    while last < min(len(a), len(b)) - first and a[-1 - last][3] == b[-1 - last][3]:
+        last += 1
+    return first, last
 
 
 @functools.lru_cache(8192)
 def aligned(page: str, reference: str) -> dict[int, int]:
     """Simple tree matching: the reference's slot for each matched slot of the page.
 
-    Two lists of children that would take more than ``CELLS`` cells are first cut at equal subtrees which occur once in each, or else in
-    the middle, and matched between the cuts, so that time and memory stay in proportion to them.
+    Two lists of children have one largest matching whatever their lengths.  Of their table's rows, blocks are kept one at a time, with
+    the row before each; the way back makes a block again.  Weights are known by shape and forgotten when they are many, so memory
+    stays bounded; time grows with the product of the lists' lengths.
     """
-    memo: dict[tuple[int, int], tuple[int, tuple]] = {}
-
-    def forest(a: tuple, b: tuple) -> tuple[int, tuple]:
-        # Equal subtrees at either end match as a whole: nothing else could match more of them.
-        first = 0
-        while first < min(len(a), len(b)) and a[first][3] == b[first][3]:
-            first += 1
-        last = 0
-        while last < min(len(a), len(b)) - first and a[-1 - last][3] == b[-1 - last][3]:
-            last += 1
-        ends = [*zip(a[:first], b[:first]), *(zip(a[-last:], b[-last:]) if last else ())]
-        a, b = a[first : len(a) - last], b[first : len(b) - last]
-        m, n = len(a), len(b)
-        if m * n > CELLS:
-            cuts = _anchors(a, b)
-            steps = [(i, j, i + 1, j + 1) for i, j in cuts] or [(m // 2, n // 2, m // 2, n // 2)]
-            total, pairs, i, j = 0, [], 0, 0
-            for i0, j0, i1, j1 in [*steps, (m, n, m, n)]:
-                w, some = forest(a[i:i0], b[j:j0])
-                pairs += [*some, *zip(a[i0:i1], b[j0:j1])]
-                total += w
-                i, j = i1, j1
-            pairs += ends
-            return total + sum(match(x, y)[0] for x, y in pairs[len(pairs) - len(ends) :]) + sum(match(a[i0], b[j0])[0] for i0, j0 in cuts), tuple(pairs)
-        best = [[0] * (n + 1) for _ in range(m + 1)]
-        for i in range(1, m + 1):
-            for j in range(1, n + 1):
-                w = match(a[i - 1], b[j - 1])[0]
-                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w)
-        pairs, i, j = [], m, n
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                pairs.append((a[i - 1], b[j - 1]))
-                i, j = i - 1, j - 1
-        return best[m][n] + sum(match(x, y)[0] for x, y in ends), (*pairs, *ends)
+    known: dict[tuple[str, str], int] = {}
 
-    def match(x: tuple, y: tuple) -> tuple[int, tuple]:
+    def weight(x: tuple, y: tuple) -> int:
+        """Matched places of two trees."""
         if x[0] != y[0]:
-            return 0, ()
-        key = x[1], y[1]
-        if key not in memo:
-            w, pairs = forest(x[2], y[2])
-            memo[key] = w + 1, pairs
-        return memo[key]
+            return 0
+        if not x[2] or not y[2]:
+            return 1
+        key = x[3], y[3]
+        if key not in known:
+            w = 1 + total(x[2], y[2])
+            if len(known) >= CELLS:
+                known.clear()
+            known[key] = w
+            return w
+        return known[key]
+
+    def total(a: tuple, b: tuple) -> int:
+        first, last = _ends(a, b)
+        out = sum(weight(x, x) for x in (*a[:first], *a[len(a) - last :]))
+        a, b = a[first : len(a) - last], b[first : len(b) - last]
+        if not a or not b:
+            return out
+        for row in rows(a, b, np.zeros(len(b) + 1, dtype=np.int32)):
+            pass
+        return out + int(row[-1])
+
+    def rows(a: tuple, b: tuple, row: np.ndarray):
+        """The table's rows for the trees of a, each from the one before; a row holds the largest weight up to each place of b."""
+        places: dict[str, list[int]] = {}
+        for j, y in enumerate(b):
+            places.setdefault(y[0], []).append(j)
+        made: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        cells = 0
+        for x in a:
+            if x[0] in places:
+                if x[3] not in made:
+                    at = places[x[0]]
+                    if cells > CELLS:
+                        made.clear()
+                        cells = 0
+                    made[x[3]] = np.array(at), np.array([weight(x, b[j]) for j in at], dtype=np.int32)
+                    cells += len(at)
+                at, w = made[x[3]]
+                now = row.copy()
+                now[at + 1] = np.maximum(now[at + 1], row[at] + w)
+                row = np.maximum.accumulate(now)
+            yield row
+
+    def pairs(a: tuple, b: tuple) -> list[tuple]:
+        first, last = _ends(a, b)
+        out = [*zip(a[:first], b[:first]), *zip(a[len(a) - last :], b[len(b) - last :])]
+        a, b = a[first : len(a) - last], b[first : len(b) - last]
+        j = len(b)
+        if not a or not b:
+            return out
+        block = max(CELLS // (j + 1), math.isqrt(len(a)) + 1)
+        before = [np.zeros(j + 1, dtype=np.int32)]
+        for i in range(0, len(a) - block, block):
+            for row in rows(a[i : i + block], b, before[-1]):
+                pass
+            before.append(row)
+        for k in reversed(range(len(before))):
+            part = a[k * block : (k + 1) * block]
+            table = [before[k], *rows(part, b, before[k])]
+            i = len(part)
+            while i and j:
+                if table[i][j] == table[i - 1][j]:
+                    i -= 1
+                elif table[i][j] == table[i][j - 1]:
+                    j -= 1
+                else:
+                    out.append((part[i - 1], b[j - 1]))
+                    i, j = i - 1, j - 1
+        return out
 
     out: dict[int, int] = {}
-    todo = list(forest(_read(page), _read(reference))[1])
+    todo = pairs(_read(page), _read(reference))
     while todo:
         x, y = todo.pop()
         out[x[1]] = y[1]
-        todo += match(x, y)[1]
+        todo += pairs(x[2], y[2])
     return out
 
 

@@ -73,3 +73,33 @@ def test_long_lists_are_aligned_in_parts(monkeypatch):
     start = time.time()
     assert html_main.aligned(*long)
     assert time.time() - start < 30
+
+
+@pytest.mark.parametrize("cells", [1, 20, 1000])
+def test_alignment_is_the_same_whatever_the_lengths(monkeypatch, cells):
+    rng = random.Random(3)
+    tree = lambda: f"{rng.choice('pqr')}({' '.join(f'{rng.choice("bi")}()' for _ in range(rng.randrange(4)))})"
+    for _ in range(20):
+        # No subtree occurs once in either list, so nothing but the whole table tells the largest matching.
+        page, reference = (" ".join(2 * [tree() for _ in range(rng.randrange(1, 40))]) for _ in range(2))
+        html_main.aligned.cache_clear()
+        whole = html_main.aligned(page, reference)
+        with monkeypatch.context() as m:
+            m.setattr(html_main, "CELLS", cells)
+            html_main.aligned.cache_clear()
+            assert html_main.aligned(page, reference) == whole
+    html_main.aligned.cache_clear()
+
+
+def test_long_lists_have_the_largest_matching():
+    # 600 x 600 trees of two labels without an equal one between them: the matching is the longest common sequence of labels.
+    rng = random.Random(4)
+    a, b = ([rng.choice("pq") for _ in range(600)] for _ in range(2))
+    best = [0] * 601
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(max(best[j + 1], row[j], best[j] + (x == y)))
+        best = row
+    got = html_main.aligned(" ".join(f"{x}(b())" for x in a), " ".join(f"{y}(i())" for y in b))
+    assert len(got) == best[-1]
