@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from hirelake.operators.clusters import written
+
 #: Fixed weights of reasons, least score, caps of a batch.
 REASONS = {"new_employer": 2.0, "rare_tokens": 1.0, "rule_conflict": 3.0, "title_only": 3.0}
 LEAST_NEW, LEAST_CASES, LEAST_EMPLOYERS = 25, 10, 3
@@ -29,14 +31,17 @@ def select_review_cases(cases: DataFrame, prior: DataFrame, least: float = LEAST
     """cases: case_id, employer, tokens, reasons (arrays). Scored by their reasons; those too like a
     reviewed case are skipped; then employers take turns, each with its best cases, up to the caps.
 
-    Cases meet reviewed ones by shared tokens.
+    Cases meet reviewed ones by shared tokens.  A case's tokens are read once: its words are counted by reviewed case where
+    they are, as the few words of reviewed cases go to all tasks while they are small.
     """
     weights = F.create_map(*[x for k, v in REASONS.items() for x in (F.lit(k), F.lit(v))])
     score = F.aggregate("reasons", F.lit(0.0), lambda a, r: a + F.coalesce(weights[r], F.lit(0.0)))
     scored = cases.withColumn("score", score).where(F.col("score") >= least)
-    shared = scored.select("case_id", F.size("tokens").alias("n"), F.explode("tokens").alias("t")).join(prior.select(F.col("case_id").alias("p"), F.size("tokens").alias("m"), F.explode("tokens").alias("t")), "t").groupBy("case_id", "p", "n", "m").agg(F.count("*").alias("k"))
-    twins = shared.where(F.col("k") / (F.col("n") + F.col("m") - F.col("k")) >= twin).select("case_id").distinct()
-    left = scored.join(twins, "case_id", "left_anti").select("case_id", "employer", "score")
+    reviewed = written(prior.select(F.col("case_id").alias("p"), F.size("tokens").alias("m"), F.explode("tokens").alias("t")), "reviewed-words")
+    words = scored.select("case_id", "employer", "score", F.size("tokens").alias("n"), F.explode_outer("tokens").alias("t")).join(reviewed, "t", "left")
+    shared = words.groupBy("case_id", "employer", "score", "n", "p", "m").agg(F.count("*").alias("k"))
+    alike = F.coalesce(F.col("k") / (F.col("n") + F.col("m") - F.col("k")), F.lit(0.0))  # words of no reviewed case are one group without p
+    left = shared.groupBy("case_id", "employer", "score").agg(F.max(alike).alias("alike")).where(F.col("alike") < twin).select("case_id", "employer", "score")
     # A rank that is bounded by a constant is cut in every task before rows move.
     turn = F.row_number().over(W.partitionBy("employer").orderBy(F.desc("score"), "case_id"))
     order = ["turn", F.desc("score"), "case_id"]

@@ -142,9 +142,11 @@ def select_review_cases(spark, sf):
     """Cases with reasons, unlike the reviewed ones: the postings of the twelve largest orders."""
     n = F.col("posting_no")
     reasons = F.array_compact(F.array(F.when(n % 3 == 0, "new_employer"), F.when(n % 4 == 0, "rule_conflict"), F.when(n % 7 == 0, "title_only"), F.when(n % 2 == 0, "rare_tokens")))
-    p = postings(spark, sf).select(n.alias("case_id"), F.col("company_id").alias("employer"), T.token_set(T.html_to_text(F.col("html"))).alias("tokens"), reasons.alias("reasons"))
-    top = table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(12).select(F.col("o_orderkey").alias("case_id"))
-    return V.select_review_cases(p, p.join(top, "case_id", "left_semi").select("case_id", "tokens"))
+    top = table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(12).select(F.col("o_orderkey").alias("posting_no"))
+    p = postings(spark, sf)
+    words = lambda rows: T.once(rows, tokens=T.token_set(T.html_to_text(F.col("html"))))
+    cases = words(p).select(n.alias("case_id"), F.col("company_id").alias("employer"), "tokens", reasons.alias("reasons"))
+    return V.select_review_cases(cases, words(p.join(F.broadcast(top), "posting_no", "left_semi")).select(n.alias("case_id"), "tokens"))
 
 
 @query(REVIEW.replace("\nSELECT case_id, employer, score, (row_number()", ", sel AS (SELECT case_id, employer, score, (row_number()").replace("LIMIT 24", "LIMIT 24)") + ", nw AS (SELECT count(DISTINCT user_id || ':' || event_type) AS n FROM events WHERE ts > (SELECT min(ts) + INTERVAL 12 HOUR FROM events)) SELECT any_value(nw.n) AS observations, count(*) AS cases, count(DISTINCT employer) AS employers, any_value(nw.n) >= 25 AND count(*) >= 10 AND count(DISTINCT employer) >= 3 AS due FROM sel, nw")

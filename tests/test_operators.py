@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hirelake.functions import text as T
-from hirelake.operators import clusters, extract, history, identity, metrics, rules, search
+from hirelake.operators import clusters, extract, history, identity, metrics, review, rules, search
 from hirelake.sources import cache
 from hirelake.streaming import jobs
 
@@ -146,3 +146,13 @@ def test_integrity_reports_what_is_wrong(spark):
     bad = o.where("domain <> 'degree'").union(o.where("domain = 'travel'")).withColumn("start", F.when(F.col("domain") == "travel", 1).otherwise(F.col("start")))
     got = {r.domain: (r.n, r.repeated, r.bad_spans, r.dangling) for r in extract.integrity(bad).collect()}
     assert got == {"clearance": (1, 0, 0, 1), "travel": (2, 1, 2, 0)}
+
+
+def test_review_cases_read_tokens_once_and_skip_twins(spark):
+    ten, reasons = [f"w{k}" for k in range(10)], ["rule_conflict", "rare_tokens"]
+    rows = [(1, "a", ten, reasons), (2, "a", [*ten[:9], "x"], reasons), (3, "a", [*ten[:8], "x", "y"], reasons), (4, "b", [], reasons), (5, "b", ["z"], reasons), (6, "b", ["z"], ["rare_tokens"])]
+    cases = spark.createDataFrame(rows, "case_id long, employer string, tokens array<string>, reasons array<string>")
+    prior = spark.createDataFrame([(90, ten), (91, ten), (92, ["q"])], "case_id long, tokens array<string>")
+    found = review.select_review_cases(cases, prior)
+    # 1 is a reviewed one, 2 shares nine of eleven words with it, 3 eight of twelve; 6 has too low a score.
+    assert [(r.case_id, r.place) for r in found.orderBy("place").collect()] == [(3, 1), (4, 2), (5, 3)]
