@@ -156,3 +156,16 @@ def test_review_cases_read_tokens_once_and_skip_twins(spark):
     found = review.select_review_cases(cases, prior)
     # 1 is a reviewed one, 2 shares nine of eleven words with it, 3 eight of twelve; 6 has too low a score.
     assert [(r.case_id, r.place) for r in found.orderBy("place").collect()] == [(3, 1), (4, 2), (5, 3)]
+
+
+def test_contradictions_within_a_posting(spark):
+    rows = [(1, "a", "sponsorship", "stated", "notAvailable"), (1, "b", "sponsorship", "required", "available"), (1, "c", "sponsorship", "not-required", ""), (1, "d", "travel", "required", ""), (2, "e", "arrangement", "stated", "remote"), (2, "f", "sponsorship", "stated", "available"), (3, "g", "arrangement", "stated", "remote"), (None, "h", "arrangement", "stated", "remote")]
+    o = spark.createDataFrame(rows, "posting_no long, observation_id string, domain string, obligation string, value string")
+    declared = spark.createDataFrame([(1, "remote"), (2, "onsite"), (2, "hybrid"), (3, None), (None, "onsite")], "posting_no long, arrangement string")
+    got = sorted(tuple(r) for r in extract.contradictions(o, declared, "posting_no").collect())
+    assert got == [(1, "obligation", "c", "b"), (1, "opposite-sponsorship", "a", "b"), (2, "provider-arrangement", "e", "provider:hybrid"), (2, "provider-arrangement", "e", "provider:onsite")]
+
+
+def test_white_space_and_breaks(spark):
+    assert one(spark, T.squeeze(F.col("h")), h=" a\t b\n\nc  d e\u00a0f ") == "a b c d e\u00a0f"
+    assert one(spark, T.html_to_lines(F.col("h")), h="a<BR\n/>b<br >c<p\nid='x'>d</OL>e<brx>f") == ["a", "b", "c", "d", "e f"]
