@@ -169,3 +169,10 @@ def test_contradictions_within_a_posting(spark):
 def test_white_space_and_breaks(spark):
     assert one(spark, T.squeeze(F.col("h")), h=" a\t b\n\nc  d e\u00a0f ") == "a b c d e\u00a0f"
     assert one(spark, T.html_to_lines(F.col("h")), h="a<BR\n/>b<br >c<p\nid='x'>d</OL>e<brx>f") == ["a", "b", "c", "d", "e f"]
+
+
+def test_integrity_of_alternatives_in_other_domains(spark):
+    rows = [("a", "x", 1, ["b", "gone"]), ("a", "y", 1, ["c"]), ("b", "y", 1, ["a", "gone", "gone"]), ("b", "y", 9, []), ("c", "z", None, [])]
+    o = spark.createDataFrame(rows, "observation_id string, domain string, start int, alternatives array<string>").withColumns({"line": F.lit("hit"), "hit": F.lit("hit")})
+    got = {r.domain: (r.n, r.repeated, r.bad_spans, r.dangling) for r in extract.integrity(o).collect()}
+    assert got == {"x": (1, 0, 0, 1), "y": (3, 1, 1, 2), "z": (1, 0, 0, 0)}
