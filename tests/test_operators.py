@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hirelake.functions import text as T
-from hirelake.operators import clusters, extract, history, identity, metrics, review, rules, search
+from hirelake.operators import clusters, extract, fit, history, identity, metrics, review, rules, search
 from hirelake.sources import cache
 from hirelake.streaming import jobs
 
@@ -176,3 +176,16 @@ def test_integrity_of_alternatives_in_other_domains(spark):
     o = spark.createDataFrame(rows, "observation_id string, domain string, start int, alternatives array<string>").withColumns({"line": F.lit("hit"), "hit": F.lit("hit")})
     got = {r.domain: (r.n, r.repeated, r.bad_spans, r.dangling) for r in extract.integrity(o).collect()}
     assert got == {"x": (1, 0, 0, 1), "y": (3, 1, 1, 2), "z": (1, 0, 0, 0)}
+
+
+def test_job_fit_within_a_pair(spark):
+    t = lambda rows, schema: spark.createDataFrame(rows, schema)
+    concepts = t([("a", "Technical Domain"), ("b", "Technical Domain"), ("c", "Work Arrangement"), ("d", None)], "concept_id string, dimension string")
+    detected = t([(1, "a"), (1, "b"), (1, "c"), (1, "zz"), (2, "a"), (2, "a"), (2, "b"), (3, "d"), (4, "c")], "posting_no long, concept_id string")
+    signals = t([(7, "a", "negative"), (7, "b", "ideal"), (7, "c", "positive"), (7, "d", "negative"), (7, "zz", "ideal"), (8, "a", "ideal"), (8, "c", "neutral")], "user_id long, concept_id string, preference string")
+    readers = t([(1, 7), (1, 8), (2, 8), (3, 7), (4, 8), (4, 9)], "posting_no long, user_id long")
+    over = t([(8, "b"), (8, "b")], "user_id long, concept_id string")
+    found = fit.job_fit(detected, signals, concepts, t([("a", "b")], "concept_id string, superseded string"), readers, over)
+    # b gives way to a, whatever a reader says of it; a reader without a wish that counts has no row.
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 7, 4, 0), (1, 8, 7, 0), (2, 8, 7, 0), (3, 7, 3, 0)]
+    assert sorted(tuple(r) for r in fit.job_fit(detected, signals, concepts, t([], "concept_id string, superseded string"), readers, over).collect()) == [(1, 7, 5, 0), (1, 8, 2, 1), (2, 8, 2, 1), (3, 7, 3, 0)]
