@@ -10,13 +10,13 @@ SF = "/root/testdata/sf0.001"
 PIECE = "Apply &lt;today&gt;"
 
 
-@pytest.mark.parametrize("name", ["work_location_level", "select_review_cases", "review_trigger", "contradiction_links", "observation_integrity", "compact_list", "job_fit"])
+@pytest.mark.parametrize("name", ["work_location_level", "select_review_cases", "review_trigger", "contradiction_links", "observation_integrity", "compact_list", "error_list", "job_fit"])
 def test_a_text_is_made_once(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(PIECE) == 1
 
 
-@pytest.mark.parametrize("name", ["work_location_level", "select_review_cases", "review_trigger", "contradiction_links", "observation_integrity", "compact_list", "job_fit"])
+@pytest.mark.parametrize("name", ["work_location_level", "select_review_cases", "review_trigger", "contradiction_links", "observation_integrity", "compact_list", "error_list", "job_fit"])
 def test_texts_are_made_after_rows_are_dealt(spark, name):
     """A condition on the text that Spark moves below the exchange is computed in as few tasks as there are input files."""
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
